@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-N_PAGES, SEED = 400, 11
-ROUNDS, RATE, DECAY = 200, 0.15, 1e-3
+N_PAGES, SEED = 600, 11
+ROUNDS, RATE, DECAY = 300, 0.2, 3e-4
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
@@ -160,10 +160,8 @@ def features(blocks: list[Block], i: int) -> list[str]:
     on += [f"name={n}" for n in b.names]
     if b.text[0] in "©" or "©" in b.text[:40]:
         on.append("copyright")
-    if i == 0:
-        on.append("first")
-    if i == len(blocks) - 1:
-        on.append("last")
+    if b.tag and len(b.tags) > 1:
+        on += [f"{t}>{b.tag}" for t in b.tags if t in SCOPES and t not in ("html", "body", b.tag)]
     return on
 
 
@@ -350,7 +348,8 @@ class _Layouts:
         return out
 
     def page(self) -> tuple[str, list[int]]:
-        parts = [*self.before(), *self.body(), *self.after()]
+        bare = self.r.random() < 0.12
+        parts = self.body() if bare else [*self.before(), *self.body(), *self.after()]
         labels = [y for _, y in parts if y >= 0]
         head = f"<!DOCTYPE html><html><head><title>{self.words(2, 6)}</title><script>var x='</p>';</script></head><body>"
         return head + "".join(x for x, _ in parts) + "</body></html>", labels

@@ -15,6 +15,8 @@ matches, so the running sum of gaps and match lengths gives the positions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -132,13 +134,17 @@ def _listed(spans: Column) -> Column:
     )
 
 
+def _is_kind(kind: int) -> Callable[[Column], Column]:
+    return lambda s: s.kind == kind
+
+
 def digest(scanned: DataFrame) -> DataFrame:
     """The documents' counts and span lists in place of ``found``."""
     base = F.filter("found", lambda s: s.kind < len(BASE_KINDS))
     count = lambda keep: F.size(F.filter("found", keep)).cast("bigint")
     return scanned.select(
         *[F.col(c) for c in scanned.columns if c not in ("text_key", "found")],
-        *[count(lambda s, k=k: s.kind == k).alias(f"n_{KINDS[k][0]}") for k in range(len(BASE_KINDS))],
+        *[count(_is_kind(k)).alias(f"n_{KINDS[k][0]}") for k in range(len(BASE_KINDS))],
         F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(F.col("found")).alias("spans"),
         count(lambda s: s.live).alias("n_live"),

@@ -159,19 +159,18 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source") -> DataFra
     aren't taken go. Rows equal in key and text get one decision.
     """
     decided = plan(docs, [key], source, key).filter(taken() > 0).dropDuplicates([key, "text_key"])
-    decided = decided.select(F.col(key).alias("_key"), "text_key", "size", "passes", "picks")
-    met = docs.withColumn("_text_key", F.xxhash64("text")).join(
-        decided, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_text_key") == F.col("text_key"))
-    )
+    given = decided.select(F.col(key).alias("_key"), "text_key", F.struct("size", "passes", "picks").alias("_take"))
+    held = docs.select(F.struct(*docs.columns).alias("_doc"), F.xxhash64("text").alias("_text_key"))
+    met = held.join(given, F.col(f"_doc.{key}").eqNullSafe(F.col("_key")) & (F.col("_text_key") == F.col("text_key")))
+    text, picks, passes = F.col("_doc.text"), F.col("_take.picks"), F.col("_take.passes").cast("int")
+    split = met.withColumn("_words", F.when(F.size(picks) > 0, words(text)))
     part = F.array_join(
-        F.flatten(F.transform("picks", lambda p: F.slice(F.col("_words"), (p.offset + 1).cast("int"), p.n.cast("int")))), " "
-    )
-    whole = sum_of(F.transform("picks", lambda p: p.n)) == F.col("size")
-    further = F.when(F.size("picks") == 0, F.array().cast("array<string>")).otherwise(
-        F.array(F.when(whole, F.col("text")).otherwise(part))
+        F.flatten(F.transform(picks, lambda p: F.slice(F.col("_words"), (p.offset + 1).cast("int"), p.n.cast("int")))), " "
     )
-    takes = F.concat(F.array_repeat(F.col("text"), F.col("passes").cast("int")), further)
-    rows = met.withColumn("_words", F.when(F.size("picks") > 0, words(F.col("text")))).withColumn("text", F.explode(takes))
+    whole = sum_of(F.transform(picks, lambda p: p.n)) == F.col("_take.size")
+    further = F.when(F.size(picks) == 0, F.array().cast("array<string>")).otherwise(F.array(F.when(whole, text).otherwise(part)))
+    rows = split.select("_doc", F.explode(F.concat(F.array_repeat(text, passes), further)).alias("_taken"))
+    fresh = {"text": F.col("_taken")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*[F.col(c) for c in docs.columns])
+        fresh["n_chars"] = F.length("_taken").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[fresh.get(c, F.col(f"_doc.{c}")).alias(c) for c in docs.columns])
