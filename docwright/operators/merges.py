@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docwright.plans.numbering import numbered
+
 
 def keep_first(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in a total order."""
@@ -42,9 +44,10 @@ def upsert(before: DataFrame, now: DataFrame, key: str, digest: str, number: str
     same = F.col(f"_a.{digest}").eqNullSafe(F.col(f"_b.{digest}"))
     chosen = F.when(F.col("_b").isNull() | (F.col("_a").isNotNull() & same), F.col("_a")).otherwise(F.col("_b"))
     known = met.select(F.coalesce(key, "_key").alias(key), F.col("_number").alias(number), chosen.alias("_c"))
-    fresh = known.filter(F.col(number).isNull()).select(key, F.row_number().over(Window.orderBy(key)).alias("_n"))
+    fresh = numbered(known.filter(F.col(number).isNull()).select(key), [key], "_n")
     top = before.agg(F.coalesce(F.max(number), F.lit(0)).alias("_top"))
-    given = fresh.crossJoin(F.broadcast(top)).select(F.col(key).alias("_fresh"), (F.col("_top") + F.col("_n")).alias("_next"))
+    given = fresh.withColumn("_one", F.lit(1)).join(F.broadcast(top.withColumn("_one", F.lit(1))), "_one")
+    given = given.select(F.col(key).alias("_fresh"), (F.col("_top") + F.col("_n")).alias("_next"))
     out = known.join(given, F.col(key) == F.col("_fresh"), "left")
     return out.select(key, F.coalesce(number, "_next").cast("bigint").alias(number), "_c.*")
 
