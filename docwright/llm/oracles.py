@@ -1 +1,37 @@
-ORACLES = {}
+"""SQL for DuckDB of the operators that SQL can express; the others are held against brute force in tests."""
+
+from __future__ import annotations
+
+from docwright.llm import license_scan, url_filter
+
+
+def _url_filter() -> str:
+    events = ", ".join(f"('{e}', '{c}', '{a}', DATE '{d}', {n})" for e, c, a, d, n in url_filter.LIST)
+    return f"""WITH ev AS (SELECT * FROM (VALUES {events}) v(entry, category, action, since, seq)),
+      sp AS (SELECT *, coalesce(lead(since) OVER (PARTITION BY entry, category ORDER BY since, seq), DATE '9999-12-31') AS until FROM ev),
+      ac AS (SELECT entry, category, since, until, split_part(entry, '/', 1) AS domain,
+        CASE WHEN strpos(entry, '/') > 0 THEN substr(entry, strpos(entry, '/') + 1) ELSE '' END AS prefix FROM sp WHERE action = 'add' AND since < until),
+      c AS (SELECT page_id, url, nullif(rtrim(lower(regexp_extract(url, '{url_filter.HOST}', 1)), '.'), '') AS host,
+        regexp_extract(url, '{url_filter.PATH}', 1) AS path, CAST(DATE '2024-01-01' + CAST(page_id % 730 AS INTEGER) AS DATE) AS fetch_day FROM pages),
+      h AS (SELECT page_id, entry, category FROM c JOIN ac ON (host = domain OR ends_with(host, '.' || domain)) AND since <= fetch_day AND fetch_day < until
+        AND (prefix = '' OR path = prefix OR starts_with(path, prefix || '/'))
+        QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(entry) DESC, entry, category) = 1)
+      SELECT page_id, url, host, fetch_day, entry IS NOT NULL AS blocked, entry, category FROM c LEFT JOIN h USING (page_id)"""
+
+
+def _license_scan() -> str:
+    known = ", ".join(f"('{license_scan.normalised(s)}', '{i}')" for i, s in license_scan.SENTENCES)
+    hit = lambda want: " OR ".join(f"contains(line, ' {' '.join(ids)} ')" for *w, ids in license_scan.RULES if want in w)
+    names = list(dict.fromkeys(name for name, _, _ in license_scan.RULES))
+    listed = ", ".join(f"CASE WHEN {hit(n)} THEN '{n}' END" for n in names)
+    strict = " ".join(f"WHEN {hit(k)} THEN '{k}'" for k in ("restricted", "copyleft", "permissive"))
+    return rf"""WITH s AS (SELECT doc_id, string_split(regexp_replace(lower(regexp_replace(coalesce(text, ''), '[.!?:]+([\x20\x09-\x0D]|$)|\n+',
+        chr(1) || '\1', 'g')), '[^\p{{L}}\p{{N}}\x01]+', ' ', 'g'), chr(1)) AS ps FROM documents),
+      e AS (SELECT doc_id, trim(unnest(ps)) AS p, generate_subscripts(ps, 1) AS pos FROM s),
+      k AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids FROM e JOIN (VALUES {known}) v(p, id) USING (p) GROUP BY doc_id),
+      a AS (SELECT doc_id, coalesce(n, 0) AS n_known, coalesce(ids, '') AS sentence_ids, ' ' || replace(coalesce(ids, ''), ',', ' ') || ' ' AS line
+        FROM documents LEFT JOIN k USING (doc_id))
+      SELECT doc_id, n_known, sentence_ids, concat_ws(',', {listed}) AS licenses, CASE {strict} ELSE 'none' END AS license_class FROM a"""
+
+
+ORACLES = {"op3_url_filter": _url_filter(), "op10_license_scan": _license_scan()}
