@@ -4,7 +4,8 @@ A list is a table of dated entries: entry (a domain, or domain/path-prefix), cat
 or remove), day and seq. Each entry's dates become validity intervals, and an as-of join holds
 every capture against the entries that are active when it was fetched. A domain entry covers its
 subdomains. The entries of a host are gathered once per distinct host, so that a host with a third
-of all captures is one row on the list's side, and captures meet them in one equi-join.
+of all captures is one row on the list's side, and captures meet them in one equi-join, in which each
+host is dealt to ``SALTS`` tasks.
 
 Defined results: null or unparsable URLs have no host and are never blocked; a null fetch day is
 never blocked; of an entry's events on one day the last ``seq`` holds; of several active entries
@@ -21,6 +22,8 @@ from pyspark.sql.window import Window
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/?([^?#]*)"
 FOREVER = "9999-12-31"
+#: Tasks over which the captures of one host are spread in the join.
+SALTS = 16
 #: Fixed values, the list of the registered query: entry, category, action, day, seq.
 LIST = [
     ("casino-win.example.com", "gambling", "add", "2024-01-10", 1),
@@ -69,6 +72,7 @@ def judge(captures: DataFrame, events: DataFrame, keep: list[str], url: str = "u
     seen = captures.select(
         *[F.col(c).alias(f"k_{c}") for c in keep],
         host_of(F.col(url)).alias("host"), F.regexp_extract(url, PATH, 1).alias("path"), F.col(day).alias("day"),
+        F.pmod(F.xxhash64(*[F.col(c) for c in keep], F.col(url), F.col(day)), F.lit(SALTS)).alias("salt"),
     )
     labels = F.split(F.col("host"), r"\.", -1)
     suffixes = F.transform(
@@ -79,7 +83,8 @@ def judge(captures: DataFrame, events: DataFrame, keep: list[str], url: str = "u
         (-F.length("entry")).alias("rank"), "entry", "category", "prefix", "since", "until"
     )
     held = hosts.join(intervals(events), "domain").groupBy("host").agg(F.sort_array(F.collect_list(rule)).alias("rules"))
-    met = seen.join(held.withColumnRenamed("host", "h_host"), F.col("host") == F.col("h_host"), "left")
+    salted = held.select(F.col("host").alias("h_host"), "rules", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("h_salt"))
+    met = seen.join(salted, (F.col("host") == F.col("h_host")) & (F.col("salt") == F.col("h_salt")), "left")
     active = F.filter(
         "rules",
         lambda r: (r.since <= F.col("day"))
