@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from docwright.queries import ORACLES, QUERIES
+from docwright.extraction_queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
