@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docwright.functions import exchange
+from docwright.functions import exchange, fields
 from docwright.operators import dependencies, extraction, generation, lines
 from docwright.oracles import HEADING, LINES, ORACLES, PATH
 from docwright.queries import QUERIES, path_of, query
+from docwright.sources import openapi
 
 NL = "chr(10)"
 #: Lines without a comma stand for headings of variants; the tables hold few real ones.
@@ -174,6 +175,43 @@ def s14_ambiguous_names(t, spark):
     return generation.ambiguous(names, "vendor")
 
 
+@query
+def f03_string_lists(t, spark):
+    text = (
+        F.when(F.col("p_partkey") % 3 == 0, F.to_json(F.array("p_name", F.lit(" x "), "p_name", F.lit(""))))
+        .when(F.col("p_partkey") % 3 == 1, F.to_json(F.struct(F.col("p_name").alias("title"))))
+        .otherwise(F.concat("p_name", F.lit(", b,,"), "p_name"))
+    )
+    return t("part").select("p_partkey", F.array_join(fields.string_list(text), ",").alias("items"))
+
+
+@query
+def f14_openapi_markdown(t, spark):
+    document = F.concat(
+        F.lit('{"info": {"title": "'), "p_name", F.lit('"}, "paths": {"/v1/get_item": {"get": {"parameters": [{"name": "id", "in": "query", "required": true, "schema": {"type": "'),
+        "p_type", F.lit('"}, "description": "a|b  c"}], "responses": {"200": {"description": "OK"}, "404": {"description": "'), "p_brand",
+        F.lit('"}}}, "trace": {"summary": "left out"}}, "/v1/items": {"post": {"summary": "Add item"}}}}'),
+    )
+    url = F.concat(F.lit("http://e.org/"), F.col("p_partkey").cast("string"))
+    return t("part").select("p_partkey", openapi.markdown(document, url).alias("markdown"))
+
+
+@query
+def c07_replace_generated(t, spark):
+    o = t("orders").select("o_orderkey", F.col("o_orderpriority").alias("origin"), F.concat_ws("/", "o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, "Game")).alias("section"))
+    ours = ["1-X", "2-X"]
+    old = o.withColumn("tag", F.lit("old"))
+    return generation.replace_generated(old, [o.filter("o_orderkey % 5 = 0"), o.filter("o_orderkey % 7 = 0")], "origin", ours, "section", "tag")
+
+
+@query
+def c15_human_cases(t, spark):
+    module = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit("Root > User Behavior > "), "p_type")).when(F.col("p_size") % 4 == 1, F.concat_ws(" > ", F.lit("A"), "p_brand", "p_type")).when(
+        F.col("p_size") % 4 == 2, F.lit("API parameter test > x"))
+    said = F.when(F.col("p_partkey") % 3 == 0, "Amount Exceeds")
+    return t("part").select("p_partkey", generation.output_section(module).alias("section"), generation.looks_negative(F.col("p_name"), said).alias("negative"))
+
+
 _KIND = "CASE p_size % 4 WHEN 0 THEN 'int' WHEN 1 THEN 'amount' WHEN 2 THEN 'boolean' ELSE 'string' END"
 _SAID = ", ".join(f"('{c}', '{'|'.join(w)}')" for c, w in CAPABILITIES.items())
 _ROWS = ", ".join(str(s) for s in SELECTORS)
@@ -229,6 +267,17 @@ ORACLES.update({
     "f19_sample_values": f"""SELECT p_partkey, value, CASE WHEN kind = 'string' THEN '12345' ELSE '"' || value || 'x"' END AS wrong FROM (SELECT p_partkey, kind,
         CASE WHEN p_partkey % 3 = 0 THEN p_brand WHEN kind = 'int' THEN '1' WHEN kind = 'amount' THEN '100.00' WHEN kind = 'boolean' THEN 'true'
         ELSE '<confirm ' || p_name || '>' END AS value FROM (SELECT *, {_KIND} AS kind FROM part))""",
+    "f03_string_lists": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || ',x' WHEN 1 THEN p_name ELSE p_name || ',b' END AS items FROM part""",
+    "f14_openapi_markdown": f"""SELECT p_partkey, array_to_string(['# ' || p_name, '', 'Source URL: http://e.org/' || p_partkey, '', '## Get Item API', '', 'Method: GET', '',
+        'Endpoint: /v1/get_item', '', '### Request Parameters', '', '| Name | In | Required | Type | Description |', '|---|---|---|---|---|',
+        '| id | query | True | ' || p_type || ' | a\\|b c |', '', '### Responses', '', '| Code | Description |', '|---|---|', '| 200 | OK |', '| 404 | ' || p_brand || ' |', '',
+        '## Add item', '', 'Method: POST', '', 'Endpoint: /v1/items', ''], {NL}) AS markdown FROM part""",
+    "c07_replace_generated": """WITH o AS (SELECT o_orderkey, o_orderpriority AS origin,
+          o_orderstatus || CASE WHEN o_orderkey % 2 = 0 THEN '/Game' ELSE '' END AS section, CASE WHEN o_orderkey % 2 = 0 THEN 'ui_auto' ELSE 'api_auto' END AS tag FROM orders)
+        SELECT o_orderkey, origin, section, 'old' AS tag FROM o WHERE origin NOT IN ('1-X', '2-X') UNION ALL SELECT * FROM o WHERE o_orderkey % 5 = 0
+        UNION ALL SELECT * FROM o WHERE o_orderkey % 7 = 0""",
+    "c15_human_cases": """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'User Behavior > ' || p_type WHEN 1 THEN p_brand || ' > ' || p_type
+        WHEN 2 THEN 'API parameter test' ELSE 'Human Added' END AS section, p_partkey % 3 = 0 AS negative FROM part""",
     "c03_sections": """SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'ui_auto' ELSE 'api_auto' END AS tag, p_type IN ('ECONOMY', 'PROMO') AS allowed FROM part""",
     "c08_rewrite": """SELECT p_partkey, 0 AS place, 'POST /v2/wager ' || p_name AS step, p_type AS expected FROM part
         UNION ALL SELECT p_partkey, 1, 'GET /api/balance ' || p_brand, '200' FROM part UNION ALL SELECT p_partkey, 2, 'check', 'as documented' FROM part""",

@@ -65,3 +65,16 @@ def has_segments(path: Column, wanted: Column) -> Column:
 def drop_empty(pairs: Column) -> Column:
     """Entries of a map whose value is neither null nor empty."""
     return F.map_filter(pairs, lambda _, v: v.isNotNull() & (v != ""))
+
+
+def string_list(text: Column) -> Column:
+    """Clean distinct strings, in order, of a JSON array, of a JSON object's content, title or name, or of a comma list."""
+    trimmed = F.btrim(F.coalesce(text, F.lit("")))
+    inside = [F.get_json_object(trimmed, f"$.{k}") for k in ("content", "title", "name")]
+    read = (
+        F.when(F.startswith(trimmed, F.lit("[")), F.from_json(trimmed, "array<string>"))
+        .when(F.startswith(trimmed, F.lit("{")), F.array(F.coalesce(*inside)))
+        .otherwise(F.split(trimmed, ",", -1))
+    )
+    clean = F.transform(F.coalesce(read, F.array().cast("array<string>")), lambda x: F.btrim(x))
+    return F.array_distinct(F.filter(clean, lambda x: x != ""))

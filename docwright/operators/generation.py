@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Words of failure.
+NEGATIVE = [
+    "fail", "failed", "failure", "reject", "rejected", "error", "invalid", "missing", "duplicate", "timeout", "not found", "exceed", "negative",
+]
+#: Fixed value: the section of parameter cases.
+API_SECTION = "API parameter test"
+
 
 def automation_tag(section: Column) -> Column:
     """``ui_auto`` below a game section, else ``api_auto``."""
@@ -61,3 +68,26 @@ def diagnosis(runs: DataFrame, key: str) -> DataFrame:
 def ambiguous(names: DataFrame, name: str) -> DataFrame:
     """Names that are equal but for case, with the number of spellings."""
     return names.groupBy(F.lower(name).alias("folded")).agg(F.count_distinct(name).alias("n_spellings"), F.min(name).alias("first")).filter("n_spellings > 1")
+
+
+def replace_generated(existing: DataFrame, generated: list[DataFrame], origin: str, ours: list[str], section: str, tag: str) -> DataFrame:
+    """``existing`` without rows of our origins, then the generated rows, each with one automation tag."""
+    made = generated[0]
+    for more in generated[1:]:
+        made = made.unionByName(more)
+    kept = existing.filter(~F.coalesce(F.col(origin), F.lit("")).isin(ours))
+    return kept.unionByName(made.withColumn(tag, automation_tag(F.coalesce(F.col(section), F.lit("")))))
+
+
+def looks_negative(*texts: Column) -> Column:
+    """Whether any of the texts holds a word of failure."""
+    return F.lower(F.concat_ws(" ", *texts)).rlike("|".join(NEGATIVE))
+
+
+def output_section(module_path: Column) -> Column:
+    """From ``User Behavior`` on, else the last two parts, else the part, else ``Human Added``."""
+    parts = F.filter(F.transform(F.split(F.coalesce(module_path, F.lit("")), ">", -1), lambda p: F.btrim(p)), lambda p: p != "")
+    at = F.array_position(parts, F.lit("User Behavior")).cast("int")
+    n = F.size(parts)
+    tail = F.when(at > 0, F.slice(parts, F.greatest(at, F.lit(1)), n)).otherwise(F.slice(parts, F.greatest(n - 1, F.lit(1)), F.lit(2)))
+    return F.when(n == 0, "Human Added").when(F.array_contains(parts, API_SECTION), API_SECTION).otherwise(F.array_join(tail, " > "))

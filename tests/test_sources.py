@@ -6,7 +6,9 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from docwright.sources import mindmaps, office, sinks
+from docwright.functions import exchange
+from docwright.operators import extraction
+from docwright.sources import mindmaps, office, openapi, sinks, stored
 from docwright.streaming import upserts
 
 TREE = [{"title": "S", "rootTopic": {"id": "r", "title": "Root", "children": {"attached": [
@@ -104,3 +106,28 @@ def test_streamed_upserts(spark, tmp_path):
     go()
     got = upserts.latest(spark, str(tmp_path / "state"), 99).orderBy("k").collect()
     assert [(r.k, r.number, r.v) for r in got] == [(1, 1, "a"), (2, 2, "c"), (9, 3, "d")]
+
+
+def test_stored_cases_keep_the_first_of_each_identity(spark, tmp_path):
+    schema = "id string, name string"
+    assert stored.read_cases(spark, str(tmp_path / "none"), schema, "id").count() == 0
+    (tmp_path / "a.json").write_text(json.dumps([{"id": "1", "name": "a"}, {"id": "1", "name": "b"}, {"name": "free"}]))
+    (tmp_path / "b.json").write_text(json.dumps([{"id": "1", "name": "c"}, {"id": "2", "name": "d"}, {"name": "free"}]))
+    (tmp_path / "c.json").write_text("{broken")
+    got = sorted((r.id or "", r.name) for r in stored.read_cases(spark, str(tmp_path), schema, "id").collect())
+    assert got == [("", "free"), ("", "free"), ("1", "a"), ("2", "d")]
+
+
+def test_openapi_of_broken_and_empty_documents(spark):
+    rows = spark.createDataFrame([("{}",), ("no json",), (None,), ('{"paths": {"/a": null}}',)], "d string")
+    got = [r.m for r in rows.select(openapi.markdown(F.col("d"), F.lit("u")).alias("m")).collect()]
+    assert got == ["# OpenAPI Document\n\nSource URL: u\n"] * 4
+
+
+def test_extraction_of_nulls_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "A\nlicense\nB")], "k int, text string")
+    got = sorted((r.k, r.section_no, r.n_lines, r.body) for r in extraction.slices(docs, "k", "text", ["^[AB]$", "^A"]).collect())
+    assert got == [(3, "SEC_001", 3, "A\nlicense\nB"), (3, "SEC_002", 2, "A\nlicense"), (3, "SEC_003", 1, "B")]
+    assert extraction.endpoints(docs, "k", [F.col("text")], "/x").count() == 0
+    assert extraction.slices(docs.limit(0), "k", "text", ["A"]).count() == 0
+    assert docs.select(exchange.markdown_codes(F.col("text")).alias("c")).filter("size(c) > 0").count() == 0
