@@ -117,14 +117,16 @@ def slices(docs: DataFrame, key: str, text: str, patterns: list[str]) -> DataFra
     def places(pattern: str) -> Column:
         return F.array_compact(F.transform("ls", lambda x, i: F.when(x.rlike(pattern), i)))
 
+    def cut(start: Column, n: Column) -> Column:
+        end, size = F.coalesce(F.get("at", n + 1), F.size("ls")), F.size("ls")
+        low = F.when(end > start, start).otherwise(F.greatest(F.lit(0), start - BEFORE))
+        high = F.when(end > start, end).otherwise(F.least(size, start + AFTER))
+        body = F.array_join(F.slice("ls", low + 1, high - low), "\n")
+        return F.struct(F.format_string("SEC_%03d", n + 1).alias("section_no"), start.alias("start"), (high - low).alias("n_lines"), body.alias("body"))
+
     split = docs.select(key, F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("ls"))
-    anchors = F.array_sort(F.concat(*map(places, patterns)))
-    rows = split.select(key, "ls", anchors.alias("at")).select(key, "ls", "at", F.posexplode("at").alias("n", "start"))
-    end = F.coalesce(F.get("at", F.col("n") + 1), F.size("ls"))
-    low = F.when(end > F.col("start"), F.col("start")).otherwise(F.greatest(F.lit(0), F.col("start") - BEFORE))
-    high = F.when(end > F.col("start"), end).otherwise(F.least(F.size("ls"), F.col("start") + AFTER))
-    body = F.array_join(F.slice("ls", low + 1, high - low), "\n")
-    return rows.select(key, F.format_string("SEC_%03d", F.col("n") + 1).alias("section_no"), "start", (high - low).alias("n_lines"), body.alias("body"))
+    placed = split.select(key, "ls", F.sort_array(F.concat(*map(places, patterns))).alias("at"))
+    return placed.select(key, F.inline_outer(F.transform("at", cut))).filter("start is not null")
 
 
 def categorised(cases: DataFrame, key: str, module: str, path: str, selectors: DataFrame) -> DataFrame:
