@@ -31,6 +31,8 @@ SHINGLE_WORDS = 4
 SEED = 42
 #: Fingerprints in a tile, rows of a tile compared at once, shingles summed at once.
 TILE, STRIP, CHUNK = 8192, 128, 65_536
+#: Parts that the rows of one label or fingerprint are spread over when they meet it.
+SALTS = 16
 
 
 def fingerprint(text: bytes | None, n: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -140,6 +142,16 @@ def edges(tiled: DataFrame, radius: int = RADIUS) -> DataFrame:
     return spread.mapInArrow(run, "a long, b long")
 
 
+def met(rows: DataFrame, small: DataFrame, key: str, by: str, salts: int = SALTS) -> DataFrame:
+    """``rows`` joined to ``small``, which holds ``key`` once: rows of one key are spread by ``by`` over salts.
+
+    A root with many links, or a fingerprint with many copies, thus never meets its label in one task.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(repeated, [key, "_salt"]).drop("_salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each linked node reaches.
 
@@ -149,12 +161,12 @@ def components(links: DataFrame) -> DataFrame:
     both = durable(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")))
     while True:
-        heard = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("low"))
+        heard = met(both, labels.select(F.col("node").alias("b"), "root"), "b", "a").groupBy("a").agg(F.min("root").alias("low"))
         lower = labels.join(heard.withColumnRenamed("a", "node"), "node").select(
             "node", F.col("root").alias("old"), F.least("root", "low").alias("root")
         )
         of_root = lower.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = durable(lower.join(of_root, "root").select("node", "old", F.least("root", "next").alias("root")))
+        new = durable(met(lower, of_root, "root", "node").select("node", "old", F.least("root", "next").alias("root")))
         if new.filter("root != old").limit(1).count() == 0:
             return new.select("node", "root")
         labels = new.select("node", "root")
@@ -169,8 +181,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
         "root", F.coalesce("root", "fp")
     )
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
-    return known.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    named = met(rooted, lowest, "root", "fp").select("fp", "component_id")
+    return met(known, named, "fp", "key").select(F.col("key").alias(key), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
