@@ -31,7 +31,7 @@ SHINGLE_WORDS = 4
 SEED = 42
 #: Fingerprints in a tile, rows of a tile compared at once, shingles summed at once.
 TILE, STRIP, CHUNK = 8192, 128, 65_536
-#: Parts that the rows of one label or fingerprint are spread over when they meet it.
+#: Parts that the links of one label are spread over when they meet it.
 SALTS = 16
 
 
@@ -145,7 +145,8 @@ def edges(tiled: DataFrame, radius: int = RADIUS) -> DataFrame:
 def met(rows: DataFrame, small: DataFrame, key: str, by: str, salts: int = SALTS) -> DataFrame:
     """``rows`` joined to ``small``, which holds ``key`` once: rows of one key are spread by ``by`` over salts.
 
-    A root with many links, or a fingerprint with many copies, thus never meets its label in one task.
+    A root with many links thus never meets its label in one task. Labels are those of linked fingerprints alone;
+    the joins over all documents have no step behind them, so adaptive execution splits their hot keys.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
@@ -181,8 +182,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
         "root", F.coalesce("root", "fp")
     )
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = met(rooted, lowest, "root", "fp").select("fp", "component_id")
-    return met(known, named, "fp", "key").select(F.col("key").alias(key), "fp", "component_id")
+    named = rooted.join(lowest, "root").select("fp", "component_id")
+    return known.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
