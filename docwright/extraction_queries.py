@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docwright.functions import exchange, fields
-from docwright.operators import dependencies, extraction, generation, lines
+from docwright.functions import exchange, fields, nested
+from docwright.operators import dependencies, extraction, generation, lines, similar
 from docwright.oracles import HEADING, LINES, ORACLES, PATH
 from docwright.queries import QUERIES, path_of, query
 from docwright.sources import openapi
@@ -212,10 +212,52 @@ def c15_human_cases(t, spark):
     return t("part").select("p_partkey", generation.output_section(module).alias("section"), generation.looks_negative(F.col("p_name"), said).alias("negative"))
 
 
+@query
+def f17_nested_values(t, spark):
+    text = F.to_json(F.struct(F.struct(F.col("p_name").alias("P-Name"), F.array(F.struct("p_size")).alias("rows")).alias("outer")))
+    made = t("part").select("p_partkey", "p_brand", text.alias("text"))
+    changed = nested.remove_value(nested.set_value(F.col("text"), F.lit("outer.new.brand"), F.col("p_brand")), F.lit("outer.rows"))
+    return made.select("p_partkey", nested.find_value(F.col("text"), F.lit("pname")).alias("name"), nested.find_value(F.col("text"), F.lit("Rows/P_SIZE")).alias("size"), changed.alias("changed"))
+
+
+@query
+def c09_example_children(t, spark):
+    example = F.concat(F.lit('{"a": [{"Details": {"id": '), "p_size", F.lit(', "deep": {"x": 1.5, "y": [1]}, "rows": [2, {"k": true}, {"z": 1}], "none": {}}}]}'))
+    return t("part").select("p_partkey", F.posexplode(nested.children(example, F.lit("details"))).alias("ord", "c")).select("p_partkey", "ord", "c.name", "c.type")
+
+
+@query
+def c01_human_blocks(t, spark):
+    k = F.col("p_partkey") % 6
+    remark = (
+        F.when(k == 0, "Required when:\nmode = A\nOptional when:\nmode = B.").when(k == 1, "Require when\r\n A\n\nOmit when:\n'B'").when(k == 2, "A\nRequired when:\nB")
+        .when(k == 3, "Required when:\nother = A\nOptional when:\nmode = B").when(k == 4, "Required when:\nC\nOptional when:\nA").otherwise("Required when:\nmode = A")
+    )
+    row = lambda name, required, description, said: F.struct(F.lit(name).alias("name"), F.lit(required).alias("required"), F.lit(description).alias("description"), said.alias("remark"))
+    both = F.array(row("mode", "Y", "One of: A, B, C2", F.lit(None).cast("string")), row("x/y", "Y/N", None, remark))
+    made = t("part").select(F.col("p_partkey").cast("string").alias("endpoint"), F.explode(both).alias("p")).select("endpoint", "p.*")
+    return dependencies.human_rules(made, t("region").select(F.when(F.col("r_regionkey") == 0, "BAD_REQUEST").alias("code")))
+
+
+@query
+def w04_near_duplicates(t, spark):
+    cases = t("pages").select("page_id", F.lower("url").alias("signature"))
+    return similar.nearest_earlier(cases, "page_id", "signature")
+
+
+#: Queries whose measure has no SQL form; tests hold their operators against brute force.
+WITHOUT_SQL = {"w04_near_duplicates"}
+
 _KIND = "CASE p_size % 4 WHEN 0 THEN 'int' WHEN 1 THEN 'amount' WHEN 2 THEN 'boolean' ELSE 'string' END"
 _SAID = ", ".join(f"('{c}', '{'|'.join(w)}')" for c, w in CAPABILITIES.items())
 _ROWS = ", ".join(str(s) for s in SELECTORS)
 ORACLES.update({
+    "f17_nested_values": """SELECT p_partkey, '"' || p_name || '"' AS name, CAST(p_size AS VARCHAR) AS size,
+        '{"outer": {"P-Name": "' || p_name || '", "new": {"brand": "' || p_brand || '"}}}' AS changed FROM part""",
+    "c09_example_children": """SELECT p_partkey, ord, name, type FROM part, (VALUES (0, 'details/id', 'int'), (1, 'details/deep/x', 'decimal'), (2, 'details/deep/y', 'array'),
+        (3, 'details/rows/k', 'bool')) v(ord, name, type)""",
+    "c01_human_blocks": """SELECT CAST(p_partkey AS VARCHAR) AS endpoint, 'x.y' AS name, ord, 'mode' AS selector, value, state, 'BAD_REQUEST' AS error, p_partkey % 6 = 1 AS inferred
+        FROM part JOIN (VALUES (0, 1, 'A', 'required'), (0, 2, 'B', 'optional'), (1, 1, 'A', 'required'), (1, 2, 'B', 'forbidden')) v(k, ord, value, state) ON p_partkey % 6 = k""",
     "p04_knowledge": """SELECT c_custkey, printf('TC_%04d', row_number() OVER (ORDER BY c_custkey)) AS case_id,
         CASE WHEN c_custkey % 3 = 0 THEN '/api/' || lower(c_mktsegment) ELSE m END AS api_name, m AS module, 2 AS level
         FROM (SELECT *, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_mktsegment END AS m FROM customer)""",
@@ -299,4 +341,4 @@ ORACLES.update({
         (SELECT CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS v FROM part) GROUP BY 1 HAVING count(DISTINCT v) > 1""",
 })
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "WITHOUT_SQL"]

@@ -10,11 +10,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 OUTCOME = r"(Y|N)(?:\((value *(?:>=|<=|=|>|<) *-?[0-9.]+|optional|omit|forbidden)\))?"
 WHEN = rf"^when +([A-Za-z0-9_./]+) +(present|absent|true|false|in \[[^\]]*\]|= *[^ =>]+) *=> *{OUTCOME}$"
 OTHERWISE = rf"^otherwise *=> *{OUTCOME}$"
 SETTING = r"^(error|group) *= *([A-Za-z0-9_]+)$"
+HEADING = r"(?i)^(required?|optional|omit|forbidden)\s+when\s*:?[ \t]*$"
+EQUALS = r"^([A-Za-z_][\w./-]*)\s*=\s*([^=]+?)\s*$"
+TOKEN = r"^[A-Za-z][A-Za-z0-9_.-]*$"
+#: Words that mark a list of allowed values, and the error of human blocks.
+ALLOWED = ["allowed values", "following values", "one of"]
+HUMAN_ERROR = "BAD_REQUEST"
 LINE = r"(?im)^ *dependency: *(.+?) *$"
 
 
@@ -57,3 +64,51 @@ def compile_rules(parameters: DataFrame, endpoint: str, name: str, remark: str)
     open_ = met.join(closed, F.col("endpoint") == F.col("_closed"), "left_anti")
     constraint = F.when(F.startswith("detail", F.lit("value")), F.col("detail"))
     return open_.select("endpoint", "name", "ord", "selector", "condition", state(F.col("letter"), F.col("detail")).alias("state"), constraint.alias("constraint"), "error")
+
+
+def dotted(name: Column) -> Column:
+    return F.array_join(F.filter(F.split(F.trim(name), "[/.]"), lambda p: p != ""), ".")
+
+
+def human_rules(parameters: DataFrame, errors: DataFrame, code: str = "code") -> DataFrame:
+    """(endpoint, name, ord, selector, value, state, error, inferred) of ``Required when:`` and ``Optional when:`` blocks.
+
+    ``parameters`` has endpoint, name, required, description and remark. Blocks are read for parameters of kind Y/N
+    without a formal line, and only if ``errors`` documents BAD_REQUEST. A condition is ``selector = value`` or a plain
+    token, whose selector is the one named in the same remark, else the one other parameter that lists every token
+    among its allowed values. A parameter with a line of another form, an unknown or doubtful selector, or without both
+    a required and another block has no rules; the endpoint's other parameters keep theirs.
+    """
+    documented = errors.filter(F.trim(code) == HUMAN_ERROR).select(F.lit(HUMAN_ERROR).alias("error")).distinct()
+    all_ = parameters.select("endpoint", dotted(F.col("name")).alias("name"), "required", "description", F.coalesce("remark", F.lit("")).alias("remark")).filter("name <> ''")
+    asked = all_.filter((F.upper(F.trim("required")) == "Y/N") & ~F.col("remark").rlike(r"(?i)\bdependency\s*[:：]"))
+    asked = asked.withColumn("error", F.lit(HUMAN_ERROR)).join(documented, "error", "left_semi")
+    held = F.filter(F.transform(F.split("remark", r"\r\n|[\r\n]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    said = asked.select("endpoint", "name", F.posexplode(held).alias("pos", "line"))
+    word = F.lower(F.nullif(F.regexp_extract("line", HEADING, 1), F.lit("")))
+    meant = F.when(word.startswith("require"), "required").when(word == "optional", "optional").when(word.isNotNull(), "forbidden")
+    before = Window.partitionBy("endpoint", "name").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    known = said.withColumn("heading", meant).withColumn("state", F.last("heading", ignorenulls=True).over(before)).filter("heading IS NULL")
+    plain = F.when(F.col("line").rlike(EQUALS), F.regexp_extract("line", EQUALS, 2)).otherwise(F.col("line"))
+    value = F.regexp_replace(F.regexp_replace(F.trim(plain), "^['\"]+|['\"]+$", ""), r"\.+$", "")
+    c = known.withColumn("selector", F.when(F.col("line").rlike(EQUALS), dotted(F.regexp_extract("line", EQUALS, 1)))).withColumn("value", value)
+    fault = F.col("state").isNull() | (F.col("value") == "") | (F.col("selector").isNull() & ~F.col("value").rlike(TOKEN))
+    one = c.groupBy("endpoint", "name").agg(
+        F.max(fault).alias("fault"), F.collect_set("selector").alias("named"), F.collect_set(F.when(F.col("selector").isNull(), F.col("value"))).alias("bare"),
+        F.max(F.col("state") == "required").alias("has"), F.max(F.col("state") != "required").alias("has_other"),
+        F.sort_array(F.collect_list(F.struct("pos", "selector", "value", "state"))).alias("rules"),
+    ).filter("NOT fault AND has AND has_other AND (size(bare) = 0 OR size(named) < 2)")
+    marked = lambda x: F.when(F.lower(x).rlike("|".join(ALLOWED)), x)
+    lists = all_.select("endpoint", F.col("name").alias("owner"), F.concat_ws("\n", marked(F.col("description")), marked(F.col("remark"))).alias("evidence")).filter("evidence <> ''")
+    whole = lambda v: F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), v, F.lit(r"\E(?![A-Za-z0-9_])"))
+    asking = one.filter("size(bare) > 0 AND size(named) = 0").select("endpoint", "name", "bare")
+    owners = asking.join(lists, "endpoint").filter((F.col("owner") != F.col("name")) & F.forall("bare", lambda v: F.regexp_like("evidence", whole(v))))
+    single = owners.groupBy("endpoint", "name").agg(F.count_distinct("owner").alias("n"), F.min("owner").alias("owner")).filter("n = 1").drop("n")
+    ruled = one.join(single, ["endpoint", "name"], "left").withColumn("owner", F.coalesce("owner", F.get("named", F.lit(0))))
+    flat = ruled.select("endpoint", "name", F.posexplode("rules").alias("ord", "r"), "owner").select(
+        "endpoint", "name", (F.col("ord") + 1).alias("ord"), F.coalesce("r.selector", "owner").alias("selector"), F.col("r.value").alias("value"),
+        F.col("r.state").alias("state"), F.lit(HUMAN_ERROR).alias("error"), F.col("r.selector").isNull().alias("inferred"))
+    names = all_.select("endpoint", F.col("name").alias("selector"), F.lit(True).alias("there")).distinct()
+    checked = flat.join(names, ["endpoint", "selector"], "left")
+    unknown = checked.filter("there IS NULL").select("endpoint", "name").distinct()
+    return checked.join(unknown, ["endpoint", "name"], "left_anti").select("endpoint", "name", "ord", "selector", "value", "state", "error", "inferred")

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from docwright.extraction_queries import ORACLES, QUERIES
+from docwright.extraction_queries import ORACLES, QUERIES, WITHOUT_SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,7 +26,7 @@ def table(columns, rows):
     return [columns[i] for i in order], sorted((tuple(value(r[i]) for i in order) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", [q for q in QUERIES if q not in WITHOUT_SQL])
 def test_query_gives_the_rows_of_its_sql(spark, duck, name):
     df = QUERIES[name](spark, SF)
     cur = duck.execute(ORACLES[name])
@@ -38,4 +38,4 @@ def test_query_gives_the_rows_of_its_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - WITHOUT_SQL == set(ORACLES)
