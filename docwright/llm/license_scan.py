@@ -1,9 +1,9 @@
 """License scan by sentence rules.
 
-Sentences are normalised (lower case, letters and digits only, single spaces) and mapped to the
-identifiers of known licence sentences; the sequence of identifiers in a document is matched
-against ordered rules, each a sequence of identifiers that must follow one another among the
-recognised sentences. Column functions only.
+Texts are normalised (lower case, letters and digits only, single spaces) with marks at line and
+sentence ends, and known licence sentences are found in them, wrapped or not; the sequence of their
+identifiers in a document is matched against ordered rules, each a sequence of identifiers that must
+follow one another among the recognised sentences. Column functions only.
 
 Defined results: null or empty text has no sentence and no licence; equal rows are kept; a rule is
 listed once a document, in rule order; an empty table gives an empty table; extra columns are
@@ -63,9 +63,24 @@ RULES = [
     ("CC0-1.0", "permissive", ["cc0"]),
     ("Proprietary", "restricted", ["reserved"]),
 ]
-SENTENCE_END = r"[.!?:]+(?=[\x20\x09-\x0D]|$)|\n+"
-NOT_WORD = r"[^\p{L}\p{N}\x01]+"
-CUT = "\x01"
+#: Sentences and rules beside those of the SQL. A rule that begins like one of these gets what these leave.
+MORE_SENTENCES = [
+    ("bsd-endorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+]
+MORE_RULES = [("BSD-3-Clause", "permissive", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"])]
+#: Part of a known sentence that names a holder, with the words that may stand in its place.
+HOLDER, ANY_HOLDER = "the copyright holder", "[^\x01]{1,200}?"
+#: The sentence that belongs to a copyright line where a licence follows it.
+RESERVED = "reserved"
+SENTENCE_END = r"[.!?:]+(?=[\x20\x09-\x0D]|$)"
+#: A line end before a line without any letter or digit, such as an empty comment line.
+BLANK_LINE = r"\n[^\p{L}\p{N}\n]*(?=\n)"
+#: Leaders of comment lines that are words; the others are no letters and fall away.
+LEADER = r"(?<![^\n])[\x20\t]*+(?i:dnl|rem)(?=[\x20\t\r\n])"
+NOT_WORD = r"[^\p{L}\p{N}\x01-\x03]+"
+#: Marks of a blank line, of a line end and of a sentence's end.
+BLANK, LINE, END = "\x01", "\x02", "\x03"
+MARKS = r"[\x20\x01-\x03]+"
 
 
 def normalised(sentence: str) -> str:
@@ -73,27 +88,61 @@ def normalised(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
-def recognised(text: Column, sentences: list[tuple[str, str]] = SENTENCES) -> Column:
-    """Identifiers of the known sentences of ``text``, in order."""
+def wrapped(sentence: str) -> str:
+    """A pattern of a known sentence in a marked text: its pieces in order, wrapped at any word."""
+    pieces = [normalised(x).replace(" ", r"[\x20\x02]+") for x in re.split(r"[.!?:]+(?=\s|$)", sentence) if normalised(x)]
+    line = r"[\x20\x02\x03]+".join(pieces)
+    return line.replace(HOLDER.replace(" ", r"[\x20\x02]+"), ANY_HOLDER)
+
+
+def recognised(text: Column, sentences: list[tuple[str, str]] = [*SENTENCES, *MORE_SENTENCES]) -> Column:
+    """Identifiers of the known sentences of ``text``, in order.
+
+    A known sentence begins and ends at a line or sentence end. Inside it a line end is a space; a
+    blank line is none.
+    """
     known = {normalised(s): i for i, s in sentences}
-    cut = F.regexp_replace(F.coalesce(text, F.lit("")), SENTENCE_END, CUT)
-    plain = F.split(F.regexp_replace(F.lower(cut), NOT_WORD, " "), CUT, -1)
-    hits = F.filter(F.transform(plain, lambda s: F.btrim(s)), lambda s: s.isin(*known))
+    plain = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit(LINE), F.lit(" ")), F.lit(END), F.lit(" "))
+    cut = F.regexp_replace(F.regexp_replace(plain, LEADER, ""), SENTENCE_END, END)
+    lines = F.replace(F.regexp_replace(cut, BLANK_LINE, BLANK), F.lit("\n"), F.lit(LINE))
+    marked = F.regexp_replace(F.lower(lines), NOT_WORD, " ")
+    longest = sorted((s for _, s in sentences), key=lambda s: -len(normalised(s)))
+    any_of = "|".join(map(wrapped, longest))
+    found = F.regexp_extract_all(marked, F.lit(rf"(?<![^\x01-\x03])\x20?(?:{any_of})(?=\x20?(?:[\x01-\x03]|\z))"), F.lit(0))
     ids = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    return F.transform(hits, lambda s: F.element_at(ids, s))
+    # A holder's name is put back to the words of the known sentence.
+    holders = [normalised(s).split(HOLDER) for _, s in sentences if HOLDER in normalised(s)]
+
+    def identifier(m: Column) -> Column:
+        one = F.btrim(F.regexp_replace(m, MARKS, " "))
+        for before, after in holders:
+            named = one.startswith(before) & one.endswith(after)
+            one = F.when(named, F.lit(before + HOLDER + after)).otherwise(one)
+        return F.element_at(ids, one)
+
+    return F.transform(found, identifier)
 
 
-def scan(docs: DataFrame, keep: list[str], text: str = "text", rules: list[tuple[str, str, list[str]]] = RULES) -> DataFrame:
+def scan(
+    docs: DataFrame, keep: list[str], text: str = "text", rules: list[tuple[str, str, list[str]]] = [*MORE_RULES, *RULES]
+) -> DataFrame:
     """``keep`` with ``n_known``, ``sentence_ids``, ``licenses`` and ``license_class`` of each document.
 
-    The class is the strictest of the matched rules: restricted, copyleft, permissive or none.
+    The class is the strictest of the matched rules: restricted, copyleft, permissive or none. Rights
+    reserved directly before a licence are part of its copyright line and restrict nothing.
     """
     picked = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], recognised(F.col(text)).alias("ids"))
-    line = F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" "))
+    granting = "|".join(" ".join(ids) for _, kind, ids in rules if kind != "restricted")
+    joined = F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" "))
+    line = F.regexp_replace(joined, rf"(?:\x20{RESERVED}){{1,64}}(?=\x20(?:{granting})\x20)", "") if granting else joined
     by_name: dict[str, Column] = {}
     classes: dict[str, Column] = {}
     for name, kind, ids in rules:
-        hit = line.contains(f" {' '.join(ids)} ")
+        left = line
+        for other, _, longer in rules:
+            if other != name and longer[: len(ids)] == ids and len(longer) > len(ids):
+                left = F.replace(left, F.lit(" ".join(longer)), F.lit("-"))
+        hit = left.contains(f" {' '.join(ids)} ")
         by_name[name] = by_name[name] | hit if name in by_name else hit
         classes[kind] = classes[kind] | hit if kind in classes else hit
     listed = F.array_join(F.array(*[F.when(hit, name) for name, hit in by_name.items()]), ",")

@@ -410,6 +410,80 @@ def test_licenses(docs, hard, spark):
     assert by_id(license_scan.scan(hard, ["doc_id"]))[17].licenses == "MIT,Proprietary"
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+GPL_NOTICE = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+BSD_TEXT = """Copyright (c) 2020, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_THIRD = """
+3. Neither the name of Some Company, Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE_HEADER = """Copyright 2020 A. Person. All rights reserved.
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+
+
+def test_licenses_in_wrapped_texts(spark):
+    led = lambda text, mark: "".join(f"{mark} {x}".rstrip() + "\n" for x in text.split("\n"))
+    cases = [
+        (MIT_TEXT, "MIT", "permissive"), (GPL_NOTICE, "GPL-3.0", "copyleft"), (BSD_TEXT, "BSD-2-Clause", "permissive"),
+        (BSD_TEXT + BSD_THIRD, "BSD-3-Clause", "permissive"), (APACHE_HEADER, "Apache-2.0", "permissive"),
+        (BSD_TEXT + BSD_THIRD + BSD_TEXT, "BSD-3-Clause,BSD-2-Clause", "permissive"), (BSD_TEXT + "\nAll rights reserved.", "BSD-2-Clause,Proprietary", "restricted"),
+        ("Permission granted\nReleased under the\nMIT License.\nmore", "MIT", "permissive"), ("Released under the\n\nMIT License.", "", "none"),
+        ("All rights reserved.\n" * 3 + BSD_TEXT, "BSD-2-Clause", "permissive"), ("x\n" * 50_000 + "\n" * 50_000 + GPL_NOTICE, "GPL-3.0", "copyleft"),
+    ]
+    texts = [x for text, *_ in cases for x in (text, led(text, " *"), led(text, "//"), led(text, "dnl"), text.replace("\n", "\r\n"))]
+    got = by_id(license_scan.scan(spark.createDataFrame(rows_of(*texts), DDL), ["doc_id"]))
+    for n, (_, name, kind) in enumerate(cases):
+        for i in range(5 * n, 5 * n + 5):
+            assert (got[i].licenses, got[i].license_class) == (name, kind), (i, texts[i][:300])
+
+
 def test_url_filter(spark):
     from datetime import date
 
