@@ -173,26 +173,43 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "root")
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """key, ``fp`` and ``component_id``, the smallest key that near-duplicate links reach."""
-    known = durable(fingerprints(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), ["key"]))
-    firsts = known.groupBy("fp").agg(F.min("key").alias("first"))
+def rooted(firsts: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``firsts``, one row for each distinct ``fp``, with ``root``, the fingerprint that stands for its component."""
     reach = components(edges(tiles(firsts.select("fp")), radius))
-    rooted = firsts.join(reach.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn(
+    return firsts.join(reach.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
+
+
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """key, ``fp`` and ``component_id``, the smallest key that near-duplicate links reach."""
+    known = durable(fingerprints(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), ["key"]))
+    reached = rooted(known.groupBy("fp").agg(F.min("key").alias("first")), radius)
+    lowest = reached.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = reached.join(lowest, "root").select("fp", "component_id")
     return known.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One document of each group: the one with the smallest key. Of equal keys one row stays."""
-    chosen = groups(docs, key).filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_key")).distinct()
-    kept = docs.join(chosen, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    one = Window.partitionBy(key).orderBy(F.length("text").desc_nulls_last(), F.xxhash64("text"))
-    twice = chosen.join(docs.groupBy(F.col(key).alias("d_key")).count().filter("count > 1"), F.col("_key").eqNullSafe(F.col("d_key")), "left_semi")
-    single = kept.join(twice, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
-    several = kept.join(twice, F.col(key).eqNullSafe(F.col("_key")), "left_semi")
-    ranked = several.withColumn("_rank", F.row_number().over(one)).filter("_rank = 1").drop("_rank")
-    return single.unionByName(ranked)
+    """One row of each group: smallest key, nulls last, then smallest hash of the text.
+
+    A row is known by its key and two hashes of its text, so equal or null keys of different texts
+    stay apart. Only rows with the same key and text meet in a window; of those one stays.
+    """
+    identity = ["key", "h1", "h2"]
+    known_by = [
+        F.col(key).alias("key"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), F.col("text")).alias("h2"),
+    ]
+    known = durable(fingerprints(docs.select(*known_by, "text"), identity))
+    alike = known.groupBy("fp", *identity).agg(F.count(F.lit(1)).alias("n"))
+    firsts = alike.groupBy("fp").agg(F.min(F.struct(F.col("key").isNull().alias("last"), *identity, "n")).alias("first"))
+    chosen = rooted(firsts).groupBy("root").agg(F.min("first").alias("first")).select(
+        *[F.col(f"first.{c}").alias(f"c_{c}") for c in (*identity, "n")]
+    )
+    same = F.lit(True)
+    for c in ("h1", "h2", "key"):
+        same = same & F.col(c).eqNullSafe(F.col(f"c_{c}"))
+    kept = docs.select(F.struct(*docs.columns).alias("_doc"), *known_by).join(chosen, same)
+    one = Window.partitionBy(*identity).orderBy(F.xxhash64("_doc"))
+    ranked = kept.filter("c_n > 1").withColumn("_rank", F.row_number().over(one)).filter("_rank = 1")
+    return kept.filter("c_n = 1").select("_doc.*").unionByName(ranked.select("_doc.*"))

@@ -157,6 +157,18 @@ def test_simhash_groups(docs, hard):
         assert simhash_dedup.keep_one(d).columns == d.columns
 
 
+def test_simhash_keeps_one_row_of_each_group(spark):
+    r = np.random.default_rng(8)
+    body = [" ".join(map(str, r.integers(0, 10**9, 30))) for _ in range(9)]
+    ids = [None, None, None, 5, 5, None, 7, 7, 7, None, 8, 2, None, None]
+    which = [0, 1, 2, 3, 4, 3, 5, 5, 6, 6, 7, 7, 8, 8]
+    rows = [(i, body[b], "en", None, len(body[b]), 7, "x", "y", "z", "k", "v", f"o{n % 2}") for n, (i, b) in enumerate(zip(ids, which, strict=True))]
+    got = simhash_dedup.keep_one(spark.createDataFrame(rows, DDL).repartition(5)).collect()
+    assert len(got) == len(body)
+    want = {0: None, 1: None, 2: None, 3: 5, 4: 5, 5: 7, 6: 7, 7: 2, 8: None}
+    assert {body.index(x.text): x.doc_id for x in got} == want
+
+
 def test_simhash_tiles_join_dense_and_chained_groups():
     r = np.random.default_rng(3)
     base = r.integers(0, 2**63, 300, dtype=np.uint64)
