@@ -1,9 +1,9 @@
 """Secret scan with corpus-wide ownership frequency.
 
-Patterns give candidate spans; the hash of every candidate value is counted by distinct documents
-and distinct owners over the whole corpus. A value that many owners share is a copied example; one
-that few owners hold looks live. Base kinds are always reported, with their class; the further
-kinds, which are looser, are reported only where the value looks live. Column functions only.
+Patterns give candidate spans; the hash of every candidate value is counted by distinct texts and
+distinct owners over the whole corpus. A value that many owners or texts share is a copied example;
+others look live. Base kinds are always listed with their class; the further kinds, which are
+looser, are listed where the value looks live, and apart where not. Column functions only.
 
 Defined results: null text is empty; null owners count as one owner; equal rows are scanned as
 separate rows; documents without a hit give zero counts and empty span lists; an empty table gives
@@ -29,15 +29,21 @@ BASE_KINDS = [
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 ]
-#: Kinds that the ownership count may add.
+KEY_NAME = r"[A-Z0-9\x20]*PRIVATE\x20KEY(?:\x20BLOCK)?-----"
+KEY_BEGIN, KEY_END = r"-----BEGIN\x20" + KEY_NAME, r"-----END\x20" + KEY_NAME
+#: A key up to its end: headers, escaped line ends, quotes and comment leaders may stand inside.
+CLOSED_KEY = r"(?=[\s\S]{0,32768}?-----END\x20)[^-]*+(?:-(?!----)[^-]*+){0,256}+" + KEY_END
+#: A key without an end: headers, then base64, spaces and escaped line ends.
+OPEN_KEY = r"(?:[\\rn\x20\x09-\x0D]{0,32}[A-Z][A-Za-z-]{1,40}:\x20[^\n\\]{0,256}){0,8}[A-Za-z0-9+/=\\\x20\x09-\x0D]+"
+#: Further kinds, which are looser. Where the ownership count takes the value for an example they are flagged.
 MORE_KINDS = [
-    ("key_block", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\x09-\x0D]+", 0, 40),
+    ("key_block", KEY_BEGIN + f"(?:{CLOSED_KEY}|{OPEN_KEY})", 0, 40),
     ("provider", r"\b(?:gh[opsu]_|github_pat_|glpat-|xox[abps]-|sk_live_|sk-)[A-Za-z0-9_-]{16,}", 0, 20),
     ("url_login", r"://[^\x20\x09-\x0D/:@]+:([^\x20\x09-\x0D/:@]+)@", 1, 6),
 ]
 KINDS = [*BASE_KINDS, *MORE_KINDS]
-#: A value held by this many owners is an example.
-EXAMPLE_OWNERS = 4
+#: A value held by this many owners, or by this many different texts of any owners, is an example.
+EXAMPLE_OWNERS, EXAMPLE_DOCS = 4, 100
 
 
 def _hits(text: Column, kind: int) -> Column:
@@ -92,16 +98,21 @@ def candidates(docs: DataFrame, keep: list[str], owner: str = "source", text: st
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(h, n_owners, n_docs) of candidate hashes, summed by owner first so that no hash is hot."""
-    each = spans.filter("ok").select("h", "owner", "rid").distinct()
-    by_owner = each.groupBy("h", "owner").agg(F.count(F.lit(1)).alias("n"))
-    return by_owner.groupBy("h").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_docs"))
+    """(h, n_owners, n_docs) of candidate hashes; copies of one text are one of ``n_docs``.
+
+    Distinct rows are counted before the last shuffle, so that no hash is hot.
+    """
+    held = spans.filter("ok")
+    owners = held.select("h", "owner").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n_owners"))
+    texts = held.select("h", "text_key").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"))
+    return owners.join(texts, "h")
 
 
 def scan(docs: DataFrame, keep: list[str], owner: str = "source", text: str = "text") -> DataFrame:
     """One row a document: ``keep``, ``text_key`` and ``found``, an array of spans in order.
 
-    A span has start, kind (index into ``KINDS``), end, n_owners, n_docs and live.
+    A span has start, kind (index into ``KINDS``), end, n_owners, n_docs and live. Examples are among
+    them, not live.
     """
     rows = candidates(docs, keep, owner, text)
     names = [f"k_{c}" for c in keep]
@@ -113,13 +124,12 @@ def scan(docs: DataFrame, keep: list[str], owner: str = "source", text: str = "t
         "rid", *names, "text_key", "owner", "hit.*", F.sum(F.col("hit.gap") + F.col("hit.len")).over(walked).alias("end")
     )
     counted = placed.join(ownership(placed), "h", "left")
-    live = F.col("n_owners") < EXAMPLE_OWNERS
-    wanted = F.col("ok") & (live | (F.col("kind") < len(BASE_KINDS)))
+    live = (F.col("n_owners") < EXAMPLE_OWNERS) & (F.col("n_docs") < EXAMPLE_DOCS)
     span = F.struct(
         (F.col("end") - F.col("len")).alias("start"), "kind", "end", "n_owners", "n_docs", live.alias("live")
     )
     found = counted.groupBy("rid", *names, "text_key").agg(
-        F.sort_array(F.collect_list(F.when(wanted, span))).alias("found")
+        F.sort_array(F.collect_list(F.when(F.col("ok"), span))).alias("found")
     )
     empty = F.array().cast(found.schema["found"].dataType)
     without = rows.filter(F.size("hits") == 0).select("rid", *names, "text_key", empty.alias("found"))
@@ -139,21 +149,28 @@ def _is_kind(kind: int) -> Callable[[Column], Column]:
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """The documents' counts and span lists in place of ``found``."""
+    """The documents' counts and span lists in place of ``found``.
+
+    ``spans`` and the counts hold base kinds and live values; ``example_spans`` the further kinds that
+    look like examples.
+    """
     base = F.filter("found", lambda s: s.kind < len(BASE_KINDS))
+    flagged = F.filter("found", lambda s: ~s.live & (s.kind >= len(BASE_KINDS)))
+    listed = F.filter("found", lambda s: s.live | (s.kind < len(BASE_KINDS)))
     count = lambda keep: F.size(F.filter("found", keep)).cast("bigint")
     return scanned.select(
         *[F.col(c) for c in scanned.columns if c not in ("text_key", "found")],
         *[count(_is_kind(k)).alias(f"n_{KINDS[k][0]}") for k in range(len(BASE_KINDS))],
         F.sha2(_listed(base), 256).alias("base_sha256"),
-        _listed(F.col("found")).alias("spans"),
+        _listed(listed).alias("spans"),
         count(lambda s: s.live).alias("n_live"),
-        count(lambda s: ~s.live).alias("n_example"),
+        count(lambda s: ~s.live & (s.kind < len(BASE_KINDS))).alias("n_example"),
+        _listed(flagged).alias("example_spans"),
     )
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", owner: str = "source", key: str = "doc_id") -> DataFrame:
-    """``docs`` with every reported span of ``text`` replaced by ``mark``; ``n_chars`` follows.
+    """``docs`` with every span of ``text``, example or live, replaced by ``mark``; ``n_chars`` follows.
 
     Only documents with a pattern hit meet their spans in a join; the other texts aren't moved.
     Overlapping spans get one mark.
