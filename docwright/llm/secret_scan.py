@@ -178,9 +178,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", owner: str = "source", key:
     scanned = scan(docs, [key], owner).filter(F.size("found") > 0).dropDuplicates([key, "text_key"])
     touched, rest = docs.filter(has_candidates()), docs.filter(~has_candidates())
     spans = scanned.select(F.col(key).alias("_key"), "text_key", "found")
-    joined = touched.withColumn("_text_key", F.xxhash64(_text("text"))).join(
-        spans, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_text_key") == F.col("text_key")), "left"
-    )
+    held = touched.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_id"), "text", F.xxhash64(_text("text")).alias("_text_key"))
+    joined = held.join(spans, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_text_key") == F.col("text_key")), "left")
     start = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast("array<string>").alias("parts"))
 
     def take(acc: Column, s: Column) -> Column:
@@ -193,6 +192,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", owner: str = "source", key:
 
     clean = F.when(F.col("found").isNull(), F.col("text")).otherwise(F.aggregate("found", start, take, finish))
     done = joined.withColumn("text", clean)
+    doc = F.col("_doc").withField("text", F.col("text"))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*[F.col(c) for c in docs.columns]).unionByName(rest)
+        doc = doc.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(doc.alias("_doc")).select("_doc.*").unionByName(rest)

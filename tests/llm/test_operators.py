@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from docwright.llm import (
     byte_bpe,
@@ -570,3 +571,25 @@ def test_oracles_agree(spark):
         cols = sorted(got.columns)
         norm = lambda rows: sorted(tuple(f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in rows)
         assert norm(got.select(*cols).collect()) == norm(want.select(*cols).fetchall()), name
+
+
+def test_pipeline_quality_and_secrets_carry_clashing_columns(spark):
+    import corpus_pipeline
+
+    r = np.random.default_rng(9)
+    said = [" ".join(w for k in range(12) for w in (f"Word{x}" for x in r.integers(0, 10**6, 10))) + "." for _ in range(8)]
+    said[0] += " password = hunter22shared"
+    extra = "n_words long, kept string, votes string, p_good string, found string, text_key string, _key string, doc string"
+    rows = [(None if i % 3 == 0 else i, t, "en", f"s{i % 2}", len(t), 1, "k", "v", "p", "f", "t", "y", "d") for i, t in enumerate([*said, said[1], "too short"])]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, " + extra
+    df = spark.createDataFrame(rows, ddl)
+    bag = lambda d: collections.Counter(map(tuple, d.collect()))
+    held = {name: stage for name, stage in corpus_pipeline.STAGES}
+    kept = held["quality"](spark, df, "")
+    good = quality_rules.judge(df.select(F.monotonically_increasing_id().alias("n"), "text"), ["n", "text"]).filter("kept")
+    assert kept.columns == df.columns
+    assert collections.Counter(x.text for x in kept.collect()) == collections.Counter(x.text for x in good.collect())
+    assert set(bag(kept)) <= set(rows)
+    clean = held["secrets"](spark, df, "")
+    mark = said[0].replace("password = hunter22shared", "[SECRET]")
+    assert bag(clean) == collections.Counter([(*rows[0][:1], mark, *rows[0][2:4], len(mark), *rows[0][5:]), *rows[1:]])
