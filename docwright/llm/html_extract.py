@@ -9,8 +9,9 @@ The labelled pages are made here, from a seeded choice of layouts whose blocks a
 text or not; ``N_PAGES`` bounds them. ``train`` takes any other labelled pages as well.
 
 Defined results: null or empty html, or a page without main blocks, gives the empty text; scripts,
-styles, comments, forms and the head are never text; unclosed tags and comments end with the page;
-equal rows are kept; an empty table gives an empty table; extra columns are ignored.
+styles, comments, forms and the head are never text; elements marked as hidden count as any other;
+unclosed elements, tags and comments end with the page; equal rows are kept; an empty table gives an
+empty table; extra columns are ignored, and a kept column with a result's name gives way to it.
 """
 
 from __future__ import annotations
@@ -28,17 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docwright.llm.frames import without
+
 N_PAGES, SEED = 600, 11
 ROUNDS, RATE, DECAY = 300, 0.2, 3e-4
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<rest2>[^>]*+)>",
-    re.S,
-)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:\s|^)hidden(?=[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+NAME = re.compile(r"[A-Za-z][^\s/>]*+")
+#: Up to the end of a tag: a quote counts only after an equals sign, and only where it closes.
+TAG_END = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""")
+NAMED = {"class", "id", "role"}
+#: A number of a character reference too long to be a character.
+FAR_REFERENCE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
 #: Fixed values of the HTML standard: elements whose content is no page text, that never have
 #: content, and that stand inside a line.
 DROPPED = {"script", "style", "noscript", "template", "head", "title", "textarea", "select", "button", "svg", "iframe", "object", "form"}
@@ -49,18 +51,26 @@ INLINE = {
     "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time",
     "tt", "u", "var", "wbr",
 }
+IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "template"}
 CLOSED_BY_SELF = {"li", "dt", "dd", "tr", "td", "th", "option"}
 SCOPES = {"ul", "ol", "dl", "table", "article", "section", "main", "div", "aside", "nav", "header", "footer", "body", "html"}
 
 
+@dataclass(frozen=True)
+class Place:
+    """What an open element hands down to the text in it; elements that add nothing share one."""
+
+    tag: str = ""
+    tags: tuple[str, ...] = ()
+    names: tuple[str, ...] = ()
+
+
 @dataclass
 class Block:
-    """A leaf block: its text, the ancestors' tags and names, and how much of it is links."""
+    """A leaf block: its text, the element it stands in, and how much of it is links."""
 
     text: str
-    tag: str
-    tags: tuple[str, ...]
-    names: tuple[str, ...]
+    place: Place
     linked: int
     label: int = -1
 
@@ -68,123 +78,188 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    names: tuple[str, ...]
+    place: Place
     dropped: bool
+    linked: bool
+    scope: int  # index of the nearest element, itself included, that bounds implied ends
 
 
-@dataclass
 class _Builder:
-    stack: list[_Open] = field(default_factory=list)
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
-    blocks: list[Block] = field(default_factory=list)
+    """The open elements of a page. Every element is looked up by tag, so no step walks the stack."""
+
+    def __init__(self, known: frozenset[str] | None):
+        self.known = known  # names that features are made of; all if None
+        self.stack: list[_Open] = [_Open("", Place(), False, False, -1)]
+        self.where: dict[str, list[int]] = {}
+        self.parts: list[str] = []
+        self.linked = 0
+        self.blocks: list[Block] = []
 
     def add(self, raw: str) -> None:
-        if raw and not (self.stack and self.stack[-1].dropped):
-            text = html.unescape(raw)
+        top = self.stack[-1]
+        if raw and top.tag == "head" and not raw.isspace():
+            self.close("head")
+            top = self.stack[-1]
+        if raw and not top.dropped:
+            text = html.unescape(FAR_REFERENCE.sub("�", raw)) if "&" in raw else raw
             self.parts.append(text)
-            if any(o.tag == "a" for o in self.stack):
+            if top.linked:
                 self.linked += len("".join(text.split()))
 
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                block = next((o.tag for o in reversed(self.stack) if o.tag not in INLINE), "")
-                names = tuple(dict.fromkeys(n for o in self.stack for n in o.names))
-                tags = tuple(dict.fromkeys(o.tag for o in self.stack))
-                self.blocks.append(Block(text, block, tags, names, self.linked))
+                self.blocks.append(Block(text, self.stack[-1].place, self.linked))
             self.parts, self.linked = [], 0
 
-    def close(self, tag: str, scopes: set[str] = frozenset()) -> None:
-        """Pop up to the nearest open ``tag``, unless a scope is in between."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
-            if self.stack[i].tag in scopes:
-                return
+    def close(self, tag: str, bound: int = -1) -> None:
+        """Close the nearest open ``tag`` and all in it, if it lies above the element ``bound``."""
+        held = self.where.get(tag)
+        if held and held[-1] > bound:
+            for gone in self.stack[held[-1] :][::-1]:
+                self.where[gone.tag].pop()
+                self.stack.pop()
+
+    def nearest(self, tag: str) -> int:
+        held = self.where.get(tag)
+        return held[-1] if held else -1
+
+    def end(self, tag: str) -> None:
+        self.close(tag, self.nearest("table") if tag in {"p", "li", "td", "th", "tr"} else -1)
 
     def open(self, tag: str, rest: str) -> None:
+        if tag not in IN_HEAD:  # an unclosed head ends here
+            self.close("head")
         if tag not in INLINE:
-            self.close("p", SCOPES - {"p"})
+            self.close("p", self.stack[-1].scope)
         if tag in CLOSED_BY_SELF:
-            self.close(tag, SCOPES)
-        if tag == "body":  # an unclosed head ends here
-            self.stack = [o for o in self.stack if o.tag == "html"]
+            self.close(tag, self.stack[-1].scope)
         if tag in VOID:
             return
-        names = tuple(w for m in NAMED.finditer(rest) for w in re.findall(r"[a-z]+", (m[1] or m[2] or m[3] or "").lower())) if rest else ()
-        above = bool(self.stack and self.stack[-1].dropped)
-        self.stack.append(_Open(tag, names, above or tag in DROPPED or bool(rest and HIDDEN.search(rest))))
-
-
-def leaf_blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order."""
-    built, at = _Builder(), 0
-    while (m := TAG.search(page, at)) is not None:
-        built.add(page[at : m.start()])
-        at = m.end()
-        name = m["name"] or m["name2"]
+        up = self.stack[-1]
+        words = [w for m in ATTRIBUTE.finditer(rest) if m[1].lower() in NAMED for w in re.findall(r"[a-z]+", (m[2] or m[3] or m[4] or "").lower())]
+        at = len(self.stack)
+        self.where.setdefault(tag, []).append(at)
+        self.stack.append(
+            _Open(tag, self.placed(up.place, tag, words), up.dropped or tag in DROPPED, up.linked or tag == "a", at if tag in SCOPES else up.scope)
+        )
+
+    def placed(self, up: Place, tag: str, words: list[str]) -> Place:
+        known = self.known
+        if known is not None:
+            words = [w for w in words if f"name={w}" in known]
+        fresh = tuple(w for w in dict.fromkeys(words) if w not in up.names)
+        own = up.tag if tag in INLINE else tag
+        new = tag not in INLINE and tag not in up.tags and (known is None or f"up={tag}" in known)
+        if not fresh and not new and own == up.tag:
+            return up
+        return Place(own, (*up.tags, tag) if new else up.tags, up.names + fresh)
+
+
+def leaf_blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
+    """The leaf blocks of a page in order, in time linear in the page.
+
+    Only ancestors' tags and names among the features ``known`` are kept, so what a block carries
+    is bounded however deep it lies. A tag that never ends takes the rest of the page with it, as
+    in browsers; once a quote in a tag doesn't close, quotes no longer hide the ends of tags.
+    """
+    built, at, quoted, raw_end = _Builder(known), 0, True, {}
+    while (begin := page.find("<", at)) >= 0:
+        second = page[begin + 1 : begin + 2]
+        closing = second == "/"
+        name = NAME.match(page, begin + 1 + closing)
+        if name is None and second not in ("!", "?", "/"):
+            built.add(page[at : begin + 1])
+            at = begin + 1
+            continue
+        built.add(page[at:begin])
         if name is None:
+            comment = page.startswith("<!--", begin)
+            stop = page.find("-->", begin + 2) if comment else page.find(">", begin)
+            at = len(page) if stop < 0 else stop + (3 if comment else 1)
             continue
-        tag, rest = name.lower(), m["rest"] or m["rest2"] or ""
+        tail = TAG_END.match(page, name.end()) if quoted else None
+        if tail is None:
+            quoted = False
+            stop = page.find(">", name.end())
+            at = len(page) if stop < 0 else stop + 1
+            if stop < 0:
+                break
+        else:
+            at = tail.end()
+        tag, rest = name[0].lower(), page[name.end() : at - 1]
         if tag not in INLINE:
             if tag == "br":
                 built.parts.append("\n")
                 continue
             built.flush()
-        if m["end"] or m["end2"]:
-            built.close(tag, {"table"} if tag in {"p", "li", "td", "th", "tr"} else frozenset())
-        else:
-            built.open(tag, rest)
-            if tag in RAW and not rest.rstrip().endswith("/"):
-                stop = re.compile(rf"</{tag}\b", re.I).search(page, at)
-                at = stop.start() if stop else len(page)
+        if closing:
+            built.end(tag)
+            continue
+        built.open(tag, rest)
+        if tag in RAW and not (tag == "svg" and rest.endswith("/")):
+            if tag not in raw_end:
+                raw_end[tag] = re.compile(rf"</{tag}\b", re.I)
+            stop = raw_end[tag].search(page, at)
+            at = stop.start() if stop else len(page)
+        elif tag == "svg":
+            built.end(tag)
     built.add(page[at:])
     built.flush()
     return built.blocks
 
 
-def features(blocks: list[Block], i: int) -> list[str]:
-    """Names of the features of a block that are on."""
-    b = blocks[i]
+def place_features(place: Place) -> list[str]:
+    """Names of the features that a block's place turns on."""
+    tag, tags = place.tag, place.tags
+    on = [f"tag={tag}", *[f"up={t}" for t in tags], *[f"name={n}" for n in place.names]]
+    if tag:
+        on += [f"{t}>{tag}" for t in tags if t in SCOPES and t not in ("html", "body", tag)]
+    return on
+
+
+def text_features(b: Block) -> list[str]:
+    """Names of the features that a block's text turns on."""
     n, chars = len(b.text.split()), max(1, len("".join(b.text.split())))
     words = 0 if n < 4 else 1 if n < 10 else 2 if n < 25 else 3
     share = b.linked / chars
-    on = [
-        "bias", f"tag={b.tag}", f"words={words}", f"links={0 if share < 0.05 else 1 if share < 0.5 else 2}",
-        f"end={b.text[-1] in '.!?\"”…'}",
-    ]
-    on += [f"up={t}" for t in b.tags if t not in INLINE]
-    on += [f"name={n}" for n in b.names]
-    if b.text[0] in "©" or "©" in b.text[:40]:
+    on = ["bias", f"words={words}", f"links={0 if share < 0.05 else 1 if share < 0.5 else 2}", f"end={b.text[-1] in '.!?\"”…'}"]
+    if "©" in b.text[:40]:
         on.append("copyright")
-    if b.tag and len(b.tags) > 1:
-        on += [f"{t}>{b.tag}" for t in b.tags if t in SCOPES and t not in ("html", "body", b.tag)]
     return on
 
 
+def features(b: Block) -> list[str]:
+    return text_features(b) + place_features(b.place)
+
+
 @dataclass
 class Chain:
     """Weights: by feature and state, and by pair of neighbouring states."""
 
     weights: dict[str, tuple[float, float]]
     moves: tuple[tuple[float, float], tuple[float, float]]
+    known: frozenset[str] = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.known = frozenset(self.weights)
+
+    def score(self, on: list[str]) -> tuple[float, float]:
+        held = [w for f in on if (w := self.weights.get(f)) is not None]
+        return sum(w[0] for w in held), sum(w[1] for w in held)
 
     def decode(self, blocks: list[Block]) -> list[int]:
         """The best sequence of states, by Viterbi."""
         if not blocks:
             return []
-        best, back = (0.0, 0.0), []
+        best, back, placed = (0.0, 0.0), [], {}
         m = self.moves
-        for i in range(len(blocks)):
-            s0 = s1 = 0.0
-            for f in features(blocks, i):
-                w = self.weights.get(f)
-                if w is not None:
-                    s0 += w[0]
-                    s1 += w[1]
+        for i, b in enumerate(blocks):
+            if id(b.place) not in placed:
+                placed[id(b.place)] = self.score(place_features(b.place))
+            (s0, s1), (t0, t1) = placed[id(b.place)], self.score(text_features(b))
+            s0, s1 = s0 + t0, s1 + t1
             if i == 0:
                 best = s0, s1
                 continue
@@ -204,7 +279,7 @@ def train(pages: list[list[Block]], rounds: int = ROUNDS) -> Chain:
     All pages go through forward-backward at once, padded to the longest.
     """
     pages = [p for p in pages if p]
-    names = sorted({f for p in pages for i in range(len(p)) for f in features(p, i)})
+    names = sorted({f for p in pages for b in p for f in features(b)})
     number = {f: k for k, f in enumerate(names)}
     n, longest = len(pages), max(map(len, pages))
     page, place, feature = [], [], []
@@ -212,7 +287,7 @@ def train(pages: list[list[Block]], rounds: int = ROUNDS) -> Chain:
     for a, p in enumerate(pages):
         for i, b in enumerate(p):
             truth[a, i], there[a, i] = b.label, True
-            for f in features(p, i):
+            for f in features(b):
                 page.append(a)
                 place.append(i)
                 feature.append(number[f])
@@ -375,7 +450,7 @@ def default_chain() -> Chain:
 
 def main_text(page: str, chain: Chain) -> str:
     """The main blocks of a page, joined by single spaces."""
-    blocks = leaf_blocks(page)
+    blocks = leaf_blocks(page, chain.known)
     return " ".join(b.text for b, s in zip(blocks, chain.decode(blocks), strict=True) if s)
 
 
@@ -385,7 +460,7 @@ def extract(pages: DataFrame, keep: list[str], column: str = "html", chain: Chai
     The chain is trained on the driver, on a bounded number of pages, and its few hundred weights
     go to the tasks with the function.
     """
-    chain = chain or default_chain()
+    chain, keep = chain or default_chain(), without(keep, ["text", "n_chars"])
     read = pages.select(*keep, F.col(column).cast("binary").alias("_page"))
     schema = T.StructType([*pages.select(*keep).schema.fields, *T.StructType.fromDDL("text string, n_chars bigint").fields])
 

@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -453,6 +454,26 @@ def test_licenses(docs, hard, spark):
     assert by_id(license_scan.scan(hard, ["doc_id"]))[17].licenses == "MIT,Proprietary"
 
 
+def test_html_values_of_attributes_hide_nothing():
+    chain = html_extract.default_chain()
+    page = '<body><article><h1>Title here</h1><p title="the hidden gem">One two three four, five six.</p><p class="sm hidden md">Seven eight nine ten, eleven.</p><p title=it\'s>Twelve, and more of it.</p></article>'
+    assert html_extract.main_text(page, chain) == "Title here One two three four, five six. Seven eight nine ten, eleven. Twelve, and more of it."
+    head = "<head><title>t</title><p>One two three four, five six seven eight.</p>"
+    assert html_extract.main_text(head, chain) == "One two three four, five six seven eight."
+
+
+def test_html_hostile_pages_take_linear_time():
+    chain, n = html_extract.default_chain(), 200_000
+    pages = [
+        "<div>" * n, "<a " * n, "<" + "b" * 5 * n, "<div>" * n + "</p>" * n, "<i>" * n + "</div>" * n, '<a x="> ' * n, "<!--" * n, "&" * n,
+        "<p>&#" + "9" * n + ";", "<a " + "=\"'" * n, "".join(f"<x{i} class=k{i}>" for i in range(n)), "<p =' <b>" * n, "<p a" + " " * n + ">x",
+    ]
+    for page in pages:
+        began = time.perf_counter()
+        html_extract.main_text(page, chain)
+        assert time.perf_counter() - began < 5, page[:20]
+
+
 MIT_TEXT = """MIT License
 
 Copyright (c) 2020 A. Person
