@@ -3,19 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and return a frame that reads it.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, one
-    machine) is a temporary folder chosen.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder where that is unset and all runs on one machine."""
     sc = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return shared.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    own = getattr(sc, "_docwright_folder", None)
+    if own is None:
+        own = sc._docwright_folder = tempfile.mkdtemp(prefix="docwright-checkpoint-")
+    return own
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and return a frame that reads it."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="docwright-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and return a frame that reads it.
+
+    Columns are compressed and read apart, which a checkpoint can't do.
+    """
+    place = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
