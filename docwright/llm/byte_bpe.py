@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding.
 
-Bytes are mapped to Latin-1 characters, so that an Aho-Corasick automaton over the vocabulary finds
-the longest token at a place. Encoding starts from longest matches and steps back to shorter
+Bytes are mapped to Latin-1 characters, so that one pass of an Aho-Corasick automaton over the
+vocabulary finds the longest token at every place. Encoding starts from longest matches and steps back to shorter
 tokens, or over the last token, wherever two neighbours could not stand side by side in the result
 of the merges; that test is memoised a pair. The outcome is the exact result of the merges, in time
 linear in the text. Pre-tokens are met again and again, so their ids are kept in a bounded memo.
 
 Defined results: null text is empty; empty text has no ids and decodes to no bytes; bytes that are
 no UTF-8 count as U+FFFD; ids outside the vocabulary make decoding fail; equal rows are kept; extra
-columns are passed by; an empty table gives an empty table.
+columns are passed by, and one with a result's name gives way to it; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docwright.llm.frames import without
+
 #: Pre-tokens up to this many bytes are kept in the memo, so many of them at most.
 MEMO_BYTES, MEMO_SIZE = 64, 400_000
 PAIR_MEMO = 2_000_000
@@ -122,38 +125,36 @@ class BpeCodec:
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        text = piece.decode("latin-1")
-        longest: dict[int, int] = {}
-
-        def match(at: int) -> int:
-            if (found := longest.get(at)) is None:
-                found = longest[at] = next(self.matcher.iter_long(text, at))[1]
-            return found
-
-        end, at, ids = len(text), 0, []
+        lengths, end, at, ids = self.lengths, len(piece), 0, []
+        longest = [-1] * end
+        for last, i in self.matcher.iter(piece.decode("latin-1")):
+            first = last + 1 - lengths[i]
+            if longest[first] < 0 or lengths[i] > lengths[longest[first]]:
+                longest[first] = i
         dead = bytearray(end + 1)
-        token = match(0) if end else -1
+        token = longest[0] if end else -1
+        fits, shorter = self.fits, self.shorter
         while token >= 0 and at < end:
             last = ids[-1] if ids else -1
             while True:
-                stop = at + self.lengths[token]
-                if not dead[stop] and (last < 0 or self._neighbours(last, token)):
+                stop = at + lengths[token]
+                if not dead[stop] and (last < 0 or ((ok := fits.get((last, token))) is None and self._neighbours(last, token)) or ok):
                     ids.append(token)
                     at = stop
-                    token = match(at) if at < end else -1
+                    token = longest[at] if at < end else -1
                     break
-                token = self.shorter[token]
+                token = shorter[token]
                 if token < 0:
                     dead[at] = 1
                     ids.pop()
-                    at -= self.lengths[last]
+                    at -= lengths[last]
                     # the longest tokens at that place have been tried down to this one
-                    token = self.shorter[last]
+                    token = shorter[last]
                     while token < 0 and ids:
                         dead[at] = 1
                         last = ids.pop()
-                        at -= self.lengths[last]
-                        token = self.shorter[last]
+                        at -= lengths[last]
+                        token = shorter[last]
                     break
         return ids
 
@@ -192,15 +193,16 @@ def as_text(value: bytes | None) -> str:
 
 
 def _mapped(df: DataFrame, given: Column, out: str, kind: str, work: Callable[[pa.Array], pa.Array]) -> DataFrame:
-    """``df`` with ``out``, which ``work`` makes from ``given``."""
-    schema = _extended(df, [(out, kind)])
+    """``df`` with ``out``, which ``work`` makes from ``given``; a column of that name gives way to it."""
+    kept = without(df.columns, [out])
+    schema = _extended(df.select(*kept), [(out, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = work(batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], schema.names)
 
-    return df.select("*", given.alias("_given")).mapInArrow(run, schema)
+    return df.select(*kept, given.alias("_given")).mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -235,6 +237,7 @@ def round_trip(docs: DataFrame, keep: list[str], text: str = "text", path: str |
     Encoding and decoding run in one pass over each text, so ids never leave the task.
     """
     path, pattern = path or _default_path(), pattern or _default_pattern()
+    keep = without(keep, ["n_tokens", "ids_sha256", "decoded_sha256"])
     read = docs.select(*keep, F.col(text).cast("binary").alias("_bytes"))
     schema = _extended(docs.select(*keep), [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")])
     sha = lambda b: hashlib.sha256(b).hexdigest()
