@@ -1,18 +1,20 @@
 """Token counts of a ``tokenizers`` file with a byte-level pre-tokenizer.
 
-Each task keeps a table of distinct pre-tokens with their number of pieces, counted once when a
-pre-token is first met. A batch of documents becomes (document, pre-token, frequency), is joined to
-that table by code, and frequency times pieces is summed a document. Ids of documents are never
-made. Joining inside the task moves no pre-token over the network: a shuffled join would move one
-row for each distinct pre-token of each document, more bytes than the texts themselves.
+Texts are split into pre-tokens, and documents are gathered in chunks of about ``CHUNK_BYTES``. A
+chunk holds its distinct pre-tokens once, with codes, and for each document the codes and their
+frequencies, packed. The pieces of every distinct pre-token of the corpus are counted once; the
+counts are joined to the chunks' pre-tokens, gathered by chunk and joined to the documents'
+frequencies, and frequency times pieces is summed a document. Ids are never made, and the rows that
+move are the distinct pre-tokens of chunks, not of documents.
 
 Defined results: null text is empty and counts 0; special strings in a text are one token each, as
 the library has it; bytes that are no UTF-8 count as U+FFFD; equal rows are kept; extra columns are
-ignored; an empty table gives an empty table.
+ignored, and a kept column with a result's name gives way to it; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import collections
 import json
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,14 +28,16 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from docwright.llm.byte_bpe import as_text
+from docwright.llm.frames import without
+from docwright.plans.durable import stored
 
 LIMIT = 1024
-#: The table of a task is emptied beyond this many pre-tokens, and pre-tokens are counted in calls of so many.
-TABLE_SIZE, CALL = 1_000_000, 4096
+#: Bytes of text in a chunk, and pre-tokens counted in one call of the library.
+CHUNK_BYTES, CALL = 16 << 20, 4096
 
 
-class PieceTable:
-    """Distinct pre-tokens met so far, their codes and numbers of pieces."""
+class Splitter:
+    """The pre-tokens of a text, as the tokenizer file has them."""
 
     def __init__(self, path: str, pattern: str):
         with open(path, encoding="utf-8") as f:
@@ -41,20 +45,8 @@ class PieceTable:
         if held.get("normalizer") or (held.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
             raise ValueError("only files with a byte-level pre-tokenizer and no normalizer can be counted by pre-token")
         special = [t["content"] for t in held["added_tokens"]]
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
         self.pieces = regex.compile(pattern)
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.codes: dict[str, int] = {}
-        self.counts = np.zeros(0, np.int64)
-
-    def _add(self, fresh: list[str]) -> None:
-        found = []
-        for at in range(0, len(fresh), CALL):
-            found += [len(e.ids) for e in self.tokenizer.encode_batch_fast(fresh[at : at + CALL], add_special_tokens=False)]
-        self.codes.update(zip(fresh, range(len(self.counts), len(self.counts) + len(fresh)), strict=True))
-        self.counts = np.concatenate((self.counts, np.array(found, np.int64)))
 
     def split(self, text: str) -> tuple[list[str], int]:
         """The pre-tokens between special strings, and the number of special strings."""
@@ -63,44 +55,114 @@ class PieceTable:
         parts = self.special.split(text)
         return [p for part in parts for p in self.pieces.findall(part)], len(parts) - 1
 
-    def count(self, texts: list[str]) -> np.ndarray:
-        """Tokens of each text: frequencies of its distinct pre-tokens joined to the table and summed."""
-        rows = [self.split(t) for t in texts]
-        if len(self.codes) > TABLE_SIZE:
-            self.codes, self.counts = {}, np.zeros(0, np.int64)
-        fresh = {p for pieces, _ in rows for p in pieces if p not in self.codes}
-        self._add(sorted(fresh))
-        out = np.array([n for _, n in rows], np.int64)
-        for i, (pieces, _) in enumerate(rows):
-            if pieces:
-                met = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
-                code, frequency = np.unique(met, return_counts=True)
-                out[i] += int(frequency @ self.counts[code])
-        return out
+
+@lru_cache(maxsize=4)
+def splitter(path: str, pattern: str) -> Splitter:
+    return Splitter(path, pattern)
 
 
 @lru_cache(maxsize=4)
-def table(path: str, pattern: str) -> PieceTable:
-    """One table a worker process."""
-    return PieceTable(path, pattern)
+def tokenizer(path: str) -> Tokenizer:
+    """The library's tokenizer, one a worker process."""
+    made = Tokenizer.from_file(path)
+    made.no_truncation()
+    made.no_padding()
+    return made
+
+
+def packed(codes: np.ndarray, counts: np.ndarray) -> bytes:
+    """Codes and frequencies as compressed planes of bytes."""
+    planes = np.concatenate((codes, counts)).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(given: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(given, 8 * n, "zstd", asbytes=True), np.uint8).reshape(4, -1)
+    both = np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+    return both[:n], both[n:]
+
+
+def chunked(docs: DataFrame, keep: list[str], text: str, path: str, pattern: str, size: int) -> DataFrame:
+    """(chunk, tokens, docs, pairs): distinct pre-tokens in order of code, the documents, and their packed pairs."""
+    picked = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_bytes"))
+    doc = T.StructType([*picked.schema.fields[:-1], *T.StructType.fromDDL("n_bytes bigint, n_special bigint, n_pairs bigint").fields])
+    schema = T.StructType([
+        T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("docs", T.ArrayType(doc)), T.StructField("pairs", T.BinaryType()),
+    ])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = splitter(path, pattern)
+        for batch in batches:
+            column, at = batch.column(batch.num_columns - 1), 0
+            while at < batch.num_rows:
+                coded: dict[str, int] = {}
+                codes, counts, n_bytes, n_special, n_pairs, total, first = [], [], [], [], [], 0, at
+                while at < batch.num_rows and (at == first or total < size):
+                    given = column[at].as_py()
+                    pieces, special = own.split(as_text(given))
+                    met = collections.Counter(pieces)
+                    codes += [coded.setdefault(p, len(coded)) for p in met]
+                    counts += met.values()
+                    n_bytes.append(len(given))
+                    n_special.append(special)
+                    n_pairs.append(len(met))
+                    total += len(given)
+                    at += 1
+                rows = pa.StructArray.from_arrays(
+                    [*[c.slice(first, at - first) for c in batch.columns[:-1]], *[pa.array(x, pa.int64()) for x in (n_bytes, n_special, n_pairs)]],
+                    names=doc.names,
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([list(coded)], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, at - first], pa.int32()), rows),
+                        pa.array([packed(np.array(codes, np.int64), np.array(counts, np.int64))], pa.binary()),
+                    ],
+                    schema.names,
+                )
+
+    return stored(picked.mapInArrow(run, schema).select(F.monotonically_increasing_id().alias("chunk"), "*"))
+
+
+def piece_counts(distinct: DataFrame, path: str) -> DataFrame:
+    """(token, pieces) of distinct pre-tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = tokenizer(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, CALL):
+                part = batch.column(0).slice(at, CALL)
+                n = [len(e.ids) for e in own.encode_batch_fast(part.to_pylist(), add_special_tokens=False)]
+                yield pa.RecordBatch.from_arrays([part, pa.array(n, pa.int32())], ["token", "pieces"])
 
-def count_tokens(docs: DataFrame, keep: list[str], text: str = "text", path: str | None = None, pattern: str | None = None, limit: int = LIMIT) -> DataFrame:
+    return distinct.mapInArrow(run, "token string, pieces int")
+
+
+def count_tokens(
+    docs: DataFrame, keep: list[str], text: str = "text", path: str | None = None, pattern: str | None = None, limit: int = LIMIT, chunk: int = CHUNK_BYTES
+) -> DataFrame:
     """``keep`` with n_bytes, n_tokens and over_limit of each whole text."""
     import public_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     pattern = pattern or public_tokenizers.PATTERN
-    read = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_bytes"))
+    keep = without(keep, ["n_bytes", "n_tokens", "over_limit"])
+    chunks = chunked(docs, keep, text, path, pattern, chunk)
+    tokens = chunks.select("chunk", F.posexplode("tokens").alias("code", "token"))
+    counted = tokens.join(piece_counts(tokens.select("token").distinct(), path), "token")
+    by_chunk = counted.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("code", "pieces"))).alias("coded"))
+    joined = chunks.select("chunk", "docs", "pairs").join(by_chunk, "chunk", "left").select("docs", "pairs", F.col("coded.pieces").alias("pieces"))
     more = T.StructType.fromDDL("n_bytes bigint, n_tokens bigint, over_limit boolean")
     schema = T.StructType([*docs.select(*keep).schema.fields, *more.fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = table(path, pattern)
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            given = batch.column(len(keep)).to_pylist()
-            n = own.count([as_text(g) for g in given])
-            columns = [pa.array([len(g) for g in given], pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], schema.names)
-
-    return read.mapInArrow(run, schema)
+            for i in range(batch.num_rows):
+                *kept, n_bytes, n_special, n_pairs = batch.column(0)[i].values.flatten()
+                pairs = np.asarray(n_pairs)
+                code, frequency = unpacked(batch.column(1)[i].as_py(), int(pairs.sum()))
+                each = np.asarray(batch.column(2)[i].values)[code] * frequency if len(code) else np.zeros(0, np.int64)
+                sums, ends = np.concatenate(([0], np.cumsum(each))), np.cumsum(pairs)
+                n = sums[ends] - sums[ends - pairs] + np.asarray(n_special)
+                yield pa.RecordBatch.from_arrays([*kept, n_bytes, pa.array(n, pa.int64()), pa.array(n > limit, pa.bool_())], schema.names)
+
+    return joined.mapInArrow(total, schema)

@@ -105,6 +105,30 @@ def test_bpe_encodes_any_character_and_repeated_letters(library):
         assert own.encode(t) == enc.encode_ordinary(t)
 
 
+def test_bpe_takes_linear_time(library):
+    enc, _ = library
+    own, r = byte_bpe.codec(byte_bpe._default_path(), byte_bpe._default_pattern()), np.random.default_rng(4)
+    took = []
+    for n in (80_000, 160_000):
+        t = "".join(map(chr, r.integers(0x4E00, 0x9FFF, n)))
+        best = []
+        for _ in range(3):
+            began = time.perf_counter()
+            ids = own.encode(t)
+            best.append(time.perf_counter() - began)
+        took.append(min(best))
+        assert own.decode(ids).decode() == t
+        assert own.encode(t[:2000]) == enc.encode_ordinary(t[:2000])
+    assert took[1] < 3 * took[0]
+
+
+def test_bpe_results_take_the_place_of_columns_with_their_names(spark):
+    df = spark.createDataFrame([(1, "a b", 7, "x")], "doc_id long, text string, N_tokens int, ids string")
+    assert byte_bpe.round_trip(df, ["doc_id", "N_tokens"]).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert byte_bpe.encode(df).columns == ["doc_id", "text", "N_tokens", "ids"]
+    assert token_counts.count_tokens(df, ["doc_id", "N_tokens"]).columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+
+
 def test_bpe_columns_keep_the_rest(hard):
     back = byte_bpe.decode(byte_bpe.encode(hard.select("doc_id", "text")))
     for r in back.collect():
@@ -121,6 +145,14 @@ def test_token_counts_are_the_librarys(docs, hard, library):
             assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 1024)
 
 
+def test_token_counts_over_several_chunks(hard, library):
+    _, tok = library
+    got = by_id(token_counts.count_tokens(hard.unionByName(hard.withColumn("doc_id", F.col("doc_id") + 100)), ["doc_id"], chunk=1000))
+    for i, t in enumerate(HARD):
+        n = len(tok.encode(t or "", add_special_tokens=False).ids)
+        assert got[i].n_tokens == got[i + 100].n_tokens == n
+
+
 def brute_fingerprint(text):
     words = [w.encode() for w in WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
     if not words:
