@@ -8,6 +8,7 @@ import time
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -403,7 +404,7 @@ def brute_nearest(ids, vectors, queries_, k=10):
     out = {}
     for q in queries_:
         s = np.sqrt(((x - x[ids.index(q)]) ** 2).sum(axis=1))
-        out[q] = sorted((float(v), i) for v, i in zip(s, ids, strict=True) if i != q)[:k]
+        out[q] = sorted((float(s[j]), ids[j]) for j in np.argsort(s, kind="stable")[: k + 200] if ids[j] != q)[:k] if k < 50 else sorted((float(v), i) for v, i in zip(s, ids, strict=True) if i != q)[:k]
     return out
 
 
@@ -423,6 +424,39 @@ def test_nearest_recall_and_scores(spark):
         assert all(abs(s - dict((i, v) for v, i in brute_nearest(ids, [r.embedding for r in held], [q], len(ids))[q])[i]) < 1e-12 for s, i in got[q][:1])
 
 
+def visited_share(hashing, x, asked):
+    """Share of the rows for which a query's distance is computed."""
+    _, cells = hashing.buckets(x)
+    _, probes = hashing.probes(x[asked])
+    seen = [np.logical_or.reduce([np.isin(cells[:, t], probes[i, t]) for t in range(hashing.tables)]) for i in range(len(asked))]
+    return np.mean(seen)
+
+
+def test_nearest_visits_few_rows_of_clustered_vectors(spark):
+    r = np.random.default_rng(6)
+    centres = r.standard_normal((200, 32)) * 3
+    x = centres[r.integers(0, 200, 50_000)] + r.standard_normal((50_000, 32)) * 0.3
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": [v.tolist() for v in x]})).repartition(8)
+    asked = list(range(0, 50_000, 500))
+    want = brute_nearest(range(len(x)), x, asked)
+    got = collections.defaultdict(set)
+    for row in nearest.search(df, df.filter("vec_id % 500 = 0")).collect():
+        got[row.query_id].add(row.vec_id)
+    assert np.mean([len(got[q] & {i for _, i in want[q]}) / 10 for q in asked]) >= 0.9
+    sample = x[r.permutation(len(x))[: nearest.SAMPLE_ROWS]]
+    assert visited_share(nearest.Hashing(sample, len(x)), x, asked) <= 0.1
+
+
+def test_nearest_finite_vectors_of_any_size(spark):
+    x = [[1e160, 0.0], [1e160, 3e159], [-2e160, 1e160], [1e-170, 0.0], [3e-170, 0.0], [1.7e308, 1.7e308], [-1.7e308, -1.7e308]]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for row in nearest.search(df, df).orderBy("query_id", "rank").collect():
+        got[row.query_id].append((row.vec_id, row.score))
+    assert all(len(got[q]) == len(x) - 1 for q in range(len(x)))
+    assert got[0][0] == (1, pytest.approx(3e159)) and got[3][0] == (4, pytest.approx(2e-170)) and got[5][-1] == (6, float("inf"))
+
+
 def test_nearest_hard_vectors(spark):
     rows = [(i, [float(i % 5), 1.0, float(i == 7)]) for i in range(12)] + [(100, [1.0, 1.0, 0.0]), (200, None), (300, [0.0, 0.0, 0.0]), (400, [1.0, None, 2.0]), (500, [1.0, float("nan"), 2.0]), (600, [1.0, 2.0]), (700, []), (700, [2.0, 2.0])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, rank string")
