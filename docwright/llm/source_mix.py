@@ -3,12 +3,14 @@
 Every source gets a target share of all words; targets stop at ``REPEATS`` times the source's size
 and the excess is shared out again by weight. Equal blocks of words are seats: sources get them by
 highest quotients target / (2 j + 1), and each source's seats go to its shards in the same way. A
-shard with q seats over n blocks takes q div n full passes and q mod n further blocks, which a
-seeded permutation of the blocks picks. Column functions only.
+shard whose seats hold q words over a size of n takes q div n full passes. The rest is filled block
+by block in a seeded order: the documents of a shard stand in a line, a document belongs to the block
+in which it begins, and blocks give whole documents until the last document, which is cut where the
+quota ends. So a shard cuts one document at most. Column functions only.
 
 Defined results: null text has size 0; a null source is a source, the last; equal rows are separate
 documents; sources of size 0 have target 0; without any word every ``taken`` is 0; an empty table
-gives an empty table; extra columns are ignored.
+gives an empty table; extra columns are ignored, and a kept column with a result's name gives way to it.
 """
 
 from __future__ import annotations
@@ -17,25 +19,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docwright.functions.text import sum_of, words
+from docwright.functions.text import SPACE_RUN, SPACES
+from docwright.llm.frames import without
 from docwright.plans.durable import durable
 
 WEIGHTS = [5, 2, 1]
 REPEATS = 3
-#: Words in a block. Below 65,536 words in all, blocks shrink so that there are about 4,096.
-BLOCK_WORDS, LEAST_BLOCKS = 16, 4096
-#: Words in a shard, and most shards of a source.
-SHARD_WORDS, MOST_SHARDS = 65_536, 4096
+#: Words in a block.
+BLOCK_WORDS = 16
+#: Words in a shard, on average. Only sizes and keys of a shard's documents meet in one task, never texts.
+SHARD_WORDS = 1 << 20
 SEED = "mix-1"
-#: Primes above any number of blocks in a shard that occurs; the first that does not
-#: divide that number is a step that visits every block.
-STEPS = [1_000_000_007, 1_000_000_009, 1_000_000_021, 1_000_000_033, 1_000_000_087, 1_000_000_093]
 
 
-def _hash(*parts: Column | str) -> Column:
-    """A number below 2 ** 32 from the seed and ``parts``."""
-    text = F.concat_ws(":", F.lit(SEED), *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+def _hash(seed: str, *parts: Column | str) -> Column:
+    """A number below 2 ** 60 from the seed and ``parts``."""
+    text = F.concat_ws(":", F.lit(seed), *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -89,88 +89,76 @@ def apportion(rows: DataFrame, group: list[str], item: str, share: str, seats: s
     )
 
 
-def plan(docs: DataFrame, keep: list[str], source: str = "source", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``keep`` of each document, its sizes and target, and how often and where it is taken.
+def plan(docs: DataFrame, keep: list[str], source: str = "source", key: str = "doc_id", text: str = "text", seed: str = SEED) -> DataFrame:
+    """``keep`` of each document, its sizes and target, and how much of it is taken.
 
-    ``passes`` counts full takes; ``picks`` lists the further blocks as (offset, n) in its words.
+    ``passes`` counts full takes; ``part`` is the number of its first words that a further take has.
     """
     sized = durable(
         docs.select(
-            *[F.col(c).alias(f"k_{c}") for c in keep],
+            *[F.col(c).alias(f"k_{c}") for c in without(keep, ["text_key", "size", "source_size", "target", "passes", "part"])],
             F.xxhash64(F.col(text)).alias("text_key"),
             F.col(key).alias("key"),
             F.col(source).cast("string").alias("source"),
             F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("bigint").alias("size"),
         )
     )
-    targets = source_targets(sized).withColumn(
-        "block", F.least(F.lit(BLOCK_WORDS), F.greatest(F.lit(1), F.floor(F.col("total") / LEAST_BLOCKS)))
-    )
-    seats = targets.withColumn("all_seats", F.round(F.col("total") / F.col("block")).cast("bigint"))
-    quotas = apportion(seats, ["block"], "place", "target", "all_seats").withColumnRenamed("quota", "source_seats")
+    seats = source_targets(sized).withColumn("all_seats", F.round(F.col("total") / BLOCK_WORDS).cast("bigint"))
     quotas = durable(
-        quotas.withColumn(
-            "n_shards", F.greatest(F.lit(1), F.least(F.lit(MOST_SHARDS), F.ceil(F.col("source_size") / SHARD_WORDS)))
-        )
+        apportion(seats, ["total"], "place", "target", "all_seats")
+        .withColumnRenamed("quota", "source_seats")
+        .withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / SHARD_WORDS)))
     )
-    q = quotas.select(F.col("source").alias("q_source"), "source_size", "target", "block", "place", "source_seats", "n_shards")
-    dealt = sized.join(q, F.col("source").eqNullSafe(F.col("q_source"))).withColumn("shard", _hash("key") % F.col("n_shards"))
-    shards = dealt.groupBy("place", "shard", "block", "source_seats").agg(F.sum("size").alias("shard_size"))
-    shares = apportion(shards, ["place"], "shard", "shard_size", "source_seats")
-    blocks = F.ceil(F.col("shard_size") / F.col("block"))
-    n = F.greatest(blocks, F.lit(1))
-    ready = (
-        shares.withColumn("n", n)
-        .withColumn("quota", F.least("quota", REPEATS * blocks))
-        .select(
-            F.col("place").alias("s_place"), F.col("shard").alias("s_shard"), "n",
-            F.floor(F.col("quota") / F.col("n")).alias("passes"), (F.col("quota") % F.col("n")).alias("rest"),
-            (_hash("place", "shard") % F.col("n")).alias("shift"),
-            F.get(F.filter(F.array(*[F.lit(p).cast("bigint") for p in STEPS]), lambda p: F.col("n") % p != 0), F.lit(0)).alias("step"),
-        )
+    q = quotas.select(F.col("source").alias("q_source"), "source_size", "target", "place", "source_seats", "n_shards")
+    dealt = sized.join(q, F.col("source").eqNullSafe(F.col("q_source"))).withColumn("shard", _hash(seed, "key", "text_key") % F.col("n_shards"))
+    shards = dealt.groupBy("place", "shard", "source_seats").agg(F.sum("size").alias("shard_size"))
+    words = F.least(F.col("quota") * BLOCK_WORDS, REPEATS * F.col("shard_size"))
+    ready = apportion(shards, ["place"], "shard", "shard_size", "source_seats").select(
+        F.col("place").alias("s_place"), F.col("shard").alias("s_shard"),
+        F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(0).alias("passes"),
+        F.when(F.col("shard_size") > 0, words % F.col("shard_size")).otherwise(0).alias("rest"),
     )
-    line = Window.partitionBy("place", "shard").orderBy(F.asc_nulls_last("key"), "size").rowsBetween(Window.unboundedPreceding, 0)
-    laid = dealt.withColumn("stop", F.sum("size").over(line)).withColumn("begin", F.col("stop") - F.col("size"))
-    met = laid.join(ready, (F.col("place") == F.col("s_place")) & (F.col("shard") == F.col("s_shard")))
-    block = F.col("block")
-    mine = F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("stop") - 1) / block))
-    chosen = F.filter(mine, lambda b: (F.col("step") * b + F.col("shift")) % F.col("n") < F.col("rest"))
-
-    def part(b: Column) -> Column:
-        first, last = F.greatest(F.col("begin"), b * block), F.least(F.col("stop"), (b + 1) * block)
-        return F.struct((first - F.col("begin")).alias("offset"), (last - first).alias("n"))
-
-    none = F.array().cast("array<struct<offset:bigint,n:bigint>>")
-    picks = F.when((F.col("size") > 0) & (F.col("rest") > 0), F.transform(chosen, part)).otherwise(none)
+    here = Window.partitionBy("place", "shard")
+    line = here.orderBy(F.asc_nulls_last("key"), "text_key").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum("size").over(line), F.lit(0))
+    laid = dealt.withColumn("block", F.floor(begin / BLOCK_WORDS))
+    drawn = here.orderBy(_hash(seed, "place", "shard", "block"), "block", F.asc_nulls_last("key"), "text_key").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = laid.withColumn("ahead", F.coalesce(F.sum("size").over(drawn), F.lit(0)))
+    met = ahead.join(ready, (F.col("place") == F.col("s_place")) & (F.col("shard") == F.col("s_shard")))
+    part = F.greatest(F.lit(0), F.least("size", F.col("rest") - F.col("ahead"))).cast("bigint")
     return met.select(
-        *[F.col(f"k_{c}").alias(c) for c in keep], "text_key", "size", "source_size", "target", "passes", picks.alias("picks")
+        *[F.col(c).alias(c[2:]) for c in sized.columns if c.startswith("k_")], "text_key", "size", "source_size", "target", "passes", part.alias("part")
     )
 
 
 def taken() -> Column:
     """Words that the mix takes of a planned document, repeats counted."""
-    return F.col("passes") * F.col("size") + sum_of(F.transform("picks", lambda p: p.n))
+    return F.col("passes") * F.col("size") + F.col("part")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
+def first_words(text: Column, n: Column) -> Column:
+    """The first ``n`` words of ``text`` with the white space between them as it is."""
+    trimmed = F.btrim(text, F.lit(SPACES))
+    words, gaps = F.split(trimmed, SPACE_RUN, -1), F.regexp_extract_all(trimmed, F.lit(f"({SPACE_RUN})"), F.lit(1))
+    before = F.zip_with(F.slice(words, 1, n - 1), F.slice(gaps, 1, n - 1), lambda w, g: F.concat(w, g))
+    return F.concat(F.array_join(before, ""), F.get(words, n - 1))
+
+
+def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", seed: str = SEED) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: a row for each take of a document.
 
-    A full take has the whole text, a further one the words of the picked blocks; documents that
+    A full take has the whole text, a further one its first words up to the quota; documents that
     aren't taken go. Rows equal in key and text get one decision.
     """
-    decided = plan(docs, [key], source, key).filter(taken() > 0).dropDuplicates([key, "text_key"])
-    given = decided.select(F.col(key).alias("_key"), "text_key", F.struct("size", "passes", "picks").alias("_take"))
+    decided = plan(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), "text"), ["key"], "source", "key", seed=seed)
+    given = decided.filter(taken() > 0).dropDuplicates(["key", "text_key"]).select(F.col("key").alias("_key"), "text_key", F.struct("size", "passes", "part").alias("_take"))
     held = docs.select(F.struct(*docs.columns).alias("_doc"), F.xxhash64("text").alias("_text_key"))
     met = held.join(given, F.col(f"_doc.{key}").eqNullSafe(F.col("_key")) & (F.col("_text_key") == F.col("text_key")))
-    text, picks, passes = F.col("_doc.text"), F.col("_take.picks"), F.col("_take.passes").cast("int")
-    split = met.withColumn("_words", F.when(F.size(picks) > 0, words(text)))
-    part = F.array_join(
-        F.flatten(F.transform(picks, lambda p: F.slice(F.col("_words"), (p.offset + 1).cast("int"), p.n.cast("int")))), " "
-    )
-    whole = sum_of(F.transform(picks, lambda p: p.n)) == F.col("_take.size")
-    further = F.when(F.size(picks) == 0, F.array().cast("array<string>")).otherwise(F.array(F.when(whole, text).otherwise(part)))
-    rows = split.select("_doc", F.explode(F.concat(F.array_repeat(text, passes), further)).alias("_taken"))
+    text, part, passes = F.col("_doc.text"), F.col("_take.part").cast("int"), F.col("_take.passes").cast("int")
+    cut = F.when(part == F.col("_take.size"), text).otherwise(first_words(text, part))
+    further = F.when(part == 0, F.array().cast("array<string>")).otherwise(F.array(cut))
+    rows = met.select("_doc", F.explode(F.concat(F.array_repeat(text, passes), further)).alias("_taken"))
     fresh = {"text": F.col("_taken")}
     if "n_chars" in docs.columns:
         fresh["n_chars"] = F.length("_taken").cast(docs.schema["n_chars"].dataType)
-    return rows.select(*[fresh.get(c, F.col(f"_doc.{c}")).alias(c) for c in docs.columns])
+    return rows.select(*[fresh.get(c, F.col("_doc").getField(c)).alias(c) for c in docs.columns])
