@@ -1,11 +1,13 @@
 """SimHash near-duplicates by tiled exact comparison.
 
-Each text gets a 64-bit fingerprint. Distinct fingerprints are packed into tiles of one population
-count each; two tiles meet only if their counts differ by no more than the radius, since a bit
-changes the count by one. A pair of tiles is compared exactly with numpy exclusive-or and bit
-counts. A comparison gives no list of all pairs: it joins what is linked inside the two tiles and
-returns one edge for each fingerprint to the root of its piece. Pieces of all comparisons are then
-joined by label propagation with pointer jumps, one durable frame a round.
+Each text gets a 64-bit fingerprint. The 64 bits are cut into more blocks than the radius: two
+fingerprints within it agree on some ``blocks - radius`` of them, so comparing only fingerprints that
+agree on such a choice of blocks loses no link. Each choice and value is a cell, whose fingerprints
+are packed into tiles sorted by population count. Runs of a tile are compared exactly with numpy
+exclusive-or and bit counts, only against runs whose counts differ by no more than the radius, since
+a bit changes the count by one. A comparison gives no list of all pairs: it joins what is linked
+inside and returns one edge for each fingerprint to the root of its piece. Pieces of all comparisons
+are then joined by label propagation with pointer jumps, one durable frame a round.
 
 Defined results: null text is empty; a text without words has fingerprint zero and links like any
 other; equal rows and copies share a fingerprint and so a component; null ids are ignored when the
@@ -14,10 +16,11 @@ smallest id is taken; an empty table gives an empty table; extra columns are ign
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,8 +34,11 @@ SHINGLE_WORDS = 4
 SEED = 42
 #: Fingerprints in a tile, rows of a tile compared at once, shingles summed at once.
 TILE, STRIP, CHUNK = 8192, 128, 65_536
+BITS = 64
 #: Parts that the links of one label are spread over when they meet it.
 SALTS = 16
+#: Rows of a fingerprint from which on they are spread over the salts.
+MANY = 64
 
 
 def fingerprint(text: bytes | None, n: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -71,24 +77,53 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
     return read.mapInArrow(run, schema)
 
 
-def tiles(distinct: DataFrame, size: int = TILE) -> DataFrame:
-    """(pop, tile, fps): the distinct fingerprints packed by population count, ``size`` a tile on average."""
-    counted = distinct.withColumn("pop", F.bit_count("fp"))
-    many = counted.groupBy("pop").agg(F.ceil(F.count(F.lit(1)) / size).alias("n_tiles"))
-    dealt = counted.join(F.broadcast(many), "pop")  # 65 rows at most
-    keyed = dealt.withColumn("tile", F.pmod(F.xxhash64("fp"), "n_tiles"))
-    return keyed.groupBy("pop", "tile").agg(F.collect_list("fp").alias("fps"))
+def choices(n: int, radius: int = RADIUS, tile: int = TILE) -> list[int]:
+    """Masks of the bits that a cell fixes; fingerprints within ``radius`` agree under one of them.
+
+    The number of blocks is the least with which ``n`` evenly spread fingerprints fill no cell beyond
+    a tile; any number above the radius gives the same links.
+    """
+    blocks = radius + 1
+    while blocks < 4 * radius and n > tile * 2 ** (BITS * (blocks - radius) / blocks):
+        blocks += 1
+    edges = [round(BITS * i / blocks) for i in range(blocks + 1)]
+    parts = [((1 << (b - a)) - 1) << a for a, b in itertools.pairwise(edges)]
+    masks = (sum(c) for c in itertools.combinations(parts, blocks - radius))
+    return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
+
+
+def tiles(distinct: DataFrame, radius: int = RADIUS, size: int = TILE) -> DataFrame:
+    """(a, b): the fingerprints of each two parts of a cell that must be compared; ``b`` is empty for a part and itself.
+
+    Cells beyond a tile are cut into parts by hash, and each part goes to its pairs. Cells with one
+    fingerprint go.
+    """
+    held = durable(distinct)
+    masks = choices(held.count(), radius, size)
+    cells = held.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "value"))
+    key = ["choice", "value"]
+    large = durable(cells.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > size))
+    n_parts = F.coalesce(F.ceil(F.col("n") / size), F.lit(1)).cast("long")
+    sized = met(cells, large, key, "fp", "left") if large.limit(1).count() else cells.withColumn("n", F.lit(None).cast("long"))
+    parted = sized.withColumn("n_parts", n_parts).withColumn("part", F.pmod(F.xxhash64("fp"), "n_parts"))
+    paired = parted.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    side = lambda first: F.collect_list(F.when((F.col("part") == F.col("low")) == first, F.col("fp")))
+    gathered = paired.select(*key, "part", low.alias("low"), high.alias("high"), "fp").groupBy(*key, "low", "high")
+    return gathered.agg(side(F.lit(True)).alias("a"), side(F.lit(False)).alias("b")).filter(F.size("a") + F.size("b") > 1).select("a", "b")
 
 
 def joined_pieces(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (fingerprint, root) that join what is within ``radius`` between ``a`` and ``b``.
 
-    Links inside a piece already joined are passed over, so a dense group costs no more edges than
-    it has members.
+    Both are sorted by population count, and a run of ``a`` meets only the run of ``b`` whose counts
+    come within the radius. Links inside a piece already joined are passed over, so a dense group
+    costs no more edges than it has members.
     """
+    a, b = (x[np.argsort(np.bitwise_count(x), kind="stable")] for x in (a, b))
+    pop_a, pop_b = np.bitwise_count(a).astype(np.int64), np.bitwise_count(b).astype(np.int64)
     nodes = np.concatenate((a, b))
     root = np.arange(len(nodes))
-    cols = np.arange(len(a), len(nodes))
 
     def union(pairs: np.ndarray) -> None:
         for x, y in pairs.tolist():
@@ -105,7 +140,9 @@ def joined_pieces(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray
 
     for at in range(0, len(a), STRIP):
         rows = np.arange(at, min(at + STRIP, len(a)))
-        near = np.bitwise_count(a[rows][:, None] ^ b[None, :]) <= radius
+        begin, end = np.searchsorted(pop_b, pop_a[rows[0]] - radius), np.searchsorted(pop_b, pop_a[rows[-1]] + radius, "right")
+        cols = np.arange(len(a) + begin, len(a) + end)
+        near = np.bitwise_count(a[rows][:, None] ^ b[None, begin:end]) <= radius
         if not near.any():
             continue
         while True:
@@ -125,32 +162,31 @@ def joined_pieces(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray
 
 def edges(tiled: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): edges that join every pair of distinct fingerprints within ``radius`` into pieces."""
-    left = tiled.select(F.col("pop").alias("p"), F.col("tile").alias("t"), F.col("fps").alias("a"))
-    near = F.explode(F.sequence(F.col("pop") - radius, F.col("pop")))
-    right = tiled.select(near.alias("p"), F.col("pop").alias("p2"), F.col("tile").alias("t2"), F.col("fps").alias("b"))
-    pairs = left.join(right, "p").filter((F.col("p") < F.col("p2")) | (F.col("t") <= F.col("t2")))
-    spread = pairs.select("a", "b").repartition(F.xxhash64("p", "t", "p2", "t2"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = []
             for i in range(batch.num_rows):
                 a, b = (np.asarray(batch.column(k)[i].values, dtype=np.int64).view(np.uint64) for k in (0, 1))
-                x, y = joined_pieces(a, b, radius)
+                x, y = joined_pieces(a, b if len(b) else a, radius)
                 apart = x != y
-                yield pa.RecordBatch.from_arrays([pa.array(v[apart].view(np.int64)) for v in (x, y)], ["a", "b"])
+                if apart.any():
+                    found.append((x[apart].view(np.int64), y[apart].view(np.int64)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*found, strict=True)], ["a", "b"])
 
-    return spread.mapInArrow(run, "a long, b long")
+    return tiled.mapInArrow(run, "a long, b long")
 
 
-def met(rows: DataFrame, small: DataFrame, key: str, by: str, salts: int = SALTS) -> DataFrame:
+def met(rows: DataFrame, small: DataFrame, key: str | list[str], by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
     """``rows`` joined to ``small``, which holds ``key`` once: rows of one key are spread by ``by`` over salts.
 
-    A root with many links thus never meets its label in one task. Labels are those of linked fingerprints alone;
-    the joins over all documents have no step behind them, so adaptive execution splits their hot keys.
+    A key with a third of all rows thus never meets its partner in one task.
     """
+    keys = [key] if isinstance(key, str) else key
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(repeated, [key, "_salt"]).drop("_salt")
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -175,7 +211,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def rooted(firsts: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``firsts``, one row for each distinct ``fp``, with ``root``, the fingerprint that stands for its component."""
-    reach = components(edges(tiles(firsts.select("fp")), radius))
+    reach = components(edges(tiles(firsts.select("fp"), radius), radius))
     return firsts.join(reach.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
@@ -183,11 +219,16 @@ def rooted(firsts: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """key, ``fp`` and ``component_id``, the smallest key that near-duplicate links reach."""
-    known = durable(fingerprints(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), ["key"]))
-    reached = rooted(known.groupBy("fp").agg(F.min("key").alias("first")), radius)
+    given = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    known = durable(fingerprints(given, ["key"]).withColumn("row", F.monotonically_increasing_id()))
+    reached = durable(rooted(known.groupBy("fp").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")), radius))
     lowest = reached.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = reached.join(lowest, "root").select("fp", "component_id")
-    return known.join(named, "fp").select(F.col("key").alias(key), "fp", "component_id")
+    named = met(reached, lowest, "root", "fp").select("fp", "n", "component_id")
+    # Fingerprints of many rows are met over salts; each of the others has few rows.
+    hot = durable(named.filter(F.col("n") > MANY).select("fp", "component_id"))
+    first = met(known, hot, "fp", "row", "left")
+    rest = first.filter("component_id is null").drop("component_id").join(named.filter(F.col("n") <= MANY).select("fp", "component_id"), "fp", "left")
+    return first.filter("component_id is not null").unionByName(rest).select(F.col("key").alias(key), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -228,6 +228,24 @@ def test_simhash_tiles_join_dense_and_chained_groups():
     assert len(x) <= 2 * len(fps)
 
 
+def test_simhash_cells_lose_no_link(spark):
+    r = np.random.default_rng(12)
+    base = r.integers(0, 2**63, 400, dtype=np.uint64)
+    near = [np.uint64(v) ^ np.uint64(sum(1 << int(b) for b in r.choice(64, int(k), replace=False))) for v in base[:200] for k in r.integers(1, 6, 3)]
+    fps = np.unique(np.concatenate((base, np.array(near, np.uint64)))).view(np.int64)
+    comp = brute_groups({int(v) & (2**64 - 1): int(v) & (2**64 - 1) for v in fps})
+    df = spark.createDataFrame([(int(v),) for v in fps], "fp long")
+    for size in (8192, 7):  # with 7, cells are cut into parts and blocks grow
+        reach = {x.node: x.root for x in simhash_dedup.components(simhash_dedup.edges(simhash_dedup.tiles(df, size=size))).collect()}
+        classes = collections.defaultdict(set)
+        for v in fps.tolist():
+            classes[reach.get(v, v)].add(comp[v & (2**64 - 1)])
+        assert all(len(c) == 1 for c in classes.values()) and len(classes) == len(set(comp.values()))
+    for n, blocks, masks in ((10, 5, 5), (10**8, 6, 15), (10**11, 7, 35)):
+        found = simhash_dedup.choices(n)
+        assert len(found) == masks and all(64 // blocks * (blocks - 4) - 1 <= (m & (2**64 - 1)).bit_count() for m in found)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in simhash_dedup.components(links).collect()}
