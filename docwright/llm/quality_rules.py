@@ -4,11 +4,11 @@ Rules vote good (2), bad (0) or abstain (1). Expectation-maximisation over the c
 patterns estimates, for each rule, how it votes on good and on bad documents; the posterior of a
 document's pattern replaces an all-must-pass filter. Only column functions are used: the patterns
 (at most 3 ** len(RULES), whatever the corpus) meet in one row, where nested ``aggregate`` runs
-the iterations.
+the iterations until the posteriors stand still.
 
 Defined results: null text counts as empty; a document without words fails the base rules; extra
-columns are ignored by name except those asked for; equal rows are kept as they are; an empty
-table gives an empty table.
+columns are ignored except those asked for, and one of these with a result's name gives way to it;
+equal rows are kept as they are; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,10 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docwright.functions.text import SPACES, let, sum_of, words
+from docwright.llm.frames import without
 from docwright.plans.durable import durable
 
-ROUNDS = 20
+#: Most rounds of EM, and the greatest change of a posterior at which it stops.
+ROUNDS, TOLERANCE = 100, 1e-6
 SMOOTHING = 1.0
+#: A rule's vote for bad on good documents is taken to be at most this frequent. Without the bound, rules
+#: that see a kind of junk which no other rule sees are outvoted once the iterations run to the end.
+FALSE_ALARM = 0.002
 ACCEPT = 0.5
 #: Patterns start at this probability of being good: without and with a vote for bad.
 START_GOOD, START_BAD = 0.9, 0.1
@@ -111,11 +116,11 @@ def vote(measured: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> Data
     return measured.withColumn("votes", F.concat(*digits))
 
 
-def label_model(votes: DataFrame, n_rules: int = len(RULES), rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, n, p_good): the posterior of each vote pattern after ``rounds`` of EM.
+def label_model(votes: DataFrame, n_rules: int = len(RULES), rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(pattern, n, p_good): the posterior of each vote pattern after EM.
 
     ``votes`` has the column ``votes``. The M-step smooths each rule's vote frequencies by
-    ``SMOOTHING`` a cell.
+    ``SMOOTHING`` a cell and bounds those of votes for bad on good documents by ``FALSE_ALARM``.
     """
     digit = lambda p, j: F.substring(p, j + 1, 1).cast("int")
     patterns = votes.groupBy("votes").agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -137,7 +142,7 @@ def label_model(votes: DataFrame, n_rules: int = len(RULES), rounds: int = ROUND
         return F.aggregate(cells, zero, lambda s, c: s + c.n * (c.p if good else 1 - c.p))
 
     def tables(cells: Column, mass: Column, good: bool) -> Column:
-        """Smoothed log frequency of vote k % 3 of rule k // 3 in one class."""
+        """Log frequency of vote k % 3 of rule k // 3 in one class, smoothed and, for good documents, bounded."""
 
         def cell(k: Column) -> Column:
             rule, wanted = F.floor(k / 3).cast("int"), (k % 3).cast("int")
@@ -145,9 +150,18 @@ def label_model(votes: DataFrame, n_rules: int = len(RULES), rounds: int = ROUND
                 cells, zero,
                 lambda s, c: s + F.when(F.get(c.v, rule) == wanted, c.n * (c.p if good else 1 - c.p)).otherwise(zero),
             )
-            return F.log((hits + SMOOTHING) / (mass + 3 * SMOOTHING))
+            return (hits + SMOOTHING) / (mass + 3 * SMOOTHING)
 
-        return F.transform(F.sequence(F.lit(0), F.lit(3 * n_rules - 1)), cell)
+        def bounded(raw: Column) -> Column:
+            def one(x: Column, k: Column) -> Column:
+                alarm = F.get(raw, (k - k % 3).cast("int"))
+                held = F.least(alarm, F.lit(FALSE_ALARM))
+                return F.log(F.when(k % 3 == 0, held).otherwise(x * (1 - held) / (1 - alarm)))
+
+            return F.transform(raw, one)
+
+        frequencies = F.transform(F.sequence(F.lit(0), F.lit(3 * n_rules - 1)), cell)
+        return let(frequencies, bounded) if good else F.transform(frequencies, lambda x: F.log(x))
 
     def step(cells: Column) -> Column:
         def with_masses(m: Column) -> Column:
@@ -168,18 +182,25 @@ def label_model(votes: DataFrame, n_rules: int = len(RULES), rounds: int = ROUND
         masses = F.struct(total(cells, True).alias("good"), total(cells, False).alias("bad"))
         return let(masses, with_masses)
 
-    fitted = row.select(
-        F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("cells"), lambda cells, _: step(cells)).alias("cells")
-    )
+    def advance(state: Column, _: Column) -> Column:
+        def moved(new: Column) -> Column:
+            changes = F.zip_with(state.cells, new, lambda a, b: F.abs(a.p - b.p))
+            return F.struct(new.alias("cells"), F.aggregate(changes, zero, lambda most, x: F.greatest(most, x)).alias("moved"))
+
+        return F.when(state.moved > tolerance, let(step(state.cells), moved)).otherwise(state)
+
+    start = F.struct(F.col("cells").alias("cells"), F.lit(1.0).alias("moved"))
+    fitted = row.select(F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, advance).getField("cells").alias("cells"))
     return fitted.select(F.inline("cells")).select("pattern", "n", F.col("p").alias("p_good"))
 
 
 def judge(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` of every document with its numbers, votes, posterior and verdict.
+    """The columns ``keep`` of every document with its numbers, votes, posterior and verdicts.
 
-    Two passes would read every text twice, so the numbers are made durable between fitting the
+    ``accepted`` is the method's verdict, the posterior alone; ``kept`` asks for the base rules as well. Two passes would read every text twice, so the numbers are made durable between fitting the
     label model and applying it. The broadcast side has at most 3 ** len(RULES) rows.
     """
+    keep = without(keep, [*BASE, "base_failed", "kept", "accepted", "votes", "p_good"])
     columns = list(dict.fromkeys([*keep, text]))
     picked = docs.select(*[F.col(c).alias(f"d_{c}") for c in columns])
     known = vote(measure(picked, f"d_{text}"))
@@ -191,6 +212,7 @@ def judge(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         *BASE,
         base_failed().alias("base_failed"),
         (~base_failed() & (F.col("p_good") >= ACCEPT)).alias("kept"),
+        (F.col("p_good") >= ACCEPT).alias("accepted"),
         "votes",
         "p_good",
     )
