@@ -63,7 +63,9 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"]))
+    """Documents name no repository; a source's documents of one language stand for one."""
+    repository = F.concat_ws("/", "source", "lang")
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"], repository=repository))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Secret scan with corpus-wide ownership frequency.
 
-Patterns give candidate spans; the hash of every candidate value is counted by distinct texts and
-distinct owners over the whole corpus. A value that many owners or texts share is a copied example;
-others look live. Base kinds are always listed with their class; the further kinds, which are
+Patterns give candidate spans; the hash of every candidate value is counted by distinct owners,
+distinct repositories and distinct texts over the whole corpus. A value that many owners share, or
+several owners in many repositories, or very many texts, is a copied example; one owner's value looks
+live in however many of that owner's repositories it stands. Base kinds are always listed with their class; the further kinds, which are
 looser, are listed where the value looks live, and apart where not. Column functions only.
 
-Defined results: null text is empty; null owners count as one owner; equal rows are scanned as
+Defined results: null text is empty; null owners count as one owner, null repositories as none; equal rows are scanned as
 separate rows; documents without a hit give zero counts and empty span lists; an empty table gives
-an empty table; extra columns are ignored.
+an empty table; extra columns are ignored, and a kept column with a result's name gives way to it.
 
 Spans are in code points, end exclusive. ``split`` and ``regexp_extract_all`` walk the same
 matches, so the running sum of gaps and match lengths gives the positions.
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docwright.llm.frames import without
 from docwright.plans.durable import durable
 
 #: Kind, pattern, group that holds the value, least characters of the value.
@@ -42,8 +44,8 @@ MORE_KINDS = [
     ("url_login", r"://[^\x20\x09-\x0D/:@]+:([^\x20\x09-\x0D/:@]+)@", 1, 6),
 ]
 KINDS = [*BASE_KINDS, *MORE_KINDS]
-#: A value held by this many owners, or by this many different texts of any owners, is an example.
-EXAMPLE_OWNERS, EXAMPLE_DOCS = 4, 100
+#: A value held by this many owners, or by two owners in this many repositories, or by this many different texts of any owners, is an example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, EXAMPLE_DOCS = 4, 8, 100
 
 
 def _hits(text: Column, kind: int) -> Column:
@@ -81,8 +83,8 @@ def has_candidates(text: str = "text") -> Column:
     return found
 
 
-def candidates(docs: DataFrame, keep: list[str], owner: str = "source", text: str = "text") -> DataFrame:
-    """One row a document: a row id, ``k_<column>`` for ``keep``, the owner and its pattern hits.
+def candidates(docs: DataFrame, keep: list[str], owner: str = "source", text: str = "text", repository: Column | None = None) -> DataFrame:
+    """One row a document: a row id, ``k_<column>`` for ``keep``, the owner, the repository and its pattern hits.
 
     Made durable, so that texts are read once and row ids stay as they are.
     """
@@ -92,48 +94,54 @@ def candidates(docs: DataFrame, keep: list[str], owner: str = "source", text: st
             *[F.col(c).alias(f"k_{c}") for c in keep],
             F.xxhash64(_text(text)).alias("text_key"),
             F.col(owner).alias("owner"),
+            (F.lit(None) if repository is None else repository).cast("string").alias("repository"),
             F.concat(*[_hits(_text(text), k) for k in range(len(KINDS))]).alias("hits"),
         )
     )
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(h, n_owners, n_docs) of candidate hashes; copies of one text are one of ``n_docs``.
+    """(h, n_owners, n_repositories, n_docs) of candidate hashes; copies of one text are one of ``n_docs``.
 
     Distinct rows are counted before the last shuffle, so that no hash is hot.
     """
     held = spans.filter("ok")
-    owners = held.select("h", "owner").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n_owners"))
-    texts = held.select("h", "text_key").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"))
-    return owners.join(texts, "h")
 
+    def distinct(column: str, name: str) -> DataFrame:
+        return held.select("h", column).distinct().groupBy("h").agg(F.count(F.lit(1) if column == "owner" else F.col(column)).alias(name))
 
-def scan(docs: DataFrame, keep: list[str], owner: str = "source", text: str = "text") -> DataFrame:
+    return distinct("owner", "n_owners").join(distinct("repository", "n_repositories"), "h").join(distinct("text_key", "n_docs"), "h")
+
+
+def scan(docs: DataFrame, keep: list[str], owner: str = "source", text: str = "text", repository: Column | None = None) -> DataFrame:
     """One row a document: ``keep``, ``text_key`` and ``found``, an array of spans in order.
 
-    A span has start, kind (index into ``KINDS``), end, n_owners, n_docs and live. Examples are among
-    them, not live.
+    A span has start, kind (index into ``KINDS``), end, n_owners, n_repositories, n_docs and live.
+    Examples are among them, not live. ``repository`` names the repository of a row, such as a prefix
+    of its path or address.
     """
-    rows = candidates(docs, keep, owner, text)
+    keep = without(keep, ["text_key", "found"])
+    rows = candidates(docs, keep, owner, text, repository)
     names = [f"k_{c}" for c in keep]
     each = rows.filter(F.size("hits") > 0).select(
-        "rid", *names, "text_key", "owner", F.posexplode("hits").alias("pos", "hit")
+        "rid", *names, "text_key", "owner", "repository", F.posexplode("hits").alias("pos", "hit")
     )
     walked = Window.partitionBy("rid", "hit.kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     placed = each.select(
-        "rid", *names, "text_key", "owner", "hit.*", F.sum(F.col("hit.gap") + F.col("hit.len")).over(walked).alias("end")
+        "rid", *names, "text_key", "owner", "repository", "hit.*", F.sum(F.col("hit.gap") + F.col("hit.len")).over(walked).alias("end")
     )
     counted = placed.join(ownership(placed), "h", "left")
-    live = (F.col("n_owners") < EXAMPLE_OWNERS) & (F.col("n_docs") < EXAMPLE_DOCS)
+    scattered = (F.col("n_owners") > 1) & (F.col("n_repositories") >= EXAMPLE_REPOSITORIES)
+    live = (F.col("n_owners") < EXAMPLE_OWNERS) & ~scattered & (F.col("n_docs") < EXAMPLE_DOCS)
     span = F.struct(
-        (F.col("end") - F.col("len")).alias("start"), "kind", "end", "n_owners", "n_docs", live.alias("live")
+        (F.col("end") - F.col("len")).alias("start"), "kind", "end", "n_owners", "n_repositories", "n_docs", live.alias("live")
     )
     found = counted.groupBy("rid", *names, "text_key").agg(
         F.sort_array(F.collect_list(F.when(F.col("ok"), span))).alias("found")
     )
     empty = F.array().cast(found.schema["found"].dataType)
-    without = rows.filter(F.size("hits") == 0).select("rid", *names, "text_key", empty.alias("found"))
-    return found.unionByName(without).select(*[F.col(f"k_{c}").alias(c) for c in keep], "text_key", "found")
+    bare = rows.filter(F.size("hits") == 0).select("rid", *names, "text_key", empty.alias("found"))
+    return found.unionByName(bare).select(*[F.col(f"k_{c}").alias(c) for c in keep], "text_key", "found")
 
 
 def _listed(spans: Column) -> Column:
@@ -158,8 +166,9 @@ def digest(scanned: DataFrame) -> DataFrame:
     flagged = F.filter("found", lambda s: ~s.live & (s.kind >= len(BASE_KINDS)))
     listed = F.filter("found", lambda s: s.live | (s.kind < len(BASE_KINDS)))
     count = lambda keep: F.size(F.filter("found", keep)).cast("bigint")
+    made = [*[f"n_{KINDS[k][0]}" for k in range(len(BASE_KINDS))], "base_sha256", "spans", "n_live", "n_example", "example_spans"]
     return scanned.select(
-        *[F.col(c) for c in scanned.columns if c not in ("text_key", "found")],
+        *[F.col(c) for c in without(scanned.columns, ["text_key", "found", *made])],
         *[count(_is_kind(k)).alias(f"n_{KINDS[k][0]}") for k in range(len(BASE_KINDS))],
         F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(listed).alias("spans"),
@@ -169,15 +178,17 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", owner: str = "source", key: str = "doc_id") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", owner: str = "source", key: str = "doc_id", repository: Column | None = None) -> DataFrame:
     """``docs`` with every span of ``text``, example or live, replaced by ``mark``; ``n_chars`` follows.
 
     Only documents with a pattern hit meet their spans in a join; the other texts aren't moved.
     Overlapping spans get one mark.
     """
-    scanned = scan(docs, [key], owner).filter(F.size("found") > 0).dropDuplicates([key, "text_key"])
+    given = docs.withColumn("_repository", F.lit(None) if repository is None else repository)
+    named = given.select(F.col(key).alias("_key"), F.col(owner).alias("_owner"), "text", "_repository")
+    scanned = scan(named, ["_key"], "_owner", repository=F.col("_repository")).filter(F.size("found") > 0).dropDuplicates(["_key", "text_key"])
     touched, rest = docs.filter(has_candidates()), docs.filter(~has_candidates())
-    spans = scanned.select(F.col(key).alias("_key"), "text_key", "found")
+    spans = scanned.select("_key", "text_key", "found")
     held = touched.select(F.struct(*docs.columns).alias("_doc"), F.col(key).alias("_id"), "text", F.xxhash64(_text("text")).alias("_text_key"))
     joined = held.join(spans, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_text_key") == F.col("text_key")), "left")
     start = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast("array<string>").alias("parts"))
