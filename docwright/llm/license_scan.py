@@ -7,7 +7,7 @@ follow one another among the recognised sentences. Column functions only.
 
 Defined results: null or empty text has no sentence and no licence; equal rows are kept; a rule is
 listed once a document, in rule order; an empty table gives an empty table; extra columns are
-ignored.
+ignored, and a kept column with a result's name gives way to it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docwright.llm.frames import without
+
 #: Identifier and sentence, as the public licence texts and notices have them.
 SENTENCES = [
     ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
@@ -66,8 +68,27 @@ RULES = [
 #: Sentences and rules beside those of the SQL. A rule that begins like one of these gets what these leave.
 MORE_SENTENCES = [
     ("bsd-endorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("gpl2-free", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("lgpl21-free", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("lgpl3-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("lgpl-hope", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("lgpl-details", "See the GNU Lesser General Public License for more details."),
+    ("agpl3-free", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("agpl-details", "See the GNU Affero General Public License for more details."),
+    ("mpl-subject", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("isc-grant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("unlicense-domain", "This is free and unencumbered software released into the public domain."),
 ]
-MORE_RULES = [("BSD-3-Clause", "permissive", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"])]
+MORE_RULES = [
+    ("BSD-3-Clause", "permissive", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("GPL-2.0", "copyleft", ["gpl2-free"]),
+    ("LGPL-2.1", "copyleft", ["lgpl21-free"]),
+    ("LGPL-3.0", "copyleft", ["lgpl3-free"]),
+    ("AGPL-3.0", "copyleft", ["agpl3-free"]),
+    ("MPL-2.0", "copyleft", ["mpl-subject"]),
+    ("ISC", "permissive", ["isc-grant"]),
+    ("Unlicense", "permissive", ["unlicense-domain"]),
+]
 #: Part of a known sentence that names a holder, with the words that may stand in its place.
 HOLDER, ANY_HOLDER = "the copyright holder", "[^\x01]{1,200}?"
 #: The sentence that belongs to a copyright line where a licence follows it.
@@ -131,6 +152,7 @@ def scan(
     The class is the strictest of the matched rules: restricted, copyleft, permissive or none. Rights
     reserved directly before a licence are part of its copyright line and restrict nothing.
     """
+    keep = without(keep, ["n_known", "sentence_ids", "licenses", "license_class"])
     picked = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], recognised(F.col(text)).alias("ids"))
     granting = "|".join(" ".join(ids) for _, kind, ids in rules if kind != "restricted")
     joined = F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" "))

@@ -10,7 +10,7 @@ host is dealt to ``SALTS`` tasks.
 Defined results: null or unparsable URLs have no host and are never blocked; a null fetch day is
 never blocked; of an entry's events on one day the last ``seq`` holds; of several active entries
 the longest wins, ties to the smaller entry and category; equal rows are kept; empty lists or
-tables block nothing; extra columns are ignored.
+tables block nothing; extra columns are ignored, and a kept column with a result's name gives way to it.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docwright.llm.frames import without
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/?([^?#]*)"
 FOREVER = "9999-12-31"
@@ -69,6 +71,7 @@ def host_of(url: Column) -> Column:
 
 def judge(captures: DataFrame, events: DataFrame, keep: list[str], url: str = "url", day: str = "fetch_day") -> DataFrame:
     """``keep``, host, day, ``blocked``, and the entry and category that block each capture."""
+    keep = without(keep, ["host", day, "blocked", "entry", "category"])
     seen = captures.select(
         *[F.col(c).alias(f"k_{c}") for c in keep],
         host_of(F.col(url)).alias("host"), F.regexp_extract(url, PATH, 1).alias("path"), F.col(day).alias("day"),
