@@ -6,7 +6,7 @@ document's pattern replaces an all-must-pass filter. Only column functions are u
 (at most 3 ** len(RULES), whatever the corpus) meet in one row, where nested ``aggregate`` runs
 the iterations until the posteriors stand still.
 
-Defined results: null text counts as empty; a document without words fails the base rules; extra
+Defined results: null text counts as empty; a document without words fails the base rules and isn't accepted; extra
 columns are ignored except those asked for, and one of these with a result's name gives way to it;
 equal rows are kept as they are; an empty table gives an empty table.
 """
@@ -197,7 +197,7 @@ def label_model(votes: DataFrame, n_rules: int = len(RULES), rounds: int = ROUND
 def judge(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` of every document with its numbers, votes, posterior and verdicts.
 
-    ``accepted`` is the method's verdict, the posterior alone; ``kept`` asks for the base rules as well. Two passes would read every text twice, so the numbers are made durable between fitting the
+    ``accepted`` is the method's verdict on documents with words, the posterior alone; ``kept`` asks for the base rules as well. Two passes would read every text twice, so the numbers are made durable between fitting the
     label model and applying it. The broadcast side has at most 3 ** len(RULES) rows.
     """
     keep = without(keep, [*BASE, "base_failed", "kept", "accepted", "votes", "p_good"])
@@ -212,7 +212,7 @@ def judge(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
         *BASE,
         base_failed().alias("base_failed"),
         (~base_failed() & (F.col("p_good") >= ACCEPT)).alias("kept"),
-        (F.col("p_good") >= ACCEPT).alias("accepted"),
+        ((F.col("n_words") > 0) & (F.col("p_good") >= ACCEPT)).alias("accepted"),
         "votes",
         "p_good",
     )

@@ -273,10 +273,8 @@ def test_quality_numbers_and_verdicts(docs, hard):
             assert r.kept == (not r.base_failed and r.p_good >= 0.5)
 
 
-def test_quality_model_is_plain_em(docs):
-    voted = quality_rules.vote(quality_rules.measure(docs.select("doc_id", "text")))
-    got = {r.pattern: r.p_good for r in quality_rules.label_model(voted).collect()}
-    n = collections.Counter(r.votes for r in voted.select("votes").collect())
+def plain_em(n):
+    """Posterior of each vote pattern, from the patterns' counts."""
     p = {v: 0.1 if "0" in v else 0.9 for v in n}
     for _ in range(quality_rules.ROUNDS):
         mass = {c: sum(n[v] * (p[v] if c else 1 - p[v]) for v in n) for c in (0, 1)}
@@ -293,6 +291,13 @@ def test_quality_model_is_plain_em(docs):
             break
     else:
         raise AssertionError("no convergence")
+    return p
+
+
+def test_quality_model_is_plain_em(docs):
+    voted = quality_rules.vote(quality_rules.measure(docs.select("doc_id", "text")))
+    got = {r.pattern: r.p_good for r in quality_rules.label_model(voted).collect()}
+    p = plain_em(collections.Counter(r.votes for r in voted.select("votes").collect()))
     assert set(got) == set(p)
     assert all(abs(got[v] - p[v]) < 1e-9 for v in p)
 
@@ -731,10 +736,77 @@ def test_pipeline_quality_and_secrets_carry_clashing_columns(spark):
     bag = lambda d: collections.Counter(map(tuple, d.collect()))
     held = {name: stage for name, stage in corpus_pipeline.STAGES}
     kept = held["quality"](spark, df, "")
-    good = quality_rules.judge(df.select(F.monotonically_increasing_id().alias("n"), "text"), ["n", "text"]).filter("kept")
+    good = quality_rules.judge(df.select(F.monotonically_increasing_id().alias("n"), "text"), ["n", "text"]).filter("accepted")
     assert kept.columns == df.columns
     assert collections.Counter(x.text for x in kept.collect()) == collections.Counter(x.text for x in good.collect())
     assert set(bag(kept)) <= set(rows)
     clean = held["secrets"](spark, df, "")
     mark = said[0].replace("password = hunter22shared", "[SECRET]")
     assert bag(clean) == collections.Counter([(*rows[0][:1], mark, *rows[0][2:4], len(mark), *rows[0][5:]), *rows[1:]])
+
+
+INNER = (
+    "n_words kept votes p_good accepted found text_key _key doc key h1 h2 fp root first _doc size target part passes place shard n_tokens _bytes _text row "
+    "component_id block rest hits rid owner repository _take _taken _rank n c_n ids_sha256 _owner _repository _id _text_key last _salt d_text k_key"
+).split()
+
+
+def said(r, n=90):
+    return " ".join("".join(r.choice(list("abcdefgh"), r.integers(3, 8))) for _ in range(n)).capitalize() + ".\n" + "".join(r.choice(list("klmnop"), 6)) + " ends here."
+
+
+def test_pipeline_stage_by_stage_against_brute_force(spark, tmp_path, library):
+    import corpus_pipeline
+
+    enc, _ = library
+    r = np.random.default_rng(21)
+    texts = [said(r) for _ in range(40)]
+    texts += [texts[3], texts[3], texts[4].upper(), None, "", "junk # $ % & | " * 40, "same same same " * 60, texts[5] + " password = hunter22only", "short one."]
+    rows = [(None if i % 7 == 0 else i, t, "en", None if i % 5 == 0 else f"s{i % 3}", 0 if t is None else len(t), *["x"] * len(INNER)) for i, t in enumerate(texts)]
+    rows += [rows[8], rows[8]]
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in INNER)
+    spark.createDataFrame(rows, ddl).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    tables, at = [spark.read.parquet(str(tmp_path / "documents.parquet"))], {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, tables[-1], str(tmp_path)).write.parquet(str(tmp_path / name))
+        tables.append(spark.read.parquet(str(tmp_path / name)))
+        at[name] = [tuple(x) for x in tables[-1].collect()]
+    assert all(t.columns == tables[0].columns for t in tables[:-1])
+    voted = quality_rules.vote(quality_rules.measure(tables[0].select("text"))).select("text", "votes").collect()
+    p = plain_em(collections.Counter(x.votes for x in voted))
+    accepted = collections.Counter(x.text for x in voted if p[x.votes] >= 0.5 and WORD.search(x.text or ""))
+    assert collections.Counter(x[1] for x in at["quality"]) == accepted
+    assert not collections.Counter(at["quality"]) - collections.Counter(rows)
+    assert sum(accepted[t] for t in texts[:40]) >= 40
+    groups = brute_groups({i: brute_fingerprint(x[1]) for i, x in enumerate(at["quality"])})
+    member = collections.defaultdict(set)
+    for i, x in enumerate(at["quality"]):
+        member[groups[i]].add(x)
+    assert sorted(groups[at["quality"].index(x)] for x in at["near_dedup"]) == sorted(member)
+    for x in at["near_dedup"]:
+        mine = member[groups[at["quality"].index(x)]]
+        assert x in mine and (x[0] is None) == all(y[0] is None for y in mine) and (x[0] is None or x[0] == min(y[0] for y in mine if y[0] is not None))
+    clean = {x[5:] + x[:1] + (x[1].split("[SECRET]")[0][:60],): x for x in at["secrets"]}
+    assert len(at["secrets"]) == len(at["near_dedup"]) == len(clean)
+    for x in at["near_dedup"]:
+        y = clean[x[5:] + x[:1] + (x[1][:60],)]
+        assert y[1] == re.sub("password = hunter22only", "[SECRET]", x[1]) and y[4] == len(y[1])
+    sizes, took, words = collections.Counter(), collections.Counter(), {}
+    for x in at["secrets"]:
+        sizes[x[3]] += len(WORD.findall(x[1]))
+        words[x[0], x[1]] = x
+    for x in at["mix"]:
+        took[x[3]] += len(WORD.findall(x[1]))
+        assert any(a[0] == x[0] and a[1].startswith(x[1]) for a in at["secrets"])
+    for s, target in brute_targets(dict(sizes)).items():
+        assert abs(took[s] - target) <= 16
+    digest = lambda t: (len(enc.encode_ordinary(t)), hashlib.sha256(" ".join(map(str, enc.encode_ordinary(t))).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+    assert collections.Counter(at["encode"]) == collections.Counter((x[0], x[3], *digest(x[1])) for x in at["mix"])
+    assert collections.Counter(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == collections.Counter(at["encode"])
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
