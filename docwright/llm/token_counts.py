@@ -2,10 +2,10 @@
 
 Texts are split into pre-tokens, and documents are gathered in chunks of about ``CHUNK_BYTES``. A
 chunk holds its distinct pre-tokens once, with codes, and for each document the codes and their
-frequencies, packed. The pieces of every distinct pre-token of the corpus are counted once; the
-counts are joined to the chunks' pre-tokens, gathered by chunk and joined to the documents'
-frequencies, and frequency times pieces is summed a document. Ids are never made, and the rows that
-move are the distinct pre-tokens of chunks, not of documents.
+frequencies, packed. Equal pre-tokens of all chunks meet, sorted, and the pieces of each are counted
+once; the counts are gathered by chunk, packed, and joined to the documents' frequencies, and
+frequency times pieces is summed a document. Ids are never made, and the rows that move are the
+distinct pre-tokens of chunks, not of documents.
 
 Defined results: null text is empty and counts 0; special strings in a text are one token each, as
 the library has it; bytes that are no UTF-8 count as U+FFFD; equal rows are kept; extra columns are
@@ -33,7 +33,9 @@ from docwright.plans.durable import stored
 
 LIMIT = 1024
 #: Bytes of text in a chunk, and pre-tokens counted in one call of the library.
-CHUNK_BYTES, CALL = 16 << 20, 4096
+CHUNK_BYTES, CALL = 32 << 20, 4096
+#: Rows of counted pre-tokens that are packed by chunk at once.
+PACKED = 1 << 18
 
 
 class Splitter:
@@ -70,9 +72,9 @@ def tokenizer(path: str) -> Tokenizer:
     return made
 
 
-def packed(codes: np.ndarray, counts: np.ndarray) -> bytes:
-    """Codes and frequencies as compressed planes of bytes."""
-    planes = np.concatenate((codes, counts)).astype("<u4").view(np.uint8).reshape(-1, 4).T
+def packed(first: np.ndarray, second: np.ndarray) -> bytes:
+    """Two lists of numbers below 2 ** 32 as compressed planes of bytes."""
+    planes = np.concatenate((first, second)).astype("<u4").view(np.uint8).reshape(-1, 4).T
     return pa.compress(np.ascontiguousarray(planes).tobytes(), "zstd", asbytes=True)
 
 
@@ -92,49 +94,85 @@ def chunked(docs: DataFrame, keep: list[str], text: str, path: str, pattern: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = splitter(path, pattern)
+        coded: dict[str, int] = {}
+        steps: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        rows: list[pa.StructArray] = []
+        total = 0
+
+        def whole() -> pa.RecordBatch:
+            held = pa.concat_arrays(rows)
+            pairs = packed(np.concatenate(steps), np.concatenate(counts))
+            made = [pa.array([list(coded)], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held), pa.array([pairs], pa.binary())]
+            for x in (coded, steps, counts, rows):
+                x.clear()
+            return pa.RecordBatch.from_arrays(made, schema.names)
+
         for batch in batches:
             column, at = batch.column(batch.num_columns - 1), 0
             while at < batch.num_rows:
-                coded: dict[str, int] = {}
-                codes, counts, n_bytes, n_special, n_pairs, total, first = [], [], [], [], [], 0, at
-                while at < batch.num_rows and (at == first or total < size):
+                first, numbers = at, []
+                while at < batch.num_rows and (total < size or not numbers):
                     given = column[at].as_py()
                     pieces, special = own.split(as_text(given))
                     met = collections.Counter(pieces)
-                    codes += [coded.setdefault(p, len(coded)) for p in met]
-                    counts += met.values()
-                    n_bytes.append(len(given))
-                    n_special.append(special)
-                    n_pairs.append(len(met))
+                    codes = np.fromiter((coded.setdefault(p, len(coded)) for p in met), np.int64, len(met))
+                    order = np.argsort(codes)
+                    steps.append(np.diff(codes[order], prepend=0))
+                    counts.append(np.fromiter(met.values(), np.int64, len(met))[order])
+                    numbers.append((len(given), special, len(met)))
                     total += len(given)
                     at += 1
-                rows = pa.StructArray.from_arrays(
-                    [*[c.slice(first, at - first) for c in batch.columns[:-1]], *[pa.array(x, pa.int64()) for x in (n_bytes, n_special, n_pairs)]],
-                    names=doc.names,
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([list(coded)], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, at - first], pa.int32()), rows),
-                        pa.array([packed(np.array(codes, np.int64), np.array(counts, np.int64))], pa.binary()),
-                    ],
-                    schema.names,
-                )
+                kept = [c.slice(first, at - first) for c in batch.columns[:-1]]
+                rows.append(pa.StructArray.from_arrays([*kept, *[pa.array(x, pa.int64()) for x in zip(*numbers, strict=True)]], names=doc.names))
+                if total >= size:
+                    yield whole()
+                    total = 0
+        if rows:
+            yield whole()
 
     return stored(picked.mapInArrow(run, schema).select(F.monotonically_increasing_id().alias("chunk"), "*"))
 
 
-def piece_counts(distinct: DataFrame, path: str) -> DataFrame:
-    """(token, pieces) of distinct pre-tokens."""
+def piece_counts(tokens: DataFrame, path: str) -> DataFrame:
+    """(chunk, n, coded): packed codes and numbers of pieces, from (chunk, code, token).
+
+    Equal pre-tokens stand side by side in one task, so each is counted once.
+    """
+    met = tokens.repartition("token").sortWithinPartitions("token")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, CALL):
-                part = batch.column(0).slice(at, CALL)
-                n = [len(e.ids) for e in own.encode_batch_fast(part.to_pylist(), add_special_tokens=False)]
-                yield pa.RecordBatch.from_arrays([part, pa.array(n, pa.int32())], ["token", "pieces"])
+        last, held, waiting = (None, 0), [], 0
 
-    return distinct.mapInArrow(run, "token string, pieces int")
+        def flush() -> Iterator[pa.RecordBatch]:
+            chunk, code, pieces = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(chunk, kind="stable")
+            named, begin = np.unique(chunk[order], return_index=True)
+            parts = np.split(order, begin[1:])
+            made = [packed(code[p], pieces[p]) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array(named), pa.array([len(p) for p in parts], pa.int64()), pa.array(made, pa.binary())], ["chunk", "n", "coded"])
+
+        for batch in batches:
+            coded = batch.column(2).dictionary_encode()
+            distinct = coded.dictionary.to_pylist()
+            fresh = [t for t in distinct if t != last[0]]
+            found = []
+            for at in range(0, len(fresh), CALL):
+                found += [len(e.ids) for e in own.encode_batch_fast(fresh[at : at + CALL], add_special_tokens=False)]
+            known = dict(zip(fresh, found, strict=True)) | {last[0]: last[1]}
+            n = np.array([known[t] for t in distinct], np.int64)
+            if distinct:
+                last = distinct[-1], known[distinct[-1]]
+            held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1)), n[np.asarray(coded.indices)]))
+            waiting += batch.num_rows
+            if waiting >= PACKED:
+                yield from flush()
+                held, waiting = [], 0
+        if held:
+            yield from flush()
+
+    return met.mapInArrow(run, "chunk long, n long, coded binary")
 
 
 def count_tokens(
@@ -148,9 +186,8 @@ def count_tokens(
     keep = without(keep, ["n_bytes", "n_tokens", "over_limit"])
     chunks = chunked(docs, keep, text, path, pattern, chunk)
     tokens = chunks.select("chunk", F.posexplode("tokens").alias("code", "token"))
-    counted = tokens.join(piece_counts(tokens.select("token").distinct(), path), "token")
-    by_chunk = counted.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("code", "pieces"))).alias("coded"))
-    joined = chunks.select("chunk", "docs", "pairs").join(by_chunk, "chunk", "left").select("docs", "pairs", F.col("coded.pieces").alias("pieces"))
+    by_chunk = piece_counts(tokens, path).groupBy("chunk").agg(F.collect_list(F.struct("n", "coded")).alias("coded"))
+    joined = chunks.select("chunk", "docs", "pairs", F.size("tokens").alias("n_tokens")).join(by_chunk, "chunk", "left").select("docs", "pairs", "coded", "n_tokens")
     more = T.StructType.fromDDL("n_bytes bigint, n_tokens bigint, over_limit boolean")
     schema = T.StructType([*docs.select(*keep).schema.fields, *more.fields])
 
@@ -159,8 +196,15 @@ def count_tokens(
             for i in range(batch.num_rows):
                 *kept, n_bytes, n_special, n_pairs = batch.column(0)[i].values.flatten()
                 pairs = np.asarray(n_pairs)
-                code, frequency = unpacked(batch.column(1)[i].as_py(), int(pairs.sum()))
-                each = np.asarray(batch.column(2)[i].values)[code] * frequency if len(code) else np.zeros(0, np.int64)
+                step, frequency = unpacked(batch.column(1)[i].as_py(), int(pairs.sum()))
+                run_of, begin = np.cumsum(step), np.cumsum(pairs) - pairs
+                before = np.concatenate(([0], run_of))[begin]
+                code = run_of - np.repeat(before, pairs)
+                pieces = np.zeros(batch.column(3)[i].as_py(), np.int64)
+                for part in batch.column(2)[i].as_py() or []:
+                    at, n = unpacked(part["coded"], part["n"])
+                    pieces[at] = n
+                each = pieces[code] * frequency
                 sums, ends = np.concatenate(([0], np.cumsum(each))), np.cumsum(pairs)
                 n = sums[ends] - sums[ends - pairs] + np.asarray(n_special)
                 yield pa.RecordBatch.from_arrays([*kept, n_bytes, pa.array(n, pa.int64()), pa.array(n > limit, pa.bool_())], schema.names)
