@@ -48,7 +48,7 @@ LADDER, SAMPLE_RECALL = [1, 3, 9, 27, 81, 160, 243, 320, 400, 480, 600, 729, 900
 #: Everything fitted comes from this many rows, those with the smallest hash of their id, and this many of them as queries.
 SAMPLE_ROWS, SAMPLE_QUERIES = 4096, 192
 #: Most vectors and most queries of a shelf in one block, on average.
-BLOCK_VECTORS, BLOCK_QUERIES = 16384, 1024
+BLOCK_VECTORS, BLOCK_QUERIES = 2048, 1024
 SEED = 7
 
 
