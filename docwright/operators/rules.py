@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docwright.functions.text import let
+
 #: Tag and keywords.
 TAGS = {
     "positive": ["success", "successful", "normal", "ok", "succeed", "正确", "成功"],
@@ -32,19 +35,23 @@ PRIMARY = ["idempotency", "rollback", "boundary", "validation", "timeout", "nega
 LOOSE = re.compile(r"[一-鿿\s_-]")
 
 
-def tag_pattern(keywords: list[str]) -> str:
-    """One pattern a tag: loose keywords anywhere, the others as whole words."""
-    whole = [k for k in keywords if not LOOSE.search(k)]
-    loose = [k for k in keywords if LOOSE.search(k)]
-    parts = [rf"(?:^|[^\p{{L}}\p{{N}}_])(?:{'|'.join(whole)})(?:$|[^\p{{L}}\p{{N}}_])"] if whole else []
-    return "|".join([*parts, *loose])
+def holds_keyword(low: Column, keywords: list[str]) -> Column:
+    """Whether a lower-case text holds a keyword: loose ones anywhere, the others as whole words.
+
+    A plain search comes first; the edges of words are looked at only in texts that pass it.
+    """
+    either = lambda some: functools.reduce(lambda x, y: x | y, [low.contains(k) for k in some])
+    whole, loose = [k for k in keywords if not LOOSE.search(k)], [k for k in keywords if LOOSE.search(k)]
+    edged = rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(whole)})(?![\p{{L}}\p{{N}}_])"
+    found = either(loose) if loose else F.lit(False)
+    return found | (either(whole) & low.rlike(edged)) if whole else found
 
 
 def tags_of(text: Column, tags: dict[str, list[str]] = TAGS) -> Column:
     """Sorted tags whose keywords occur in the text; ``unclassified`` if none does."""
-    low = F.lower(text)
-    found = F.array_compact(F.array(*[F.when(low.rlike(tag_pattern(words)), tag) for tag, words in sorted(tags.items())]))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("unclassified")))
+    named = lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("unclassified")))
+    found = lambda low: F.array_compact(F.array(*[F.when(holds_keyword(low, words), tag) for tag, words in sorted(tags.items())]))
+    return let(F.lower(text), lambda low: let(found(low), named))
 
 
 def primary_tag(tags: Column, preferred: list[str] = PRIMARY) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docwright.operators.rules import PRIMARY, TAGS, tag_pattern
+from docwright.operators.rules import LOOSE, PRIMARY, TAGS
 
 NL = "chr(10)"
 HEADING = "^[A-Z][^.]{0,40}$"
@@ -12,6 +12,15 @@ PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
 SNAPSHOTS = """a AS (SELECT c_custkey, c_mktsegment, sha1(c_mktsegment) AS digest, c_custkey + 1 AS number FROM customer WHERE c_custkey % 3 <> 0),
 b AS (SELECT c_custkey, s AS c_mktsegment, sha1(s) AS digest
   FROM (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'NEW' ELSE c_mktsegment END AS s FROM customer WHERE c_custkey % 4 <> 0))"""
+
+
+def tag_pattern(keywords: list[str]) -> str:
+    """One pattern a tag: loose keywords anywhere, the others as whole words."""
+    whole = "|".join(k for k in keywords if not LOOSE.search(k))
+    parts = [rf"(?:^|[^\p{{L}}\p{{N}}_])(?:{whole})(?:$|[^\p{{L}}\p{{N}}_])"] if whole else []
+    return "|".join([*parts, *(k for k in keywords if LOOSE.search(k))])
+
+
 _FOUND = ", ".join(f"CASE WHEN regexp_matches(lower(text), '{tag_pattern(w)}') THEN '{tag}' END" for tag, w in sorted(TAGS.items()))
 TAGGED = f"""f AS (SELECT doc_id, lang, list_filter([{_FOUND}], lambda x: x IS NOT NULL) AS found FROM documents),
 g AS (SELECT doc_id, lang, CASE WHEN len(found) > 0 THEN found ELSE ['unclassified'] END AS tags FROM f)"""
