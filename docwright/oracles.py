@@ -54,9 +54,6 @@ ORACLES = {
         SELECT page_id, split_part(pair, '=', 1) AS name, arg_max(regexp_extract(pair, '=(.*)$', 1), pos) AS value FROM e GROUP BY 1, 2""",
     "f12_context_window": """SELECT doc_id, substr(text, greatest(1, n - 70), 140) AS context FROM
         (SELECT doc_id, text, strpos(lower(text), 'license') AS n FROM documents) WHERE n > 0""",
-    "f13_page_markdown": f"""SELECT page_id, title, '# ' || title || {NL} || {NL} || body AS markdown FROM (SELECT page_id,
-        regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, trim(regexp_replace(regexp_replace(regexp_replace({_STRIPPED},
-        '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS body FROM pages)""",
     "f16_account_stamp": """SELECT c_custkey, rpad(substr(regexp_replace(lower(c_mktsegment), '[^a-z]', '', 'g'), 1, 3), 3, 'x') || '260817' AS account FROM customer""",
     "f18_decimal_boundary": """SELECT p_partkey, '100.' || substr('123456789123456789', 1, p_size % 9) AS valid,
         '100.' || substr('123456789123456789', 1, p_size % 9 + 1) AS invalid FROM part""",

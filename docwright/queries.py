@@ -110,17 +110,6 @@ def f12_context_window(t, spark):
     return t("documents").filter(at > 0).select("doc_id", F.substring("text", F.greatest(F.lit(1), at - 70), F.lit(140)).alias("context"))
 
 
-@query
-def f13_page_markdown(t, spark):
-    body = F.col("html")
-    for tag in ("script", "style", "nav", "footer", "aside"):
-        body = F.regexp_replace(body, f"(?is)<{tag}[ >].*?</{tag}>", " ")
-    body = F.regexp_replace(F.regexp_replace(body, "(?s)<!--.*?-->", " "), "<[^>]*>", " ")
-    text = F.btrim(F.regexp_replace(body, "[ \t\r\n]+", " "))
-    title = F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1)
-    return t("pages").select("page_id", title.alias("title"), F.concat(F.lit("# "), title, F.lit("\n\n"), text).alias("markdown"))
-
-
 @query
 def f16_account_stamp(t, spark):
     return t("customer").select("c_custkey", fields.account(F.col("c_mktsegment"), "2026-08-17").alias("account"))
