@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docwright.operators import baselines, pages, parameter_cases, routing, validation
+from docwright.operators import baselines, drafts, pages, parameter_cases, routing, validation
 from docwright.operators.generation import NEGATIVE
 from docwright.oracles import ORACLES
 from docwright.queries import query
@@ -133,6 +133,54 @@ def j12_profile_errors(t, spark):
     return baselines.profile_errors(profile(now), profile(o), "vendor", "endpoint", "cases", "code")
 
 
+@query
+def c05_drafts(t, spark):
+    """Nations as vendors, their suppliers as endpoints and the richest customers as error codes."""
+    vendors = t("nation").select(F.col("n_nationkey").alias("vendor"), "n_name")
+    endpoints = t("supplier").select(F.col("s_nationkey").alias("vendor"), F.col("s_name").alias("endpoint"), "s_suppkey")
+    codes = t("customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("vendor"), "c_custkey", F.col("c_name").alias("code"))
+    profile = t("nation").select(F.col("n_nationkey").alias("vendor"), "n_regionkey")
+    made = drafts.assemble(vendors, "vendor", {"capability_profile": profile}, {"endpoint_roles": (endpoints, ["endpoint", "s_suppkey"]), "error_codes": (codes, ["c_custkey"])})
+    return made.select(
+        "vendor", "n_name", F.col("capability_profile.n_regionkey").alias("region"), F.array_join("endpoint_roles.endpoint", ",").alias("endpoints"), F.array_join("error_codes.code", ",").alias("codes")
+    )
+
+
+@query
+def c13_vendor_scenarios(t, spark):
+    k = F.col("p_partkey")
+    maybe = lambda n, x: F.when(k % n == 0, x).otherwise("")
+    items = t("part").select(
+        k.alias("place"), F.when(k % 4 == 1, "API parameter test").when(k % 4 == 2, "").otherwise("User Behavior > Cancel Bet").alias("output_section"), maybe(3, F.lit("bet")).alias("category"),
+        maybe(5, F.lit("Invalid bet")).alias("scenario"), maybe(7, F.lit("m")).alias("module"), F.concat(F.lit("/v1/"), "p_brand", F.lit("/{id}")).alias("endpoint"), maybe(2, F.lit("P1")).alias("priority"),
+        F.when(k % 6 == 0, F.array(F.lit("x"))).alias("tags"), maybe(10, F.lit("77")).alias("error_code"), F.lit("400").alias("fallback"),
+    )
+    roles = t("part").filter("p_size > 40").select(F.concat(F.lit("/v1/"), "p_brand", F.lit("/{id}")).alias("endpoint")).distinct().withColumn("role", F.lit("bet"))
+    made = drafts.vendor_scenarios(items, roles, ["place"], "fallback")
+    return made.withColumn("tags", F.array_join("tags", ","))
+
+
+@query
+def c16_manifests(t, spark):
+    cases = t("customer").select("c_nationkey", "c_custkey", F.concat(F.lit("k"), F.col("c_custkey") % 7).alias("key"), "c_name", "c_mktsegment")
+    made = drafts.manifest(cases, "c_nationkey", "key", ["c_custkey"], ["c_name", "c_mktsegment"])
+    return made.select("c_nationkey", F.array_join("final_case_keys", ",").alias("keys"), F.size("case_index").alias("n"), F.element_at("case_index", F.get("final_case_keys", F.lit(0)))["c_name"].alias("first_name"))
+
+
+@query
+def c16_merge_reports(t, spark):
+    counts = t("orders").groupBy(F.col("o_orderpriority").alias("vendor")).agg(F.count(F.lit(1)).alias("base_cases"), F.count_if(F.col("o_orderstatus") == "F").alias("overridden"))
+    return drafts.report_lines(counts, "vendor")
+
+
+@query
+def o01_ordered_names(t, spark):
+    """Types of each brand by priority, and names in the order of an example's keys."""
+    held = t("part").groupBy("p_brand").agg(F.collect_set("p_type").alias("types"), F.array_sort(F.collect_set("p_name")).alias("names"))
+    keys = F.array(F.lit("Small Gear"), F.lit("LARGE bolt"))
+    return held.select("p_brand", F.array_join(drafts.by_priority(F.col("types"), ["PROMO", "STANDARD"]), ",").alias("types"), F.array_join(drafts.by_example(F.col("names"), keys), ",").alias("names"))
+
+
 _ROUTE = rf"""WITH b AS (SELECT p_partkey, {listed(CATEGORIES)} AS category, regexp_replace(trim(lower({listed(MODULES)})), '\s+', ' ', 'g') AS module,
     list_transform(string_split({listed(PATHS)}, '>'), lambda s: trim(regexp_replace(lower(s), '\s+', ' ', 'g'))) AS parts, regexp_replace(lower({listed(TITLES)}), '\s+', ' ', 'g') AS title FROM part),
   s AS (SELECT *, parts[len(parts)] AS leaf, module IN ('cancel bet', 'rollback') OR category LIKE 'rollback%' OR category = 'cancel_settlement_adjustment' OR parts[1:2] = ['mandatory', 'cancel bet'] AS c FROM b),
@@ -170,6 +218,20 @@ for _k, _title, _line, _code in EXPECTED_STEPS:
 ORACLES.update({
     "c02_behavior_routes": f"{_ROUTE} SELECT p_partkey, section, rule_id, status FROM z",
     "c02_inventory": f"{_ROUTE} SELECT status, rule_id, count(*) AS n FROM z GROUP BY status, rule_id",
+    "c05_drafts": """SELECT n_nationkey AS vendor, n_name, n_regionkey AS region, coalesce((SELECT string_agg(s_name, ',' ORDER BY s_name, s_suppkey) FROM supplier WHERE s_nationkey = n_nationkey), '') AS endpoints,
+        coalesce((SELECT string_agg(c_name, ',' ORDER BY c_custkey) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9000), '') AS codes FROM nation""",
+    "c13_vendor_scenarios": """WITH r AS (SELECT DISTINCT p_brand FROM part WHERE p_size > 40), i AS (SELECT p_partkey AS k, p_brand, p_brand IN (SELECT p_brand FROM r) AS known FROM part WHERE p_partkey % 4 <> 1)
+        SELECT k AS place, printf('vendor-scenario-%02d', k) AS id, CASE WHEN k % 4 = 2 THEN 'User Behavior > Bet and Settle' ELSE 'User Behavior > Cancel Bet' END AS output_section,
+        CASE WHEN k % 3 = 0 THEN 'bet' ELSE 'vendor_provided' END AS category, CASE WHEN k % 5 = 0 THEN 'Invalid bet' ELSE 'Vendor scenario ' || k END AS scenario, CASE WHEN k % 7 = 0 THEN 'm' ELSE p_brand END AS module,
+        CASE WHEN known THEN 'bet' ELSE '' END AS endpoint_group, CASE WHEN k % 6 = 0 THEN 'x,' ELSE '' END || 'vendor_provided' AS tags, CASE WHEN k % 2 = 0 THEN 'P1' ELSE 'P2' END AS priority,
+        CASE WHEN k % 10 = 0 THEN '77' WHEN k % 5 = 0 THEN '400' END AS error_code FROM i""",
+    "c16_manifests": """SELECT c_nationkey, string_agg('k' || c_custkey % 7, ',' ORDER BY c_custkey) AS keys, CAST(count(DISTINCT c_custkey % 7) AS INTEGER) AS n, arg_min(c_name, c_custkey) AS first_name
+        FROM customer GROUP BY c_nationkey""",
+    "c16_merge_reports": f"""SELECT o_orderpriority AS vendor, '# ' || o_orderpriority || ' Human XMind Merge Report' || {"chr(10) || chr(10) || 'Status: success' || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10)"}
+        || '| Item | Count |' || chr(10) || '|---|---:|' || chr(10) || {" || ".join("'| " + label + " | ' || " + {"base_cases": "count(*)", "overridden": "count(*) FILTER (WHERE o_orderstatus = 'F')"}.get(c, "'0'") + " || ' |' || chr(10)" for c, label in drafts.REPORT_ROWS.items())}
+        AS report FROM orders GROUP BY o_orderpriority""",
+    "o01_ordered_names": """SELECT p_brand, string_agg(DISTINCT p_type, ',' ORDER BY CASE p_type WHEN 'PROMO' THEN '0' WHEN 'STANDARD' THEN '1' ELSE '2' || p_type END) AS types,
+        string_agg(DISTINCT p_name, ',' ORDER BY CASE p_name WHEN 'small gear' THEN '0' WHEN 'large bolt' THEN '1' ELSE '2' || p_name END) AS names FROM part GROUP BY p_brand""",
     "c10_parameter_cases": f"""SELECT p_partkey, place, title || chr(10) || line AS step, CASE WHEN code = '' THEN 'The API returns successful response.' || chr(10) || '{{}}'
         ELSE 'The API returns a ' || CASE WHEN code = 'H' THEN 'encryption/signature' ELSE 'parameter' END || ' validation error with error code ' ||
         CASE WHEN code IN ('E', 'H') THEN 'E' || p_size ELSE code END || '.' || chr(10) || '{{"x":1}}' END AS expected

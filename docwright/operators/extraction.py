@@ -130,9 +130,9 @@ def slices(docs: DataFrame, key: str, text: str, patterns: list[str]) -> DataFra
 
 
 def categorised(cases: DataFrame, key: str, module: str, path: str, selectors: DataFrame) -> DataFrame:
-    """(key, category) of the first category by ``ord`` with a selector for the case; ``selectors`` is a literal rule table."""
+    """(key, category) of the first category by ``ord`` with a selector for the case; ``selectors`` is broadcast if its size allows."""
     fits = (F.col(module) == F.col("_module")) & F.col(path).contains(F.col("fragment"))
-    met = cases.select(key, module, path).join(F.broadcast(selectors.withColumnRenamed("module", "_module")), fits)
+    met = cases.select(key, module, path).join(selectors.withColumnRenamed("module", "_module"), fits)
     return met.groupBy(key).agg(F.min_by("category", F.struct("ord", "category")).alias("category"))
 
 

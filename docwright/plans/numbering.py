@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docwright.plans.durable import durable
 
@@ -18,8 +19,8 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     placed = durable(dealt.select("*", F.monotonically_increasing_id().alias("_m")))
     part, place = F.shiftright("_m", 33).alias("_p"), F.col("_m").bitwiseAND((1 << 33) - 1) + 1
     counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
-    every = F.sort_array(F.collect_list(F.struct("_p", "_n")))
-    before = F.aggregate(F.filter("_all", lambda x: x._p < F.col("_one._p")), F.lit(0).cast("bigint"), lambda t, x: t + x._n)
-    starts = counts.agg(every.alias("_all")).select("_all", F.explode("_all").alias("_one")).select(F.col("_one._p").alias("_p"), before.alias("_start"))
-    met = placed.withColumn("_p", F.shiftright("_m", 33)).join(F.broadcast(starts), "_p")
+    # One row a partition stands in this window, never the rows themselves.
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    met = placed.withColumn("_p", F.shiftright("_m", 33)).join(starts, "_p")
     return met.withColumn(name, F.col("_start") + place).drop("_m", "_p", "_start")

@@ -27,3 +27,9 @@ def table_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
     """A Markdown table row (``line``) for each row."""
     parts = [escaped(F.col(c)) for c in columns]
     return rows.select("*", F.concat(F.lit("| "), F.concat_ws(" | ", *parts), F.lit(" |")).alias("line"))
+
+
+def write_reports(reports: dict[str, DataFrame], vendor: str, folder: str) -> None:
+    """Every report as JSON lines under its name, one folder a vendor; null fields are left out."""
+    for name, rows in reports.items():
+        write_chunks(rows, vendor, f"{folder}/{name}")

@@ -11,6 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from docwright.operators import merges
 
+#: States that stay in the folder.
+KEPT = 3
+
 
 def latest(spark: SparkSession, folder: str, last: int) -> DataFrame | None:
     """The state of the newest batch up to ``last``, if there is one."""
@@ -32,10 +35,21 @@ def upserting(folder: str, key: str, digest: str, number: str) -> Callable[[Data
         if before is None:
             before = one.limit(0).withColumn(number, F.lit(0).cast("bigint"))
         merges.upsert(before, one, key, digest, number).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+        drop_before(spark, folder, batch - KEPT + 1)
 
     return apply
 
 
+def drop_before(spark: SparkSession, folder: str, first: int) -> None:
+    """Delete the states of batches before ``first``; the last ones stay, as a batch may be run again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for held in files.listStatus(path):
+        name = held.getPath().getName()
+        if name.startswith("batch=") and int(name[6:]) < first:
+            files.delete(held.getPath(), True)
+
+
 def run(rows: DataFrame, folder: str, checkpoint: str, key: str, digest: str, number: str = "number") -> StreamingQuery:
     """Work off everything that has arrived, then stop."""
     return (
