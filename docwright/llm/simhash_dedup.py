@@ -195,7 +195,8 @@ def components(links: DataFrame) -> DataFrame:
     Every round takes the smallest label among neighbours (summed before the shuffle), then that
     label's own label. The driver only sees a count of changes.
     """
-    both = durable(links.select("a", "b").union(links.select("b", "a")).distinct())
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = durable(links.select(ways.alias("way")).select("way.*").distinct())  # the comparisons run once for both ways
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")))
     while True:
         heard = met(both, labels.select(F.col("node").alias("b"), "root"), "b", "a").groupBy("a").agg(F.min("root").alias("low"))
