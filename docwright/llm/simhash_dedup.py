@@ -181,12 +181,13 @@ def edges(tiled: DataFrame, radius: int = RADIUS) -> DataFrame:
 def met(rows: DataFrame, small: DataFrame, key: str | list[str], by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
     """``rows`` joined to ``small``, which holds ``key`` once: rows of one key are spread by ``by`` over salts.
 
-    A key with a third of all rows thus never meets its partner in one task.
+    A key with a third of all rows thus never meets its partner in one task. The merge hint keeps it so
+    where ``rows`` are few: sent to ``small`` instead, they would all come out where the key's copies lie.
     """
     keys = [key] if isinstance(key, str) else key
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    return salted.hint("merge").join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def components(links: DataFrame) -> DataFrame:
