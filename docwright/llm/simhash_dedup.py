@@ -212,11 +212,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def rooted(firsts: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``firsts``, one row for each distinct ``fp``, with ``root``, the fingerprint that stands for its component."""
+    """``firsts``, one row for each distinct ``fp``, with ``root``, the fingerprint that stands for its component, and ``linked``."""
     reach = components(edges(tiles(firsts.select("fp"), radius), radius))
-    return firsts.join(reach.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
+    met_roots = firsts.join(reach.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    return met_roots.withColumn("linked", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "fp"))
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -224,8 +223,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int
     given = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     known = durable(fingerprints(given, ["key"]).withColumn("row", F.monotonically_increasing_id()))
     reached = durable(rooted(known.groupBy("fp").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")), radius))
-    lowest = reached.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = met(reached, lowest, "root", "fp").select("fp", "n", "component_id")
+    linked = reached.filter("linked")
+    lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    alone = reached.filter(~F.col("linked")).select("fp", "n", F.col("first").alias("component_id"))
+    named = met(linked, lowest, "root", "fp").select("fp", "n", "component_id").unionByName(alone)
     # Fingerprints of many rows are met over salts; each of the others has few rows.
     hot = durable(named.filter(F.col("n") > MANY).select("fp", "component_id"))
     first = met(known, hot, "fp", "row", "left")
