@@ -34,4 +34,27 @@ def _license_scan() -> str:
       SELECT doc_id, n_known, sentence_ids, concat_ws(',', {listed}) AS licenses, CASE {strict} ELSE 'none' END AS license_class FROM a"""
 
 
-ORACLES = {"op3_url_filter": _url_filter(), "op10_license_scan": _license_scan()}
+def _filter_audit() -> str:
+    return r"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+      l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+      f AS (SELECT part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t),
+          regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)] AS bad, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+        FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+      m AS (SELECT part, bad, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE toxic) AS x FROM f GROUP BY part, bad),
+      v AS (SELECT unnest(range(1, 6)) AS i),
+      o AS (SELECT [a.i, b.i, c.i, e.i, h.i] AS ord FROM v a, v b, v c, v e, v h WHERE len(list_distinct([a.i, b.i, c.i, e.i, h.i])) = 5),
+      s AS (SELECT ord, i AS step, ord[i] AS f, ord[:i - 1] AS before FROM o, v),
+      r AS (SELECT part, ord, step, f,
+          sum(CASE WHEN NOT bad[f] AND coalesce(list_sum([bad[j]::INT FOR j IN before]), 0) = 0 THEN n ELSE 0 END) AS kept,
+          sum(CASE WHEN bad[f] AND coalesce(list_sum([bad[j]::INT FOR j IN before]), 0) = 0 THEN n ELSE 0 END) AS removed,
+          sum(CASE WHEN bad[f] AND coalesce(list_sum([bad[j]::INT FOR j IN before]), 0) > 0 THEN n ELSE 0 END) AS redundant,
+          sum(CASE WHEN bad[f] AND list_sum([b::INT FOR b IN bad]) = 1 THEN n ELSE 0 END) AS unique_fails,
+          sum(CASE WHEN bad[f] AND coalesce(list_sum([bad[j]::INT FOR j IN before]), 0) = 0 THEN g ELSE 0 END) AS good_lost,
+          sum(CASE WHEN bad[f] AND coalesce(list_sum([bad[j]::INT FOR j IN before]), 0) = 0 THEN x ELSE 0 END) AS toxic_lost
+        FROM m, s GROUP BY part, ord, step, f)
+      SELECT part, array_to_string([substr('ABCDE', j::INT, 1) FOR j IN ord], '') AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+        CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+        CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r"""
+
+
+ORACLES = {"op3_url_filter": _url_filter(), "op10_license_scan": _license_scan(), "op11_filter_audit": _filter_audit()}

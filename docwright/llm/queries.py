@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docwright.llm import (
     byte_bpe,
+    filter_audit,
     html_extract,
     license_scan,
     nearest,
@@ -72,6 +73,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,6 +89,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_nearest, op3_url_filter, op4_source_mix, op5_token_counts, op6_simhash_dedup, op7_html_extract,
-        op8_quality_rules, op9_secret_scan, op10_license_scan, pipeline,
+        op8_quality_rules, op9_secret_scan, op10_license_scan, op11_filter_audit, pipeline,
     )
 }
