@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docwright.llm import (
     byte_bpe,
+    cross_align,
     filter_audit,
     html_extract,
     license_scan,
@@ -77,6 +78,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(filter_audit.mask_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def op12_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_align.link_counts(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,6 +94,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_nearest, op3_url_filter, op4_source_mix, op5_token_counts, op6_simhash_dedup, op7_html_extract,
-        op8_quality_rules, op9_secret_scan, op10_license_scan, op11_filter_audit, pipeline,
+        op8_quality_rules, op9_secret_scan, op10_license_scan, op11_filter_audit, op12_cross_align, pipeline,
     )
 }
