@@ -12,6 +12,7 @@ from docwright.llm import (
     html_extract,
     license_scan,
     nearest,
+    pairwise_quality,
     quality_rules,
     secret_scan,
     simhash_dedup,
@@ -82,6 +83,10 @@ def op12_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_align.link_counts(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,6 +99,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_nearest, op3_url_filter, op4_source_mix, op5_token_counts, op6_simhash_dedup, op7_html_extract,
-        op8_quality_rules, op9_secret_scan, op10_license_scan, op11_filter_audit, op12_cross_align, pipeline,
+        op8_quality_rules, op9_secret_scan, op10_license_scan, op11_filter_audit, op12_cross_align, op13_quality_classifier, pipeline,
     )
 }
