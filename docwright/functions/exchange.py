@@ -55,3 +55,41 @@ def sample_value(kind: Column, example: Column, name: Column) -> Column:
 def wrong_value(kind: Column, value: Column) -> Column:
     """A value of another type than ``kind``."""
     return F.when(kind.isin("int", "integer", "long", "decimal", "number", "amount", "boolean"), F.concat(F.lit('"'), value, F.lit('x"'))).otherwise("12345")
+
+
+XML_EXCHANGE = r"(?is)<EXTSYSTEM\b[^>]*>.*?</EXTSYSTEM>"
+
+
+def xml_exchanges(text: Column) -> Column:
+    """(request, response): the leaves of each exchange in a text as maps, which are empty where a side is missing.
+
+    An exchange whose tags don't match is passed over.
+    """
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(XML_EXCHANGE), F.lit(0))
+    both = F.transform(found, lambda x: F.struct(xml_children(x, "REQUEST").alias("request"), xml_children(x, "RESPONSE").alias("response")))
+    return F.filter(both, lambda x: (F.size(x.request) > 0) | (F.size(x.response) > 0))
+
+
+def query_values(text: Column) -> Column:
+    """Map of the decoded names and values of a query part in the first line and of name=value lines below it; empty without one.
+
+    Blank values stay; the last value of a name counts, at the place of its first.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n", -1), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    plain = lambda x: F.coalesce(F.try_url_decode(x), x)
+
+    def read(ls: Column) -> Column:
+        first = F.regexp_extract(F.get(ls, F.lit(0)), r"\?([^#]*)", 1)
+        more = F.filter(F.transform(F.slice(ls, F.lit(2), F.size(ls)), lambda x: F.regexp_replace(x, r"^[&?]+\s*", "")), lambda x: x.rlike(r"^[^=&\s]+\s*="))
+        parts = F.filter(F.split(F.array_join(F.concat(F.array(first), more), "&"), "&", -1), lambda p: p != "")
+        pairs = F.transform(parts, lambda p: F.struct(plain(F.regexp_extract(p, "^([^=]*)", 1)).alias("k"), plain(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v")))
+        named = F.filter(pairs, lambda e: ~e.k.isin("", "?"))
+
+        def last_of(held: Column) -> Column:
+            names = F.array_distinct(F.transform(held, lambda e: e.k))
+            return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(held, lambda e: e.k == n), -1).v))
+
+        none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+        return F.when(F.contains(F.get(ls, F.lit(0)), F.lit("?")), let(named, last_of)).otherwise(none)
+
+    return let(lines, read)

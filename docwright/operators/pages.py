@@ -32,6 +32,11 @@ def fragments_of(text: str | None) -> list[str]:
     return found
 
 
+def repaired(text: str | None) -> str:
+    """``text`` without the commas that stand right before a closing brace or bracket."""
+    return re.sub(r",(?=\s*[}\]])", "", text or "")
+
+
 class _Markdown(HTMLParser):
     """Headings, lists, pipe rows, fenced and inline code, and links; the rest is text."""
 
