@@ -16,6 +16,7 @@ matches, so the running sum of gaps and match lengths gives the positions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docwright.llm.frames import without
+from docwright.llm.simhash_dedup import met
 from docwright.plans.durable import durable
 
 #: Kind, pattern, group that holds the value, least characters of the value.
@@ -33,10 +35,15 @@ BASE_KINDS = [
 ]
 KEY_NAME = r"[A-Z0-9\x20]*PRIVATE\x20KEY(?:\x20BLOCK)?-----"
 KEY_BEGIN, KEY_END = r"-----BEGIN\x20" + KEY_NAME, r"-----END\x20" + KEY_NAME
-#: A key up to its end: headers, escaped line ends, quotes and comment leaders may stand inside.
-CLOSED_KEY = r"(?=[\s\S]{0,32768}?-----END\x20)[^-]*+(?:-(?!----)[^-]*+){0,256}+" + KEY_END
-#: A key without an end: headers, then base64, spaces and escaped line ends.
-OPEN_KEY = r"(?:[\\rn\x20\x09-\x0D]{0,32}[A-Z][A-Za-z-]{1,40}:\x20[^\n\\]{0,256}){0,8}[A-Za-z0-9+/=\\\x20\x09-\x0D]+"
+#: A key up to the next five hyphens, which must be its end: headers, escaped line ends, quotes and comment leaders may stand inside.
+CLOSED_KEY = r"(?>[\s\S]*?(?=-----))" + KEY_END
+#: A line end, or an escaped one, before base64.
+BODY_LINE = r"(?:\n|\\n)[\\rn\x20\x09-\x0D]*[A-Za-z0-9+/=]{32}"
+#: A key without an end: header lines up to the first line of base64, then base64, spaces and escaped line ends.
+OPEN_KEY = (
+    r"(?:(?=[\\rn\x20\x09-\x0D]*[A-Z][A-Za-z-]*:\x20)(?>[\s\S]*?(?=-----|\z|" + BODY_LINE + r"))(?=" + BODY_LINE + r"))?"
+    r"[A-Za-z0-9+/=\\\x20\x09-\x0D]+"
+)
 #: Further kinds, which are looser. Where the ownership count takes the value for an example they are flagged.
 MORE_KINDS = [
     ("key_block", KEY_BEGIN + f"(?:{CLOSED_KEY}|{OPEN_KEY})", 0, 40),
@@ -44,8 +51,10 @@ MORE_KINDS = [
     ("url_login", r"://[^\x20\x09-\x0D/:@]+:([^\x20\x09-\x0D/:@]+)@", 1, 6),
 ]
 KINDS = [*BASE_KINDS, *MORE_KINDS]
-#: A value held by this many owners, or by two owners in this many repositories, or by this many different texts of any owners, is an example.
+#: A value held by this many owners, or by two owners in this many repositories, or by this many different texts of any owners, is an example;
+#: in a large corpus by this share of all owners (repositories, texts) at least.
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, EXAMPLE_DOCS = 4, 8, 100
+EXAMPLE_SHARE = 1e-4
 
 
 def _hits(text: Column, kind: int) -> Column:
@@ -103,21 +112,26 @@ def candidates(docs: DataFrame, keep: list[str], owner: str = "source", text: st
 def ownership(spans: DataFrame) -> DataFrame:
     """(h, n_owners, n_repositories, n_docs) of candidate hashes; copies of one text are one of ``n_docs``.
 
-    Distinct rows are counted before the last shuffle, so that no hash is hot.
+    Distinct values are found before the last shuffle, so that no hash is hot.
     """
-    held = spans.filter("ok")
+    return spans.filter("ok").groupBy("h").agg(
+        F.count_distinct(F.struct("owner")).alias("n_owners"), F.count_distinct("repository").alias("n_repositories"), F.count_distinct("text_key").alias("n_docs")
+    )
 
-    def distinct(column: str, name: str) -> DataFrame:
-        return held.select("h", column).distinct().groupBy("h").agg(F.count(F.lit(1) if column == "owner" else F.col(column)).alias(name))
 
-    return distinct("owner", "n_owners").join(distinct("repository", "n_repositories"), "h").join(distinct("text_key", "n_docs"), "h")
+def example_limits(rows: DataFrame, share: float = EXAMPLE_SHARE) -> tuple[int, int, int]:
+    """From how many owners, repositories and texts on a value is an example: the least numbers, or their share of all."""
+    total = rows.agg(F.count_distinct(F.struct("owner")), F.count_distinct("repository"), F.count_distinct("text_key")).first()
+    return tuple(max(least, math.ceil(share * n)) for least, n in zip((EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES, EXAMPLE_DOCS), total, strict=True))
 
 
-def scan(docs: DataFrame, keep: list[str], owner: str = "source", text: str = "text", repository: Column | None = None) -> DataFrame:
+def scan(
+    docs: DataFrame, keep: list[str], owner: str = "source", text: str = "text", repository: Column | None = None, share: float = EXAMPLE_SHARE
+) -> DataFrame:
     """One row a document: ``keep``, ``text_key`` and ``found``, an array of spans in order.
 
     A span has start, kind (index into ``KINDS``), end, n_owners, n_repositories, n_docs and live.
-    Examples are among them, not live. ``repository`` names the repository of a row, such as a prefix
+    Examples are among them, not live; from which counts on is the larger of fixed least numbers and ``share`` of the corpus. ``repository`` names the repository of a row, such as a prefix
     of its path or address.
     """
     keep = without(keep, ["text_key", "found"])
@@ -130,9 +144,10 @@ def scan(docs: DataFrame, keep: list[str], owner: str = "source", text: str = "t
     placed = each.select(
         "rid", *names, "text_key", "owner", "repository", "hit.*", F.sum(F.col("hit.gap") + F.col("hit.len")).over(walked).alias("end")
     )
-    counted = placed.join(ownership(placed), "h", "left")
-    scattered = (F.col("n_owners") > 1) & (F.col("n_repositories") >= EXAMPLE_REPOSITORIES)
-    live = (F.col("n_owners") < EXAMPLE_OWNERS) & ~scattered & (F.col("n_docs") < EXAMPLE_DOCS)
+    counted = met(placed, ownership(placed), "h", "rid", "left")
+    owners, repositories, texts = example_limits(rows, share)
+    scattered = (F.col("n_owners") > 1) & (F.col("n_repositories") >= repositories)
+    live = (F.col("n_owners") < owners) & ~scattered & (F.col("n_docs") < texts)
     span = F.struct(
         (F.col("end") - F.col("len")).alias("start"), "kind", "end", "n_owners", "n_repositories", "n_docs", live.alias("live")
     )
@@ -159,19 +174,17 @@ def _is_kind(kind: int) -> Callable[[Column], Column]:
 def digest(scanned: DataFrame) -> DataFrame:
     """The documents' counts and span lists in place of ``found``.
 
-    ``spans`` and the counts hold base kinds and live values; ``example_spans`` the further kinds that
-    look like examples.
+    ``spans`` holds them all, ``example_spans`` those of the further kinds that look like examples.
     """
     base = F.filter("found", lambda s: s.kind < len(BASE_KINDS))
     flagged = F.filter("found", lambda s: ~s.live & (s.kind >= len(BASE_KINDS)))
-    listed = F.filter("found", lambda s: s.live | (s.kind < len(BASE_KINDS)))
     count = lambda keep: F.size(F.filter("found", keep)).cast("bigint")
     made = [*[f"n_{KINDS[k][0]}" for k in range(len(BASE_KINDS))], "base_sha256", "spans", "n_live", "n_example", "example_spans"]
     return scanned.select(
         *[F.col(c) for c in without(scanned.columns, ["text_key", "found", *made])],
         *[count(_is_kind(k)).alias(f"n_{KINDS[k][0]}") for k in range(len(BASE_KINDS))],
         F.sha2(_listed(base), 256).alias("base_sha256"),
-        _listed(listed).alias("spans"),
+        _listed(F.col("found")).alias("spans"),
         count(lambda s: s.live).alias("n_live"),
         count(lambda s: ~s.live & (s.kind < len(BASE_KINDS))).alias("n_example"),
         _listed(flagged).alias("example_spans"),
