@@ -25,7 +25,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docwright.plans.durable import durable
 
@@ -238,7 +237,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row of each group: smallest key, nulls last, then smallest hash of the text.
 
     A row is known by its key and two hashes of its text, so equal or null keys of different texts
-    stay apart. Only rows with the same key and text meet in a window; of those one stays.
+    stay apart. Of rows with the same key and text the one of the smallest hash stays, which is found before the shuffle.
     """
     identity = ["key", "h1", "h2"]
     known_by = [
@@ -254,6 +253,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     for c in ("h1", "h2", "key"):
         same = same & F.col(c).eqNullSafe(F.col(f"c_{c}"))
     kept = docs.select(F.struct(*docs.columns).alias("_doc"), *known_by).join(chosen, same)
-    one = Window.partitionBy(*identity).orderBy(F.xxhash64("_doc"))
-    ranked = kept.filter("c_n > 1").withColumn("_rank", F.row_number().over(one)).filter("_rank = 1")
-    return kept.filter("c_n = 1").select("_doc.*").unionByName(ranked.select("_doc.*"))
+    hashed = F.xxhash64("_doc")
+    repeated = kept.filter("c_n > 1").groupBy(*identity).agg(F.min_by("_doc", hashed).alias("_doc"))
+    return kept.filter("c_n = 1").select("_doc.*").unionByName(repeated.select("_doc.*"))
