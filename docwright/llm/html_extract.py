@@ -39,8 +39,10 @@ NAME = re.compile(r"[A-Za-z][^\s/>]*+")
 TAG_END = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""")
 NAMED = {"class", "id", "role"}
-#: A number of a character reference too long to be a character.
-FAR_REFERENCE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
+#: A number of a character reference too long to be a character; zeros before it count for nothing.
+FAR_REFERENCE = re.compile(r"&#(?:0*+[1-9][0-9]{7,}|[xX]0*+[1-9a-fA-F][0-9a-fA-F]{6,});?")
+#: The zeros before the number of a reference, which can make it longer than numbers may be.
+ZEROS = re.compile(r"(&#)0+(?=[0-9])|(&#[xX])0+(?=[0-9a-fA-F])")
 #: Fixed values of the HTML standard: elements whose content is no page text, that never have
 #: content, and that stand inside a line.
 DROPPED = {"script", "style", "noscript", "template", "head", "title", "textarea", "select", "button", "svg", "iframe", "object", "form"}
@@ -101,7 +103,7 @@ class _Builder:
             self.close("head")
             top = self.stack[-1]
         if raw and not top.dropped:
-            text = html.unescape(FAR_REFERENCE.sub("�", raw)) if "&" in raw else raw
+            text = html.unescape(ZEROS.sub(r"\1\2", FAR_REFERENCE.sub("�", raw))) if "&" in raw else raw
             self.parts.append(text)
             if top.linked:
                 self.linked += len("".join(text.split()))
