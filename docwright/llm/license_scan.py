@@ -90,7 +90,7 @@ MORE_RULES = [
     ("Unlicense", "permissive", ["unlicense-domain"]),
 ]
 #: Part of a known sentence that names a holder, with the words that may stand in its place.
-HOLDER, ANY_HOLDER = "the copyright holder", "[^\x01]{1,200}?"
+HOLDER, ANY_HOLDER = "the copyright holder", "[^\x01]+?"
 #: The sentence that belongs to a copyright line where a licence follows it.
 RESERVED = "reserved"
 SENTENCE_END = r"[.!?:]+(?=[\x20\x09-\x0D]|$)"
@@ -156,7 +156,7 @@ def scan(
     picked = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], recognised(F.col(text)).alias("ids"))
     granting = "|".join(" ".join(ids) for _, kind, ids in rules if kind != "restricted")
     joined = F.concat(F.lit(" "), F.array_join("ids", " "), F.lit(" "))
-    line = F.regexp_replace(joined, rf"(?:\x20{RESERVED}){{1,64}}(?=\x20(?:{granting})\x20)", "") if granting else joined
+    line = F.regexp_replace(joined, rf"(?:\x20{RESERVED})++(?=\x20(?:{granting})\x20)", "") if granting else joined
     by_name: dict[str, Column] = {}
     classes: dict[str, Column] = {}
     for name, kind, ids in rules:
