@@ -341,6 +341,6 @@ ORACLES.update({
         (SELECT CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END AS v FROM part) GROUP BY 1 HAVING count(DISTINCT v) > 1""",
 })
 
-from docwright import case_queries, endpoint_queries, selection_queries, vendor_queries  # noqa: E402, F401
+from docwright import analysis_queries, case_queries, endpoint_queries, selection_queries, vendor_queries  # noqa: E402, F401
 
 __all__ = ["ORACLES", "QUERIES", "WITHOUT_SQL"]

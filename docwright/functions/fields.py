@@ -50,8 +50,8 @@ def query_pairs(url: Column) -> Column:
 
 def boundary_values(scale: Column) -> Column:
     """A value with exactly ``scale`` decimals and one with a decimal too many."""
-    digits = F.lit("123456789123456789")
-    made = lambda n: F.concat(F.lit("100."), F.substring(digits, F.lit(1), n))
+    digits = lambda n: F.repeat(F.lit("123456789"), (n / 9 + 1).cast("int"))
+    made = lambda n: F.concat(F.lit("100."), F.substring(digits(n), F.lit(1), n))
     return F.struct(made(scale).alias("valid"), made(scale + 1).alias("invalid"))
 
 

@@ -137,3 +137,17 @@ def remove_value(text: Column, path: Column) -> Column:
 def children(text: Column, name: Column) -> Column:
     """(name, type) of each leaf below the value of ``name``, named parent/child; none for plain values."""
     return _pairs(_children, CHILDREN)(text, name)
+
+
+EXPANDED = "array<struct<type:string,children:array<struct<name:string,type:string>>>>"
+
+
+def _expanded(text: str | None, names: list[str] | None) -> list[dict]:
+    top = _read(text)
+    found = [_found(top, n, [p for p in n.split("/") if p]) if n else None for n in (names if names is not None else [])]
+    return [{"type": _type(v) if isinstance(v, dict | list) else None, "children": [{"name": p, "type": _type(x)} for p, x in _leaves(v, n or "")]} for n, v in zip(names if names is not None else [], found, strict=True)]
+
+
+def expanded(text: Column, names: Column) -> Column:
+    """For each of the array ``names`` the type of its value in the JSON ``text`` if that is an object or array, and its children."""
+    return _pairs(_expanded, EXPANDED)(text, names)

@@ -191,3 +191,24 @@ def predicates(name: Column, kind: Column, description: Column, required: Column
 def is_rollback(role_: Column, endpoint: Column) -> Column:
     """Whether an endpoint takes something back, by its role or path."""
     return F.lower(F.coalesce(role_, F.lit(""))).rlike("rollback|cancel_bet") | F.lower(F.coalesce(endpoint, F.lit(""))).rlike("rollback|refund|cancel")
+
+
+#: Addresses that several requests share, what a heading adds to a candidate's confidence, and how headings that name pages begin.
+SHARED = ["/{partner_base_url}", "/{partner_base_url}/"]
+HEADING_BONUS, PAGE = 0.1, "page "
+
+
+def best_candidates(rows: DataFrame, key: list[str], place: str = "line_no") -> DataFrame:
+    """One candidate for each method and endpoint of a ``key``, in any case of letters: the surest, then the last by ``place``.
+
+    Requests with a known role that share one address are told apart by their names. Only candidates
+    that could win travel: the best of each key is found before the shuffle.
+    """
+    low, name = F.lower("endpoint"), F.lower(F.coalesce("api_name", F.lit("")))
+    apart = low.isin(SHARED) & _role_of(name).isNotNull()
+    one = F.when(apart, F.concat_ws("#", low, name)).otherwise(low)
+    bonus = F.when((name != "") & ~F.startswith(name, F.lit(PAGE)), HEADING_BONUS).otherwise(0.0)
+    rank = F.struct((F.col("confidence") + bonus).alias("sure"), F.col(place).alias("last"))
+    held = rows.select(*key, F.lower("method").alias("_m"), one.alias("_e"), rank.alias("_rank"), F.struct(*[c for c in rows.columns if c not in key]).alias("_row"))
+    best = held.groupBy(*key, "_m", "_e").agg(F.max_by("_row", F.struct("_rank", -F.xxhash64("_row"))).alias("_row"))
+    return best.select(*key, "_row.*")

@@ -11,26 +11,26 @@ from docwright.plans.durable import durable
 CASE = "^(case|用例)[：:]"
 
 
-def flatten(topics: DataFrame, most_levels: int = 64) -> DataFrame:
+def flatten(topics: DataFrame) -> DataFrame:
     """Every topic with ``depth`` and ``path``, the titles from its root.
 
-    One join a level; a level is made durable, so a deep tree does not grow the plan.
+    One join a level; a level is made durable, so a deep tree does not grow the plan. A topic that
+    comes again among its own ancestors ends its branch, so that repeated ids can't go round.
     """
     level = durable(
-        topics.filter("parent_id is null").select("topic_id", "title", "ord", F.lit(0).alias("depth"), F.array("title").alias("path"))
+        topics.filter("parent_id is null").select("topic_id", "title", "ord", F.lit(0).alias("depth"), F.array("title").alias("path"), F.array("topic_id").alias("_ids"))
     )
     out = level
-    for _ in range(most_levels):
-        up = level.select(F.col("topic_id").alias("_up"), "depth", "path")
+    while True:
+        up = level.select(F.col("topic_id").alias("_up"), "depth", "path", "_ids")
         level = durable(
-            topics.join(up, F.col("parent_id") == F.col("_up")).select(
-                "topic_id", "title", "ord", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("title")).alias("path")
+            topics.join(up, F.col("parent_id") == F.col("_up")).filter(~F.array_contains("_ids", F.col("topic_id"))).select(
+                "topic_id", "title", "ord", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("title")).alias("path"), F.concat("_ids", F.array("topic_id")).alias("_ids")
             )
         )
         if level.limit(1).count() == 0:
-            return out
+            return out.drop("_ids")
         out = out.unionByName(level)
-    raise ValueError(f"the tree has more than {most_levels} levels")
 
 
 def cases(topics: DataFrame, fields: dict[str, str]) -> DataFrame:
