@@ -104,3 +104,51 @@ ORACLES.update({
         SELECT doc_id, context, 'GET,POST' AS methods, array_to_string(list_concat(list_filter([{_HAS % (('e',) * 11)}], lambda w: w IS NOT NULL),
           list_filter([{_HAS % (('context',) * 11)}], lambda w: w IS NOT NULL AND NOT contains(replace(lower(e), ' ', '_'), w))), ',') AS keywords FROM c""",
 })
+
+#: Lines of documents: text, methods and cleaned endpoints written in it, whether a label stands before them, and the requests it names without an address
+#: (name, endpoint, lines of context before and after, confidence, and the method where none is named: D the document's, P post, F always post).
+TEXT_LINES: list[tuple[str, list[tuple[str, str]], int, list[tuple[str, str, int, int, float, str]]]] = [
+    ("# 1.2 **Wallet** calls", [], 0, []), ("POST /v1/bet and get **/v1/win**", [("POST", "/v1/bet"), ("GET", "/v1/win")], 0, []), ("Endpoints https://h.e/v1/", [("", "https://h.e/v1/")], 0, []),
+    ("Endpoints https://h.e/v1/ tail_part of it", [("", "https://h.e/v1/")], 0, []), ("| **Method** | Put |", [], 0, []), ("Source URL: https://x.y/z post /q", [], 0, []), ("see /api/v1/loose.", [("", "/api/v1/loose")], 0, []), ("the URL: /v3/x-y_z", [("", "/v3/x-y_z")], 1, []),
+    ("Path:", [], 0, []), ("https://h.e/alone", [("", "https://h.e/alone")], 0, []), ("", [], 0, []), ("words that delete nothing", [], 0, []), ("WAGER and  RESULT", [], 0, [("Wager And Result", "request:wagerAndResult", 0, 12, 0.9, "D")]),
+    ("HTTP Method: patch", [], 0, []), ("ask with request = getBalance2 here", [], 0, [("Get Balance 2", "request:getBalance2", 4, 8, 0.85, "D")]), ("## **Bet**", [], 0, [("Bet", "base", 0, 15, 0.9, "P")]),
+    ("### Credit &  Refund", [], 0, [("Credit", "keyword:credit", 0, 24, 0.88, "P"), ("Refund", "keyword:refund", 0, 24, 0.88, "P")]), ("| x | Auth Token |", [], 0, [("Auth", "keyword:auth", 4, 8, 0.78, "F")]),
+    ('"put /not/base"', [("PUT", "/not/base")], 0, []), ("nothing", [], 0, []), ("more words", [], 0, []), ("still more", [], 0, []),
+]
+
+
+@query
+def p16_document_candidates(t, spark):
+    """Endpoints and requests of documents of up to 40 lines, one a part; which lines follow one another depends on its key."""
+    k = F.col("p_partkey")
+    line = lambda j: F.get(F.array(*[F.lit(x[0]) for x in TEXT_LINES]), ((k * 5 + j * (2 + k % 17) + (k * j) % 7) % len(TEXT_LINES)).cast("int"))
+    made = t("part").select("p_partkey", F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), k % 40), line), "\n").alias("text"))
+    found = endpoints.candidates(made, "p_partkey")
+    return found.select("p_partkey", "line_no", "api_name", "method", "endpoint", F.md5("context").alias("context"), "confidence")
+
+
+def _string(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_TEXTS = ", ".join(f"({i}, {_string(x[0])}, {x[2]})" for i, x in enumerate(TEXT_LINES))
+_WRITTEN = ", ".join(f"({i}, {n}, '{m}', '{e}')" for i, x in enumerate(TEXT_LINES) for n, (m, e) in enumerate(x[1]))
+_MEANT = ", ".join(f"({i}, {10 + n}, '{a}', '{e}', {b}, {f}, {c}, '{d}')" for i, x in enumerate(TEXT_LINES) for n, (a, e, b, f, c, d) in enumerate(x[3]))
+_ABOUT = lambda before, after, mark="' '": f"string_agg(x, {mark}) OVER (PARTITION BY k ORDER BY j ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING)"
+_FRAMES = sorted({(b, f - 1) for x in TEXT_LINES for *_, b, f, _, _ in [(n, e, b, f, c, d) for n, e, b, f, c, d in x[3]]})
+_LAST = "string_split(rtrim(endpoint, '/'), '/')[-1]"
+ORACLES["p16_document_candidates"] = rf"""WITH v(i, x, label) AS (VALUES {_TEXTS}), w(i, n, m, e) AS (VALUES {_WRITTEN}), q(i, n, api, e, before, after, sure, other) AS (VALUES {_MEANT}),
+  l AS (SELECT k, j, v.* FROM (SELECT p_partkey AS k, unnest(range(p_partkey % 40 + 1)) AS j FROM part) JOIN v ON i = (k * 5 + j * (2 + k % 17) + (k * j) % 7) % {len(TEXT_LINES)}),
+  a AS (SELECT *, regexp_extract({_ABOUT(4, 7)}, '(?i)\b(GET|POST|PUT|PATCH|DELETE)\b', 1) AS near, upper(regexp_extract({_ABOUT(0, 7, 'chr(10)')}, '(?i)\|[^\S\n]*(?:\*\*)?Method(?:\*\*)?[^\S\n]*\|[^\S\n]*(GET|POST|PUT|PATCH|DELETE)[^\S\n]*\|', 1)) AS tabled,
+      {_ABOUT(6, 7, 'chr(10)')} AS ctx, {', '.join(f"{_ABOUT(b, f, 'chr(10)')} AS c{b}_{f}" for b, f in _FRAMES)},
+      coalesce(last_value(CASE WHEN x LIKE '#%' THEN regexp_extract(x, '^#+\s+(.+?)\s*$', 1) END IGNORE NULLS) OVER (PARTITION BY k ORDER BY j), '') AS heading,
+      coalesce(last_value(nullif(trim(x), '') IGNORE NULLS) OVER (PARTITION BY k ORDER BY j ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), '') = 'Path:' AS labelled,
+      coalesce(last_value(CASE WHEN x LIKE 'POST /v1%' THEN '/v1/bet' WHEN x LIKE 'Source%' THEN '/q' END IGNORE NULLS) OVER (PARTITION BY k ORDER BY j ROWS BETWEEN 40 PRECEDING AND 1 PRECEDING), '/{{Partner_base_URL}}/Bet') AS base,
+      bool_or(x LIKE 'HTTP Method%') OVER (PARTITION BY k) AS told FROM l),
+  g AS (SELECT k, j, n, heading, label, coalesce(nullif(m, ''), nullif(tabled, ''), nullif(upper(near), ''), 'unknown') AS method, ctx,
+      CASE WHEN e LIKE '%/' THEN e || ltrim(regexp_extract(ctx, '(?i)(?:Endpoints|端點地址)\s+https://h\.e/v1/\s+([A-Za-z][A-Za-z0-9_/-]*)', 1), '/') ELSE e END AS endpoint FROM a JOIN w USING (i) WHERE e <> 'https://h.e/alone' OR labelled),
+  h AS (SELECT *, trim(regexp_replace(regexp_replace(heading, '[*_`]+', '', 'g'), '^\d+(?:\.\d+)*\s*', '')) AS plain, array_to_string([upper(y[1]) || lower(y[2:]) FOR y IN regexp_split_to_array({_LAST}, '[_\-.]+') IF y <> ''], ' ') || ' API' AS own FROM g)
+  SELECT k AS p_partkey, CAST(j AS INTEGER) AS line_no, CASE WHEN plain <> '' THEN plain ELSE own END AS api_name, method, endpoint, md5(ctx) AS context,
+    round(least(0.95, 0.55 + CASE WHEN method <> 'unknown' THEN 0.2 ELSE 0 END + 0.1 * label + 0.1 + CASE WHEN regexp_matches(lower(endpoint), 'bet|win|wager|result|credit|auth|refund') THEN 0.05 ELSE 0 END), 2)::DOUBLE AS confidence FROM h
+  UNION ALL SELECT k, CAST(j AS INTEGER), api, CASE WHEN other = 'F' THEN 'POST' WHEN near <> '' THEN near WHEN other = 'P' THEN 'POST' WHEN told THEN 'PATCH' ELSE 'GET' END, CASE WHEN e = 'base' THEN base ELSE e END,
+    md5(CASE before * 100 + after {' '.join(f"WHEN {b * 100 + f + 1} THEN c{b}_{f}" for b, f in _FRAMES)} END), sure::DOUBLE FROM a JOIN q USING (i)"""

@@ -7,9 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from docwright.operators import lines
+from docwright.functions.text import let
 
 #: Role of a last segment, request, name or whole path.
 ROLES = {
@@ -44,6 +43,14 @@ BARE = (rf"(?<![\w.])(/api/[{PATH_CHARS}]+)", 0, 1)
 LABEL_LINE = r"(?iU)^(?:path|endpoint|endpoints|url|端點地址)\s*[:：]?\s*$"
 #: Lines around a candidate, and those before it that may name its method.
 BEFORE, AFTER, METHOD_BEFORE = 6, 7, 4
+#: First lines that may name the document's method, lines above a heading that may name its address.
+HEAD_LINES, BASE_BEFORE = 80, 40
+#: Headings of transactions with the requests they stand for; headings of requests that share an address.
+TRANSACTIONS = {
+    "get account": "getaccount", "get balance": "getbalance", "wager": "wager", "result": "result", "wager and result": "wagerAndResult", "rollback": "rollback", "jackpot": "jackpot",
+    "rollback on result": "reversewin", "rollback on rollback": "rollbackrollback", "bet by batch": "wagerbybatch",
+}
+SEAMLESS = ["GetBalance", "Bet", "Win", "Refund", "Rollback", "Settle"]
 RADIUS = 700
 
 
@@ -100,50 +107,120 @@ def cleaned(endpoint: Column) -> Column:
     return F.when(F.lower(plain).startswith("{baseuri}/"), based).when(plain.rlike("^(?:https?://|/)"), plain).otherwise("")
 
 
+def _found(line: Column, pattern: str, method: int, endpoint: int) -> Column:
+    """(method, endpoint) of every match of a family in a line; the method is empty where the family has none."""
+    ends = F.regexp_extract_all(line, F.lit(f"(?iU){pattern}"), F.lit(endpoint))
+    if not method:
+        return F.transform(ends, lambda e: F.struct(F.lit("").alias("method"), e.alias("endpoint")))
+    own = F.regexp_extract_all(line, F.lit(f"(?iU){pattern}"), F.lit(method))
+    return F.zip_with(own, ends, lambda m, e: F.struct(m.alias("method"), e.alias("endpoint")))
+
+
+def _window(ls: Column, begin: Column, end: Column) -> Column:
+    """The lines from place ``begin`` up to ``end``, both from 0, cut at the ends of the document."""
+    low = F.greatest(F.lit(0), begin)
+    return F.slice(ls, low + 1, F.greatest(F.lit(0), F.least(end, F.size(ls)) - low))
+
+
+def _joined(ls: Column, begin: Column, end: Column, mark: str = "\n") -> Column:
+    return F.array_join(_window(ls, begin, end), mark)
+
+
+def repaired(endpoint: Column, context: Column) -> Column:
+    """An endpoint that ends in a slash with the word that stands after it in a labelled place of its context, as where a line was cut."""
+    literal = F.concat(F.lit("\\Q"), F.replace(endpoint, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    tail = F.call_function("regexp_extract", context, F.concat(F.lit(r"(?iU)(?:Endpoints|端點地址)\s+"), literal, F.lit(r"\s+([A-Za-z][A-Za-z0-9_/-]*)")), F.lit(1))
+    return F.when(F.endswith(endpoint, F.lit("/")), F.concat(endpoint, F.ltrim(tail, F.lit("/")))).otherwise(endpoint)
+
+
+def _request_name(request: Column) -> Column:
+    words = F.transform(F.regexp_extract_all(request, F.lit(r"([A-Z]?[a-z]+|[A-Z]+(?=[A-Z]|$)|\d+)"), F.lit(1)), lambda w: F.initcap(w))
+    return F.when(F.size(words) > 0, F.array_join(words, " ")).otherwise(request)
+
+
 def candidates(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, line_no, api_name, method, endpoint, context, confidence) of each endpoint found in a line.
 
-    A line's method is its own, else one of a table row below it, else one named near it.
+    A line's method is its own, else one of a table row below it, else one named near it. Beside paths
+    and addresses, headings of transactions and of known requests, ``request=`` parameters and fields of
+    callbacks are candidates: they take the document's method, the last address named above them, or a name alone.
+    Lines are an array in the document's row, so nothing is shuffled and documents with one key stay apart.
     """
-    by_line = Window.partitionBy(key).orderBy("line_no")
-    title = F.regexp_extract(F.btrim("line"), r"^#{1,6}\s+(.+?)\s*$", 1)
-    split = lines.lines(docs, key, text)
-    around = split.select(
-        key, "line_no", "line",
-        F.coalesce(F.last(F.when(title != "", title), ignorenulls=True).over(by_line.rowsBetween(Window.unboundedPreceding, 0)), F.lit("")).alias("heading"),
-        F.collect_list("line").over(by_line.rowsBetween(-BEFORE, AFTER)).alias("near"),
-        (F.least(F.col("line_no"), F.lit(BEFORE)) + 1).alias("at"),
-    ).filter(F.col("line").contains("/") & ~F.lower(F.btrim("line")).startswith("source url:"))
-
-    def found(pattern: str, method: int, endpoint: int) -> Column:
-        ends = F.regexp_extract_all("line", F.lit(f"(?iU){pattern}"), F.lit(endpoint))
-        if not method:
-            return F.transform(ends, lambda e: F.struct(F.lit("").alias("method"), e.alias("endpoint")))
-        own = F.regexp_extract_all("line", F.lit(f"(?iU){pattern}"), F.lit(method))
-        return F.zip_with(own, ends, lambda m, e: F.struct(m.alias("method"), e.alias("endpoint")))
-
-    labels = F.filter(F.transform(F.slice("near", F.lit(1), F.col("at") - 1), lambda x: F.btrim(x)), lambda x: x != "")
-    alone = F.regexp_extract("line", r"(?iU)^\s*(https?://[^\s|<>`]+)\s*$", 1)
-    below = F.when(
-        (alone != "") & F.coalesce(F.try_element_at(labels, F.lit(-1)), F.lit("")).rlike(LABEL_LINE),
-        F.array(F.struct(F.lit("").alias("method"), alone.alias("endpoint"))),
-    ).otherwise(F.array().cast("array<struct<method:string,endpoint:string>>"))
-    some = around.withColumn("found", F.concat(*[found(*f) for f in FAMILIES], below))
-    taken = F.when(F.size("found") > 0, F.col("found")).otherwise(found(*BARE))
-    rows = some.select(key, "line_no", "line", "heading", "near", "at", F.inline(taken))
-    table = F.regexp_extract(F.array_join(F.slice("near", F.col("at"), F.lit(8)), "\n"), rf"(?iU)\|[^\S\n]*(?:\*\*)?Method(?:\*\*)?[^\S\n]*\|[^\S\n]*({METHODS})[^\S\n]*\|", 1)
-    first = F.greatest(F.lit(1), F.col("at") - METHOD_BEFORE)
-    nearby = F.regexp_extract(F.array_join(F.slice("near", first, F.col("at") + 8 - first), " "), rf"(?iU)\b({METHODS})\b", 1)
-    method = F.coalesce(F.nullif("method", F.lit("")), F.nullif(table, F.lit("")), F.nullif(nearby, F.lit("")), F.lit("unknown"))
-    clean = rows.withColumn("endpoint", cleaned(F.col("endpoint"))).filter("endpoint <> ''")
-    named = clean.withColumn("method", F.when(method == "unknown", method).otherwise(F.upper(method)))
+    split = docs.select(key, F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("ls"))
+    title = lambda x: F.regexp_extract(F.btrim(x), r"^#{1,6}\s+(.+?)\s*$", 1)
+    headings = F.filter(F.transform("ls", lambda x, i: F.struct(i.alias("i"), title(x).alias("title"))), lambda h: h.title != "")
+    told = F.upper(F.regexp_extract(_joined(F.col("ls"), F.lit(0), F.lit(HEAD_LINES)), rf"(?iU)\bHTTP Method:[^\S\n]*({METHODS})\b", 1))
+    read = split.select(key, "ls", headings.alias("headings"), told.alias("told"))
+    ls, none = F.col("ls"), F.array().cast("array<struct<method:string,endpoint:string>>")
+
+    def near(i: Column) -> Column:
+        return F.regexp_extract(_joined(ls, i - METHOD_BEFORE, i + 8, " "), rf"(?iU)\b({METHODS})\b", 1)
+
+    def written(x: Column, i: Column) -> Column:
+        """Paths and addresses in a line."""
+        labels = F.filter(F.transform(_window(ls, i - BEFORE, i), lambda y: F.btrim(y)), lambda y: y != "")
+        alone = F.regexp_extract(x, r"(?iU)^\s*(https?://[^\s|<>`]+)\s*$", 1)
+        labelled = (alone != "") & F.coalesce(F.try_element_at(labels, F.lit(-1)), F.lit("")).rlike(LABEL_LINE)
+        some = F.concat(*[_found(x, *f) for f in FAMILIES], F.when(labelled, F.array(F.struct(F.lit("").alias("method"), alone.alias("endpoint")))).otherwise(none))
+        table = F.regexp_extract(_joined(ls, i, i + 8), rf"(?iU)\|[^\S\n]*(?:\*\*)?Method(?:\*\*)?[^\S\n]*\|[^\S\n]*({METHODS})[^\S\n]*\|", 1)
+        heading = F.coalesce(F.try_element_at(F.filter("headings", lambda h: h.i <= i), F.lit(-1)).getField("title"), F.lit(""))
+        around = _joined(ls, i - BEFORE, i + AFTER + 1)
+
+        def made(m: Column) -> Column:
+            method = F.coalesce(F.nullif(m.method, F.lit("")), F.nullif(table, F.lit("")), F.nullif(near(i), F.lit("")))
+            return F.struct(
+                heading.alias("heading"), F.coalesce(F.upper(method), F.lit("unknown")).alias("method"), repaired(cleaned(m.endpoint), around).alias("endpoint"), around.alias("context"),
+                x.alias("line"), F.lit(None).cast("string").alias("api_name"), F.lit(None).cast("double").alias("confidence"),
+            )
+
+        taken = let(some, lambda s: F.when(F.size(s) > 0, s).otherwise(_found(x, *BARE)))
+        return F.transform(F.filter(taken, lambda m: cleaned(m.endpoint) != ""), made)
+
+    def named(name: Column, method: Column, endpoint: Column, i: Column, before: int, after: int, sure: float) -> Column:
+        return F.struct(
+            F.lit("").alias("heading"), method.alias("method"), endpoint.alias("endpoint"), _joined(ls, i - before, i + after).alias("context"), F.lit("").alias("line"),
+            name.alias("api_name"), F.lit(sure).alias("confidence"),
+        )
+
+    def meant(x: Column, i: Column) -> Column:
+        """Requests that a line names without an address."""
+        own = F.nullif(near(i), F.lit(""))
+        asked = F.coalesce(own, F.nullif("told", F.lit("")), F.lit("GET"))
+        transaction = F.try_element_at(F.create_map(*[F.lit(y) for pair in TRANSACTIONS.items() for y in pair]), F.regexp_replace(F.lower(F.btrim(x)), r"\s+", " "))
+        request = F.regexp_extract(x, r"(?iU)\brequest\s*=\s*([A-Za-z][A-Za-z0-9_]*)", 1)
+        seamless = F.regexp_extract(F.btrim(x), rf"(?i)^#{{1,6}}\s+\*{{0,2}}\s*({'|'.join(SEAMLESS)})\s*\*{{0,2}}\s*$", 1)
+        known = F.regexp_replace(F.lower(F.regexp_extract(F.btrim(x), r"(?i)^#{1,6}\s+(?:[⦁•]\s*)?\*{0,2}\s*(Auth|Debit|Revision|Credit(?:\s*&\s*Refund)?|Refund)\s*\*{0,2}\s*$", 1)), r"\s+", " ")
+        words = F.when(known == "", F.array().cast("array<string>")).when(known == "credit & refund", F.array(F.lit("credit"), F.lit("refund"))).otherwise(F.array(F.replace(known, F.lit(" "), F.lit("_"))))
+        field = F.lower(F.regexp_extract(x, r"(?i)\|\s*Auth\s+(Debit|Credit|Token)\s*\|", 1))
+        callback = F.when(field == "token", "auth").otherwise(field)
+        above = F.filter(
+            F.transform(F.filter(_window(ls, i - BASE_BEFORE, i), lambda y: ~F.btrim(y).rlike('^(?:```|\\{|")')), lambda y: F.regexp_extract(y, f"(?iU){FAMILIES[0][0]}", 2)), lambda e: e != ""
+        )
+        base = F.coalesce(F.try_element_at(above, F.lit(-1)), F.concat(F.lit("/{Partner_base_URL}/"), seamless))
+        each = [
+            F.when(transaction.isNotNull(), named(F.initcap(F.regexp_replace(F.lower(F.btrim(x)), r"\s+", " ")), asked, F.concat(F.lit("request:"), transaction), i, 0, 12, 0.9)),
+            F.when(request != "", named(_request_name(request), asked, F.concat(F.lit("request:"), request), i, 4, 8, 0.85)),
+            F.when(seamless != "", named(seamless, F.coalesce(own, F.lit("POST")), base, i, 0, 15, 0.9)),
+        ]
+        keywords = F.transform(words, lambda w: named(F.initcap(w), F.coalesce(own, F.lit("POST")), F.concat(F.lit("keyword:"), w), i, 0, 24, 0.88))
+        last = F.when(callback != "", named(F.initcap(callback), F.lit("POST"), F.concat(F.lit("keyword:"), callback), i, 4, 8, 0.78))
+        return F.concat(F.array_compact(F.array(*each)), keywords, F.array_compact(F.array(last)))
+
+    def of_line(x: Column, i: Column) -> Column:
+        low = F.lower(F.btrim(x))
+        speaks = low.startswith("#") | low.contains("request") | (low.contains("|") & low.contains("auth")) | low.rlike("^(?:get|wager|result|rollback|jackpot|bet) ?[a-z ]*$")
+        empty = F.array().cast("array<struct<heading:string,method:string,endpoint:string,context:string,line:string,api_name:string,confidence:double>>")
+        every = F.concat(F.when(x.contains("/"), written(x, i)).otherwise(empty), F.when(speaks, meant(x, i)).otherwise(empty))
+        return F.transform(F.when(low.startswith("source url:"), empty).otherwise(every), lambda c: F.struct(i.alias("line_no"), c.alias("c")))
+
+    found = read.select(key, F.inline(F.flatten(F.transform("ls", of_line)))).select(key, "line_no", "c.*")
     plain = F.btrim(F.regexp_replace(F.replace(F.regexp_replace("heading", "[*_`]+", ""), F.lit("¶"), F.lit("")), r"^\d+(?:\.\d+)*\s*", ""))
     telling = (plain != "") & ~F.lower(plain).isin(GENERIC) & (F.char_length(plain) <= 80)
-    title = F.coalesce(F.nullif("heading", F.lit("")), name_of(F.col("endpoint")))
-    return named.select(
-        key, "line_no", F.when(telling, plain).otherwise(name_of(F.col("endpoint"))).alias("api_name"), "method", "endpoint",
-        F.array_join("near", "\n").alias("context"), confidence(F.col("method"), F.col("line"), title, F.col("endpoint")).alias("confidence"),
-    )
+    own_title = F.coalesce(F.nullif("heading", F.lit("")), name_of(F.col("endpoint")))
+    sure = F.coalesce("confidence", confidence(F.col("method"), F.col("line"), own_title, F.col("endpoint")))
+    return found.select(
+        key, "line_no", F.coalesce("api_name", F.when(telling, plain).otherwise(name_of(F.col("endpoint")))).alias("api_name"), "method", "endpoint", "context", sure.alias("confidence")
+    )
 
 
 def context_around(text: Column, needle: Column, radius: int = RADIUS) -> Column:

@@ -31,3 +31,35 @@ def test_parameters_with_nulls(spark):
     df = spark.createDataFrame([(None, None, None, None, None)], "name string, kind string, description string, required string, remark string")
     said = endpoints.predicates(*[F.col(c) for c in df.columns])
     assert not any(df.select(*[c.alias(n) for n, c in said.items()], endpoints.is_rollback(F.col("name"), F.col("kind"))).first())
+
+
+def found(spark, *texts):
+    rows = endpoints.candidates(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string"), "k").collect()
+    return [[(r.line_no, r.api_name, r.method, r.endpoint, r.confidence) for r in rows if r.k == i] for i in range(len(texts))]
+
+
+def test_cut_endpoints_are_repaired_from_their_context(spark):
+    a, b, c = found(spark, "Endpoints /v1/games/ list/all now", "Endpoints /v1/a.b/\nlist-x", "Endpoint /v1/games/ list")
+    assert [x[3] for x in a] == ["/v1/games/list/all"] and [x[3] for x in b] == ["/v1/a.b/list-x"] and [x[3] for x in c] == ["/v1/games/"]
+
+
+def test_headings_requests_and_callbacks_name_endpoints(spark):
+    a, b, c, d = found(
+        spark, "HTTP Method: PUT\n" + "\n" * 9 + "rollback  on result", "try ?request=wagerAndResult", "|POST|**/{Base}/x**|\n```\n{ POST /skipped }\n## **GetBalance**\n\n### Credit & Refund", "| Auth Token | x |\n## • Auth",
+    )
+    assert a == [(10, "Rollback On Result", "PUT", "request:reversewin", 0.9)]
+    assert b == [(0, "Wager And Result", "GET", "request:wagerAndResult", 0.85)]
+    assert [x[1:4] for x in c if x[4] in (0.9, 0.88) and x[0] > 2] == [("GetBalance", "POST", "/{Partner_base_URL}/GetBalance"), ("Credit", "POST", "keyword:credit"), ("Refund", "POST", "keyword:refund")]
+    assert [x[1:] for x in d] == [("Auth", "POST", "keyword:auth", 0.78), ("Auth", "POST", "keyword:auth", 0.88)]
+
+
+def test_a_heading_takes_the_address_above_it(spark):
+    (a,) = found(spark, "POST **/{Partner_base_URL}**\n" + "x\n" * 5 + "## Win\n" + "y\n" * 50 + "## Bet")
+    assert [(x[1], x[3]) for x in a if x[4] == 0.9] == [("Win", "/{Partner_base_URL}"), ("Bet", "/{Partner_base_URL}/Bet")]
+
+
+def test_candidates_of_equal_and_null_keys_stay_apart(spark):
+    df = spark.createDataFrame([(1, "# A\nPOST /a"), (1, "# B\n\nPOST /b"), (None, "GET /c"), (None, "GET /d"), (2, None), (3, "")], "k int, text string")
+    got = endpoints.candidates(df, "k")
+    assert sorted((r.k or 0, r.api_name, r.line_no) for r in got.collect()) == [(0, "C API", 0), (0, "D API", 0), (1, "A", 1), (1, "B", 2)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
