@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docwright.functions import exchange, fields, nested
-from docwright.operators import dependencies, extraction, generation, lines, similar
+from docwright.operators import dependencies, extraction, generation, similar
 from docwright.oracles import HEADING, LINES, ORACLES, PATH
 from docwright.queries import QUERIES, path_of, query
 from docwright.sources import openapi
@@ -36,8 +36,7 @@ def p09_endpoints(t, spark):
 
 @query
 def p10_variants(t, spark):
-    split = lines.lines(t("documents"), "doc_id")
-    return extraction.variants(split, "doc_id", F.col("line").rlike(PLAIN), F.instr("line", ".") > 0)
+    return extraction.variants(t("documents"), "doc_id", lambda x: x.rlike(PLAIN), lambda x: x.contains("."))
 
 
 @query
@@ -73,8 +72,7 @@ def p15_capabilities(t, spark):
 
 @query
 def p17_action_index(t, spark):
-    split = lines.lines(t("documents"), "doc_id")
-    return extraction.action_index(split, "doc_id", F.lower("line").rlike("license|licence"), F.col("line").rlike(HEADING))
+    return extraction.action_index(t("documents"), "doc_id", lambda x: F.lower(x).rlike("license|licence"), lambda x: x.rlike(HEADING))
 
 
 @query

@@ -1,6 +1,6 @@
 """Extraction from lines, sections and tables: endpoints, variants, examples, checklists, codes, actions.
 
-Windows are over the lines of one document; everything else is a projection or an aggregate that
+Lines of a document are met as arrays in its row; everything else is a projection or an aggregate that
 combines before the shuffle. Null texts have no lines, no endpoints and no codes.
 """
 
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docwright.functions.text import let
+from docwright.operators.lines import Test, places
 from docwright.plans.numbering import numbered
 
 ENABLED = ["y", "yes", "true", "1", "enabled", "on"]
@@ -39,14 +41,20 @@ def endpoints(rows: DataFrame, key: str, sources: list[Column], pattern: str) ->
     return rows.select(key, F.inline(F.array_distinct(every))).groupBy(key, "endpoint").agg(F.min("source").alias("source"))
 
 
-def variants(lines: DataFrame, key: str, is_heading: Column, is_example: Column) -> DataFrame:
-    """Blocks of lines from heading to heading; kept where a key has several, or one with several examples."""
-    running = F.sum(is_heading.cast("int")).over(Window.partitionBy(key).orderBy("line_no"))
-    blocks = lines.withColumn("block", running).filter("block > 0").groupBy(key, "block").agg(
-        F.max(F.when(is_heading, F.col("line"))).alias("title"), F.count_if(is_example).alias("n_examples"), F.count(F.lit(1)).alias("n_lines")
-    )
-    n = F.count(F.lit(1)).over(Window.partitionBy(key))
-    return blocks.withColumn("_n", n).filter("_n > 1 or n_examples > 1").drop("_n")
+def variants(docs: DataFrame, key: str, is_heading: Test, is_example: Test, text: str = "text") -> DataFrame:
+    """Blocks of lines from heading to heading; kept where a document has several, or one with several examples."""
+    split = docs.select(key, F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("ls"))
+
+    def blocks(at: Column) -> Column:
+        def one(i: Column, n: Column) -> Column:
+            own = F.slice("ls", i + 1, F.coalesce(F.get(at, n + 1), F.size("ls")) - i)
+            count = lambda xs: F.size(xs).cast("bigint")
+            return F.struct((n + 1).cast("bigint").alias("block"), F.get("ls", i).alias("title"), count(F.filter(own, is_example)).alias("n_examples"), count(own).alias("n_lines"))
+
+        return F.transform(at, one)
+
+    made = let(places(F.col("ls"), is_heading), blocks)
+    return split.select(key, F.inline(let(made, lambda bs: F.filter(bs, lambda x: (F.size(bs) > 1) | (x.n_examples > 1)))))
 
 
 def slotted(rows: DataFrame, key: str, place: str, mode: Column, example: Column) -> DataFrame:
@@ -99,13 +107,19 @@ def capabilities(docs: DataFrame, key: str, text: str, words: dict[str, list[str
     return met.select(key, "capability", F.coalesce("set", "said").alias("enabled"), origin.alias("origin"))
 
 
-def action_index(lines: DataFrame, key: str, is_action: Column, is_heading: Column) -> DataFrame:
-    """The first line of each action of a document, and where its section starts."""
-    w = Window.partitionBy(key).orderBy("line_no")
-    headed = lines.withColumn("_h", F.last(F.when(is_heading, F.col("line_no")), ignorenulls=True).over(w)).filter(is_action)
-    first = headed.groupBy(key, F.lower("line").alias("action")).agg(F.min(F.struct("line_no", "_h")).alias("_f"))
-    start = F.when(F.col("_f.line_no") - F.col("_f._h") <= NEAR, F.col("_f._h")).otherwise(F.col("_f.line_no"))
-    return first.select(key, "action", F.col("_f.line_no").alias("line_no"), start.alias("start"))
+def action_index(docs: DataFrame, key: str, is_action: Test, is_heading: Test, text: str = "text") -> DataFrame:
+    """The first line of each action of a document, in any case of letters, and where its section starts."""
+    split = docs.select(key, F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("ls"))
+    placed = split.select(key, "ls", places(F.col("ls"), is_heading).alias("heads"), places(F.col("ls"), is_action).alias("at"))
+    action = lambda i: F.lower(F.get("ls", i))
+
+    def one(i: Column, n: Column) -> Column:
+        head = F.try_element_at(F.filter("heads", lambda h: h <= i), F.lit(-1))
+        start = F.when(i - head <= NEAR, head).otherwise(i)
+        is_first = ~F.exists(F.slice("at", F.lit(1), n), lambda j: action(j) == action(i))
+        return F.when(is_first, F.struct(action(i).alias("action"), i.alias("line_no"), start.alias("start")))
+
+    return placed.select(key, F.inline(F.array_compact(F.transform("at", one))))
 
 
 def slices(docs: DataFrame, key: str, text: str, patterns: list[str]) -> DataFrame:

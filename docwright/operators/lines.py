@@ -1,36 +1,67 @@
-"""Documents as lines: headings carried forward, sections, contexts."""
+"""Documents as lines: headings carried forward, sections, contexts.
+
+All lines of a document lie in its row, so they are cut and met there as arrays: nothing is shuffled, documents
+with equal or null keys stay apart, and a very long document costs its own task alone.
+
+Defined results: a null text is one empty line; equal rows are kept; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from docwright.functions.text import let
+
+Test = Callable[[Column], Column]
+
+
+def _split(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(key, F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("ls"))
+
+
+def places(ls: Column, test: Test) -> Column:
+    """Numbers, from 0, of the lines that pass ``test``."""
+    return F.array_compact(F.transform(ls, lambda x, i: F.when(test(x), i)))
 
-def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, line_no, line) of every line, numbered from 0."""
-    return docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("line_no", "line"))
 
+def _cuts(ls: Column, is_heading: Test) -> Column:
+    """(section, title, start, n_lines) from heading to heading; section 0 are the lines before the first, if there are any."""
 
-def with_heading(rows: DataFrame, key: str, is_heading: Column) -> DataFrame:
-    """The last heading at or before each line."""
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("heading", F.last(F.when(is_heading, F.col("line")), ignorenulls=True).over(w))
+    def made(at: Column) -> Column:
+        def one(k: Column) -> Column:
+            start = F.when(k == 0, F.lit(0)).otherwise(F.get(at, k - 1))
+            end = F.coalesce(F.get(at, k), F.size(ls))
+            return F.struct(k.cast("bigint").alias("section"), F.when(k > 0, F.get(ls, start)).alias("title"), start.alias("start"), (end - start).cast("bigint").alias("n_lines"))
 
+        return F.filter(F.transform(F.sequence(F.lit(0), F.size(at)), one), lambda s: s.n_lines > 0)
 
-def sections(rows: DataFrame, key: str, is_heading: Column, before: str = "Overview") -> DataFrame:
+    return let(places(ls, is_heading), made)
+
+
+def sections(docs: DataFrame, key: str, is_heading: Test, before: str = "Overview", text: str = "text") -> DataFrame:
     """A row a section: its number, title, first line and number of lines; lines before the first heading are ``before``."""
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    cut = rows.withColumn("section", F.sum(is_heading.cast("int")).over(w))
-    return cut.groupBy(key, "section").agg(
-        F.coalesce(F.min_by(F.when(F.col("section") > 0, F.col("line")), "line_no"), F.lit(before)).alias("title"),
-        F.min("line_no").alias("start"),
-        F.count(F.lit(1)).alias("n_lines"),
-    )
+    cut = _split(docs, key, text).select(key, F.inline(_cuts(F.col("ls"), is_heading)))
+    return cut.withColumn("title", F.coalesce("title", F.lit(before)))
+
+
+def with_heading(docs: DataFrame, key: str, is_heading: Test, text: str = "text") -> DataFrame:
+    """(key, line_no, line, heading) of every line with the last heading at or before it."""
 
+    def carried(s: Column) -> Column:
+        own = F.slice("ls", s.start + 1, s.n_lines.cast("int"))
+        return F.transform(own, lambda x, i: F.struct((s.start + i).alias("line_no"), x.alias("line"), s.title.alias("heading")))
 
-def contexts(rows: DataFrame, key: str, wanted: Column, before: int, after: int) -> DataFrame:
+    return _split(docs, key, text).select(key, F.inline(F.flatten(F.transform(_cuts(F.col("ls"), is_heading), carried))))
+
+
+def contexts(docs: DataFrame, key: str, wanted: Test, before: int, after: int, text: str = "text") -> DataFrame:
     """Each wanted line with the lines around it, joined by newlines."""
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(-before, after)
-    near = rows.select(key, "line_no", "line", F.collect_list("line").over(w).alias("near"))
-    return near.filter(wanted).select(key, "line_no", F.array_join("near", "\n").alias("context"))
+
+    def around(i: Column) -> Column:
+        low = F.greatest(F.lit(0), i - before)
+        return F.struct(i.alias("line_no"), F.array_join(F.slice("ls", low + 1, i + after + 1 - low), "\n").alias("context"))
+
+    return _split(docs, key, text).select(key, F.inline(F.transform(places(F.col("ls"), wanted), around)))

@@ -104,8 +104,8 @@ def markdown_of(page: str | None, address: str | None) -> str:
     for tag in ("main", "article", "body"):
         opened = re.search(rf"<{tag}\b[^>]*>", page, re.I)
         if opened:
-            end = page.lower().rfind(f"</{tag}>")
-            page = page[opened.end() : end if end >= opened.end() else len(page)]
+            closed = re.compile(rf"</{tag}\s*>", re.I).search(page, opened.end())
+            page = page[opened.end() : closed.start() if closed else len(page)]
             break
     reader = _Markdown()
     reader.feed(page)
