@@ -44,8 +44,11 @@ class Splitter:
     def __init__(self, path: str, pattern: str):
         with open(path, encoding="utf-8") as f:
             held = json.load(f)
-        if held.get("normalizer") or (held.get("pre_tokenizer") or {}).get("type") != "ByteLevel":
-            raise ValueError("only files with a byte-level pre-tokenizer and no normalizer can be counted by pre-token")
+        split = held.get("pre_tokenizer") or {}
+        if held.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError("only files with a byte-level pre-tokenizer that adds no space and splits by its pattern, and no normalizer, can be counted by pre-token")
+        if any(t.get(flag) for t in held["added_tokens"] for flag in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError("added tokens that take spaces with them, or stand as words alone, can't be counted by pre-token")
         special = [t["content"] for t in held["added_tokens"]]
         self.pieces = regex.compile(pattern)
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
