@@ -20,17 +20,35 @@ def _url_filter() -> str:
 
 
 def _license_scan() -> str:
-    known = ", ".join(f"('{license_scan.normalised(s)}', '{i}')" for i, s in license_scan.SENTENCES)
-    hit = lambda want: " OR ".join(f"contains(line, ' {' '.join(ids)} ')" for *w, ids in license_scan.RULES if want in w)
-    names = list(dict.fromkeys(name for name, _, _ in license_scan.RULES))
-    listed = ", ".join(f"CASE WHEN {hit(n)} THEN '{n}' END" for n in names)
-    strict = " ".join(f"WHEN {hit(k)} THEN '{k}'" for k in ("restricted", "copyleft", "permissive"))
-    return rf"""WITH s AS (SELECT doc_id, string_split(regexp_replace(lower(regexp_replace(coalesce(text, ''), '[.!?:]+([\x20\x09-\x0D]|$)|\n+',
-        chr(1) || '\1', 'g')), '[^\p{{L}}\p{{N}}\x01]+', ' ', 'g'), chr(1)) AS ps FROM documents),
-      e AS (SELECT doc_id, trim(unnest(ps)) AS p, generate_subscripts(ps, 1) AS pos FROM s),
-      k AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids FROM e JOIN (VALUES {known}) v(p, id) USING (p) GROUP BY doc_id),
-      a AS (SELECT doc_id, coalesce(n, 0) AS n_known, coalesce(ids, '') AS sentence_ids, ' ' || replace(coalesce(ids, ''), ',', ' ') || ' ' AS line
-        FROM documents LEFT JOIN k USING (doc_id))
+    """The operator's program without look-arounds: marks are doubled, and identifiers have their own spaces, so that neighbours share none."""
+    ls = license_scan
+    known = ", ".join(f"('{ls.normalised(s)}', '{i}')" for i, s in ls.SENTENCES)
+    any_of = "|".join(map(ls.wrapped, sorted((s for _, s in ls.SENTENCES), key=lambda s: -len(ls.normalised(s)))))
+    named = [ls.normalised(s).split(ls.HOLDER) for _, s in ls.SENTENCES if ls.HOLDER in ls.normalised(s)]
+    holders = " ".join(f"WHEN starts_with(one, '{a}') AND ends_with(one, '{z}') THEN '{a}{ls.HOLDER}{z}'" for a, z in named)
+    joined = "  ".join
+    granting = "|".join(joined(ids) for _, kind, ids in ls.RULES if kind != "restricted")
+
+    def hit(name: str, ids: list[str]) -> str:
+        left = "line"
+        for other, _, longer in ls.RULES:
+            if other != name and longer[: len(ids)] == ids and len(longer) > len(ids):
+                left = f"replace({left}, ' {joined(longer)} ', ' - ')"
+        return f"contains({left}, ' {joined(ids)} ')"
+
+    hits = lambda place, want: " OR ".join(hit(r[0], r[2]) for r in ls.RULES if r[place] == want)
+    listed = ", ".join(f"CASE WHEN {hits(0, n)} THEN '{n}' END" for n in dict.fromkeys(name for name, _, _ in ls.RULES))
+    strict = " ".join(f"WHEN {hits(1, k)} THEN '{k}'" for k in ("restricted", "copyleft", "permissive"))
+    return rf"""WITH t AS (SELECT doc_id, row_number() OVER () AS rid, replace(replace(coalesce(text, ''), chr(2), ' '), chr(3), ' ') AS x FROM documents),
+      c AS (SELECT doc_id, rid, regexp_replace(regexp_replace(x, '(?m)^[\x20\t]*(?i:dnl|rem)([\x20\t\r\n])', '\1', 'g'), '[.!?:]+([\x20\x09-\x0D]|$)', chr(3) || '\1', 'g') AS x FROM t),
+      m AS (SELECT doc_id, rid, regexp_replace(lower(replace(regexp_replace(x, '(?:\n[^\p{{L}}\p{{N}}\n]*)+\n', chr(1) || chr(10), 'g'), chr(10), chr(2))), '[^\p{{L}}\p{{N}}\x01-\x03]+', ' ', 'g') AS x FROM c),
+      f AS (SELECT doc_id, rid, regexp_extract_all(regexp_replace(x, '([\x01-\x03])', '\1\1', 'g'), '(?:^|[\x01-\x03])\x20?({any_of})(?:\x20?(?:[\x01-\x03]|$))', 1) AS ms FROM m),
+      e AS (SELECT rid, n, trim(regexp_replace(w, '[\x20\x01-\x03]+', ' ', 'g')) AS whole FROM (SELECT rid, unnest(ms) AS w, generate_subscripts(ms, 1) AS n FROM f)),
+      b AS (SELECT *, regexp_replace(whole, '^{ls.SUBJECT}({'|'.join(ls.VERBS)})', '\1') AS one FROM e),
+      v(p, id) AS (VALUES {known}),
+      k AS (SELECT rid, n, coalesce(v1.id, v2.id) AS id FROM b LEFT JOIN v v1 ON v1.p = CASE {holders} ELSE one END LEFT JOIN v v2 ON v2.p = whole),
+      g AS (SELECT rid, count(*) AS n, string_agg(id, ',' ORDER BY k.n) AS ids, string_agg(' ' || id || ' ', '' ORDER BY k.n) AS ln FROM k GROUP BY rid),
+      a AS (SELECT doc_id, coalesce(n, 0) AS n_known, coalesce(ids, '') AS sentence_ids, regexp_replace(coalesce(ln, ''), '(?:\x20{ls.RESERVED}\x20)+(\x20(?:{granting})\x20)', '\1', 'g') AS line FROM t LEFT JOIN g USING (rid))
       SELECT doc_id, n_known, sentence_ids, concat_ws(',', {listed}) AS licenses, CASE {strict} ELSE 'none' END AS license_class FROM a"""
 
 
