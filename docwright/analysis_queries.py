@@ -242,3 +242,34 @@ ORACLES["c09_expanded_parameters"] = f"""WITH keys(ex, ks) AS (VALUES {_KEYS}),
       JOIN (SELECT k AS zk, nm AS znm, rq, o FROM o) z ON zk = k AND znm = nm GROUP BY ALL)),
   f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY k, trim(name) ORDER BY o, ci) = 1)
   SELECT k AS p_partkey, op AS operation, CAST(row_number() OVER (PARTITION BY k ORDER BY o, ci) - 1 AS INTEGER) AS place, name, type, rq AS required, parent FROM f"""
+
+# ---- case records
+
+
+@query
+def p03_case_records(t, spark):
+    """The topics of each customer with ids, labels, a module and steps below them, some doubled, some missing."""
+    k = F.col("c_custkey")
+    id_ = lambda kind: F.concat(F.lit(kind), k.cast("string"))
+    row = lambda here, i, up, title, ord_: F.when(here, F.struct(id_(i).alias("topic_id"), id_(up).alias("parent_id"), title.alias("title"), F.lit(ord_).cast("bigint").alias("ord")))
+    always = k.isNotNull()
+    more = [
+        row(k % 3 == 0, "x", "c", F.concat(F.lit("ID: i"), k.cast("string")), 5), row(k % 4 == 0, "k", "c", F.concat(F.lit("case_key： k"), k.cast("string")), 6), row(k % 4 == 1, "e", "c", F.lit("case_key："), 6),
+        row(k % 5 != 0, "d", "c", F.lit("步骤描述"), 7), row(k % 7 == 0, "D", "c", F.lit("步骤描述: again"), 8), row(k % 2 == 0, "q", "d", F.concat(F.lit("步骤：Call "), "c_mktsegment"), 2), row(always, "g", "d", F.lit("no label here"), 1),
+        row(always, "G", "D", F.lit("步骤："), 1), row(k % 3 != 1, "y", "q", F.concat(F.lit("预期结果：is "), k.cast("string")), 2), row(always, "z", "q", F.lit("then more"), 1), row(k % 2 == 1, "w", "g", F.lit("预期结果："), 1),
+    ]
+    rows = topic_rows(t).unionByName(t("customer").select(F.inline(F.array_compact(F.array(*more)))))
+    flat = topics.flatten(rows).join(rows.select("topic_id", "parent_id"), "topic_id")
+    labels = F.when(F.col("topic_id").endswith("5"), F.array(F.lit("own")))
+    found = topics.case_records(flat.withColumn("file", F.lit("f")).withColumn("labels", labels), ["file"])
+    steps = F.array_join(F.transform("steps", lambda s: F.concat_ws("|", s["index"].cast("string"), s.step, s.expected, s.topic_id)), ";")
+    return found.select("topic_id", "name", "case_id", "preconditions", "module_title", "remarks", "priority", "module_path", F.array_join("labels", ",").alias("labels"), steps.alias("steps"))
+
+
+ORACLES["p03_case_records"] = """WITH c AS (SELECT c_custkey AS k, c_name, c_mktsegment AS m, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    s AS (SELECT k, 1 AS i, 'no label here' AS t, '' AS e, 'g' || k AS id FROM c WHERE k % 5 <> 0 AND k % 7 <> 0
+      UNION ALL SELECT k, 2, 'Call ' || m, 'then more' || CASE WHEN k % 3 <> 1 THEN chr(10) || 'is ' || k ELSE '' END, 'q' || k FROM c WHERE k % 5 <> 0 AND k % 7 <> 0 AND k % 2 = 0
+      UNION ALL SELECT k, 1, '步骤：', '', 'G' || k FROM c WHERE k % 7 = 0),
+    g AS (SELECT k, string_agg(concat_ws('|', i, t, e, id), ';' ORDER BY i) AS steps FROM s GROUP BY k)
+    SELECT 'c' || k AS topic_id, c_name AS name, CASE WHEN k % 4 = 0 THEN 'k' || k WHEN k % 3 = 0 THEN 'i' || k ELSE '' END AS case_id, '/api/' || lower(m) AS preconditions, '' AS module_title, '' AS remarks, '' AS priority,
+      n_name AS module_path, CASE WHEN k % 10 = 5 THEN 'own,' ELSE '' END || CASE WHEN k % 2 = 0 THEN m ELSE 'first ' || m END AS labels, coalesce(steps, '') AS steps FROM c LEFT JOIN g USING (k)"""

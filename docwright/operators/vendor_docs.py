@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from docwright.functions.exchange import query_values, xml_exchanges
 from docwright.functions.text import let
+from docwright.operators import endpoints as endpoint_parts
 from docwright.operators.pages import fragments_of, repaired
 
 PARAGRAPHS = "array<struct<style:string,text:string,json:array<string>,repaired:array<string>>>"
@@ -186,16 +187,23 @@ def parameter_tables(tables: Column) -> Column:
     return F.transform(F.filter(F.coalesce(tables, F.array().cast("array<array<array<string>>>")), is_one), rows)
 
 
+def _given_tables(paragraphs: Column, tables: Column) -> Column:
+    """(place, endpoint, request, response): what each endpoint of a section's title takes."""
+
+    def taken(ts: Column) -> Column:
+        named = F.filter(sections(paragraphs), lambda s: F.size(all_endpoints(s.title)) > 0)
+        each = F.transform(named, lambda s, i: F.transform(all_endpoints(s.title), lambda e: F.struct(i.alias("place"), e.alias("endpoint"), F.get(ts, 2 * i).alias("request"), F.get(ts, 2 * i + 1).alias("response"))))
+        return let(F.flatten(each), lambda es: F.filter(es, lambda x: ~F.exists(es, lambda y: (y.endpoint == x.endpoint) & (y.place > x.place))))
+
+    return let(parameter_tables(tables), taken)
+
+
 def endpoint_tables(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep``, endpoint, request and response rows: sections that name endpoints take parameter tables two by two, in order.
 
     A section that names several gives them the same tables; of several sections of one endpoint the last counts.
     """
-    cut = docs.select(*keep, F.filter(sections(F.col("paragraphs")), lambda s: F.size(all_endpoints(s.title)) > 0).alias("named"), parameter_tables(F.col("tables")).alias("tables"))
-    taken = F.transform("named", lambda s, i: F.struct(i.alias("place"), all_endpoints(s.title).alias("endpoints"), F.get("tables", 2 * i).alias("request"), F.get("tables", 2 * i + 1).alias("response")))
-    each = F.flatten(F.transform(taken, lambda s: F.transform(s.endpoints, lambda e: F.struct(s.place.alias("place"), e.alias("endpoint"), s.request.alias("request"), s.response.alias("response")))))
-    last = let(each, lambda es: F.filter(es, lambda x: ~F.exists(es, lambda y: (y.endpoint == x.endpoint) & (y.place > x.place))))
-    return cut.select(*keep, F.inline(last)).drop("place")
+    return docs.select(*keep, F.inline(_given_tables(F.col("paragraphs"), F.col("tables")))).drop("place")
 
 
 # ---- error codes
@@ -576,3 +584,184 @@ def example_slots(docs: DataFrame, keep: list[str], vendor: str | None = None) -
     every = F.aggregate("held", F.array().cast(f"array<{EXAMPLE}>"), lend)
     placed = told.select(*keep, F.posexplode(every).alias("place", "e"))
     return placed.select(*keep, "place", "e.*")
+
+
+# ---- endpoints of a document, its checklist, games and capabilities
+
+
+def _named(paragraphs: Column, tables: Column) -> Column:
+    """(endpoint, section, row) of a document's endpoints, each where it is named first, in order of the endpoint."""
+    none = F.array().cast("array<array<array<string>>>")
+    of_section = F.flatten(F.transform(sections(paragraphs), lambda s: F.transform(
+        let(all_endpoints(s.title), lambda es: F.when(F.size(es) > 0, es).otherwise(all_endpoints(F.array_join(F.transform(s.content, lambda p: p.text), "\n")))),
+        lambda e: F.struct(e.alias("endpoint"), s.title.alias("section"), F.lit("").alias("row")))))
+    lines = F.transform(F.flatten(F.coalesce(tables, none)), lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), " "))
+    of_table = F.flatten(F.transform(lines, lambda x: F.transform(all_endpoints(x), lambda e: F.struct(e.alias("endpoint"), F.lit("table").alias("section"), x.alias("row")))))
+    first = lambda xs: F.filter(F.transform(xs, lambda x, i: F.when(~F.exists(F.slice(xs, F.lit(1), i), lambda y: y.endpoint == x.endpoint), x)), lambda x: x.isNotNull())
+    return F.array_sort(let(F.concat(of_section, of_table), first))
+
+
+def _endpoints(named: Column, text: Column) -> Column:
+    """(endpoint, section, methods, keywords) of named endpoints; both come from the text around the first mention, else from the table's row."""
+
+    def one(x: Column) -> Column:
+        found = endpoint_parts.context_around(text, x.endpoint)
+        around = F.when(found != "", found).otherwise(x.row)
+        words = F.array_union(endpoint_parts.context_keywords(x.endpoint), endpoint_parts.context_keywords(_when_empty(around, x.endpoint)))
+        return F.struct(x.endpoint.alias("endpoint"), x.section.alias("section"), endpoint_parts.methods_before(around, x.endpoint).alias("methods"), words.alias("keywords"))
+
+    return F.transform(named, one)
+
+
+def _text(name: str = "plain_text") -> Column:
+    return F.coalesce(F.col(name), F.lit(""))
+
+
+def document_endpoints(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, endpoint, section, methods, keywords, request and response rows of each endpoint a document names, in order of the endpoint.
+
+    Section titles name endpoints, else the lines of the section, and after all sections the rows of
+    tables, whose section is ``table``; the first place counts.
+    """
+    read = docs.select(*keep, _named(F.col("paragraphs"), F.col("tables")).alias("named"), _text().alias("text"), _given_tables(F.col("paragraphs"), F.col("tables")).alias("given"))
+    each = read.select(*keep, "given", F.inline(_endpoints(F.col("named"), F.col("text"))))
+    own = _first(F.col("given"), lambda g: g.endpoint == F.col("endpoint"))
+    return each.select(*keep, "endpoint", "section", "methods", "keywords", own.getField("request").alias("request"), own.getField("response").alias("response"))
+
+
+def _place(heads: Column, test) -> Column:
+    """The first place, from 0, of a header that passes ``test``; null without one."""
+    return F.get(_places(heads, test), F.lit(0))
+
+
+def _cell(cells: Column, at: Column) -> Column:
+    return _trim(F.coalesce(F.get(cells, at), F.lit("")))
+
+
+#: Rows of a checklist that set nothing, and the part of a name that marks a threshold; what marks a switch; capabilities by name.
+SKIPPED, THRESHOLD = ["Result Type", "Operator Endpoint", "Vendor Endpoint", "Process Endround"], "Threshold"
+ON, OFF = ["checked", "y", "yes", "true", "1", "enabled"], ["unchecked", "n", "no", "false", "0", "disabled"]
+BY_NAME = {
+    "Freespin": "free_spin", "Jackpot": "jackpot", "Multiple Bet": "multiple_bets", "Multiple Win": "multiple_settlements", "Refund unsettle bet": "cancel_bet",
+    "Cancel settled bet": "rollback_settlements", "Adjustment": "modify_settlements_adjustment", "Process Endround": "process_endround",
+}
+#: Capabilities and the phrases that speak of them.
+CAPABILITIES = {
+    "multiple_bets": ["multiple bet", "multiple bets", "same round", "multi bet"], "multiple_settlements": ["multiple settlement", "multiple settlements", "settle twice"],
+    "rollback_settlements": ["rollback", "roll back"], "modify_settlements_adjustment": ["adjustment", "modify settlement", "adjust settlement"],
+    "cancel_bet": ["cancel bet", "cancel transaction", "refund"], "free_spin": ["free spin", "freespin", "free game"], "jackpot": ["jackpot"],
+    "idempotency": ["idempotency", "duplicate", "same transaction"], "retry": ["retry", "re-try"], "wallet": ["wallet", "balance", "cash"],
+}
+
+
+def checklist(tables: Column, tasks: Column | None = None) -> Column:
+    """Settings of tables with a name and an enable column, in order: name, description, remark, value, enabled, capability, available and selected values.
+
+    ``enabled`` is true, false, or null where the value is none of both. ``tasks`` holds the task lists
+    of cells by table, row and column; a setting's available values are its tasks, selected the checked ones.
+    """
+
+    def rows(table: Column, n: Column) -> Column:
+        def of(heads: Column) -> Column:
+            name, enable = _place(heads, lambda h: h == "name"), _place(heads, lambda h: h.contains("enable"))
+
+            def setting(cells: Column, r: Column) -> Column:
+                value = _cell(cells, enable)
+                called = _cell(cells, name)
+                held = F.get(F.get(F.get(tasks, n), r + 1), enable) if tasks is not None else F.lit(None).cast("array<struct<text:string,checked:boolean>>")
+                said = F.filter(F.transform(F.coalesce(held, F.array().cast("array<struct<text:string,checked:boolean>>")), lambda t: F.struct(_trim(F.coalesce(t.text, F.lit(""))).alias("text"), F.coalesce(t.checked, F.lit(False)).alias("checked"))), lambda t: t.text != "")
+                low = F.lower(value)
+                made = F.struct(
+                    called.alias("name"), _cell(cells, _place(heads, lambda h: h == "description")).alias("description"), _cell(cells, _place(heads, lambda h: h == "remark")).alias("remark"),
+                    value.alias("value"), F.when(low.isin(ON), F.lit(True)).when(low.isin(OFF), F.lit(False)).alias("enabled"),
+                    F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in BY_NAME.items() for x in pair]), called), F.lit("")).alias("capability"),
+                    F.transform(said, lambda t: t.text).alias("available"), F.transform(F.filter(said, lambda t: t.checked), lambda t: t.text).alias("selected"),
+                )
+                ok = (F.size(cells) > F.greatest(name, enable)) & (called != "") & ~called.isin(SKIPPED) & ~called.contains(THRESHOLD)
+                return F.when(ok & name.isNotNull() & enable.isNotNull(), made)
+
+            return F.array_compact(F.transform(F.slice(table, F.lit(2), F.size(table)), setting))
+
+        return let(_header(table), of)
+
+    return F.flatten(F.transform(F.coalesce(tables, F.array().cast("array<array<array<string>>>")), lambda t, n: F.coalesce(F.when(F.size(t) > 0, rows(t, n)), F.array())))
+
+
+def game_codes(tables: Column) -> Column:
+    """(game_type, game_name, game_code) of tables with a game code column; rows with neither name nor code go."""
+
+    def rows(table: Column) -> Column:
+        def of(heads: Column) -> Column:
+            code = _place(heads, lambda h: h == "game code")
+            made = lambda cells: F.struct(
+                _cell(cells, _place(heads, lambda h: h == "gametype")).alias("game_type"), _cell(cells, _place(heads, lambda h: h == "game name")).alias("game_name"), _cell(cells, code).alias("game_code")
+            )
+            long_enough = F.filter(F.slice(table, F.lit(2), F.size(table)), lambda cells: code.isNotNull() & (F.size(cells) > code))
+            return F.filter(F.transform(long_enough, made), lambda g: (g.game_name != "") | (g.game_code != ""))
+
+        return let(_header(table), of)
+
+    return F.flatten(F.transform(F.filter(F.coalesce(tables, F.array().cast("array<array<array<string>>>")), lambda t: F.size(t) > 0), rows))
+
+
+def capability_profile(docs: DataFrame, keep: list[str], tasks: str | None = None) -> DataFrame:
+    """``keep``, supports (capability to whether the document speaks of it), origins and keyword counts.
+
+    Phrases anywhere in the text count; a setting of the checklist that says anything overrides them,
+    the last one of a capability. The keyword counts are over the document's endpoints.
+    """
+    settings = F.filter(checklist(F.col("tables"), F.col(tasks) if tasks else None), lambda s: (s.capability != "") & (s.value != ""))
+    low = F.lower(F.coalesce("plain_text", F.lit("")))
+    said = F.array(*[F.struct(F.lit(c).alias("capability"), _has(low, ws).alias("said")) for c, ws in CAPABILITIES.items()])
+    set_by = lambda c: F.element_at(F.filter("settings", lambda s: s.capability == c), F.size(F.filter("settings", lambda s: s.capability == c)))
+    words = F.flatten(F.transform(_endpoints(_named(F.col("paragraphs"), F.col("tables")), _text()), lambda e: e.keywords))
+    held = docs.select(*keep, settings.alias("settings"), said.alias("said"), words.alias("words"))
+    more = F.array_distinct(F.filter(F.transform("settings", lambda s: s.capability), lambda c: ~c.isin(list(CAPABILITIES))))
+    every = F.concat("said", F.transform(more, lambda c: F.struct(c.alias("capability"), F.lit(False).alias("said"))))
+    is_set = lambda c: F.exists("settings", lambda s: s.capability == c)
+    pairs = F.transform(every, lambda x: F.struct(x.capability.alias("key"), F.when(is_set(x.capability), F.coalesce(set_by(x.capability).enabled, F.lit(True))).otherwise(x.said).alias("value")))
+    origins = F.transform(every, lambda x: F.struct(x.capability.alias("key"), F.when(is_set(x.capability), "vendor_master_checklist").otherwise("keyword").alias("value")))
+    counts = F.transform(F.array_sort(F.array_distinct("words")), lambda w: F.struct(w.alias("key"), F.size(F.filter("words", lambda x: x == w)).alias("value")))
+    return held.select(*keep, F.map_from_entries(pairs).alias("supports"), F.map_from_entries(origins).alias("origins"), F.map_from_entries(counts).alias("keyword_counts"))
+
+
+# ---- actions
+
+
+#: Roles of actions, lines around an action that may name its method, lines up to its heading, characters of a title, how sure an action is.
+ACTION_ROLES = {"balance": "balance", "bet": "bet", "win": "settlement", "cancel": "rollback", "cancelwin": "rollback", "betandwin": "bet_and_settle", "cancelbetandwin": "rollback"}
+METHOD_LINES, HEADING_LINES, TITLE_CHARS, ACTION_SURE = 4, 8, 80, 0.9
+#: Fixed value: most keywords of an action.
+MOST_KEYWORDS = 12
+
+
+def actions(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep``, api_name, method, endpoint, role, keywords, confidence and line_no of each ``action: X`` of a text, each action once, in any case of letters.
+
+    The line is that of the heading above, if near; the name is the heading's, else made of the action; the method is named near it, else POST.
+    """
+    read = docs.select(*keep, F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1).alias("ls"))
+    title = lambda x: F.regexp_extract(F.btrim(x), r"^#{1,6}\s+(.+?)\s*$", 1)
+    named = lambda x: F.regexp_extract(x, r"(?i)\baction\s*:\s*([A-Za-z][A-Za-z0-9_]*)", 1)
+    heads = F.filter(F.transform("ls", lambda x, i: F.struct(i.alias("i"), title(x).alias("title"))), lambda h: h.title != "")
+    met = F.filter(F.transform("ls", lambda x, i: F.struct(i.alias("i"), named(x).alias("action"))), lambda a: a.action != "")
+    placed = read.select(*keep, "ls", heads.alias("heads"), met.alias("met"))
+
+    def one(a: Column, n: Column) -> Column:
+        head = F.try_element_at(F.filter("heads", lambda h: h.i <= a.i), F.lit(-1))
+        words = F.transform(F.regexp_extract_all(a.action, F.lit(r"([A-Z]?[a-z]+|[A-Z]+(?=[A-Z]|$)|\d+)"), F.lit(1)), lambda w: F.initcap(w))
+        made = F.concat(F.array_join(words, " "), F.lit(" Action"))
+        plain = _trim(F.regexp_replace(F.regexp_replace(F.coalesce(head.title, made), "[\u200b-\u200f\ufeff]", ""), "[*_`?]+", ""))
+        name = F.when((plain != "") & (F.length(plain) <= TITLE_CHARS), plain).otherwise(made)
+        low = F.greatest(F.lit(0), a.i - METHOD_LINES)
+        near = F.upper(F.regexp_extract(F.array_join(F.slice("ls", low + 1, a.i + METHOD_LINES + 1 - low), " "), r"(?i)\b(GET|POST|PUT|DELETE|PATCH)\b", 1))
+        role = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in ACTION_ROLES.items() for x in pair]), F.lower(a.action)), F.lit(""))
+        said = F.regexp_extract_all(F.lower(F.concat(name, F.lit(" "), a.action)), F.lit("([a-z][a-z0-9_]{2,})"), F.lit(1))
+        keywords = F.slice(F.array_distinct(F.concat(F.when(role != "", F.array(role)).otherwise(F.array().cast("array<string>")), said)), 1, MOST_KEYWORDS)
+        is_first = ~F.exists(F.slice("met", F.lit(1), n), lambda b: F.lower(b.action) == F.lower(a.action))
+        line = F.when(a.i - head.i <= HEADING_LINES, head.i).otherwise(a.i)
+        return F.when(is_first, F.struct(
+            name.alias("api_name"), _when_empty(near, F.lit("POST")).alias("method"), F.concat(F.lit("action:"), a.action).alias("endpoint"), role.alias("role"), keywords.alias("keywords"),
+            F.lit(ACTION_SURE).alias("confidence"), line.alias("line_no")))
+
+    return placed.select(*keep, F.inline(F.array_compact(F.transform("met", one))))

@@ -248,3 +248,114 @@ ORACLES["p11_example_slots"] = _MADE + rf""",
             lambda q: q IS NOT NULL) AS ent2 FROM (SELECT f.k, t.so, t.es, f.ent || t.got AS whole FROM fold f JOIN flat t ON t.k = f.k AND t.so = f.so + 1)))),
   las AS (SELECT k, unnest(ent) AS q, generate_subscripts(ent, 1) AS o FROM (SELECT k, ent FROM fold QUALIFY so = max(so) OVER (PARTITION BY k)))
   SELECT k AS p_partkey, q.e AS endpoint, q.s AS slot, q.l AS label, q.x AS example, CAST(row_number() OVER (PARTITION BY k, q.e, q.s ORDER BY o) AS INTEGER) AS n FROM las"""
+
+# ---- endpoints, checklists, games, capabilities and actions
+
+CHECK_HEADS = [["Name", "Description", "Remark", "Enable (Y/N)"], ["Game Code", "GameType", "Game  Name"], ["x", "is enabled", " NAME "], ["Game Name", "Game code"], ["Name", "Value"]]
+CHECK_ROWS = [
+    ["Freespin", "d", "", "checked"], ["Jackpot", "No", "Multiple Bet", "unchecked"], ["Result Type", "YES", "Process Endround", "y"], ["Bet Threshold", "1", "Win Threshold"], ["Process Endround", "maybe", "Adjustment", ""],
+    ["Adjustment", "", "Jackpot", "ask us"], ["", " Disabled ", " "], ["Freespin", "0", "Multiple Win", "n", "x"],
+]
+SPOKEN = ["We settle twice in the same round.", "ROLLBACK and refund of bets", "call POST /api/v1/cancel/x then", "Free Game or JackPot", "nothing", "GET /api/v1/balance", "a re-try with cash"]
+ACTION_LINES = ["# **Bet_and win?** calls", "Action: betAndWin", "x action:CANCELwin2 y", "plain", "use put here", "", "action : bet", "### Balance", "ACTION: Bet", "transaction: no", "the get of it", "more", "and more", "still more"]
+
+
+def _checklists(t):
+    """(p_partkey, paragraphs, tables, tasks, plain_text): tables of settings and games, and lines that speak of capabilities."""
+    k = F.col("p_partkey")
+    at = lambda values, n: F.get(F.array(*values), (n % len(values)).cast("int"))
+    lists = lambda values: [F.array(*map(F.lit, v)) for v in values]
+    upto = lambda n: F.slice(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint")), F.lit(1), n.cast("int"))
+    table = lambda i: F.concat(F.array(at(lists(CHECK_HEADS), k + i * 2)), F.transform(upto((k + i) % 6), lambda r: at(lists(CHECK_ROWS), F.floor(k / 3) + 5 * i + 3 * r)))
+    task = lambda r: F.array(F.struct(F.concat(F.lit(" Slot "), r.cast("string")).alias("text"), (r % 2 == 0).alias("checked")), F.struct(F.lit("Live").alias("text"), F.lit(True).alias("checked")), F.struct(F.lit(" ").alias("text"), F.lit(True).alias("checked")))
+    none = F.array().cast("array<struct<text:string,checked:boolean>>")
+    tasks = F.transform(upto(k % 4), lambda i: F.transform(upto((k + i) % 6 + 1), lambda r: F.transform(upto(F.lit(4)), lambda c: F.when((k + i + r + c) % 3 == 0, task(r)).otherwise(none))))
+    paragraphs = F.transform(upto(k % 5), lambda j: F.struct(F.when((k + j) % 4 == 0, "h2").otherwise("p").alias("style"), at(list(map(F.lit, SPOKEN)), k * 3 + j * (1 + k % 5)).alias("text")))
+    made = t("part").select("p_partkey", paragraphs.alias("paragraphs"), F.transform(upto(k % 4), table).alias("tables"), tasks.alias("tasks"))
+    return vendor_docs.read_json(made.withColumn("plain_text", F.array_join(F.transform("paragraphs", lambda p: p.text), "\n")))
+
+
+@query
+def p09_document_endpoints(t, spark):
+    found = vendor_docs.document_endpoints(_docs(t), ["p_partkey"])
+    return found.select("p_partkey", "endpoint", "section", F.array_join("methods", ",").alias("methods"), F.array_join("keywords", ",").alias("keywords"), F.size("request").alias("n_request"), F.size("response").alias("n_response"))
+
+
+@query
+def p12_document_checklist(t, spark):
+    found = _checklists(t).select("p_partkey", F.posexplode(vendor_docs.checklist(F.col("tables"), F.col("tasks"))).alias("place", "s"))
+    return found.select("p_partkey", "place", "s.name", "s.description", "s.remark", "s.value", "s.enabled", "s.capability", F.array_join("s.available", ",").alias("available"), F.array_join("s.selected", ",").alias("selected"))
+
+
+@query
+def p13_game_codes(t, spark):
+    return _checklists(t).select("p_partkey", F.posexplode(vendor_docs.game_codes(F.col("tables"))).alias("place", "g")).select("p_partkey", "place", "g.*")
+
+
+@query
+def p15_capability_profile(t, spark):
+    found = vendor_docs.capability_profile(_checklists(t), ["p_partkey"])
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e.key, e.value.cast("string"))), ",")
+    return found.select("p_partkey", listed("supports").alias("supports"), listed("origins").alias("origins"), listed("keyword_counts").alias("keyword_counts"))
+
+
+@query
+def p17_actions(t, spark):
+    k = F.col("p_partkey")
+    line = lambda j: F.get(F.array(*map(F.lit, ACTION_LINES)), ((k * 3 + j * (1 + k % 13) + (k * j) % 5) % len(ACTION_LINES)).cast("int"))
+    made = t("part").select("p_partkey", F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), k % 31), line), "\n").alias("text"))
+    found = vendor_docs.actions(made, ["p_partkey"])
+    return found.withColumn("keywords", F.array_join("keywords", ","))
+
+
+_WORDS_OF = lambda c: f"list_filter(['balance', 'bet', 'settle', 'result', 'rollback', 'cancel', 'auth', 'token', 'jackpot', 'free_spin', 'adjustment'], lambda w: contains(lower({c}), replace(w, '_', ' ')))"
+_ENDPOINTS = rf""",
+  src AS (SELECT k, sn AS o, 0 AS o2, title AS section, '' AS line, CASE WHEN regexp_matches(title, {_EP}) THEN regexp_extract_all(title, {_EP}, 1) ELSE regexp_extract_all(coalesce(body, ''), {_EP}, 1) END AS es
+      FROM sec LEFT JOIN (SELECT k, sn, string_agg(x, chr(10) ORDER BY b) AS body FROM con GROUP BY k, sn) USING (k, sn)
+    UNION ALL SELECT k, 1000 + tn, rn, 'table', array_to_string(cells, ' '), regexp_extract_all(array_to_string(cells, ' '), {_EP}, 1) FROM lin),
+  nm AS (SELECT k, o, o2, section, line, unnest(es) AS endpoint, generate_subscripts(es, 1) AS n FROM src),
+  fst AS (SELECT * FROM nm QUALIFY row_number() OVER (PARTITION BY k, endpoint ORDER BY o, o2, n) = 1),
+  txt AS (SELECT k, string_agg(x, chr(10) ORDER BY j) AS body FROM par GROUP BY k),
+  ctx AS (SELECT fst.*, CASE WHEN strpos(coalesce(body, ''), endpoint) > 0 THEN substr(body, greatest(1, strpos(body, endpoint) - 700), strpos(body, endpoint) + length(endpoint) + 700 - greatest(1, strpos(body, endpoint) - 700)) ELSE line END AS around FROM fst LEFT JOIN txt USING (k)),
+  epw AS (SELECT *, list_sort(list_distinct([upper(q) FOR q IN regexp_extract_all(around, '(?i)\b(GET|POST|PUT|PATCH|DELETE)\b\s*' || regexp_escape(endpoint), 1)])) AS methods,
+      list_concat({_WORDS_OF('endpoint')}, list_filter({_WORDS_OF('around')}, lambda w: NOT list_contains({_WORDS_OF('endpoint')}, w))) AS words FROM ctx)"""
+ORACLES["p09_document_endpoints"] = _MADE + _ENDPOINTS + rf""",
+  ns AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY sn) - 1 AS p, list_distinct(regexp_extract_all(title, {_EP}, 1)) AS es FROM sec WHERE regexp_matches(title, {_EP})),
+  el AS (SELECT k, endpoint, max(p) AS p FROM (SELECT k, unnest(es) AS endpoint, p FROM ns) GROUP BY k, endpoint)
+  SELECT e.k AS p_partkey, endpoint, section, array_to_string(methods, ',') AS methods, array_to_string(words, ',') AS keywords, CASE WHEN a.pn IS NOT NULL THEN CAST(a.n AS INTEGER) END AS n_request,
+    CASE WHEN b.pn IS NOT NULL THEN CAST(b.n AS INTEGER) END AS n_response FROM epw e LEFT JOIN el USING (k, endpoint) LEFT JOIN pt a ON a.k = e.k AND a.pn = 2 * p LEFT JOIN pt b ON b.k = e.k AND b.pn = 2 * p + 1"""
+_CHECKED = rf"""WITH tab AS (SELECT p_partkey AS k, unnest(range(p_partkey % 4)) AS tn FROM part),
+  lin AS (SELECT k, tn, 0 AS rn, ([{', '.join(map(_quoted, CHECK_HEADS))}])[(k + tn * 2) % {len(CHECK_HEADS)} + 1] AS cells FROM tab
+    UNION ALL SELECT k, tn, rn + 1, ([{', '.join(map(_quoted, CHECK_ROWS))}])[(k // 3 + 5 * tn + 3 * rn) % {len(CHECK_ROWS)} + 1] FROM (SELECT k, tn, unnest(range((k + tn) % 6)) AS rn FROM tab)),
+  hd AS (SELECT k, tn, [{_PLAIN('y')} FOR y IN cells] AS hs FROM lin WHERE rn = 0),
+  loc AS (SELECT k, tn, list_position(hs, 'name') AS nm, list_position([contains(h, 'enable') FOR h IN hs], true) AS en, list_position(hs, 'description') AS ds, list_position(hs, 'remark') AS rm,
+      list_position(hs, 'game code') AS gc, list_position(hs, 'gametype') AS gt, list_position(hs, 'game name') AS gn FROM hd),
+  st AS (SELECT k, tn, rn, en, trim(cells[nm]) AS name, trim(coalesce(cells[ds], '')) AS description, trim(coalesce(cells[rm], '')) AS remark, trim(cells[en]) AS value,
+      coalesce(map([{', '.join(_quoted(x) for x in vendor_docs.BY_NAME)}], [{', '.join(_quoted(x) for x in vendor_docs.BY_NAME.values())}])[trim(cells[nm])], '') AS capability
+    FROM loc JOIN lin USING (k, tn) WHERE rn > 0 AND nm IS NOT NULL AND en IS NOT NULL AND len(cells) >= greatest(nm, en) AND trim(cells[nm]) NOT IN ('', {', '.join(map(_quoted, vendor_docs.SKIPPED))}) AND NOT contains(cells[nm], 'Threshold')),
+  se AS (SELECT *, CASE WHEN lower(value) IN ('checked', 'y', 'yes', 'true', '1', 'enabled') THEN true WHEN lower(value) IN ('unchecked', 'n', 'no', 'false', '0', 'disabled') THEN false END AS enabled,
+      row_number() OVER (PARTITION BY k ORDER BY tn, rn) - 1 AS place FROM st)"""
+ORACLES["p12_document_checklist"] = _CHECKED + """ SELECT k AS p_partkey, CAST(place AS INTEGER) AS place, name, description, remark, value, enabled, capability,
+    CASE WHEN en <= 4 AND (k + tn + rn + en - 1) % 3 = 0 THEN 'Slot ' || rn || ',Live' ELSE '' END AS available, CASE WHEN en <= 4 AND (k + tn + rn + en - 1) % 3 = 0 THEN CASE WHEN rn % 2 = 0 THEN 'Slot ' || rn || ',' ELSE '' END || 'Live' ELSE '' END AS selected FROM se"""
+ORACLES["p13_game_codes"] = _CHECKED + """ SELECT k AS p_partkey, CAST(row_number() OVER (PARTITION BY k ORDER BY tn, rn) - 1 AS INTEGER) AS place, trim(coalesce(cells[gt], '')) AS game_type, trim(coalesce(cells[gn], '')) AS game_name, trim(cells[gc]) AS game_code
+    FROM loc JOIN lin USING (k, tn) WHERE rn > 0 AND len(cells) >= gc AND (trim(coalesce(cells[gn], '')) <> '' OR trim(cells[gc]) <> '')"""
+_CAPABLE = ", ".join(f"({_quoted(c)}, {_quoted(ws)})" for c, ws in vendor_docs.CAPABILITIES.items())
+ORACLES["p15_capability_profile"] = _CHECKED + rf""",
+  par AS (SELECT k, j, CASE WHEN (k + j) % 4 = 0 THEN 'h2' ELSE 'p' END AS style, ([{', '.join(map(_quoted, SPOKEN))}])[(k * 3 + j * (1 + k % 5)) % {len(SPOKEN)} + 1] AS x FROM (SELECT p_partkey AS k, unnest(range(p_partkey % 5)) AS j FROM part)),
+  num AS (SELECT *, style = 'h2' AS head, count(*) FILTER (WHERE style = 'h2') OVER (PARTITION BY k ORDER BY j) AS sn FROM par),
+  con AS (SELECT *, row_number() OVER (PARTITION BY k, sn ORDER BY j) AS b FROM num WHERE NOT head),
+  sec AS (SELECT k, sn, coalesce(max(x) FILTER (WHERE head), 'Overview') AS title, count(*) FILTER (WHERE NOT head) AS n FROM num GROUP BY k, sn QUALIFY n > 0 OR (sn = max(sn) OVER (PARTITION BY k) AND title <> 'Overview')){_ENDPOINTS},
+  wc AS (SELECT k, string_agg(w || '=' || n, ',' ORDER BY w) AS keyword_counts FROM (SELECT k, w, count(*) AS n FROM (SELECT k, unnest(words) AS w FROM epw) GROUP BY k, w) GROUP BY k),
+  cap AS (SELECT p_partkey AS k, c, len(list_filter(ws, lambda w: contains(lower(coalesce(body, '')), w))) > 0 AS said FROM part CROSS JOIN (VALUES {_CAPABLE}) v(c, ws) LEFT JOIN txt ON txt.k = p_partkey),
+  own AS (SELECT k, capability AS c, arg_max(coalesce(enabled, true), place) AS own FROM se WHERE capability <> '' AND value <> '' GROUP BY k, capability),
+  al AS (SELECT coalesce(cap.k, own.k) AS k, coalesce(cap.c, own.c) AS c, coalesce(own, said) AS yes, CASE WHEN own IS NULL THEN 'keyword' ELSE 'vendor_master_checklist' END AS origin FROM cap FULL JOIN own ON cap.k = own.k AND cap.c = own.c)
+  SELECT al.k AS p_partkey, string_agg(c || '=' || yes, ',' ORDER BY c) AS supports, string_agg(c || '=' || origin, ',' ORDER BY c) AS origins, coalesce(any_value(keyword_counts), '') AS keyword_counts FROM al LEFT JOIN wc USING (k) GROUP BY al.k"""
+_ROLE_OF = ", ".join(f"'{k}': '{v}'" for k, v in vendor_docs.ACTION_ROLES.items())
+ORACLES["p17_actions"] = rf"""WITH l AS (SELECT k, j, ([{', '.join(map(_quoted, ACTION_LINES))}])[(k * 3 + j * (1 + k % 13) + (k * j) % 5) % {len(ACTION_LINES)} + 1] AS x FROM (SELECT p_partkey AS k, unnest(range(p_partkey % 31 + 1)) AS j FROM part)),
+  w AS (SELECT *, last_value(CASE WHEN x LIKE '#%' THEN j END IGNORE NULLS) OVER (PARTITION BY k ORDER BY j) AS hj, last_value(CASE WHEN x LIKE '#%' THEN ltrim(x, '# ') END IGNORE NULLS) OVER (PARTITION BY k ORDER BY j) AS head,
+      upper(regexp_extract(string_agg(x, ' ') OVER (PARTITION BY k ORDER BY j ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), '(?i)\b(GET|POST|PUT|DELETE|PATCH)\b', 1)) AS near, regexp_extract(x, '(?i)\baction\s*:\s*([A-Za-z][A-Za-z0-9_]*)', 1) AS a FROM l),
+  f AS (SELECT * FROM w WHERE a <> '' QUALIFY row_number() OVER (PARTITION BY k, lower(a) ORDER BY j) = 1),
+  n AS (SELECT *, CASE WHEN head IS NULL THEN CASE a WHEN 'betAndWin' THEN 'Bet And Win Action' WHEN 'CANCELwin2' THEN 'Cance Lwin 2 Action' ELSE 'Bet Action' END ELSE trim(regexp_replace(head, '[*_`?]+', '', 'g')) END AS name, coalesce(MAP {{{_ROLE_OF}}}[lower(a)], '') AS role FROM f),
+  s AS (SELECT *, list_concat(CASE WHEN role <> '' THEN [role] ELSE [] END, regexp_extract_all(lower(name || ' ' || a), '[a-z][a-z0-9_]{{2,}}')) AS ws FROM n)
+  SELECT k AS p_partkey, name AS api_name, CASE WHEN near <> '' THEN near ELSE 'POST' END AS method, 'action:' || a AS endpoint, role, array_to_string(list_filter(ws, lambda x, i: list_position(ws, x) = i)[1:12], ',') AS keywords,
+    0.9::DOUBLE AS confidence, CAST(CASE WHEN j - hj <= 8 THEN hj ELSE j END AS INTEGER) AS line_no FROM s"""

@@ -134,3 +134,47 @@ def test_documents_are_assembled_from_office_rows(spark):
     read = vendor_docs.read_json(d)
     assert vendor_docs.endpoint_tables(read, ["file"]).collect()[0].request == [{"name": "id", "type": "int"}]
     assert [(r.code, r.context) for r in vendor_docs.error_codes(read, ["file"]).collect()] == [("12", "low")]
+
+
+def test_checklist_values_and_tasks(spark):
+    table = [["Name", "Description", "Remark", "enable"], ["Game Type", "", "", ""], ["Freespin", " d ", "r", "Checked"], ["Jackpot", "", "", "maybe"], ["Result Type", "", "", "y"], ["Loss Threshold", "", "", "y"], ["short"], ["", "", "", "y"]]
+    tasks = [[[], [[], [], [], [("Slot Game", True), ("Live Game", False), (" Video Bingo ", True), (" ", True)]]]]
+    df = spark.createDataFrame([([table, [], [["Name"], ["x"]]], tasks), (None, None), ([[None]], None)], "tables array<array<array<string>>>, tasks array<array<array<array<struct<text:string,checked:boolean>>>>>")
+    got = [r.s for r in df.select(vendor_docs.checklist(df["tables"], df["tasks"]).alias("s")).collect()]
+    assert [(s.name, s.enabled, s.capability) for s in got[0]] == [("Game Type", None, ""), ("Freespin", True, "free_spin"), ("Jackpot", None, "jackpot")]
+    assert got[0][0].available == ["Slot Game", "Live Game", "Video Bingo"] and got[0][0].selected == ["Slot Game", "Video Bingo"]
+    assert (got[0][1].description, got[0][1].remark) == ("d", "r") and got[1] == got[2] == []
+
+
+def test_capabilities_are_overridden_by_the_checklist(docs):
+    table = [["name", "Enable"], ["Jackpot", "n"], ["Process Endround", "y"], ["Freespin", ""], ["Multiple Win", "no"], ["Multiple Win", "ask"]]
+    said = [("h2", "1 POST /api/x/balance"), ("p", "a Jackpot and a free spin; call GET /api/x/balance")]
+    (got,) = vendor_docs.capability_profile(docs((1, said, [table], "1 POST /api/x/balance\na Jackpot and a free spin; call GET /api/x/balance")), ["k"]).collect()
+    assert (got.supports["jackpot"], got.origins["jackpot"]) == (False, "vendor_master_checklist")
+    assert (got.supports["free_spin"], got.origins["free_spin"]) == (True, "keyword") and got.supports["multiple_settlements"] and got.supports["wallet"]
+    assert "process_endround" not in got.supports and len(got.supports) == 10  # its row is one of those that set nothing
+    assert got.keyword_counts == {"balance": 1, "jackpot": 1, "free_spin": 1}
+    (none,) = vendor_docs.capability_profile(docs((2, None)), ["k"]).collect()
+    assert not any(none.supports.values()) and none.keyword_counts == {}
+
+
+def test_endpoints_of_titles_lines_and_tables(docs):
+    said = [("h2", "see post /api/b"), ("p", "GET /api/a"), ("h2", "plain"), ("p", "GET /api/a and PUT /api/c")]
+    text = "post /api/b\nGET /api/a rollback\n"
+    rows = vendor_docs.document_endpoints(docs((1, said, [[["x", "DELETE /api/d"], [None, "GET /api/a"]], REQUEST], text)), ["k"]).collect()
+    assert [(r.endpoint, r.section, r.methods) for r in rows] == [("/api/a", "plain", ["GET"]), ("/api/b", "see post /api/b", ["POST"]), ("/api/c", "plain", []), ("/api/d", "table", ["DELETE"])]
+    assert rows[0].keywords == ["rollback"] and len(rows[1].request) == 2 and rows[0].request is None
+
+
+def test_game_codes(spark):
+    tables = [[["Game Code", "gametype"], ["g1", " slot "], ["", ""], [" g2"]], [["x"], ["y"]], [["Game Name", "game code"], ["n", ""], ["only"]]]
+    df = spark.createDataFrame([(tables,), (None,)], "t array<array<array<string>>>")
+    got = [[tuple(g) for g in r.g] for r in df.select(vendor_docs.game_codes(df["t"]).alias("g")).collect()]
+    assert got == [[("slot", "", "g1"), ("", "", "g2"), ("", "n", "")], []]
+
+
+def test_actions_once_with_heading_and_method(spark):
+    text = "# **Bet?** calls\n" + "x\n" * 3 + "action: betAndWin\nACTION : BETANDWIN\n" + "y\n" * 9 + "action:Cancel_it then\nuse PATCH"
+    df = spark.createDataFrame([(1, text), (1, "action: win"), (None, None)], "k int, text string")
+    got = sorted((r.k, r.line_no, r.api_name, r.method, r.endpoint, r.role) for r in vendor_docs.actions(df, ["k"]).collect())
+    assert got == [(1, 0, "Bet calls", "POST", "action:betAndWin", "bet_and_settle"), (1, 0, "Win Action", "POST", "action:win", "settlement"), (1, 15, "Bet calls", "PATCH", "action:Cancel_it", "")]
