@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from docwright.case_queries import listed, one_of
 from docwright.functions import canonical
-from docwright.operators import endpoints, expansion, overlays, profiles, topics, topology
-from docwright.oracles import ORACLES
+from docwright.operators import endpoints, expansion, knowledge, overlays, profiles, topics, topology
+from docwright.operators.rules import TAGS
+from docwright.oracles import ORACLES, tag_pattern
 from docwright.queries import query, topic_rows
 
 
@@ -273,3 +274,43 @@ ORACLES["p03_case_records"] = """WITH c AS (SELECT c_custkey AS k, c_name, c_mkt
     g AS (SELECT k, string_agg(concat_ws('|', i, t, e, id), ';' ORDER BY i) AS steps FROM s GROUP BY k)
     SELECT 'c' || k AS topic_id, c_name AS name, CASE WHEN k % 4 = 0 THEN 'k' || k WHEN k % 3 = 0 THEN 'i' || k ELSE '' END AS case_id, '/api/' || lower(m) AS preconditions, '' AS module_title, '' AS remarks, '' AS priority,
       n_name AS module_path, CASE WHEN k % 10 = 5 THEN 'own,' ELSE '' END || CASE WHEN k % 2 = 0 THEN m ELSE 'first ' || m END AS labels, coalesce(steps, '') AS steps FROM c LEFT JOIN g USING (k)"""
+
+# ---- knowledge
+
+DO = ["Call  the wallet", "check DB record", "", "Verify the balance\n\n\n\nagain", "bet", "retry it", "check DB record"]
+GIVES = ["200", "must show an error code", None, "sql row", "", "200"]
+
+
+@query
+def p04_knowledge_cases(t, spark):
+    """Records with steps, modules and ids made from the keys of parts."""
+    k = F.col("p_partkey")
+    at = lambda values, n: F.get(F.array(*[F.lit(v).cast("string") for v in values]), (n % len(values)).cast("int"))
+    steps = F.transform(F.slice(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint")), F.lit(1), (k % 6).cast("int")), lambda i: F.struct(at(DO, k + 3 * i).alias("step"), at(GIVES, k + 5 * i).alias("expected")))
+    made = t("part").select(
+        "p_partkey", F.lit("f.xmind").alias("file"), F.when(k % 2 == 0, "S").alias("sheet"), k.cast("string").alias("topic_id"), F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("name"), F.when(k % 3 == 0, F.concat(F.lit("X"), k.cast("string"))).when(k % 3 == 1, "").alias("case_id"),
+        F.when(k % 5 == 0, "call /api/v1/x<br>").alias("preconditions"), F.when(k % 4 == 0, F.col("p_brand")).alias("module_title"), F.when(k % 7 != 0, F.concat_ws(" > ", "p_type", "p_brand")).alias("module_path"),
+        F.array(F.lit("Root"), F.col("p_type"), F.lit(""), F.col("p_name")).alias("path"), steps.alias("steps"), F.when(k % 11 == 0, "an invalid signature").alias("remarks"), F.when(k % 2 == 1, "P1").alias("priority"),
+    )
+    found = knowledge.knowledge_cases(made, ["p_partkey"])
+    lists = [f.name for f in found.schema.fields if f.dataType.typeName() == "array"]
+    return found.select(*[F.array_join(c, "|").alias(c) if c in lists else F.col(c) for c in found.columns if c != "source"])
+
+
+_TAG_OF = ", ".join(f"CASE WHEN regexp_matches(lower(said), '{tag_pattern(w)}') THEN '{tag}' END" for tag, w in sorted(TAGS.items()))
+_JSON_LIST = lambda c: f"CASE WHEN len({c}) > 0 THEN '[' || array_to_string([CAST(to_json(x) AS VARCHAR) FOR x IN {c}], ', ') || ']' ELSE 'null' END"
+_JSON_TEXT = lambda c: f"coalesce(CAST(to_json(nullif({c}, '')) AS VARCHAR), 'null')"
+_ANY = lambda words: f"list_filter(ev, lambda x, i: regexp_matches(lower(x), '{'|'.join(words)}') AND list_position(ev, x) = i)"
+ORACLES["p04_knowledge_cases"] = rf"""WITH p AS (SELECT *, p_partkey AS k, row_number() OVER (ORDER BY p_partkey) AS place FROM part),
+  s AS (SELECT k, i, regexp_replace(trim(({_sql(DO)})[(k + 3 * i) % {len(DO)} + 1]), '\n{{3,}}', chr(10) || chr(10), 'g') AS step, trim(({_sql(GIVES)})[(k + 5 * i) % {len(GIVES)} + 1]) AS gives FROM (SELECT k, unnest(range(k % 6)) AS i FROM p)),
+  g AS (SELECT k, coalesce(list(step ORDER BY i) FILTER (WHERE step <> ''), []) AS steps, coalesce(list(gives ORDER BY i) FILTER (WHERE gives <> ''), []) AS gives FROM s GROUP BY k),
+  a AS (SELECT p.*, CASE WHEN k % 3 = 0 THEN 'X' || k ELSE '' END AS own, format('TC_{{:04d}}', place) AS gen, coalesce(steps, []) AS steps, coalesce(gives, []) AS gives, list_concat(coalesce(steps, []), coalesce(gives, [])) AS ev,
+      CASE WHEN k % 7 <> 0 THEN p_type || ' > ' || p_brand ELSE '' END AS mp, CASE WHEN k % 5 = 0 THEN 'call /api/v1/x<br>' ELSE '' END AS pre, CASE WHEN k % 4 = 0 OR k % 7 <> 0 THEN p_brand ELSE 'unclassified' END AS module FROM p LEFT JOIN g USING (k)),
+  b AS (SELECT *, CASE WHEN k % 5 = 0 THEN '/api/v1/x' ELSE module END AS api, {_ANY(knowledge.VALIDATION_WORDS)} AS vp, {_ANY(knowledge.DB_WORDS)} AS dbs, CASE WHEN k % 2 = 1 THEN 'P1' ELSE '' END AS pr,
+      ' ' || p_name || '  ' || mp || ' ' || pre || ' ' || CASE WHEN k % 11 = 0 THEN 'an invalid signature' ELSE '' END || ' ' || array_to_string(steps, ' ') || ' ' || array_to_string(gives, ' ') AS said FROM a),
+  c AS (SELECT *, list_filter([{_TAG_OF}], lambda x: x IS NOT NULL) AS found FROM b), d AS (SELECT *, CASE WHEN len(found) > 0 THEN found ELSE ['unclassified'] END AS tags FROM c)
+  SELECT p_partkey, CASE WHEN own <> '' THEN own ELSE gen END AS id, CASE WHEN own <> '' THEN gen END AS generated_id, api AS api_name, module, p_name AS scenario, p_name AS title, nullif(mp, '') AS path, 3 AS level, NULL::VARCHAR AS parent_topic, p_name AS child_topic,
+    nullif(pre, '') AS preconditions, {', '.join(f"CASE WHEN len({c}) > 0 THEN array_to_string({c}, '|') END AS {n}" for c, n in (('steps', 'steps'), ('gives', 'expected_results'), ('vp', 'validation_points'), ('dbs', 'db_checks'), ('tags', 'tags')))}, nullif(pr, '') AS priority,
+    sha256('{{"api_name": ' || {_JSON_TEXT('api')} || ', "db_checks": ' || {_JSON_LIST('dbs')} || ', "expected_results": ' || {_JSON_LIST('gives')} || ', "module": ' || {_JSON_TEXT('module')} || ', "path": ' || {_JSON_TEXT('mp')} ||
+      ', "preconditions": ' || {_JSON_TEXT('pre')} || ', "priority": ' || {_JSON_TEXT('pr')} || ', "scenario": ' || {_JSON_TEXT('p_name')} || ', "source": {{"sheet": "' || CASE WHEN k % 2 = 0 THEN 'S' ELSE '' END || '", "topic_id": "' || k ||
+      '", "xmind_file": "f.xmind"}}, "steps": ' || {_JSON_LIST('steps')} || ', "tags": ' || {_JSON_LIST('tags')} || ', "validation_points": ' || {_JSON_LIST('vp')} || '}}') AS content_hash FROM d"""

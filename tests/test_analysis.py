@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docwright.functions import canonical, fields
-from docwright.operators import endpoints, expansion, overlays, profiles, topics, topology
+from docwright.operators import endpoints, expansion, knowledge, overlays, profiles, topics, topology
 
 CASE = "case_key string, place int, section string, module string, scenario string, steps array<struct<step:string,expected:string>>, markers array<string>"
 ONE, TWO = [("Call bet", "200")], [("call  BET", "200")]
@@ -132,3 +132,34 @@ def test_deep_trees_and_ids_that_go_round(spark):
 def test_boundaries_of_any_scale(spark):
     got = spark.createDataFrame([(2,), (40,)], "n int").select(fields.boundary_values(F.col("n")).alias("b")).collect()
     assert [(len(r.b.valid), len(r.b.invalid)) for r in got] == [(6, 7), (44, 45)] and got[0].b.valid == "100.12"
+
+
+RECORD = "file string, sheet string, topic_id string, name string, case_id string, preconditions string, module_title string, module_path string, path array<string>, steps array<struct<step:string,expected:string>>, remarks string, priority string"
+
+
+def test_knowledge_of_records(spark):
+    rows = [
+        ("f", "s", "1", " A ", "", "GET /api/x<b", None, "R > M ", ["Root", "R", "A"], [("Check  it\n\n\n\nnow", "ok"), ("", "SQL row"), (None, None), ("Check  it\n\n\n\nnow", "SQL row")], "timeout", "P1"),
+        ("f", None, "2", "B", "OWN", None, " Title ", None, None, None, None, None), (*[None] * 12,), ("f", "s", "3", "C", "TC_0004", "", "", " > ", ["", "x"], [("plain", "")], "", ""),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"n int, {RECORD}").repartition(3)
+    a, b, none, c = knowledge.knowledge_cases(df, ["n"]).orderBy("n").collect()
+    assert (a.id, a.generated_id, a.api_name, a.module, a.scenario, a.level, a.parent_topic) == ("TC_0001", None, "/api/x", "M", "A", 3, "R")
+    assert a.steps == ["Check  it\n\nnow"] * 2 and a.expected_results == ["ok", "SQL row", "SQL row"] and a.validation_points == ["Check  it\n\nnow"] and a.db_checks == ["SQL row"]
+    assert a.tags == ["api_check", "db_check", "positive", "timeout"]
+    assert (b.id, b.generated_id, b.module, b.api_name, b.steps, b.level, b.tags) == ("OWN", "TC_0002", "Title", "Title", None, 0, ["unclassified"])
+    assert (none.id, none.module, c.id, c.generated_id, c.module, c.validation_points) == ("TC_0003", "unclassified", "TC_0004", None, "unclassified", None)
+    payload = {k: getattr(a, k) for k in canonical.CASE_FIELDS} | {"source": {"xmind_file": "f", "sheet": "s", "topic_id": "1"}}
+    assert a.content_hash == hashlib.sha256(json.dumps(payload, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+    assert knowledge.knowledge_cases(spark.createDataFrame([], f"n int, {RECORD}"), ["n"]).collect() == []
+
+
+def test_case_records_of_small_trees(spark):
+    t = [
+        ("c", None, "Case: A", 1, ["Root", "M", "Case: A"], ["l"]), ("a", "c", "ID：i", 1, [], None), ("b", "c", "merge_key: ", 2, [], None), ("d", "c", "标签：x", 3, [], None), ("d2", "c", "标签：y", 4, [], None), ("s", "c", "步骤描述", 5, [], None),
+        ("s2", "s", "步骤：two", 2, [], None), ("s1", "s", "one: first", 1, [], None), ("e", "s2", "预期结果：ok", 2, [], None), ("e0", "s2", "raw", 1, [], None), ("e1", "s2", "", 3, [], None), ("z", None, "用例：B", 1, ["用例：B"], None),
+    ]
+    df = spark.createDataFrame([(f, *r) for f in ("f", "g") for r in t], "file string, topic_id string, parent_id string, title string, ord long, path array<string>, labels array<string>")
+    got = sorted(topics.case_records(df, ["file"]).collect(), key=lambda r: (r.file, r.topic_id))
+    assert [(r.file, r.name, r.case_id, r.module_path, r.labels) for r in got] == [(f, *x) for f in ("f", "g") for x in (("A", "i", "M", ["l", "y"]), ("B", "", "", []))]
+    assert [(s["index"], s.step, s.expected) for s in got[0].steps] == [(1, "first", ""), (2, "two", "raw\nok")] and got[1].steps == []
