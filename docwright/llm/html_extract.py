@@ -16,6 +16,7 @@ empty table; extra columns are ignored, and a kept column with a result's name g
 
 from __future__ import annotations
 
+import bisect
 import html
 import random
 import re
@@ -54,6 +55,8 @@ INLINE = {
     "tt", "u", "var", "wbr",
 }
 IN_HEAD = {"base", "basefont", "bgsound", "link", "meta", "title", "style", "script", "noscript", "template"}
+#: Starts and ends of forms, and what shows that a form wraps the page and is no form of it.
+FORM, WRAPPED = re.compile(r"<(/?)form\b", re.I), re.compile(r"<(?:article|main|h1)\b", re.I)
 CLOSED_BY_SELF = {"li", "dt", "dd", "tr", "td", "th", "option"}
 SCOPES = {"ul", "ol", "dl", "table", "article", "section", "main", "div", "aside", "nav", "header", "footer", "body", "html"}
 
@@ -130,7 +133,7 @@ class _Builder:
     def end(self, tag: str) -> None:
         self.close(tag, self.nearest("table") if tag in {"p", "li", "td", "th", "tr"} else -1)
 
-    def open(self, tag: str, rest: str) -> None:
+    def open(self, tag: str, rest: str, kept: bool = False) -> None:
         if tag not in IN_HEAD:  # an unclosed head ends here
             self.close("head")
         if tag not in INLINE:
@@ -144,7 +147,7 @@ class _Builder:
         at = len(self.stack)
         self.where.setdefault(tag, []).append(at)
         self.stack.append(
-            _Open(tag, self.placed(up.place, tag, words), up.dropped or tag in DROPPED, up.linked or tag == "a", at if tag in SCOPES else up.scope)
+            _Open(tag, self.placed(up.place, tag, words), up.dropped or (tag in DROPPED and not kept), up.linked or tag == "a", at if tag in SCOPES else up.scope)
         )
 
     def placed(self, up: Place, tag: str, words: list[str]) -> Place:
@@ -159,6 +162,19 @@ class _Builder:
         return Place(own, (*up.tags, tag) if new else up.tags, up.names + fresh)
 
 
+def wrapping_forms(page: str) -> set[int]:
+    """Where forms begin that hold an article, a main part or the first heading: they wrap the page, and only their fields are dropped."""
+    marks, open_, found = [m.start() for m in WRAPPED.finditer(page)], [], set()
+    for m in FORM.finditer(page):
+        if not m[1]:
+            open_.append(m.start())
+        elif open_:
+            begin = open_.pop()
+            if bisect.bisect(marks, begin) < bisect.bisect(marks, m.start()):
+                found.add(begin)
+    return found | {begin for begin in open_ if marks and marks[-1] > begin}
+
+
 def leaf_blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
     """The leaf blocks of a page in order, in time linear in the page.
 
@@ -166,7 +182,7 @@ def leaf_blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
     is bounded however deep it lies. A tag that never ends takes the rest of the page with it, as
     in browsers; once a quote in a tag doesn't close, quotes no longer hide the ends of tags.
     """
-    built, at, quoted, raw_end = _Builder(known), 0, True, {}
+    built, at, quoted, raw_end, forms = _Builder(known), 0, True, {}, wrapping_forms(page)
     while (begin := page.find("<", at)) >= 0:
         second = page[begin + 1 : begin + 2]
         closing = second == "/"
@@ -199,7 +215,7 @@ def leaf_blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
         if closing:
             built.end(tag)
             continue
-        built.open(tag, rest)
+        built.open(tag, rest, kept=begin in forms)
         if tag in RAW and not (tag == "svg" and rest.endswith("/")):
             if tag not in raw_end:
                 raw_end[tag] = re.compile(rf"</{tag}\b", re.I)

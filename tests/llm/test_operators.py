@@ -424,10 +424,10 @@ def test_secrets_one_value_in_a_third_of_all_rows(spark):
 
 def test_references_with_zeros_are_characters():
     page = "<html><body><article><p>" + "&#00000065;&#x0000042;&#" + "0" * 5000 + "67; words of a text that goes on for long enough to be one, and on.&#00A</p></article></body></html>"
-    text = "".join(b.text for b in html_extract.leaf_blocks(page)) if hasattr(html_extract, "leaf_blocks") else None
+    text = "".join(b.text for b in html_extract.leaf_blocks(page))
     builder = html_extract._Builder(None)
     builder.add("&#00000065;&#x0000042;&#" + "0" * 5000 + "67;&#00A&#99999999;")
-    assert "".join(builder.parts) == "ABC\ufffdA\ufffd" and (text is None or text.startswith("ABC"))
+    assert "".join(builder.parts) == "ABC\ufffdA\ufffd" and text.startswith("ABC")
 
 
 def test_keep_one_of_many_equal_rows(spark):
@@ -631,6 +631,39 @@ def test_licenses(docs, hard, spark):
     assert by_id(license_scan.scan(hard, ["doc_id"]))[17].licenses == "MIT,Proprietary"
 
 
+def test_html_forms_that_wrap_a_page_are_kept(spark):
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").limit(20).collect()]
+    wrap = lambda p: re.sub("(?i)</body>", "</form></body>", re.sub(r"(?i)(<body[^>]*>)", r'\1<form action="/x"><input name="a"><select><option>pick me now please, whoever you are</option></select>', p, count=1), count=1)
+    search = '<form class="search"><p>Search the site for words that you like, and press the button below.</p><input></form>'
+    chain, wrapped = html_extract.default_chain(), [wrap(p) for p in pages]
+    for p, w in zip(pages, wrapped, strict=True):
+        texts = [[b.text for b in html_extract.leaf_blocks(x)] for x in (p, w, w.replace("<article", search + "<article", 1))]
+        assert texts[0] == texts[1] == texts[2] and texts[0]
+        assert html_extract.main_text(w, chain) == html_extract.main_text(p, chain)
+    assert html_extract.wrapping_forms("<form><article></form><FORM><form></form><main></form><form>") == {0, 22}
+    assert html_extract.wrapping_forms("<form><h1>") == {0} and html_extract.wrapping_forms("</form><article><form></form>") == set()
+    many = "<form><p>x</p>" * 50_000 + "<article><p>text</p>"
+    began = time.perf_counter()
+    html_extract.leaf_blocks(many)
+    assert time.perf_counter() - began < 20
+
+
+def test_html_of_repeated_and_null_rows(spark):
+    page = spark.read.parquet(f"{SF}/pages.parquet").first().html
+    df = spark.createDataFrame([(1, page, 5), (1, page, 6), (None, page, 7), (None, None, 8)], "page_id long, html string, N_CHARS int")
+    got = html_extract.extract(df, ["page_id", "N_CHARS"]).collect()
+    assert got[0].__fields__ == ["page_id", "text", "n_chars"] and len({(r.text, r.n_chars) for r in got[:3]}) == 1 and (got[3].text, got[3].n_chars) == ("", 0)
+
+
+def test_repeated_rows_stay_in_the_other_operators(spark):
+    df = spark.createDataFrame([(7, "Released under the MIT License.", "en")] * 3 + [(None, "a token = abcdefgh", "en")] * 2, "doc_id long, text string, lang string")
+    for made in (byte_bpe.round_trip(df, ["doc_id"]), token_counts.count_tokens(df, ["doc_id"]), license_scan.scan(df, ["doc_id"])):
+        rows = made.collect()
+        assert len(rows) == 5 and len(set(map(tuple, rows))) == 2
+    kept = token_counts.count_tokens(df.withColumn("n_bytes", F.lit(1)).withColumn("OVER_LIMIT", F.lit("x")), ["doc_id", "n_bytes", "OVER_LIMIT"])
+    assert kept.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and {r.n_bytes for r in kept.collect()} == {31, 18}
+
+
 def test_html_values_of_attributes_hide_nothing():
     chain = html_extract.default_chain()
     page = '<body><article><h1>Title here</h1><p title="the hidden gem">One two three four, five six.</p><p class="sm hidden md">Seven eight nine ten, eleven.</p><p title=it\'s>Twelve, and more of it.</p></article>'
