@@ -1,8 +1,10 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
 A text is encoded as space + text by a byte-level BPE file (A) and as the text by a sentencepiece
-model (B), which adds the space itself. Both split the text into units that no token crosses, so
-the library encodes each distinct unit once and a bounded memo gives the rest. Tokens have byte
+model (B), which adds the space itself. B's tokens never cross from a word to the spaces after it, so
+its library encodes each distinct word once and a bounded memo gives the rest. A's file is read as ranks,
+whose merges run four times as fast as the file's own library, if they must give the same ids: where every token's id is the rank of its
+merge and every token encodes to itself, a merge by rank alone can't differ from the listed one. Tokens have byte
 ranges; a batch's tokens of all documents go through ``pandas.merge_asof``, keyed by document, once
 in each direction: every token start finds the token of the other side that covers it. The union of
 both directions is every pair whose ranges overlap; pairs that also end together close a group.
@@ -23,27 +25,28 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import itertools
+import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
 from docwright.llm.byte_bpe import as_text
 from docwright.llm.frames import without
 from docwright.plans.durable import stored
 
 #: Bytes of texts that are aligned at once, units up to this many characters are kept in the memo, so many of them at most.
-BATCH_BYTES, MEMO_CHARS, MEMO_SIZE = 2 << 20, 48, 300_000
+BATCH_BYTES, MEMO_CHARS, MEMO_SIZE = 2 << 20, 64, 300_000
 #: A run of spaces and what follows it up to the next space.
 UNIT = re.compile(r" *[^ ]+| +")
 SPACE = "▁"
@@ -57,19 +60,70 @@ def byte_chars() -> dict[str, int]:
 
 
 class Side:
-    """One tokenizer: units of a text, their ids, and the bytes of each id."""
+    """The bytes of each id of one tokenizer, and how ids are written."""
 
-    def __init__(self, words: list[bytes], split: Callable[[str], list[str]], encode: Callable[[str], list[int]]):
-        self.words, self.split, self.encode = words, split, encode
+    def __init__(self, words: list[bytes]):
+        self.words = words
         self.lengths = np.array([len(w) for w in words], np.int64)
-        self.memo: dict[str, tuple[int, ...]] = {}
         listed = [str(i) for i in range(len(words))]
         #: The ids as text with each of the marks that may follow: inside a group, after A's part, after B's part.
         self.listed = np.array([[i + mark for i in listed] for mark in ",|;"], object)
 
-    def unit(self, given: str) -> tuple[int, ...]:
-        """The ids of a unit; none where their bytes aren't the unit's."""
-        ids = tuple(self.encode(given))
+
+class ByteSide(Side):
+    """A ``tokenizers`` file with byte-level BPE; special strings are plain text."""
+
+    def __init__(self, path: str, pattern: str):
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        split = held.get("pre_tokenizer") or {}
+        if held.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError("only files with a byte-level pre-tokenizer that splits by its own pattern, and no normalizer, can be aligned")
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.library.encode_special_tokens = True
+        back, vocabulary = byte_chars(), self.library.get_vocab(with_added_tokens=False)
+        # added tokens may stand in the vocabulary as well; they are no result of a merge
+        known = {t: i for t, i in vocabulary.items() if t not in {x["content"] for x in held["added_tokens"]}}
+        words = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in known.items():
+            words[i] = bytes(back[c] for c in token)
+        super().__init__(words)
+        self.ranks = tiktoken.Encoding("aligned", pat_str=pattern, mergeable_ranks={words[i]: i for i in known.values()}, special_tokens={}) if self._by_rank(held["model"], known) else None
+
+    @staticmethod
+    def _by_rank(model: dict, known: dict[str, int]) -> bool:
+        """Whether merging by rank gives what the listed merges give."""
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        in_order = sorted(known.values()) == list(range(len(known))) and [known.get(x + y) for x, y in pairs] == list(range(len(known) - len(pairs), len(known)))
+        alone = Tokenizer(models.BPE(vocab=model["vocab"], merges=[tuple(p) for p in pairs]))
+        return in_order and [e.ids for e in alone.encode_batch(list(known), add_special_tokens=False)] == [[i] for i in known.values()]
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.ranks is None:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int64)
+        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+
+
+class PieceSide(Side):
+    """A sentencepiece model that puts a space before the text; its pieces hold spaces at their start only.
+
+    So nothing is merged over the end of a word, and words with the spaces before them are encoded apart.
+    """
+
+    def __init__(self, path: str):
+        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
+        if any(SPACE in p.lstrip(SPACE) for p in pieces):
+            raise ValueError("only models whose pieces hold spaces at their start can be encoded by word")
+        super().__init__([bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)])
+        self.alone = (self.library.piece_to_id(SPACE),)
+        self.memo: dict[str, tuple[int, ...]] = {}
+
+    def _unit(self, given: str) -> tuple[int, ...]:
+        """The ids of a unit, none where their bytes aren't the unit's; it begins with a space, which the model adds again unless nothing follows."""
+        ids = tuple(self.library.encode(given[1:])) if len(given) > 1 else self.alone
         if b"".join([self.words[i] for i in ids]) != given.encode():
             ids = ()
         if len(given) <= MEMO_CHARS:
@@ -78,50 +132,35 @@ class Side:
             self.memo[given] = ids
         return ids
 
-    def ids(self, text: str) -> list[int] | None:
-        """The ids of ``text``; None where their bytes aren't the text's."""
-        units = self.split(text)
+    def ids(self, text: str) -> np.ndarray | None:
+        """The ids of a text that begins with a space; None where their bytes aren't the text's."""
+        units = UNIT.findall(text)
         known = list(map(self.memo.get, units))
         if not all(known):
-            known = [self.unit(u) if k is None else k for u, k in zip(units, known, strict=True)]
+            known = [self._unit(u) if k is None else k for u, k in zip(units, known, strict=True)]
             if not all(known):
                 return None
-        return list(itertools.chain.from_iterable(known))
+        return np.fromiter(itertools.chain.from_iterable(known), np.int64, sum(map(len, known)))
 
 
-def byte_side(path: str, pattern: str) -> Side:
-    """A ``tokenizers`` file with byte-level BPE; special strings are plain text."""
-    own = Tokenizer.from_file(path)
-    own.no_truncation()
-    own.no_padding()
-    own.encode_special_tokens = True
-    back = byte_chars()
-    words = [b""] * own.get_vocab_size(with_added_tokens=True)
-    for token, i in own.get_vocab(with_added_tokens=False).items():
-        words[i] = bytes(back[c] for c in token)
-    pieces = regex.compile(pattern)
-    return Side(words, pieces.findall, lambda unit: own.encode(unit, add_special_tokens=False).ids)
-
-
-def piece_side(path: str) -> Side:
-    """A sentencepiece model that puts a space before the text; its pieces hold spaces at their start only.
+@dataclasses.dataclass
+class Sides:
+    a: ByteSide
+    b: PieceSide
 
-    So nothing is merged over the end of a word, and words with the spaces before them are encoded apart.
-    """
-    own = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = [own.id_to_piece(i) for i in range(own.get_piece_size())]
-    if any(SPACE in p.lstrip(SPACE) for p in pieces):
-        raise ValueError("only models whose pieces hold spaces at their start can be encoded by word")
-    words = [bytes([int(p[3:5], 16)]) if own.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-    alone = [own.piece_to_id(SPACE)]
-    # every unit begins with a space, which the model adds again unless nothing follows
-    return Side(words, UNIT.findall, lambda unit: own.encode(unit[1:]) if len(unit) > 1 else alone)
+    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of ``text`` on both sides; None where the bytes of either aren't the text's."""
+        of_b = self.b.ids(text)
+        if of_b is None:
+            return None
+        of_a = self.a.ids(text)
+        return (of_a, of_b) if self.a.lengths[of_a].sum() == self.b.lengths[of_b].sum() else None
 
 
 @lru_cache(maxsize=2)
-def sides(json_path: str, pattern: str, model_path: str) -> tuple[Side, Side]:
+def sides(json_path: str, pattern: str, model_path: str) -> Sides:
     """Both tokenizers, one pair a worker process."""
-    return byte_side(json_path, pattern), piece_side(model_path)
+    return Sides(ByteSide(json_path, pattern), PieceSide(model_path))
 
 
 def paths(json_path: str | None, pattern: str | None, model_path: str | None) -> tuple[str, str, str]:
@@ -150,9 +189,9 @@ class Tokens:
         return np.append(of, 0)[at] * (np.bincount(self.doc, minlength=n) > 0)
 
 
-def tokens_of(side: Side, ids: list[list[int]]) -> Tokens:
+def tokens_of(side: Side, ids: list[np.ndarray]) -> Tokens:
     counts = [len(x) for x in ids]
-    flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, sum(counts))
+    flat = np.concatenate([np.zeros(0, np.int64), *ids])
     length = side.lengths[flat]
     end = np.cumsum(length)
     none = np.zeros(0, np.int64)
@@ -176,16 +215,11 @@ def overlaps(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return left[order], right[order]
 
 
-def aligned(texts: list[str], a: Side, b: Side) -> tuple[list[bool], Tokens, Tokens, tuple[np.ndarray, np.ndarray]]:
+def aligned(texts: list[str], both: Sides) -> tuple[list[bool], Tokens, Tokens, tuple[np.ndarray, np.ndarray]]:
     """Which texts have tokens, the tokens of both sides with their groups, and the overlaps."""
-    has, of_a, of_b = [], [], []
-    for text in texts:
-        spaced = " " + text
-        found = (a.ids(spaced), b.ids(spaced)) if text else (None, None)
-        has.append(found[0] is not None and found[1] is not None)
-        of_a.append(found[0] if has[-1] else [])
-        of_b.append(found[1] if has[-1] else [])
-    left, right = tokens_of(a, of_a), tokens_of(b, of_b)
+    found = [both.ids(" " + text) if text else None for text in texts]
+    has, none = [f is not None for f in found], np.zeros(0, np.int64)
+    left, right = (tokens_of(side, [none if f is None else f[k] for f in found]) for k, side in enumerate((both.a, both.b)))
     pairs = overlaps(left, right)
     closing = left.end[pairs[0]] == right.end[pairs[1]]
     for side, at in zip((left, right), pairs, strict=True):
@@ -195,7 +229,7 @@ def aligned(texts: list[str], a: Side, b: Side) -> tuple[list[bool], Tokens, Tok
     return has, left, right, pairs
 
 
-def group_lists(left: Tokens, right: Tokens, a: Side, b: Side, n: int) -> list[str]:
+def group_lists(left: Tokens, right: Tokens, both: Sides, n: int) -> list[str]:
     """Each document's groups as ``a1,a2|b1;a3|b2,b3``."""
     n_groups = int(left.last.sum())
     # before a token stand its own side's earlier tokens and the other side's groups before, for B also A's part of its group
@@ -203,8 +237,8 @@ def group_lists(left: Tokens, right: Tokens, a: Side, b: Side, n: int) -> list[s
     at_a = np.arange(len(left.doc)) + np.concatenate(([0], upto_b))[left.group]
     at_b = np.arange(len(right.doc)) + upto_a[right.group]
     out = np.empty(len(at_a) + len(at_b), object)
-    out[at_a] = a.listed[left.last.astype(np.int64), left.ids]
-    out[at_b] = b.listed[2 * right.last.astype(np.int64), right.ids]
+    out[at_a] = both.a.listed[left.last.astype(np.int64), left.ids]
+    out[at_b] = both.b.listed[2 * right.last.astype(np.int64), right.ids]
     ends = np.cumsum(np.bincount(left.doc, minlength=n) + np.bincount(right.doc, minlength=n)).tolist()
     return ["".join(out[x:y])[:-1] for x, y in zip([0, *ends], ends, strict=False)]
 
@@ -235,10 +269,10 @@ def align(
     schema = T.StructType([*docs.select(*keep).schema.fields, *more.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = sides(*given)
+        both = sides(*given)
         for batch in batches:
             for first, texts in _batches(batch.column(len(keep)), BATCH_BYTES):
-                _, left, right, (at_a, at_b) = aligned(texts, a, b)
+                _, left, right, (at_a, at_b) = aligned(texts, both)
                 doc = left.doc[at_a]
                 begin = lambda side, of: side.first(of, len(texts))[doc]
                 made = [
@@ -264,10 +298,10 @@ def documents(
     schema = T.StructType([*docs.select(*keep).schema.fields, *more.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = sides(*given)
+        both = sides(*given)
         for batch in batches:
             for first, texts in _batches(batch.column(len(keep)), BATCH_BYTES):
-                has, left, right, (at_a, at_b) = aligned(texts, a, b)
+                has, left, right, (at_a, at_b) = aligned(texts, both)
                 n = len(texts)
                 together = left.end[at_a] == right.end[at_b]
                 at_a, at_b = at_a[together], at_b[together]
@@ -277,7 +311,7 @@ def documents(
                 found = [np.unique(codes[y - k : y], return_counts=True) for y, k in zip(ends.tolist(), n_links.tolist(), strict=True)]
                 offsets = pa.array(np.cumsum([0, *[len(x) for x, _ in found]]), pa.int32())
                 values = [pa.array(np.concatenate(x), t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int32()), strict=True)]
-                listed = group_lists(left, right, a, b, n)
+                listed = group_lists(left, right, both, n)
                 count = lambda doc: pa.array(np.bincount(doc, minlength=n), pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
