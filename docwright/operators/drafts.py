@@ -84,11 +84,16 @@ def vendor_scenarios(items: DataFrame, endpoints: DataFrame, keep: list[str], er
 
 def manifest(cases: DataFrame, vendor: str, key: str, order: list[str], shown: list[str]) -> DataFrame:
     """A row a vendor: ``final_case_keys`` in order, and ``case_index`` from key to the fields ``shown``."""
-    at = F.struct(F.struct(*order).alias("at"), F.col(key).alias("key"), F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in shown]).alias("shown"))
-    held = cases.groupBy(vendor).agg(F.array_sort(F.collect_list(at)).alias("_cases"))
-    first = F.filter("_cases", lambda x, i: F.array_position(F.transform("_cases", lambda y: y.key), x.key) == i + 1)
+    shown_as = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in shown])
+    at = F.struct(*order)
+    # a key's places and its first case are found before the vendor's keys come together, so no list is searched
+    by_key = cases.groupBy(vendor, F.col(key).alias("key")).agg(F.collect_list(at).alias("places"), F.min_by(shown_as, at).alias("shown"), F.min(at).alias("first"))
+    held = by_key.groupBy(vendor).agg(
+        F.array_sort(F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(p.alias("at"), F.col("key").alias("key")))))).alias("every"),
+        F.array_sort(F.collect_list(F.when(F.col("key").isNotNull(), F.struct("first", "key", "shown")))).alias("firsts"),
+    )
     return held.select(
-        vendor, F.transform("_cases", lambda x: x.key).alias("final_case_keys"), F.map_from_entries(F.transform(first, lambda x: F.struct(x.key, x.shown))).alias("case_index")
+        vendor, F.transform("every", lambda x: x.key).alias("final_case_keys"), F.map_from_entries(F.transform("firsts", lambda x: F.struct(x.key, x.shown))).alias("case_index")
     )
 
 
