@@ -159,8 +159,9 @@ RULES = [
 _CLASS = {name: kind for name, kind, _ in RULES}
 SENTENCES += [(f"spdx-{i.lower()}", f"SPDX-License-Identifier: {i}") for i in SPDX]
 RULES += [(name, _CLASS[name], [f"spdx-{i.lower()}"]) for i, name in SPDX.items()]
-#: What may stand before a sentence that begins with one of these words: a subject such as "this project is".
-SUBJECT, VERBS = r"(?:this|the|our|all)(?:[\x20\x02]+[\p{L}\p{N}]+)+?[\x20\x02]+(?:is|are)[\x20\x02]+", ("licensed ", "released ", "distributed ", "available ")
+#: What may stand before a sentence that begins with one of these words: a subject such as "this project is". One class of
+#: characters is repeated, not a group, so that a long line takes no deep recursion.
+SUBJECT, VERBS = r"(?:this|the|our|all)[\x20\x02][\p{L}\p{N}\x20\x02]*?[\x20\x02](?:is|are)[\x20\x02]+", ("licensed ", "released ", "distributed ", "available ")
 #: Part of a known sentence that names a holder, with the words that may stand in its place.
 HOLDER, ANY_HOLDER = "the copyright holder", "[^\x01]+?"
 #: The sentence that belongs to a copyright line where a licence follows it.

@@ -803,6 +803,13 @@ def test_licenses_of_short_notices_and_heads(spark):
         assert (got[i].licenses, got[i].license_class) == (name, kind), (text, got[i])
 
 
+def test_licenses_in_lines_of_any_length(spark):
+    long = "this " + "word is a " * 200_000
+    texts = [long, long + "is licensed under the MIT License.", "the" + " x\ny" * 100_000 + " are licensed under the MIT License.", "All rights reserved.\n" * 50_000 + MIT_TEXT, "Neither the name of " + "a b\n" * 100_000]
+    got = by_id(license_scan.scan(spark.createDataFrame(rows_of(*texts), DDL), ["doc_id"]))
+    assert [got[i].licenses for i in range(5)] == ["", "MIT", "MIT", "MIT", ""]
+
+
 def test_license_sql_is_the_same_program_on_wrapped_texts(spark):
     led = lambda text, mark: "".join(f"{mark} {x}".rstrip() + "\n" for x in (text or "").split("\n"))
     whole = [MIT_TEXT, GPL_NOTICE, BSD_TEXT, BSD_TEXT + BSD_THIRD, APACHE_HEADER, "All rights reserved.\n" * 3 + BSD_TEXT + "All rights reserved.\n" + APACHE_HEADER, *[t for t, *_ in MORE_NOTICES], *[t for t, *_ in SHORT_NOTICES]]
