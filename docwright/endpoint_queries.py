@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docwright.case_queries import listed, one_of
 from docwright.operators import endpoints
 from docwright.oracles import ORACLES
+from docwright.plans.spread import spread
 from docwright.queries import query
 
 PLACES = ["/v1/wallet/bet/", "{baseUri}/reverse/withdraw", "request:Wager", "keyword:nothing", "https://h.example/credit?x=1", "/games/list", "/play/BetAndResult", "/v2/transfer"]
@@ -35,7 +36,7 @@ def p16_endpoint_candidates(t, spark):
         F.when(k % 3 == 0, F.concat(F.lit("## 1.2 **"), "p_name", F.lit("**\n"))).otherwise("\n"),
         one_of([x[0] for x in LINES]), F.when(k % 2 == 0, "\n\n| **Method** | Put |").otherwise("\n\n"),
     )
-    found = endpoints.candidates(t("part").select("p_partkey", text.alias("text")), "p_partkey")
+    found = endpoints.candidates(spread(t("part").select("p_partkey", "p_name")).select("p_partkey", text.alias("text")), "p_partkey")
     return found.select("p_partkey", "line_no", "api_name", "method", "endpoint", "confidence", F.length("context").alias("n_context"))
 
 
@@ -122,7 +123,7 @@ def p16_document_candidates(t, spark):
     """Endpoints and requests of documents of up to 40 lines, one a part; which lines follow one another depends on its key."""
     k = F.col("p_partkey")
     line = lambda j: F.get(F.array(*[F.lit(x[0]) for x in TEXT_LINES]), ((k * 5 + j * (2 + k % 17) + (k * j) % 7) % len(TEXT_LINES)).cast("int"))
-    made = t("part").select("p_partkey", F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), k % 40), line), "\n").alias("text"))
+    made = spread(t("part").select("p_partkey")).select("p_partkey", F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), k % 40), line), "\n").alias("text"))
     found = endpoints.candidates(made, "p_partkey")
     return found.select("p_partkey", "line_no", "api_name", "method", "endpoint", F.md5("context").alias("context"), "confidence")
 

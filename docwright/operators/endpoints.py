@@ -225,9 +225,12 @@ def candidates(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 def context_around(text: Column, needle: Column, radius: int = RADIUS) -> Column:
     """The text from ``radius`` before to ``radius`` after the first ``needle``; empty without one."""
-    at = F.position(needle, text)
-    start = F.greatest(F.lit(1), at - radius)
-    return F.when(at > 0, F.substring(text, start, at + F.char_length(needle) + radius - start)).otherwise("")
+
+    def cut(at: Column) -> Column:
+        start = F.greatest(F.lit(1), at - radius)
+        return F.when(at > 0, F.substring(text, start, at + F.char_length(needle) + radius - start)).otherwise("")
+
+    return let(F.position(needle, text), cut)
 
 
 def methods_before(text: Column, endpoint: Column) -> Column:
@@ -239,7 +242,7 @@ def methods_before(text: Column, endpoint: Column) -> Column:
 
 def context_keywords(text: Column) -> Column:
     """The known keywords that a text holds, in their own order."""
-    return F.array_compact(F.array(*[F.when(F.lower(text).contains(w), w.replace(" ", "_")) for w in CONTEXT_WORDS]))
+    return let(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(low.contains(w), w.replace(" ", "_")) for w in CONTEXT_WORDS])))
 
 
 def predicates(name: Column, kind: Column, description: Column, required: Column, remark: Column) -> dict[str, Column]:

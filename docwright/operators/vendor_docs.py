@@ -13,7 +13,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,16 +90,23 @@ def read_json(docs: DataFrame, paragraphs: str = "paragraphs") -> DataFrame:
     """``docs`` with the JSON objects of each paragraph, as written and with trailing commas left out."""
     rest = [c for c in docs.columns if c != paragraphs]
     schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField(paragraphs, T._parse_datatype_string(PARAGRAPHS))])
-    kind = pa.list_(pa.struct([("style", pa.string()), ("text", pa.string()), ("json", pa.list_(pa.string())), ("repaired", pa.list_(pa.string()))]))
-
-    def one(p: dict | None) -> dict:
-        style, text = ((p or {}).get("style") or ""), ((p or {}).get("text") or "")
-        return {"style": style, "text": text, "json": fragments_of(text), "repaired": fragments_of(repaired(text))}
+    lists = pa.list_(pa.string())
+
+    def read(batch: pa.RecordBatch) -> pa.Array:
+        """The paragraphs of a batch; a text that comes again in it is read once."""
+        held = batch.column(len(rest))
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(held), 0).to_numpy(zero_copy_only=False))
+        flat = held.flatten()
+        style, text = (pc.fill_null(pc.struct_field(flat, [name]), "") for name in ("style", "text"))
+        coded = text.dictionary_encode()
+        texts = coded.dictionary.to_pylist()
+        found = [pa.array([fragments_of(x) for x in xs], lists).take(coded.indices) for xs in (texts, map(repaired, texts))]
+        made = pa.StructArray.from_arrays([style, text, *found], ["style", "text", "json", "repaired"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [[one(p) for p in row or []] for row in batch.column(len(rest)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, kind)], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], read(batch)], schema.names)
 
     return docs.select(*rest, paragraphs).mapInArrow(run, schema)
 
@@ -124,6 +133,12 @@ def all_endpoints(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ENDPOINT), F.lit(1)))
 
 
+def _endpoints_of(s: Column) -> Column:
+    """The endpoints of a section's title, else those in its lines."""
+    lines = F.array_join(F.transform(s.content, lambda p: p.text), "\n")
+    return let(all_endpoints(s.title), lambda es: F.when(F.size(es) > 0, es).otherwise(all_endpoints(lines)))
+
+
 def _is_heading(p: Column) -> Column:
     return F.lower(p.style).isin("h1", "h2", "h3", "h4") | F.startswith(F.lower(p.style), F.lit("heading"))
 
@@ -191,8 +206,8 @@ def _given_tables(paragraphs: Column, tables: Column) -> Column:
     """(place, endpoint, request, response): what each endpoint of a section's title takes."""
 
     def taken(ts: Column) -> Column:
-        named = F.filter(sections(paragraphs), lambda s: F.size(all_endpoints(s.title)) > 0)
-        each = F.transform(named, lambda s, i: F.transform(all_endpoints(s.title), lambda e: F.struct(i.alias("place"), e.alias("endpoint"), F.get(ts, 2 * i).alias("request"), F.get(ts, 2 * i + 1).alias("response"))))
+        named = F.filter(F.transform(sections(paragraphs), lambda s: all_endpoints(s.title)), lambda es: F.size(es) > 0)
+        each = F.transform(named, lambda es, i: F.transform(es, lambda e: F.struct(i.alias("place"), e.alias("endpoint"), F.get(ts, 2 * i).alias("request"), F.get(ts, 2 * i + 1).alias("response"))))
         return let(F.flatten(each), lambda es: F.filter(es, lambda x: ~F.exists(es, lambda y: (y.endpoint == x.endpoint) & (y.place > x.place))))
 
     return let(parameter_tables(tables), taken)
@@ -211,16 +226,26 @@ def endpoint_tables(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def error_header(text: Column) -> Column:
     """A header of an error table by its meaning; a translation in parentheses is left out."""
-    bare = F.btrim(F.regexp_replace(plain(text), r"\s*\([^)]*\)\s*", " "))
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in HEADERS.items() for x in pair]), bare), bare)
+    known = F.create_map(*[F.lit(x) for pair in HEADERS.items() for x in pair])
+    return let(F.btrim(F.regexp_replace(plain(text), r"\s*\([^)]*\)\s*", " ")), lambda bare: F.coalesce(F.try_element_at(known, bare), bare))
+
+
+def _signs(t: Column) -> Column:
+    """What a trimmed token could be a code by: its digits, its form as a name, its words."""
+    short = F.length(t) <= 80
+    return F.struct(
+        t.rlike(r"^\d{1,6}$").alias("digits"), (short & t.rlike(r"^[A-Za-z][A-Za-z0-9_.-]{2,}$")).alias("named"),
+        (short & (t != "") & let(F.lower(t), lambda low: _has(low, MESSAGE_WORDS))).alias("told"),
+    )
+
+
+def _code_by(signs: Column, mode: Column) -> Column:
+    return signs.digits | ((mode == "code_column") & signs.named) | ((mode == "message") & signs.told)
 
 
 def is_code(text: Column, mode: Column) -> Column:
     """Whether a token is a code: digits in any mode, a name in a code column, a telling message where messages are codes."""
-    t = _trim(text)
-    named = (mode == "code_column") & t.rlike(r"^[A-Za-z][A-Za-z0-9_.-]{2,}$")
-    told = (mode == "message") & (t != "") & _has(F.lower(t), MESSAGE_WORDS)
-    return t.rlike(r"^\d{1,6}$") | ((F.length(t) <= 80) & (named | told))
+    return let(let(_trim(text), _signs), lambda x: _code_by(x, mode))
 
 
 def _table_codes(tables: Column) -> Column:
@@ -230,9 +255,12 @@ def _table_codes(tables: Column) -> Column:
         return F.coalesce(*[F.when(F.array_contains(heads, n), F.array_position(heads, F.lit(n)) - 1) for n in names]).cast("int")
 
     def rows(table: Column) -> Column:
-        def of(heads: Column) -> Column:
-            code, text = place(heads, ["code"]), place(heads, CONTEXTS)
-            message, more, other = place(heads, ["message"]), place(heads, ["related exceptions"]), place(heads, [*EXCEPTIONS, "description", "context"])
+        def found(heads: Column) -> Column:
+            wanted = {"code": ["code"], "text": CONTEXTS, "message": ["message"], "more": ["related exceptions"], "other": [*EXCEPTIONS, "description", "context"]}
+            return F.struct(*[place(heads, names).alias(c) for c, names in wanted.items()])
+
+        def of(at: Column) -> Column:
+            code, text, message, more, other = at.code, at.text, at.message, at.more, at.other
 
             def coded(cells: Column) -> Column:
                 extra = _trim(F.coalesce(F.get(cells, more), F.lit("")))
@@ -249,7 +277,7 @@ def _table_codes(tables: Column) -> Column:
             none = F.array().cast("array<struct<code:string,context:string>>")
             return F.array_compact(F.when(by_code, F.transform(body, coded)).when(by_message, F.transform(body, told)).otherwise(none))
 
-        return let(F.transform(F.get(table, F.lit(0)), error_header), of)
+        return let(let(F.transform(F.get(table, F.lit(0)), error_header), found), of)
 
     whole = F.filter(F.coalesce(tables, F.array().cast("array<array<array<string>>>")), lambda t: F.size(t) > 0)
     return F.flatten(F.transform(whole, rows))
@@ -261,21 +289,22 @@ def _stream_codes(content: Column) -> Column:
     The first eight tokens say which column holds codes. From the first code on each code opens an
     entry, and what follows up to the next code is its context, but for repeated column names.
     """
-    tokens = F.filter(F.transform(content, lambda p: _trim(p.text)), lambda x: x != "")
+    said = F.filter(F.transform(content, lambda p: _trim(p.text)), lambda x: x != "")
+    tokens = F.transform(said, lambda t: F.struct(t.alias("text"), error_header(t).alias("head"), _signs(t).alias("signs")))
 
     def read(ts: Column) -> Column:
-        heads = F.transform(F.slice(ts, 1, 8), error_header)
+        heads = F.transform(F.slice(ts, 1, 8), lambda x: x.head)
         mode = F.when(F.array_contains(heads, "code"), "code_column").when(
             F.array_contains(heads, "message") & F.arrays_overlap(heads, _either(EXCEPTIONS)), "message").otherwise("digits")
 
         def entries(given: Column) -> Column:
-            m, at = given.mode, _places(ts, lambda x: is_code(x, given.mode))
+            m, at = given.mode, _places(ts, lambda x: _code_by(x.signs, given.mode))
 
             def cut(places: Column) -> Column:
                 def one(p: Column, k: Column) -> Column:
                     rest = _cut(ts, p + 1, F.coalesce(F.get(places, k + 1), F.size(ts)))
-                    said = F.filter(rest, lambda x: ~error_header(x).isin(COLUMN_WORDS))
-                    return F.struct(F.get(ts, p).alias("code"), _trim(F.array_join(said, " | ")).alias("context"))
+                    said = F.transform(F.filter(rest, lambda x: ~x.head.isin(COLUMN_WORDS)), lambda x: x.text)
+                    return F.struct(F.get(ts, p).text.alias("code"), _trim(F.array_join(said, " | ")).alias("context"))
 
                 return F.transform(places, one)
 
@@ -287,8 +316,9 @@ def _stream_codes(content: Column) -> Column:
 
 
 def _is_code_section(s: Column) -> Column:
-    title, preview = plain(s.title), F.lower(F.array_join(F.transform(F.slice(s.content, 1, 8), lambda p: p.text), " "))
-    return title.contains("error code") | (title == "errors") | (preview.contains("error code") & _has(preview, ["message", "description"]))
+    preview = F.lower(F.array_join(F.transform(F.slice(s.content, 1, 8), lambda p: p.text), " "))
+    by_title = let(plain(s.title), lambda title: title.contains("error code") | (title == "errors"))
+    return by_title | let(preview, lambda x: x.contains("error code") & _has(x, ["message", "description"]))
 
 
 def _text_codes(text: Column) -> Column:
@@ -350,7 +380,10 @@ def _keys(json: Column) -> Column:
 
 def looks_like_response(json: Column) -> Column:
     """Whether an object has a key of responses, or all keys of a wallet, and none of requests."""
-    keys = _keys(json)
+    return let(_keys(json), _answers)
+
+
+def _answers(keys: Column) -> Column:
     wallet = F.size(F.array_intersect(keys, _either(WALLET_KEYS))) == len(WALLET_KEYS)
     return (F.arrays_overlap(keys, _either(RESPONSE_KEYS)) | wallet) & ~F.arrays_overlap(keys, _either(REQUEST_KEYS))
 
@@ -431,11 +464,11 @@ def section_variants(held: Column, tables: Column) -> Column:
 
     def one(s: Column, i: Column) -> Column:
         def of(p: Column) -> Column:
-            asked, exchanges = query_values(p.text), xml_exchanges(p.text)
-            return F.struct(
-                F.concat(F.filter(F.array(asked), lambda q: F.size(q) > 0), F.filter(F.transform(exchanges, lambda x: x.request), lambda r: F.size(r) > 0)).alias("requests"),
-                F.filter(F.transform(exchanges, lambda x: x.response), lambda r: F.size(r) > 0).alias("responses"),
-            )
+            asked = F.filter(F.array(query_values(p.text)), lambda q: F.size(q) > 0)
+            return let(xml_exchanges(p.text), lambda xs: F.struct(
+                F.concat(asked, F.filter(F.transform(xs, lambda x: x.request), lambda r: F.size(r) > 0)).alias("requests"),
+                F.filter(F.transform(xs, lambda x: x.response), lambda r: F.size(r) > 0).alias("responses"),
+            ))
 
         def made(bs: Column) -> Column:
             texts = lambda maps: F.transform(F.flatten(maps), lambda m: F.to_json(m))
@@ -463,81 +496,103 @@ def operation_variants(docs: DataFrame, keep: list[str]) -> DataFrame:
 # ---- example slots
 
 
-def _mode(text: Column) -> Column:
-    """Which kind of example a line announces; empty if none."""
-    t = plain(text)
+def _mode(t: Column) -> Column:
+    """Which kind of example a plain line announces; empty if none."""
     asks = t.isin(REQUEST_LINES) | t.contains("request example") | (t.contains("example") & _has(t, REVERSALS))
     return F.when(asks, "request").when(t.contains("error response"), "error").when(t.isin(RESPONSE_LINES) | t.contains("response example"), "response").otherwise("")
 
 
-def _slot(label: Column, mode: Column, json: Column) -> Column:
-    """request, success or error: by the label, then by an error key, then by the mode, then by the keys."""
-    t = plain(label)
+def _slot(t: Column, mode: Column, parsed: Column) -> Column:
+    """request, success or error: by the plain label, then by an error key, then by the mode, then by the keys."""
     asks, answers = t.contains("request"), t.contains("response")
     return (
-        F.when(t.contains("error") & answers, "error").when(asks, "request").when(F.array_contains(_keys(json), "error"), "error").when(answers, "success")
-        .when(mode == "response", "success").when(mode != "", mode).when(looks_like_response(json), "success").otherwise("request")
+        F.when(t.contains("error") & answers, "error").when(asks, "request").when(parsed.fails, "error").when(answers, "success")
+        .when(mode == "response", "success").when(mode != "", mode).when(parsed.answers, "success").otherwise("request")
     )
 
 
-def _of_label(label: Column, endpoints: Column) -> Column:
+def _tail(endpoint: Column) -> Column:
+    return F.lower(F.substring_index(F.regexp_replace(endpoint, "/+$", ""), "/", -1))
+
+
+def _of_label(label: Column, endpoints: Column, tails: Column) -> Column:
     """The first endpoint whose last segment is a word of the label; empty if none."""
     words = F.btrim(F.regexp_replace(F.lower(label), "[^a-z0-9_/]+", " "))
-    tail = lambda e: F.lower(F.substring_index(F.regexp_replace(e, "/+$", ""), "/", -1))
-    return F.when(words == "", "").otherwise(F.coalesce(_first(endpoints, lambda e: (words == tail(e)) | F.array_contains(F.split(words, " "), tail(e))), F.lit("")))
 
+    def of(w: Column) -> Column:
+        at = _first(_places(tails, lambda t: (w.whole == t) | F.array_contains(w.each, t)), lambda i: i >= 0)
+        return F.when(w.whole == "", "").otherwise(F.coalesce(F.get(endpoints, at), F.lit("")))
 
-def _section_examples(s: Column, vendor: Column) -> Column:
+    return let(let(words, lambda w: F.struct(w.alias("whole"), F.split(w, " ").alias("each"))), of)
+
+
+def _facts(p: Column) -> Column:
+    """What a line holds whatever stands before it: text, the kind it announces, endpoint, own label, exchanges and JSON objects."""
+    told = lambda json: let(_keys(json), lambda ks: F.struct(json.alias("example"), F.array_contains(ks, "error").alias("fails"), _answers(ks).alias("answers")))
+    asked = let(query_values(p.text), lambda q: F.when(F.size(q) > 0, F.array(F.to_json(q))).otherwise(F.array().cast("array<string>")))
+    own = F.regexp_replace(F.regexp_replace(p.text, r"(?s)\{.*", ""), r"^\s+|\s+$", "")
+    sides = F.transform(xml_exchanges(p.text), lambda x: F.struct(
+        F.when(F.size(x.request) > 0, F.to_json(x.request)).alias("request"), F.when(F.size(x.response) > 0, F.to_json(x.response)).alias("response"), _is_error(x.response).alias("fails")))
+    return F.struct(
+        p.text.alias("text"), let(plain(p.text), _mode).alias("announced"), first_endpoint(p.text).alias("endpoint"), F.when(p.text.contains("{"), F.lower(own)).otherwise("").alias("own"),
+        sides.alias("exchanges"), F.transform(F.when(F.size(p.repaired) > 0, p.repaired).otherwise(asked), told).alias("parsed"),
+    )
+
+
+def _section_examples(s: Column, lists: Column) -> Column:
     """(endpoint, slot, label, example) of a section's blocks in order, by a state folded over them.
 
     The state holds the endpoint named last in a text, the one named last by a label or a request,
-    the mode and the label that still waits for an example.
+    the mode and the label that still waits for an example. What a line holds by itself is read once, before the fold.
     """
     start = F.struct(
         F.coalesce(F.nullif(first_endpoint(s.title), F.lit("")), F.get(s.endpoints, F.lit(0))).alias("current"), F.lit("").alias("led"), F.lit("").alias("mode"), F.lit("").alias("label"),
         F.array().cast(f"array<{EXAMPLE}>").alias("out"),
     )
-    lists = F.regexp_replace(F.lower(F.coalesce(vendor, F.lit(""))), "[^a-z0-9]+", "") == LISTS_REVERSALS
 
-    def entry(endpoint: Column, slot: Column, label: Column, example: Column) -> Column:
-        more = lists & (slot == "request") & _has(plain(label), REVERSALS)
-        return F.struct(endpoint.alias("endpoint"), F.when(more, "additional").otherwise(slot).alias("slot"), F.when(more, _trim(label)).otherwise("").alias("label"), example.alias("example"))
+    def entry(endpoint: Column, slot: Column, label: Column, said: Column, example: Column) -> Column:
+        made = lambda more: F.struct(endpoint.alias("endpoint"), F.when(more, "additional").otherwise(slot).alias("slot"), F.when(more, _trim(label)).otherwise("").alias("label"), example.alias("example"))
+        return let(lists & (slot == "request") & _has(said, REVERSALS), made)
 
-    def step(a: Column, p: Column) -> Column:
-        announced = _mode(p.text)
-        mode, waiting = _when_empty(announced, a.mode), F.when(announced != "", p.text).otherwise(a.label)
+    def step(a: Column, f: Column) -> Column:
+        has = F.size(f.parsed) > 0
+        begun = F.struct(_when_empty(f.announced, a.mode).alias("mode"), F.when(f.announced != "", f.text).otherwise(a.label).alias("waiting"))
 
         def taken(n: Column) -> Column:
             before = _when_empty(a.led, a.current)
 
             def sides(x: Column) -> Column:
-                ask = F.when(F.size(x.request) > 0, F.array(entry(before, F.lit("request"), n.waiting, F.to_json(x.request))))
-                answer = F.when(F.size(x.response) > 0, F.array(entry(before, F.when(_is_error(x.response), "error").otherwise("success"), n.waiting, F.to_json(x.response))))
+                ask = F.when(x.request.isNotNull(), let(plain(n.waiting), lambda w: F.array(entry(before, F.lit("request"), n.waiting, w, x.request))))
+                answer = F.when(x.response.isNotNull(), F.array(F.struct(
+                    before.alias("endpoint"), F.when(x.fails, "error").otherwise("success").alias("slot"), F.lit("").alias("label"), x.response.alias("example"))))
                 return F.flatten(F.array_compact(F.array(ask, answer)))
 
-            exchanged = F.flatten(F.transform(xml_exchanges(p.text), sides))
-            asked = query_values(p.text)
-            parsed = F.when(F.size(p.repaired) > 0, p.repaired).when(F.size(asked) > 0, F.array(F.to_json(asked))).otherwise(F.array().cast("array<string>"))
-            own = F.regexp_replace(F.regexp_replace(p.text, r"(?s)\{.*", ""), r"^\s+|\s+$", "")
-            label = F.when(p.text.contains("{") & (own != ""), F.lower(own)).otherwise(n.waiting)
-            named = _of_label(label, s.endpoints)
-            return F.struct(exchanged.alias("exchanged"), parsed.alias("parsed"), label.alias("label"), named.alias("named"), n.mode.alias("mode"), n.waiting.alias("waiting"))
+            def labelled(label: Column) -> Column:
+                return F.struct(
+                    F.flatten(F.transform(f.exchanges, sides)).alias("exchanged"), label.alias("label"), F.when(has, plain(label)).otherwise("").alias("said"),
+                    F.when(has, _of_label(label, s.endpoints, s.tails)).otherwise("").alias("named"), n.mode.alias("mode"), n.waiting.alias("waiting"),
+                )
+
+            return let(F.when(f.own != "", f.own).otherwise(n.waiting), labelled)
 
         def moved(r: Column) -> Column:
-            led = _when_empty(r.named, a.led)
-            target = _when_empty(led, a.current)
-            found = F.transform(r.parsed, lambda e: entry(target, _slot(r.label, r.mode, e), r.label, e))
-            asks = F.exists(r.parsed, lambda e: _slot(r.label, r.mode, e) == "request")
-            has = F.size(r.parsed) > 0
-            return F.struct(
-                F.when(has, _when_empty(r.named, a.current)).otherwise(_when_empty(first_endpoint(p.text), a.current)).alias("current"),
-                F.when(has & asks, target).when(has, led).otherwise(a.led).alias("led"),
-                r.mode.alias("mode"), F.when(has, "").otherwise(r.waiting).alias("label"), F.concat(a.out, r.exchanged, found).alias("out"),
-            )
+            def aimed(t: Column) -> Column:
+                def filled(slots: Column) -> Column:
+                    found = F.transform(slots, lambda e: entry(t.target, e.slot, r.label, r.said, e.example))
+                    asks = F.exists(slots, lambda e: e.slot == "request")
+                    return F.struct(
+                        F.when(has, _when_empty(r.named, a.current)).otherwise(_when_empty(f.endpoint, a.current)).alias("current"),
+                        F.when(has & asks, t.target).when(has, t.led).otherwise(a.led).alias("led"),
+                        r.mode.alias("mode"), F.when(has, "").otherwise(r.waiting).alias("label"), F.concat(a.out, r.exchanged, found).alias("out"),
+                    )
+
+                return let(F.transform(f.parsed, lambda e: F.struct(_slot(r.said, r.mode, e).alias("slot"), e.example.alias("example"))), filled)
 
-        return let(let(F.struct(mode.alias("mode"), waiting.alias("waiting")), taken), moved)
+            return let(let(_when_empty(r.named, a.led), lambda led: F.struct(led.alias("led"), _when_empty(led, a.current).alias("target"))), aimed)
 
-    return F.aggregate(s.content, start, step).getField("out")
+        return let(let(begun, taken), moved)
+
+    return F.aggregate(F.transform(s.content, _facts), start, step).getField("out")
 
 
 def _is_blank(json: Column) -> Column:
@@ -549,8 +604,7 @@ def _stored(entries: Column) -> Column:
     same = lambda x, y: (x.endpoint == y.endpoint) & (x.slot == y.slot)
 
     def one(x: Column, i: Column) -> Column:
-        alike = F.filter(entries, lambda y: same(x, y))
-        kept = F.coalesce(_first(alike, lambda y: ~_is_blank(y.example)), F.element_at(alike, F.size(alike)))
+        kept = let(F.filter(entries, lambda y: same(x, y)), lambda alike: F.coalesce(_first(alike, lambda y: ~_is_blank(y.example)), F.element_at(alike, F.size(alike))))
         is_first = ~F.exists(F.slice(entries, F.lit(1), i), lambda y: same(x, y))
         return F.when(x.slot == "additional", x).when(is_first, kept)
 
@@ -563,23 +617,24 @@ def example_slots(docs: DataFrame, keep: list[str], vendor: str | None = None) -
     A section's endpoints are those of its title, else those in its lines. After each section the first
     of its endpoints that has examples lends them to the others where a slot is empty; nothing is overwritten later.
     """
-    named = F.transform(sections(F.col("paragraphs")), lambda s: F.struct(
-        s.title.alias("title"), s.content.alias("content"),
-        F.when(F.size(all_endpoints(s.title)) > 0, all_endpoints(s.title)).otherwise(all_endpoints(F.array_join(F.transform(s.content, lambda p: p.text), "\n"))).alias("endpoints"),
-    ))
-    cut = docs.select(*keep, (F.lit("") if vendor is None else F.col(vendor)).alias("_vendor"), F.filter(named, lambda s: F.size(s.endpoints) > 0).alias("held"))
-    told = cut.select(*keep, F.transform("held", lambda s: F.struct(s.endpoints.alias("endpoints"), _section_examples(s, F.col("_vendor")).alias("out"))).alias("held"))
+    named = F.transform(sections(F.col("paragraphs")), lambda s: F.struct(s.title.alias("title"), s.content.alias("content"), _endpoints_of(s).alias("endpoints")))
+    lists = F.regexp_replace(F.lower(F.lit("") if vendor is None else F.coalesce(vendor, F.lit(""))), "[^a-z0-9]+", "") == LISTS_REVERSALS
+    cut = docs.select(*keep, lists.alias("_lists"), F.filter(named, lambda s: F.size(s.endpoints) > 0).alias("held"))
+    tailed = lambda s: F.struct(s.title.alias("title"), s.content.alias("content"), s.endpoints.alias("endpoints"), F.transform(s.endpoints, _tail).alias("tails"))
+    told = cut.select(*keep, F.transform(F.transform("held", tailed), lambda s: F.struct(s.endpoints.alias("endpoints"), _section_examples(s, F.col("_lists")).alias("out"))).alias("held"))
 
     def lend(known: Column, s: Column) -> Column:
         def given(ks: Column) -> Column:
-            source = _first(s.endpoints, lambda e: F.exists(ks, lambda k: k.endpoint == e))
-            own = F.filter(ks, lambda k: k.endpoint == source)
-            lent = F.flatten(F.transform(F.filter(s.endpoints, lambda e: e != source), lambda e: F.transform(
-                F.filter(own, lambda o: ~F.exists(ks, lambda k: (k.endpoint == e) & (k.slot == o.slot))),
-                lambda o: F.struct(e.alias("endpoint"), o.slot.alias("slot"), o.label.alias("label"), o.example.alias("example")))))
-            return F.when((F.size(s.endpoints) > 1) & source.isNotNull(), F.concat(ks, lent)).otherwise(ks)
+            def of(x: Column) -> Column:
+                lent = F.flatten(F.transform(F.filter(s.endpoints, lambda e: e != x.source), lambda e: F.transform(
+                    F.filter(x.own, lambda o: ~F.exists(ks, lambda k: (k.endpoint == e) & (k.slot == o.slot))),
+                    lambda o: F.struct(e.alias("endpoint"), o.slot.alias("slot"), o.label.alias("label"), o.example.alias("example")))))
+                return F.when(x.source.isNotNull(), F.concat(ks, lent)).otherwise(ks)
+
+            own = lambda source: F.struct(source.alias("source"), F.filter(ks, lambda k: k.endpoint == source).alias("own"))
+            return let(let(_first(s.endpoints, lambda e: F.exists(ks, lambda k: k.endpoint == e)), own), of)
 
-        return let(_stored(F.concat(known, s.out)), given)
+        return let(_stored(F.concat(known, s.out)), lambda ks: F.when(F.size(s.endpoints) > 1, given(ks)).otherwise(ks))
 
     every = F.aggregate("held", F.array().cast(f"array<{EXAMPLE}>"), lend)
     placed = told.select(*keep, F.posexplode(every).alias("place", "e"))
@@ -593,8 +648,7 @@ def _named(paragraphs: Column, tables: Column) -> Column:
     """(endpoint, section, row) of a document's endpoints, each where it is named first, in order of the endpoint."""
     none = F.array().cast("array<array<array<string>>>")
     of_section = F.flatten(F.transform(sections(paragraphs), lambda s: F.transform(
-        let(all_endpoints(s.title), lambda es: F.when(F.size(es) > 0, es).otherwise(all_endpoints(F.array_join(F.transform(s.content, lambda p: p.text), "\n")))),
-        lambda e: F.struct(e.alias("endpoint"), s.title.alias("section"), F.lit("").alias("row")))))
+        _endpoints_of(s), lambda e: F.struct(e.alias("endpoint"), s.title.alias("section"), F.lit("").alias("row")))))
     lines = F.transform(F.flatten(F.coalesce(tables, none)), lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), " "))
     of_table = F.flatten(F.transform(lines, lambda x: F.transform(all_endpoints(x), lambda e: F.struct(e.alias("endpoint"), F.lit("table").alias("section"), x.alias("row")))))
     first = lambda xs: F.filter(F.transform(xs, lambda x, i: F.when(~F.exists(F.slice(xs, F.lit(1), i), lambda y: y.endpoint == x.endpoint), x)), lambda x: x.isNotNull())
@@ -605,10 +659,11 @@ def _endpoints(named: Column, text: Column) -> Column:
     """(endpoint, section, methods, keywords) of named endpoints; both come from the text around the first mention, else from the table's row."""
 
     def one(x: Column) -> Column:
-        found = endpoint_parts.context_around(text, x.endpoint)
-        around = F.when(found != "", found).otherwise(x.row)
-        words = F.array_union(endpoint_parts.context_keywords(x.endpoint), endpoint_parts.context_keywords(_when_empty(around, x.endpoint)))
-        return F.struct(x.endpoint.alias("endpoint"), x.section.alias("section"), endpoint_parts.methods_before(around, x.endpoint).alias("methods"), words.alias("keywords"))
+        def said(around: Column) -> Column:
+            words = F.array_union(endpoint_parts.context_keywords(x.endpoint), endpoint_parts.context_keywords(_when_empty(around, x.endpoint)))
+            return F.struct(x.endpoint.alias("endpoint"), x.section.alias("section"), endpoint_parts.methods_before(around, x.endpoint).alias("methods"), words.alias("keywords"))
+
+        return let(let(endpoint_parts.context_around(text, x.endpoint), lambda found: _when_empty(found, x.row)), said)
 
     return F.transform(named, one)
 
@@ -662,8 +717,12 @@ def checklist(tables: Column, tasks: Column | None = None) -> Column:
     """
 
     def rows(table: Column, n: Column) -> Column:
-        def of(heads: Column) -> Column:
-            name, enable = _place(heads, lambda h: h == "name"), _place(heads, lambda h: h.contains("enable"))
+        def found(heads: Column) -> Column:
+            is_ = lambda name: _place(heads, lambda h: h == name).alias(name)
+            return F.struct(is_("name"), is_("description"), is_("remark"), _place(heads, lambda h: h.contains("enable")).alias("enable"))
+
+        def of(at: Column) -> Column:
+            name, enable = at["name"], at.enable
 
             def setting(cells: Column, r: Column) -> Column:
                 value = _cell(cells, enable)
@@ -672,7 +731,7 @@ def checklist(tables: Column, tasks: Column | None = None) -> Column:
                 said = F.filter(F.transform(F.coalesce(held, F.array().cast("array<struct<text:string,checked:boolean>>")), lambda t: F.struct(_trim(F.coalesce(t.text, F.lit(""))).alias("text"), F.coalesce(t.checked, F.lit(False)).alias("checked"))), lambda t: t.text != "")
                 low = F.lower(value)
                 made = F.struct(
-                    called.alias("name"), _cell(cells, _place(heads, lambda h: h == "description")).alias("description"), _cell(cells, _place(heads, lambda h: h == "remark")).alias("remark"),
+                    called.alias("name"), _cell(cells, at.description).alias("description"), _cell(cells, at.remark).alias("remark"),
                     value.alias("value"), F.when(low.isin(ON), F.lit(True)).when(low.isin(OFF), F.lit(False)).alias("enabled"),
                     F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in BY_NAME.items() for x in pair]), called), F.lit("")).alias("capability"),
                     F.transform(said, lambda t: t.text).alias("available"), F.transform(F.filter(said, lambda t: t.checked), lambda t: t.text).alias("selected"),
@@ -682,7 +741,7 @@ def checklist(tables: Column, tasks: Column | None = None) -> Column:
 
             return F.array_compact(F.transform(F.slice(table, F.lit(2), F.size(table)), setting))
 
-        return let(_header(table), of)
+        return let(let(_header(table), found), of)
 
     return F.flatten(F.transform(F.coalesce(tables, F.array().cast("array<array<array<string>>>")), lambda t, n: F.coalesce(F.when(F.size(t) > 0, rows(t, n)), F.array())))
 

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from docwright.operators import vendor_docs
 from docwright.oracles import ORACLES
+from docwright.plans.spread import spread
 from docwright.queries import query
 
 A, B = "/api/v1/wallet/bet", "/api/v1/wallet/win"
@@ -76,7 +77,7 @@ def _docs(t):
 
     paragraphs = F.transform(F.sequence(F.lit(0).cast("bigint"), 3 + k % 29), paragraph)
     tables = F.transform(F.slice(F.sequence(F.lit(0).cast("bigint"), F.lit(6).cast("bigint")), F.lit(1), F.when(k % 3 == 2, k % 2).otherwise(k % 7).cast("int")), table)
-    made = t("part").select("p_partkey", paragraphs.alias("paragraphs"), tables.alias("tables"))
+    made = spread(t("part").select("p_partkey")).select("p_partkey", paragraphs.alias("paragraphs"), tables.alias("tables"))
     return vendor_docs.read_json(made.withColumn("plain_text", F.array_join(F.transform("paragraphs", lambda p: p.text), "\n")))
 
 
@@ -271,7 +272,7 @@ def _checklists(t):
     none = F.array().cast("array<struct<text:string,checked:boolean>>")
     tasks = F.transform(upto(k % 4), lambda i: F.transform(upto((k + i) % 6 + 1), lambda r: F.transform(upto(F.lit(4)), lambda c: F.when((k + i + r + c) % 3 == 0, task(r)).otherwise(none))))
     paragraphs = F.transform(upto(k % 5), lambda j: F.struct(F.when((k + j) % 4 == 0, "h2").otherwise("p").alias("style"), at(list(map(F.lit, SPOKEN)), k * 3 + j * (1 + k % 5)).alias("text")))
-    made = t("part").select("p_partkey", paragraphs.alias("paragraphs"), F.transform(upto(k % 4), table).alias("tables"), tasks.alias("tasks"))
+    made = spread(t("part").select("p_partkey")).select("p_partkey", paragraphs.alias("paragraphs"), F.transform(upto(k % 4), table).alias("tables"), tasks.alias("tasks"))
     return vendor_docs.read_json(made.withColumn("plain_text", F.array_join(F.transform("paragraphs", lambda p: p.text), "\n")))
 
 
@@ -303,7 +304,7 @@ def p15_capability_profile(t, spark):
 def p17_actions(t, spark):
     k = F.col("p_partkey")
     line = lambda j: F.get(F.array(*map(F.lit, ACTION_LINES)), ((k * 3 + j * (1 + k % 13) + (k * j) % 5) % len(ACTION_LINES)).cast("int"))
-    made = t("part").select("p_partkey", F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), k % 31), line), "\n").alias("text"))
+    made = spread(t("part").select("p_partkey")).select("p_partkey", F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), k % 31), line), "\n").alias("text"))
     found = vendor_docs.actions(made, ["p_partkey"])
     return found.withColumn("keywords", F.array_join("keywords", ","))
 

@@ -178,3 +178,18 @@ def test_actions_once_with_heading_and_method(spark):
     df = spark.createDataFrame([(1, text), (1, "action: win"), (None, None)], "k int, text string")
     got = sorted((r.k, r.line_no, r.api_name, r.method, r.endpoint, r.role) for r in vendor_docs.actions(df, ["k"]).collect())
     assert got == [(1, 0, "Bet calls", "POST", "action:betAndWin", "bet_and_settle"), (1, 0, "Win Action", "POST", "action:win", "settlement"), (1, 15, "Bet calls", "PATCH", "action:Cancel_it", "")]
+
+
+def test_read_json_of_nulls_and_repeated_texts(spark):
+    rows = [(1, [("p", '{"a": 1,} {"b": 2}'), None, (None, None)], None, None, None), (2, None, None, None, None), (3, [], None, None, None), (4, [("h2", '{"a": 1,} {"b": 2}')], None, None, None)]
+    got = {r.k: [tuple(p) for p in r.paragraphs] for r in vendor_docs.read_json(spark.createDataFrame(rows, DDL).repartition(1)).collect()}
+    read = ('{"a": 1,} {"b": 2}', ['{"b": 2}'], ['{"a": 1}', '{"b": 2}'])
+    assert got == {1: [("p", *read), ("", "", [], []), ("", "", [], [])], 2: [], 3: [], 4: [("h2", *read)]}
+
+
+@pytest.mark.parametrize("name", ["p09_document_endpoints", "p10_operation_variants", "p11_example_slots", "p14_document_codes", "p15_capability_profile", "p16_document_candidates", "j01_endpoint_tables"])
+def test_documents_of_one_file_are_dealt_over_the_cores(spark, name):
+    from docwright.extraction_queries import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert f"RoundRobinPartitioning({4 * spark.sparkContext.defaultParallelism})" in plan
