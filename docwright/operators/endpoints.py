@@ -103,8 +103,8 @@ def name_of(endpoint: Column) -> Column:
 def cleaned(endpoint: Column) -> Column:
     """An endpoint without marks at its end; empty where it is neither a path nor an address."""
     plain = F.replace(F.regexp_replace(F.rtrim(F.btrim(endpoint), F.lit(".,;)")), r"/\s+", "/"), F.lit("\\"), F.lit("/"))
-    based = F.concat(F.lit("{baseUri}/"), F.regexp_extract(plain, "(?s)/(.*)$", 1))
-    return F.when(F.lower(plain).startswith("{baseuri}/"), based).when(plain.rlike("^(?:https?://|/)"), plain).otherwise("")
+    based = lambda x: F.concat(F.lit("{baseUri}/"), F.regexp_extract(x, "(?s)/(.*)$", 1))
+    return let(plain, lambda x: F.when(F.lower(x).startswith("{baseuri}/"), based(x)).when(x.rlike("^(?:https?://|/)"), x).otherwise(""))
 
 
 def _found(line: Column, pattern: str, method: int, endpoint: int) -> Column:
@@ -150,31 +150,40 @@ def candidates(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     title = lambda x: F.regexp_extract(F.btrim(x), r"^#{1,6}\s+(.+?)\s*$", 1)
     headings = F.filter(F.transform("ls", lambda x, i: F.struct(i.alias("i"), title(x).alias("title"))), lambda h: h.title != "")
     told = F.upper(F.regexp_extract(_joined(F.col("ls"), F.lit(0), F.lit(HEAD_LINES)), rf"(?iU)\bHTTP Method:[^\S\n]*({METHODS})\b", 1))
-    read = split.select(key, "ls", headings.alias("headings"), told.alias("told"))
     ls, none = F.col("ls"), F.array().cast("array<struct<method:string,endpoint:string>>")
+    blank = F.array().cast("array<struct<heading:string,method:string,endpoint:string,context:string,line:string,api_name:string,confidence:double>>")
 
     def near(i: Column) -> Column:
         return F.regexp_extract(_joined(ls, i - METHOD_BEFORE, i + 8, " "), rf"(?iU)\b({METHODS})\b", 1)
 
-    def written(x: Column, i: Column) -> Column:
+    def written(x: Column, i: Column, doc: Column) -> Column:
         """Paths and addresses in a line."""
         labels = F.filter(F.transform(_window(ls, i - BEFORE, i), lambda y: F.btrim(y)), lambda y: y != "")
         alone = F.regexp_extract(x, r"(?iU)^\s*(https?://[^\s|<>`]+)\s*$", 1)
         labelled = (alone != "") & F.coalesce(F.try_element_at(labels, F.lit(-1)), F.lit("")).rlike(LABEL_LINE)
         some = F.concat(*[_found(x, *f) for f in FAMILIES], F.when(labelled, F.array(F.struct(F.lit("").alias("method"), alone.alias("endpoint")))).otherwise(none))
         table = F.regexp_extract(_joined(ls, i, i + 8), rf"(?iU)\|[^\S\n]*(?:\*\*)?Method(?:\*\*)?[^\S\n]*\|[^\S\n]*({METHODS})[^\S\n]*\|", 1)
-        heading = F.coalesce(F.try_element_at(F.filter("headings", lambda h: h.i <= i), F.lit(-1)).getField("title"), F.lit(""))
+        heading = F.coalesce(F.try_element_at(F.filter(doc.headings, lambda h: h.i <= i), F.lit(-1)).getField("title"), F.lit(""))
         around = _joined(ls, i - BEFORE, i + AFTER + 1)
 
-        def made(m: Column) -> Column:
-            method = F.coalesce(F.nullif(m.method, F.lit("")), F.nullif(table, F.lit("")), F.nullif(near(i), F.lit("")))
-            return F.struct(
-                heading.alias("heading"), F.coalesce(F.upper(method), F.lit("unknown")).alias("method"), repaired(cleaned(m.endpoint), around).alias("endpoint"), around.alias("context"),
-                x.alias("line"), F.lit(None).cast("string").alias("api_name"), F.lit(None).cast("double").alias("confidence"),
-            )
+        def all_made(ms: Column) -> Column:
+            """Candidates of a line, whose surroundings are read once."""
+
+            def of(a: Column) -> Column:
+                def made(m: Column) -> Column:
+                    method = F.coalesce(F.nullif(m.method, F.lit("")), F.nullif(a.table, F.lit("")), F.nullif(a.near, F.lit("")))
+                    return F.struct(
+                        a.heading.alias("heading"), F.coalesce(F.upper(method), F.lit("unknown")).alias("method"), repaired(m.endpoint, a.around).alias("endpoint"), a.around.alias("context"),
+                        x.alias("line"), F.lit(None).cast("string").alias("api_name"), F.lit(None).cast("double").alias("confidence"),
+                    )
+
+                return F.transform(ms, made)
+
+            return F.when(F.size(ms) > 0, let(F.struct(heading.alias("heading"), table.alias("table"), near(i).alias("near"), around.alias("around")), of)).otherwise(blank)
 
         taken = let(some, lambda s: F.when(F.size(s) > 0, s).otherwise(_found(x, *BARE)))
-        return F.transform(F.filter(taken, lambda m: cleaned(m.endpoint) != ""), made)
+        kept = F.filter(F.transform(taken, lambda m: F.struct(m.method.alias("method"), cleaned(m.endpoint).alias("endpoint"))), lambda m: m.endpoint != "")
+        return let(kept, all_made)
 
     def named(name: Column, method: Column, endpoint: Column, i: Column, before: int, after: int, sure: float) -> Column:
         return F.struct(
@@ -182,38 +191,51 @@ def candidates(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
             name.alias("api_name"), F.lit(sure).alias("confidence"),
         )
 
-    def meant(x: Column, i: Column) -> Column:
+    def meant(x: Column, i: Column, doc: Column) -> Column:
         """Requests that a line names without an address."""
-        own = F.nullif(near(i), F.lit(""))
-        asked = F.coalesce(own, F.nullif("told", F.lit("")), F.lit("GET"))
         transaction = F.try_element_at(F.create_map(*[F.lit(y) for pair in TRANSACTIONS.items() for y in pair]), F.regexp_replace(F.lower(F.btrim(x)), r"\s+", " "))
-        request = F.regexp_extract(x, r"(?iU)\brequest\s*=\s*([A-Za-z][A-Za-z0-9_]*)", 1)
-        seamless = F.regexp_extract(F.btrim(x), rf"(?i)^#{{1,6}}\s+\*{{0,2}}\s*({'|'.join(SEAMLESS)})\s*\*{{0,2}}\s*$", 1)
         known = F.regexp_replace(F.lower(F.regexp_extract(F.btrim(x), r"(?i)^#{1,6}\s+(?:[⦁•]\s*)?\*{0,2}\s*(Auth|Debit|Revision|Credit(?:\s*&\s*Refund)?|Refund)\s*\*{0,2}\s*$", 1)), r"\s+", " ")
-        words = F.when(known == "", F.array().cast("array<string>")).when(known == "credit & refund", F.array(F.lit("credit"), F.lit("refund"))).otherwise(F.array(F.replace(known, F.lit(" "), F.lit("_"))))
-        field = F.lower(F.regexp_extract(x, r"(?i)\|\s*Auth\s+(Debit|Credit|Token)\s*\|", 1))
-        callback = F.when(field == "token", "auth").otherwise(field)
-        above = F.filter(
-            F.transform(F.filter(_window(ls, i - BASE_BEFORE, i), lambda y: ~F.btrim(y).rlike('^(?:```|\\{|")')), lambda y: F.regexp_extract(y, f"(?iU){FAMILIES[0][0]}", 2)), lambda e: e != ""
-        )
-        base = F.coalesce(F.try_element_at(above, F.lit(-1)), F.concat(F.lit("/{Partner_base_URL}/"), seamless))
-        each = [
-            F.when(transaction.isNotNull(), named(F.initcap(F.regexp_replace(F.lower(F.btrim(x)), r"\s+", " ")), asked, F.concat(F.lit("request:"), transaction), i, 0, 12, 0.9)),
-            F.when(request != "", named(_request_name(request), asked, F.concat(F.lit("request:"), request), i, 4, 8, 0.85)),
-            F.when(seamless != "", named(seamless, F.coalesce(own, F.lit("POST")), base, i, 0, 15, 0.9)),
-        ]
-        keywords = F.transform(words, lambda w: named(F.initcap(w), F.coalesce(own, F.lit("POST")), F.concat(F.lit("keyword:"), w), i, 0, 24, 0.88))
-        last = F.when(callback != "", named(F.initcap(callback), F.lit("POST"), F.concat(F.lit("keyword:"), callback), i, 4, 8, 0.78))
-        return F.concat(F.array_compact(F.array(*each)), keywords, F.array_compact(F.array(last)))
-
-    def of_line(x: Column, i: Column) -> Column:
+        read = F.struct(
+            transaction.alias("transaction"), F.regexp_extract(x, r"(?iU)\brequest\s*=\s*([A-Za-z][A-Za-z0-9_]*)", 1).alias("request"),
+            F.regexp_extract(F.btrim(x), rf"(?i)^#{{1,6}}\s+\*{{0,2}}\s*({'|'.join(SEAMLESS)})\s*\*{{0,2}}\s*$", 1).alias("seamless"), known.alias("known"),
+            F.lower(F.regexp_extract(x, r"(?i)\|\s*Auth\s+(Debit|Credit|Token)\s*\|", 1)).alias("field"),
+        )
+
+        def of(r: Column) -> Column:
+            known, seamless = r.known, r.seamless
+            words = F.when(known == "", F.array().cast("array<string>")).when(known == "credit & refund", F.array(F.lit("credit"), F.lit("refund"))).otherwise(F.array(F.replace(known, F.lit(" "), F.lit("_"))))
+            callback = F.when(r.field == "token", "auth").otherwise(r.field)
+            above = F.filter(
+                F.transform(F.filter(_window(ls, i - BASE_BEFORE, i), lambda y: ~F.btrim(y).rlike('^(?:```|\\{|")')), lambda y: F.regexp_extract(y, f"(?iU){FAMILIES[0][0]}", 2)), lambda e: e != ""
+            )
+            base = F.coalesce(F.try_element_at(above, F.lit(-1)), F.concat(F.lit("/{Partner_base_URL}/"), seamless))
+
+            def each(own: Column) -> Column:
+                asked, posted = F.coalesce(own, F.nullif(doc.told, F.lit("")), F.lit("GET")), F.coalesce(own, F.lit("POST"))
+                ones = [
+                    F.when(r.transaction.isNotNull(), named(F.initcap(F.regexp_replace(F.lower(F.btrim(x)), r"\s+", " ")), asked, F.concat(F.lit("request:"), r.transaction), i, 0, 12, 0.9)),
+                    F.when(r.request != "", named(_request_name(r.request), asked, F.concat(F.lit("request:"), r.request), i, 4, 8, 0.85)),
+                    F.when(seamless != "", named(seamless, posted, base, i, 0, 15, 0.9)),
+                ]
+                keywords = F.transform(words, lambda w: named(F.initcap(w), posted, F.concat(F.lit("keyword:"), w), i, 0, 24, 0.88))
+                last = F.when(callback != "", named(F.initcap(callback), F.lit("POST"), F.concat(F.lit("keyword:"), callback), i, 4, 8, 0.78))
+                return F.concat(F.array_compact(F.array(*ones)), keywords, F.array_compact(F.array(last)))
+
+            some = r.transaction.isNotNull() | (r.request != "") | (seamless != "") | (known != "") | (r.field != "")
+            return F.when(some, let(F.nullif(near(i), F.lit("")), each)).otherwise(blank)
+
+        return let(read, of)
+
+    def of_line(x: Column, i: Column, doc: Column) -> Column:
         low = F.lower(F.btrim(x))
         speaks = low.startswith("#") | low.contains("request") | (low.contains("|") & low.contains("auth")) | low.rlike("^(?:get|wager|result|rollback|jackpot|bet) ?[a-z ]*$")
-        empty = F.array().cast("array<struct<heading:string,method:string,endpoint:string,context:string,line:string,api_name:string,confidence:double>>")
-        every = F.concat(F.when(x.contains("/"), written(x, i)).otherwise(empty), F.when(speaks, meant(x, i)).otherwise(empty))
-        return F.transform(F.when(low.startswith("source url:"), empty).otherwise(every), lambda c: F.struct(i.alias("line_no"), c.alias("c")))
+        every = F.concat(F.when(x.contains("/"), written(x, i, doc)).otherwise(blank), F.when(speaks, meant(x, i, doc)).otherwise(blank))
+        return F.transform(F.when(low.startswith("source url:"), blank).otherwise(every), lambda c: F.struct(i.alias("line_no"), c.alias("c")))
 
-    found = read.select(key, F.inline(F.flatten(F.transform("ls", of_line)))).select(key, "line_no", "c.*")
+    # bound here and not in a select of its own, which the optimizer would move into the lambda, to be read again for each line
+    whole = F.struct(headings.alias("headings"), told.alias("told"))
+    every = let(whole, lambda doc: F.flatten(F.transform("ls", lambda x, i: of_line(x, i, doc))))
+    found = split.select(key, F.inline(every)).select(key, "line_no", "c.*")
     plain = F.btrim(F.regexp_replace(F.replace(F.regexp_replace("heading", "[*_`]+", ""), F.lit("¶"), F.lit("")), r"^\d+(?:\.\d+)*\s*", ""))
     telling = (plain != "") & ~F.lower(plain).isin(GENERIC) & (F.char_length(plain) <= 80)
     own_title = F.coalesce(F.nullif("heading", F.lit("")), name_of(F.col("endpoint")))

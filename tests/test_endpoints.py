@@ -63,3 +63,12 @@ def test_candidates_of_equal_and_null_keys_stay_apart(spark):
     got = endpoints.candidates(df, "k")
     assert sorted((r.k or 0, r.api_name, r.line_no) for r in got.collect()) == [(0, "C API", 0), (0, "D API", 0), (1, "A", 1), (1, "B", 2)]
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_headings_of_a_document_are_read_once(spark):
+    """A heading's pattern stands once in the plan, outside the lambda over lines, so work grows with the lines and not with their square."""
+    made = spark.createDataFrame([(1, "# Top\nPOST /v1/bet\n/api/x")], "k int, text string").repartition(1)
+    got = endpoints.candidates(made, "k")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("^#{1,6}\\s+(.+?)\\s*$") < plan.index("(/[A-Za-z0-9_./{}")
+    assert [(r.line_no, r.api_name) for r in got.orderBy("line_no").collect()] == [(1, "Top"), (2, "Top")]
