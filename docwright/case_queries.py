@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docwright.operators import baselines, drafts, pages, parameter_cases, routing, validation
 from docwright.operators.generation import NEGATIVE
 from docwright.oracles import ORACLES
+from docwright.plans.spread import spread
 from docwright.queries import query
 
 CATEGORIES = ["inventory", "launch_game", "balance", "authenticate", "rollback_bet", "freespin", "cancel_settlement_adjustment", "modify_settlement_adjustment", "authentication_is_necessary", "rollback", "jackpot"]
@@ -75,7 +76,8 @@ EXPECTED_STEPS = [
 @query
 def c10_parameter_cases(t, spark):
     names = ["endpoint", "role", "name", "type", "required", "description", "source", "value", "child", "other"]
-    given = t("part").select("p_partkey", *[one_of([p[i] for p in PARAMETERS]).alias(n) for i, n in enumerate(names)], F.concat(F.lit("E"), "p_size").alias("code"), F.lit('{"x":1}').alias("response"), F.lit("{}").alias("success"))
+    parts = spread(t("part").select("p_partkey", "p_size"))
+    given = parts.select("p_partkey", *[one_of([p[i] for p in PARAMETERS]).alias(n) for i, n in enumerate(names)], F.concat(F.lit("E"), "p_size").alias("code"), F.lit('{"x":1}').alias("response"), F.lit("{}").alias("success"))
     ready = given.withColumns({
         "remark": F.lit(""), "missing": F.lit(""), "children": F.when(F.col("child") != "", F.array("child")).otherwise(F.array().cast("array<string>")),
         "codes": F.create_map(F.lit("funds"), F.nullif(F.when(F.col("name") == "amount", F.col("other")), F.lit("")), F.lit("user"), F.nullif(F.when(F.col("name") == "userId", F.col("other")), F.lit(""))),

@@ -57,3 +57,10 @@ def test_summary_and_reports(spark, tmp_path):
     sinks.write_reports({"errors": rows, "codes": rows.limit(1)}, "vendor", str(tmp_path))
     back = spark.read.json(str(tmp_path / "errors"))
     assert sorted((r.vendor, r.n, r.note) for r in back.collect()) == [("v", 1, None), ("w", 2, "x")]
+
+
+def test_parameters_of_one_file_are_dealt_over_the_cores(spark):
+    from docwright.extraction_queries import QUERIES
+
+    plan = QUERIES["c10_parameter_cases"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert f"RoundRobinPartitioning({4 * spark.sparkContext.defaultParallelism})" in plan
