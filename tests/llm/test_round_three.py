@@ -301,3 +301,24 @@ def test_sample_is_bounded_by_class_and_ids_that_repeat(spark):
     docs = spark.range(3000).select((F.col("id") % 10).alias("doc_id"), F.concat(F.lit("some words here "), "id").alias("text"))
     got = pairwise_quality.classify(docs, known, ["doc_id"], size=20)
     assert got.count() == 3000
+
+
+def test_every_label_is_learnt_from(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("a sample was taken")
+
+    monkeypatch.setattr(pairwise_quality, "label_sample", none)
+    sf = "/root/testdata/sf0.01"
+    known = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if not is_held_out(r.doc_id)}
+    got = pairwise_quality.classify(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), ["doc_id"]).collect()
+    scores = [r.score for r in got if r.doc_id in known]
+    assert sum(s < 0.3 for s in scores) == sum(q == 0 for q in known.values())
+
+
+def test_all_rows_stand_in_pairs(spark):
+    for n_bad, n_good in ((3, 11), (12, 5)):
+        met = spark.createDataFrame([(int(i >= n_bad), [float(i)]) for i in range(n_bad + n_good)], "quality int, x array<double>")
+        rows = pairwise_quality.pairs(met, n_bad, n_good).collect()
+        most = max(n_bad, n_good) * pairwise_quality.PAIRS
+        assert sorted(r.n for r in rows) == list(range(most))
+        assert sum(r.d[0] for r in rows) > 0
