@@ -155,7 +155,7 @@ def g03_fields_by_size(t, spark):
 @query
 def g04_label_profile(t, spark):
     rows = topic_rows(t)
-    flat = topics.flatten(rows).join(rows.select("topic_id", "parent_id"), "topic_id").withColumn("file", F.lit("f"))
+    flat = topics.flatten(rows, ["parent_id"]).withColumn("file", F.lit("f"))
     return profiles.label_profile(flat, ["topic_id"])
 
 
@@ -260,7 +260,7 @@ def p03_case_records(t, spark):
         row(always, "G", "D", F.lit("步骤："), 1), row(k % 3 != 1, "y", "q", F.concat(F.lit("预期结果：is "), k.cast("string")), 2), row(always, "z", "q", F.lit("then more"), 1), row(k % 2 == 1, "w", "g", F.lit("预期结果："), 1),
     ]
     rows = topic_rows(t).unionByName(t("customer").select(F.inline(F.array_compact(F.array(*more)))))
-    flat = topics.flatten(rows).join(rows.select("topic_id", "parent_id"), "topic_id")
+    flat = topics.flatten(rows, ["parent_id"])
     labels = F.when(F.col("topic_id").endswith("5"), F.array(F.lit("own")))
     found = topics.case_records(flat.withColumn("file", F.lit("f")).withColumn("labels", labels), ["file"])
     steps = F.array_join(F.transform("steps", lambda s: F.concat_ws("|", s["index"].cast("string"), s.step, s.expected, s.topic_id)), ";")

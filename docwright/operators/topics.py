@@ -7,25 +7,35 @@ from pyspark.sql import functions as F
 
 from docwright.functions.fields import label_of, value_of
 from docwright.plans.durable import durable
+from docwright.plans.spread import PARTS
 
 CASE = "^(case|用例)[：:]"
 
 
-def flatten(topics: DataFrame) -> DataFrame:
-    """Every topic with ``depth`` and ``path``, the titles from its root.
+#: Topics of a level that is sent whole to all tasks, so that the many topics below a few don't meet in a few tasks.
+FEW = 10_000
 
-    One join a level; a level is made durable, so a deep tree does not grow the plan. A topic that
-    comes again among its own ancestors ends its branch, so that repeated ids can't go round.
+
+def flatten(topics: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Every topic with ``depth`` and ``path``, the titles from its root, and the columns ``keep``.
+
+    One join a level; a level is made durable, so a deep tree does not grow the plan. The topics are dealt by their parent once,
+    not for each level. A topic that comes again among its own ancestors ends its branch, so that repeated ids can't go round.
     """
+    more = keep or []
+    columns = dict.fromkeys(["topic_id", "parent_id", "title", "ord", *more])
+    parts = PARTS * max(1, topics.sparkSession.sparkContext.defaultParallelism)
+    dealt = durable(topics.select(*columns).filter("parent_id is not null").repartition(parts, "parent_id"))
     level = durable(
-        topics.filter("parent_id is null").select("topic_id", "title", "ord", F.lit(0).alias("depth"), F.array("title").alias("path"), F.array("topic_id").alias("_ids"))
+        topics.filter("parent_id is null").select("topic_id", "title", "ord", *more, F.lit(0).alias("depth"), F.array("title").alias("path"), F.array("topic_id").alias("_ids"))
     )
     out = level
     while True:
-        up = level.select(F.col("topic_id").alias("_up"), "depth", "path", "_ids")
+        up = level.select(F.col("topic_id").alias("_up"), F.col("depth").alias("_depth"), F.col("path").alias("_path"), "_ids")
+        up = F.broadcast(up) if level.limit(FEW + 1).count() <= FEW else up
         level = durable(
-            topics.join(up, F.col("parent_id") == F.col("_up")).filter(~F.array_contains("_ids", F.col("topic_id"))).select(
-                "topic_id", "title", "ord", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("title")).alias("path"), F.concat("_ids", F.array("topic_id")).alias("_ids")
+            dealt.join(up, F.col("parent_id") == F.col("_up")).filter(~F.array_contains("_ids", F.col("topic_id"))).select(
+                "topic_id", "title", "ord", *more, (F.col("_depth") + 1).alias("depth"), F.concat("_path", F.array("title")).alias("path"), F.concat("_ids", F.array("topic_id")).alias("_ids")
             )
         )
         if level.limit(1).count() == 0:

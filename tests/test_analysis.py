@@ -163,3 +163,11 @@ def test_case_records_of_small_trees(spark):
     got = sorted(topics.case_records(df, ["file"]).collect(), key=lambda r: (r.file, r.topic_id))
     assert [(r.file, r.name, r.case_id, r.module_path, r.labels) for r in got] == [(f, *x) for f in ("f", "g") for x in (("A", "i", "M", ["l", "y"]), ("B", "", "", []))]
     assert [(s["index"], s.step, s.expected) for s in got[0].steps] == [(1, "first", ""), (2, "two", "raw\nok")] and got[1].steps == []
+
+
+def test_flatten_keeps_each_topics_own_columns(spark):
+    """An id under two parents is two rows with their own parents and paths; the level below a few topics is joined without a shuffle of the many."""
+    rows = [("r", None, "Root", 0), ("a", "r", "A", 1), ("b", "r", "B", 2), ("x", "a", "X", 1), ("x", "b", "X", 2)]
+    found = topics.flatten(spark.createDataFrame(rows, "topic_id string, parent_id string, title string, ord long"), ["parent_id"])
+    got = sorted((r.topic_id, r.parent_id or "", r.depth, tuple(r.path)) for r in found.collect())
+    assert got == [("a", "r", 1, ("Root", "A")), ("b", "r", 1, ("Root", "B")), ("r", "", 0, ("Root",)), ("x", "a", 2, ("Root", "A", "X")), ("x", "b", 2, ("Root", "B", "X"))]
