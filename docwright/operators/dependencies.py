@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from docwright.plans.spread import PARTS
 
 OUTCOME = r"(Y|N)(?:\((value *(?:>=|<=|=|>|<) *-?[0-9.]+|optional|omit|forbidden)\))?"
 WHEN = rf"^when +([A-Za-z0-9_./]+) +(present|absent|true|false|in \[[^\]]*\]|= *[^ =>]+) *=> *{OUTCOME}$"
@@ -77,38 +78,51 @@ def human_rules(parameters: DataFrame, errors: DataFrame, code: str = "code") ->
     without a formal line, and only if ``errors`` documents BAD_REQUEST. A condition is ``selector = value`` or a plain
     token, whose selector is the one named in the same remark, else the one other parameter that lists every token
     among its allowed values. A parameter with a line of another form, an unknown or doubtful selector, or without both
-    a required and another block has no rules; the endpoint's other parameters keep theirs.
+    a required and another block has no rules; the endpoint's other parameters keep theirs. The parameters of an endpoint meet in one row.
     """
     documented = errors.filter(F.trim(code) == HUMAN_ERROR).select(F.lit(HUMAN_ERROR).alias("error")).distinct()
-    all_ = parameters.select("endpoint", dotted(F.col("name")).alias("name"), "required", "description", F.coalesce("remark", F.lit("")).alias("remark")).filter("name <> ''")
-    asked = all_.filter((F.upper(F.trim("required")) == "Y/N") & ~F.col("remark").rlike(r"(?i)\bdependency\s*[:：]"))
-    asked = asked.withColumn("error", F.lit(HUMAN_ERROR)).join(documented, "error", "left_semi")
-    held = F.filter(F.transform(F.split("remark", r"\r\n|[\r\n]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    said = asked.select("endpoint", "name", F.posexplode(held).alias("pos", "line"))
-    word = F.lower(F.nullif(F.regexp_extract("line", HEADING, 1), F.lit("")))
-    meant = F.when(word.startswith("require"), "required").when(word == "optional", "optional").when(word.isNotNull(), "forbidden")
-    before = Window.partitionBy("endpoint", "name").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    known = said.withColumn("heading", meant).withColumn("state", F.last("heading", ignorenulls=True).over(before)).filter("heading IS NULL")
-    plain = F.when(F.col("line").rlike(EQUALS), F.regexp_extract("line", EQUALS, 2)).otherwise(F.col("line"))
-    value = F.regexp_replace(F.regexp_replace(F.trim(plain), "^['\"]+|['\"]+$", ""), r"\.+$", "")
-    c = known.withColumn("selector", F.when(F.col("line").rlike(EQUALS), dotted(F.regexp_extract("line", EQUALS, 1)))).withColumn("value", value)
-    fault = F.col("state").isNull() | (F.col("value") == "") | (F.col("selector").isNull() & ~F.col("value").rlike(TOKEN))
-    one = c.groupBy("endpoint", "name").agg(
-        F.max(fault).alias("fault"), F.collect_set("selector").alias("named"), F.collect_set(F.when(F.col("selector").isNull(), F.col("value"))).alias("bare"),
-        F.max(F.col("state") == "required").alias("has"), F.max(F.col("state") != "required").alias("has_other"),
-        F.sort_array(F.collect_list(F.struct("pos", "selector", "value", "state"))).alias("rules"),
-    ).filter("NOT fault AND has AND has_other AND (size(bare) = 0 OR size(named) < 2)")
+    remark = F.coalesce("remark", F.lit(""))
+    held = F.filter(F.transform(F.split(remark, r"\r\n|[\r\n]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    said = F.transform(held, lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+    asks = (F.upper(F.trim("required")) == "Y/N") & ~remark.rlike(r"(?i)\bdependency\s*[:：]")
     marked = lambda x: F.when(F.lower(x).rlike("|".join(ALLOWED)), x)
-    lists = all_.select("endpoint", F.col("name").alias("owner"), F.concat_ws("\n", marked(F.col("description")), marked(F.col("remark"))).alias("evidence")).filter("evidence <> ''")
+    evidence = F.concat_ws("\n", marked(F.col("description")), marked(remark))
+    all_ = parameters.withColumn("error", F.lit(HUMAN_ERROR)).join(F.broadcast(documented), "error", "left_semi").select("endpoint", F.struct(dotted(F.col("name")).alias("name"), evidence.alias("evidence"), F.when(asks, said).alias("said")).alias("p")).filter("p.name <> ''")
+    parts = PARTS * max(1, parameters.sparkSession.sparkContext.defaultParallelism)
+    # the one exchange: what follows is computed inside the row of an endpoint
+    known = all_.repartition(parts, "endpoint").groupBy("endpoint").agg(F.collect_list("p").alias("ps"))
+    own = F.array_distinct(F.transform(F.filter("ps", lambda p: F.size(p.said) > 0), lambda p: p["name"]))
+    one = known.select("endpoint", "ps", F.explode(own).alias("name"))
+    lines = F.array_sort(F.flatten(F.transform(F.filter("ps", lambda p: (F.size(p.said) > 0) & (p["name"] == F.col("name"))), lambda p: p.said)))
+
+    def meant(line: Column) -> Column:
+        word = F.lower(F.nullif(F.regexp_extract(line, HEADING, 1), F.lit("")))
+        return F.when(word.startswith("require"), "required").when(word == "optional", "optional").when(word.isNotNull(), "forbidden")
+
+    def rule(pos: Column, line: Column, state_: Column) -> Column:
+        plain = F.when(line.rlike(EQUALS), F.regexp_extract(line, EQUALS, 2)).otherwise(line)
+        value = F.regexp_replace(F.regexp_replace(F.trim(plain), "^['\"]+|['\"]+$", ""), r"\.+$", "")
+        return F.struct(pos.alias("pos"), F.when(line.rlike(EQUALS), dotted(F.regexp_extract(line, EQUALS, 1))).alias("selector"), value.alias("value"), state_.alias("state"))
+
+    # each line under the last heading before it
+    start = F.struct(F.lit(None).cast("string").alias("state"), F.array().cast("array<struct<pos:int,line:string,state:string>>").alias("under"))
+    step = lambda acc, x: F.struct(F.coalesce(x.heading, acc.state).alias("state"), F.when(x.heading.isNotNull(), acc.under).otherwise(F.concat(acc.under, F.array(F.struct(x.pos, x.line, acc.state)))).alias("under"))
+    headed = F.transform(lines, lambda x: F.struct(x.pos.alias("pos"), x.line.alias("line"), meant(x.line).alias("heading")))
+    rules = F.sort_array(F.transform(F.aggregate(headed, start, step)["under"], lambda x: rule(x.pos, x.line, x.state)))
+    # as the one row of a generator, so that the conditions below don't compute the rules anew
+    ruled = one.select("endpoint", "ps", "name", F.explode(F.array(rules)).alias("rules"))
+    fault = F.exists("rules", lambda r: r.state.isNull() | (r.value == "") | (r.selector.isNull() & ~r.value.rlike(TOKEN)))
+    both = F.exists("rules", lambda r: r.state == "required") & F.exists("rules", lambda r: r.state != "required")
+    named = F.array_distinct(F.transform(F.filter("rules", lambda r: r.selector.isNotNull()), lambda r: r.selector))
+    bare = F.array_distinct(F.transform(F.filter("rules", lambda r: r.selector.isNull()), lambda r: r.value))
+    sound = ruled.filter(~fault & both).withColumn("named", named).withColumn("bare", bare).filter("size(bare) = 0 OR size(named) < 2")
     whole = lambda v: F.concat(F.lit(r"(?<![A-Za-z0-9_])\Q"), v, F.lit(r"\E(?![A-Za-z0-9_])"))
-    asking = one.filter("size(bare) > 0 AND size(named) = 0").select("endpoint", "name", "bare")
-    owners = asking.join(lists, "endpoint").filter((F.col("owner") != F.col("name")) & F.forall("bare", lambda v: F.regexp_like("evidence", whole(v))))
-    single = owners.groupBy("endpoint", "name").agg(F.count_distinct("owner").alias("n"), F.min("owner").alias("owner")).filter("n = 1").drop("n")
-    ruled = one.join(single, ["endpoint", "name"], "left").withColumn("owner", F.coalesce("owner", F.get("named", F.lit(0))))
-    flat = ruled.select("endpoint", "name", F.posexplode("rules").alias("ord", "r"), "owner").select(
+    listing = lambda p: (p.evidence != "") & (p["name"] != F.col("name")) & F.forall("bare", lambda v: F.regexp_like(p.evidence, whole(v)))
+    owners = F.array_distinct(F.transform(F.filter("ps", listing), lambda p: p["name"]))
+    owned = sound.withColumn("owners", F.when((F.size("bare") > 0) & (F.size("named") == 0), owners))
+    owner = F.coalesce(F.when(F.size("owners") == 1, F.get("owners", F.lit(0))), F.get("named", F.lit(0)))
+    meets = F.forall("rules", lambda r: F.coalesce(F.exists("ps", lambda p: p["name"] == F.coalesce(r.selector, F.col("owner"))), F.lit(False)))
+    flat = owned.withColumn("owner", owner).filter(meets).select("endpoint", "name", F.posexplode("rules").alias("ord", "r"), "owner")
+    return flat.select(
         "endpoint", "name", (F.col("ord") + 1).alias("ord"), F.coalesce("r.selector", "owner").alias("selector"), F.col("r.value").alias("value"),
         F.col("r.state").alias("state"), F.lit(HUMAN_ERROR).alias("error"), F.col("r.selector").isNull().alias("inferred"))
-    names = all_.select("endpoint", F.col("name").alias("selector"), F.lit(True).alias("there")).distinct()
-    checked = flat.join(names, ["endpoint", "selector"], "left")
-    unknown = checked.filter("there IS NULL").select("endpoint", "name").distinct()
-    return checked.join(unknown, ["endpoint", "name"], "left_anti").select("endpoint", "name", "ord", "selector", "value", "state", "error", "inferred")

@@ -171,3 +171,16 @@ def test_flatten_keeps_each_topics_own_columns(spark):
     found = topics.flatten(spark.createDataFrame(rows, "topic_id string, parent_id string, title string, ord long"), ["parent_id"])
     got = sorted((r.topic_id, r.parent_id or "", r.depth, tuple(r.path)) for r in found.collect())
     assert got == [("a", "r", 1, ("Root", "A")), ("b", "r", 1, ("Root", "B")), ("r", "", 0, ("Root",)), ("x", "a", 2, ("Root", "A", "X")), ("x", "b", 2, ("Root", "B", "X"))]
+
+
+def test_human_rules_meet_once_an_endpoint(spark):
+    """One exchange, by endpoint, and no sort or window over parameters or their lines."""
+    from docwright.operators import dependencies
+
+    rows = [("e", "mode", "Y", "One of: A, B", None), ("e", "x/y", "Y/N", None, "Required when:\nA\nOptional when:\nmode = B."), ("f", "x", "Y/N", None, "Required when:\nA")]
+    given = spark.createDataFrame(rows, "endpoint string, name string, required string, description string, remark string")
+    found = dependencies.human_rules(given, spark.createDataFrame([("BAD_REQUEST",)], "code string"))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan and plan.count("REPARTITION") <= 1
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == [("e", "x.y", 1, "mode", "A", "required", "BAD_REQUEST", True), ("e", "x.y", 2, "mode", "B", "optional", "BAD_REQUEST", False)]
